@@ -3,14 +3,19 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Java's \s is ASCII unless (?U) is set, and even then leaves out U+001C..U+001F.
-_SPACE = r"[\s\x1c-\x1f]"
+# Whitespace as str.strip() sees it; Java's own classes are narrower.
+WHITESPACE = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+_SPACE = r"[\s\x1c-\x1f]"  # needs (?U)
 _LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
 
 
 def strip(col: Column) -> Column:
     """Remove leading and trailing whitespace of any kind."""
-    return F.regexp_replace(col, rf"(?U)\A{_SPACE}+|{_SPACE}+\z", "")
+    return F.btrim(col, F.lit(WHITESPACE))
 
 
 def non_blank_lines(col: Column) -> Column:

@@ -57,23 +57,23 @@ class CosineScorer:
         return state[lo:hi] @ rows.T
 
 
-class WeightedTermScorer:
-    """Sum of query-term weight x row-term weight over shared terms; 0 is no hit."""
+class Bm25Scorer:
+    """Sum over shared terms of query weight x saturated, length-normalised term count."""
 
-    def __init__(self, terms: str, weights: str, row_terms: str, row_weights: str):
-        self.terms, self.weights = terms, weights
-        self.row_terms, self.row_weights = row_terms, row_weights
+    def __init__(self, terms, weights, row_tokens, mean_length, k1, b):
+        self.terms, self.weights, self.row_tokens = terms, weights, row_tokens
+        self.mean_length, self.k1, self.b = mean_length, k1, b
 
     @staticmethod
-    def _entries(table, terms, weights):
-        lists, values = table.column(terms), table.column(weights)
-        if isinstance(lists, pa.ChunkedArray):
-            lists, values = lists.combine_chunks(), values.combine_chunks()
-        owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
-        return owner, lists.flatten(), values.flatten().to_numpy(zero_copy_only=False)
+    def _lists(column):
+        if isinstance(column, pa.ChunkedArray):
+            column = column.combine_chunks()
+        lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+        return np.repeat(np.arange(len(column)), lengths), column.flatten(), lengths
 
     def prepare(self, queries):
-        owner, terms, weights = self._entries(queries, self.terms, self.weights)
+        owner, terms, _ = self._lists(queries.column(self.terms))
+        weights = self._lists(queries.column(self.weights))[1].to_numpy(zero_copy_only=False)
         vocabulary = terms.unique()
         matrix = np.zeros((queries.num_rows, max(len(vocabulary), 1)))
         np.add.at(matrix, (owner, pc.index_in(terms, vocabulary).to_numpy()), weights)
@@ -84,12 +84,15 @@ class WeightedTermScorer:
 
     def load(self, state, batch):
         matrix, vocabulary = state
-        owner, terms, weights = self._entries(batch, self.row_terms, self.row_weights)
-        codes = pc.fill_null(pc.index_in(terms, vocabulary), -1).to_numpy(zero_copy_only=False)
+        width = matrix.shape[1]
+        owner, tokens, lengths = self._lists(batch.column(self.row_tokens))
+        codes = pc.fill_null(pc.index_in(tokens, vocabulary), -1).to_numpy(zero_copy_only=False)
         known = codes >= 0
-        dense = np.zeros((batch.num_rows, matrix.shape[1]))
-        np.add.at(dense, (owner[known], codes[known]), weights[known])
-        return dense
+        cells = owner[known] * width + codes[known]
+        counts = np.bincount(cells, minlength=batch.num_rows * width)
+        counts = counts.reshape(-1, width).astype(np.float64)
+        norm = self.k1 * (1.0 - self.b + self.b * lengths / self.mean_length)
+        return counts * (self.k1 + 1.0) / (counts + norm[:, None])
 
     def score(self, state, rows, lo, hi):
         scores = state[0][lo:hi] @ rows.T

@@ -104,27 +104,40 @@ def explode_lines(pages: DataFrame) -> DataFrame:
     )
 
 
-def classify(lines: DataFrame, rules: dict[str, Rules]) -> DataFrame:
-    """Add ``line_class``: skip, section, article, bare, paragraph or text, first match wins.
+def line_class(text: Column, r: Rules) -> Column:
+    """skip, section, article, bare, paragraph or text; the first that matches."""
+    return (
+        F.when(matches_any(text, r.skipped), "skip")
+        .when(matches_any(text, r.section_markers), "section")
+        .when(matches(text, r.article), "article")
+        .when(matches(text, r.bare_article), "bare")
+        .when(matches(text, r.paragraph), "paragraph")
+        .otherwise("text")
+    )
+
 
-    ``number`` is the article or paragraph number, or the value of an all-digit line.
+def classified_lines(pages: DataFrame, rules: dict[str, Rules]) -> DataFrame:
+    """One row per line with ``line_class`` and ``number``.
+
+    Classes are computed inside the page's array, so later filters on them cannot be
+    pushed below the explode and repeat the pattern tests.  ``number`` is the article or
+    paragraph number, or the value of an all-digit line.
     """
-    text = F.col("text")
-
-    def line_class(r: Rules) -> Column:
-        return (
-            F.when(matches_any(text, r.skipped), "skip")
-            .when(matches_any(text, r.section_markers), "section")
-            .when(matches(text, r.article), "article")
-            .when(matches(text, r.bare_article), "bare")
-            .when(matches(text, r.paragraph), "paragraph")
-            .otherwise("text")
+    def line(text, i):
+        return F.struct(
+            (i + 1).alias("line_no"),
+            text.alias("text"),
+            per_section(rules, lambda r: line_class(text, r)).alias("line_class"),
         )
 
-    all_digits = text.rlike("^[0-9]+$")
-    number = F.when(
-        F.col("line_class").isin("article", "paragraph") | all_digits, first_number(text)
-    )
-    return lines.withColumn("line_class", per_section(rules, line_class)).withColumn(
-        "number", number
+    others = [c for c in pages.columns if c != "lines"]
+    lines = pages.select(*others, F.explode(F.transform("lines", line)).alias("l"))
+    text = F.col("l.text")
+    numbered = F.col("l.line_class").isin("article", "paragraph") | text.rlike("^[0-9]+$")
+    return lines.select(
+        *others,
+        "l.line_no",
+        "l.text",
+        "l.line_class",
+        F.when(numbered, first_number(text)).alias("number"),
     )

@@ -30,7 +30,6 @@ def expand_terms(
     Dictionary order, duplicates kept, no word boundaries.  ``matched_terms`` lists the
     dictionary terms that fired.
     """
-    lowered = F.lower(F.col(text))
     if terms is None:
         entries = [(t, list(x)) for t, x in fixed.TERM_EXPANSIONS]
     else:
@@ -39,17 +38,18 @@ def expand_terms(
             return _expand_terms_joined(questions, terms, text, key)
         entries = [(r["term"], r["expansions"]) for r in sorted(rows, key=lambda r: r["prio"])]
     fired = contained(
-        lowered,
+        F.col("_lowered"),
         [
             (t, F.struct(F.lit(t).alias("term"), F.array(*map(F.lit, x)).alias("expansions")))
             for t, x in entries
         ],
     )
     return (
-        questions.withColumn("_fired", fired)
+        questions.withColumn("_lowered", F.lower(F.col(text)))
+        .withColumn("_fired", fired)
         .withColumn("matched_terms", F.transform("_fired", lambda e: e["term"]))
         .withColumn("static_terms", F.flatten(F.transform("_fired", lambda e: e["expansions"])))
-        .drop("_fired")
+        .drop("_fired", "_lowered")
     )
 
 
@@ -93,8 +93,13 @@ def special_pattern(
         ]
     chosen = F.lit(None).cast("string")
     for pattern, rewrite in reversed(entries):
-        chosen = F.when(F.contains(lowered, F.lit(pattern)), F.lit(rewrite)).otherwise(chosen)
-    return questions.withColumn("special_query", chosen)
+        hit = F.contains(F.col("_lowered"), F.lit(pattern))
+        chosen = F.when(hit, F.lit(rewrite)).otherwise(chosen)
+    return (
+        questions.withColumn("_lowered", lowered)
+        .withColumn("special_query", chosen)
+        .drop("_lowered")
+    )
 
 
 def _without_fence(answer: Column) -> Column:

@@ -17,8 +17,7 @@ from lexiframe.functions import fixed
 from lexiframe.functions.text import matches, strip
 from lexiframe.operators.lines import (
     Rules,
-    classify,
-    explode_lines,
+    classified_lines,
     per_section,
     split_lines,
     trim_pages,
@@ -36,7 +35,7 @@ def statute_lines(
     """Classified lines of pages(doc_id, section, page_no, text), without skipped ones."""
     if "lines" not in pages.columns:
         pages = split_lines(pages)
-    lines = classify(explode_lines(trim_pages(pages, rules)), rules)
+    lines = classified_lines(trim_pages(pages, rules), rules)
     return (
         lines.where("line_class <> 'skip'")
         .withColumn("pos", F.shiftleft(F.col("page_no").cast("bigint"), 32) + F.col("line_no"))

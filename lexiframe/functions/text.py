@@ -10,7 +10,7 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 _SPACE = r"[\s\x1c-\x1f]"  # needs (?U)
-_LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
+_LINE_BREAK = r"[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"  # \r\n only adds a blank line
 
 
 def strip(col: Column) -> Column:
@@ -24,16 +24,12 @@ def non_blank_lines(col: Column) -> Column:
     return F.filter(lines, lambda line: line != "")
 
 
-def matches(col: Column, pattern: str) -> Column:
-    """Regular expression test with Unicode whitespace classes."""
-    return col.rlike(f"(?U){pattern}")
+def matches(col: Column, *patterns: str) -> Column:
+    """Whether one of the patterns matches at the start of the text.
 
-
-def matches_any(col: Column, patterns) -> Column:
-    hit = F.lit(False)
-    for pattern in patterns:
-        hit = hit | matches(col, pattern)
-    return hit
+    Unicode whitespace classes; the leading anchor spares the search at later positions.
+    """
+    return col.rlike("(?U)^(?:" + "|".join(f"(?:{p})" for p in patterns) + ")")
 
 
 def words(col: Column) -> Column:

@@ -61,9 +61,9 @@ def token_windows(
     tokens = docs.select(*others, words(F.col(text)).alias("_t"))
     count = F.size("_t")
     last = F.ceil(F.greatest(count - size, F.lit(0)) / step).cast("int")
-    windows = tokens.where(count > 0).select(
-        *others, "_t", F.explode(F.sequence(F.lit(0), last)).alias("chunk_index")
-    )
+    # no filter on the tokens: it would be pushed down and split every text twice
+    numbers = F.when(count > 0, F.sequence(F.lit(0), last))
+    windows = tokens.select(*others, "_t", F.explode(numbers).alias("chunk_index"))
     piece = F.slice("_t", F.col("chunk_index") * step + 1, F.lit(size))
     return windows.withColumn("_p", piece).select(
         *others,

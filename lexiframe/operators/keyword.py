@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lexiframe.functions import fixed
 from lexiframe.functions.text import keyword_tokens
 from lexiframe.functions.topk import Bm25Scorer
-from lexiframe.operators.substrings import LITERAL_PATTERNS, bounded_rows, contained, substring_join
+from lexiframe.operators.substrings import bounded_rows, contained, substring_join
 from lexiframe.operators.topk_join import rank_within, topk_join
 from lexiframe.session import checkpointed
 
@@ -63,10 +63,9 @@ def bm25(
         .agg(F.sort_array(F.collect_list(F.struct("_term", idf.alias("_w")))).alias("_q"))
         .select(query_id, F.col("_q._term").alias("_qt"), F.col("_q._w").alias("_qw"))
     )
-    rows = tokens.where(F.size("_t") > 0)
     return topk_join(
         weighted,
-        rows,
+        tokens,
         Bm25Scorer("_qt", "_qw", "_t", avgdl, BM25_K1, BM25_B),
         k,
         query_id=query_id,
@@ -85,9 +84,14 @@ def containing(
     query_text: str = "search_text",
     doc_id: str = "chunk_id",
     doc_text: str = "text",
+    literal_patterns: int = 128,
 ) -> DataFrame:
-    """(query_id, doc_id) where the document contains the question text verbatim."""
-    rows = bounded_rows(questions, [query_id, query_text], LITERAL_PATTERNS)
+    """(query_id, doc_id) where the document contains the question text verbatim.
+
+    A few questions are tested one by one against every text; more meet the texts through
+    their words.
+    """
+    rows = bounded_rows(questions, [query_id, query_text], literal_patterns)
     if rows is not None:
         entries = [(r[query_text], F.lit(r[query_id])) for r in rows if r[query_text] is not None]
         return docs.select(
@@ -96,6 +100,7 @@ def containing(
     return substring_join(
         docs.select(doc_id, F.col(doc_text).alias("_text")),
         questions.select(query_id, F.col(query_text).alias("_pattern")),
+        doc_id,
         "_text",
         "_pattern",
     ).select(query_id, doc_id)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiframe.functions import fixed
-from lexiframe.functions.text import first_number, matches, matches_any, non_blank_lines
+from lexiframe.functions.text import first_number, matches, non_blank_lines
 
 PAGE = ["doc_id", "section", "page_no"]
 
@@ -105,10 +105,15 @@ def explode_lines(pages: DataFrame) -> DataFrame:
 
 
 def line_class(text: Column, r: Rules) -> Column:
-    """skip, section, article, bare, paragraph or text; the first that matches."""
+    """skip, section, article, bare, paragraph or text; the first that matches.
+
+    Plain text is most lines, so one alternation of all patterns settles it first.
+    """
+    every = (*r.skipped, *r.section_markers, r.article, r.bare_article, r.paragraph)
     return (
-        F.when(matches_any(text, r.skipped), "skip")
-        .when(matches_any(text, r.section_markers), "section")
+        F.when(~matches(text, *every), "text")
+        .when(matches(text, *r.skipped), "skip")
+        .when(matches(text, *r.section_markers), "section")
         .when(matches(text, r.article), "article")
         .when(matches(text, r.bare_article), "bare")
         .when(matches(text, r.paragraph), "paragraph")

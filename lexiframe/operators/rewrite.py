@@ -55,7 +55,7 @@ def expand_terms(
 
 def _expand_terms_joined(questions, terms, text, key):
     lowered = questions.select(key, F.lower(F.col(text)).alias("_text"))
-    fired = substring_join(lowered, terms, "_text", "term")
+    fired = substring_join(lowered, terms, key, "_text", "term")
     collected = fired.groupBy(key).agg(
         F.sort_array(F.collect_list(F.struct("prio", "term", "expansions"))).alias("_fired")
     )
@@ -84,7 +84,7 @@ def special_pattern(
         rows = bounded_rows(patterns, ["prio", "pattern", "rewrite"])
         if rows is None:
             hits = substring_join(
-                questions.select(key, lowered.alias("_text")), patterns, "_text", "pattern"
+                questions.select(key, lowered.alias("_text")), patterns, key, "_text", "pattern"
             )
             first = hits.groupBy(key).agg(F.min_by("rewrite", "prio").alias("special_query"))
             return questions.join(first, key, "left")

@@ -110,8 +110,11 @@ def _jumps(numbers: Column) -> Column:
     )
 
 
-def _start_numbers(blocks: DataFrame, runs: str, name: str) -> DataFrame:
-    """Number every block starts with, as (doc_id, section, block, name).
+def _start_numbers(
+    blocks: DataFrame, runs: str, name: str, carried: dict[str, Column] | None = None
+) -> DataFrame:
+    """Number every block starts with, as (doc_id, section, block, name), plus ``carried``
+    window expressions over the earlier blocks.
 
     A block with a reset ends on a number of its own.  Between two such blocks only the
     jumps of reset-free blocks matter, so the ordered fold runs over those few rows.
@@ -124,10 +127,13 @@ def _start_numbers(blocks: DataFrame, runs: str, name: str) -> DataFrame:
     ).otherwise(F.create_map().cast("map<bigint,bigint>"))
     # from the last reset on, the start value no longer matters
     ended = F.when(has_reset, _successors(events, F.lit(0).cast("bigint"))["cur"])
-    narrow = blocks.select(*BLOCK, ended.alias("ended"), open_numbers.alias("jumps"))
+    carried = carried or {}
+    others = [c for c in blocks.columns if c not in (*BLOCK, "events", "runs")]
+    narrow = blocks.select(*BLOCK, *others, ended.alias("ended"), open_numbers.alias("jumps"))
     before = _before_block()
-    spans = narrow.withColumn("span", F.count("ended").over(before)).withColumn(
-        "base", F.coalesce(F.last("ended", True).over(before), F.lit(0).cast("bigint"))
+    base = F.coalesce(F.last("ended", True).over(before), F.lit(0).cast("bigint"))
+    spans = narrow.withColumns(
+        {"span": F.count("ended").over(before), "base": base, **carried}
     )
     moving = spans.where(F.size("jumps") > 0)
     trail = moving.groupBy(*DOC, "span").agg(
@@ -161,7 +167,9 @@ def _start_numbers(blocks: DataFrame, runs: str, name: str) -> DataFrame:
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     return spans.join(moved, BLOCK, "left").select(
-        *BLOCK, F.coalesce(F.last("moved", True).over(within), F.col("base")).alias(name)
+        *BLOCK,
+        *carried,
+        F.coalesce(F.last("moved", True).over(within), F.col("base")).alias(name),
     )
 
 
@@ -225,6 +233,7 @@ def block_markers(lines: DataFrame) -> DataFrame:
             ),
         ),
     ).drop("runs", "accepted")
+    blocks = checkpointed(blocks)  # marker rows only; keeps step 3 from repeating step 2
 
     # 3. Accepted paragraph markers: every article restarts the count at zero.
     restarts = F.transform(
@@ -236,32 +245,22 @@ def block_markers(lines: DataFrame) -> DataFrame:
         ),
     )
     blocks = blocks.withColumn("runs", _runs(restarts, ["A"], ["P"]))
-    state = _block_edges(blocks)
+    edges = F.filter("events", lambda e: e["kind"].isin("A", "S"))
+    blocks = blocks.withColumn(
+        "articles", F.size(F.filter("events", lambda e: e["kind"] == "A"))
+    ).withColumn("last_edge", F.try_element_at(edges, F.lit(-1))["kind"])
     before = _before_block()
-    carried = state.select(
-        *BLOCK,
-        F.coalesce(F.sum("articles").over(before), F.lit(0)).alias("start_occurrence"),
-        (F.coalesce(F.last("last_edge", True).over(before), F.lit("S")) == "A").alias(
-            "start_inside"
-        ),
-    )
-    blocks = (
-        blocks.join(_start_numbers(blocks, "runs", "start_paragraph"), BLOCK)
-        .join(carried, BLOCK)
-        .withColumn("accepted", _successors(F.col("runs"), F.col("start_paragraph"))["kept"])
+    carried = {
+        "start_occurrence": F.coalesce(F.sum("articles").over(before), F.lit(0)),
+        "start_inside": F.coalesce(F.last("last_edge", True).over(before), F.lit("S")) == "A",
+    }
+    starts = _start_numbers(blocks, "runs", "start_paragraph", carried)
+    blocks = blocks.join(starts, BLOCK).withColumn(
+        "accepted", _successors(F.col("runs"), F.col("start_paragraph"))["kept"]
     )
     return _marker_rows(blocks)
 
 
-def _block_edges(blocks: DataFrame) -> DataFrame:
-    edges = F.filter("events", lambda e: e["kind"].isin("A", "S"))
-    return blocks.select(
-        *BLOCK,
-        F.size(F.filter("events", lambda e: e["kind"] == "A")).alias("articles"),
-        F.try_element_at(edges, F.lit(-1))["kind"].alias("last_edge"),
-    )
-
-
 def _marker_rows(blocks: DataFrame) -> DataFrame:
     start = F.struct(
         F.lit(-1).cast("bigint").alias("pos"),
@@ -315,7 +314,7 @@ def segment(
     article_number, paragraph_number (null when the article has none), text.
     """
     lines = statute_lines(pages, rules, pages_per_block)
-    markers = block_markers(lines)
+    markers = checkpointed(block_markers(lines))  # used twice below
     assigned = _assign(lines, markers, rules)
 
     separated = F.concat(F.when(F.col("is_list"), "\n").otherwise(" "), F.col("text"))

@@ -23,16 +23,6 @@ def explode_range(df: DataFrame, lo, hi, name: str) -> DataFrame:
     )
 
 
-def article_counts(segments: DataFrame) -> DataFrame:
-    """Distinct article numbers per document, numbers outside 1..N included."""
-    return (
-        segments.select(*DOC, "article_number")
-        .distinct()
-        .groupBy(*DOC)
-        .agg(F.count("article_number").alias("total_articles"))
-    )
-
-
 def missing_articles(segments: DataFrame, expected: DataFrame) -> DataFrame:
     """Numbers of 1..N without a segment; expected(doc_id, section, expected_articles)."""
     wanted = explode_range(expected, "1", "expected_articles", "article_number").select(
@@ -76,34 +66,59 @@ def duplicate_keys(segments: DataFrame) -> DataFrame:
 def validation_report(segments: DataFrame, expected: DataFrame) -> DataFrame:
     """One row per expected document: counts of each finding, status and validity.
 
-    ``status`` is 'no_paragraphs' where no numbered paragraph exists at all, which is an
-    error of its own.
+    Counts follow from three nested aggregations (key, article, document); nothing missing
+    has to be generated.  ``status`` is 'no_paragraphs' where no numbered paragraph exists
+    at all, which is an error of its own.
     """
-    def counted(df, name):
-        return df.groupBy(*DOC).agg(F.count("*").alias(name))
-
-    numbered = (
-        segments.where(F.coalesce("paragraph_number", F.lit(0)) != 0)
+    paragraph = F.coalesce("paragraph_number", F.lit(0)).cast("bigint").alias("p")
+    keys = (
+        segments.select(*DOC, "article_number", paragraph)
+        .groupBy(*DOC, "article_number", "p")
+        .agg(F.count("*").alias("n"))
+    )
+    articles = keys.groupBy(*DOC, "article_number").agg(
+        F.sum((F.col("n") > 1).cast("bigint")).alias("duplicate_keys"),
+        (
+            F.greatest(F.max("p"), F.lit(0)) - F.sum((F.col("p") > 0).cast("bigint"))
+        ).alias("missing_paragraphs"),
+        F.max(F.col("p") != 0).alias("has_paragraphs"),
+    )
+    within = F.col("article_number").between(1, F.col("expected_articles"))
+    found = (
+        articles.join(expected, DOC)
         .groupBy(*DOC)
-        .agg(F.lit(True).alias("has_paragraphs"))
+        .agg(
+            F.count("article_number").alias("total_articles"),
+            F.sum(within.cast("bigint")).alias("_within"),
+            F.sum("missing_paragraphs").alias("missing_paragraphs"),
+            F.sum("duplicate_keys").alias("duplicate_keys"),
+            F.max("has_paragraphs").alias("has_paragraphs"),
+        )
+    )
+    counts = ["total_articles", "_within", "missing_paragraphs", "duplicate_keys"]
+    report = (
+        expected.join(found, DOC, "left")
+        .fillna(0, counts)
+        .fillna(False, ["has_paragraphs"])
+        .withColumn("missing_articles", F.col("expected_articles") - F.col("_within"))
+    )
+    clean = (
+        F.col("has_paragraphs")
+        & (F.col("total_articles") == F.col("expected_articles"))
+        & (F.col("missing_articles") == 0)
+        & (F.col("missing_paragraphs") == 0)
+        & (F.col("duplicate_keys") == 0)
+    )
+    return report.select(
+        *DOC,
+        "expected_articles",
+        "total_articles",
+        "missing_articles",
+        "missing_paragraphs",
+        "duplicate_keys",
+        F.when(F.col("has_paragraphs"), "checked").otherwise("no_paragraphs").alias("status"),
+        clean.alias("is_valid"),
     )
-    report = expected
-    for part in (
-        article_counts(segments),
-        counted(missing_articles(segments, expected), "missing_articles"),
-        counted(missing_paragraphs(segments), "missing_paragraphs"),
-        counted(duplicate_keys(segments), "duplicate_keys"),
-        numbered,
-    ):
-        report = report.join(part, DOC, "left")
-    counts = ["total_articles", "missing_articles", "missing_paragraphs", "duplicate_keys"]
-    report = report.fillna(0, counts).fillna(False, ["has_paragraphs"])
-    clean = F.col("total_articles") == F.col("expected_articles")
-    for name in counts[1:]:
-        clean = clean & (F.col(name) == 0)
-    return report.withColumn(
-        "status", F.when(F.col("has_paragraphs"), "checked").otherwise("no_paragraphs")
-    ).withColumn("is_valid", clean & F.col("has_paragraphs")).drop("has_paragraphs")
 
 
 def only_valid(segments: DataFrame, report: DataFrame) -> DataFrame:

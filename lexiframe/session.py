@@ -45,7 +45,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/lexiframe/{label}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df):
-    """Cut lineage through the reliable checkpoint folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def checkpointed(df, label: str = "table"):
+    """Cut lineage: write the rows below the shared folder once and read them back.
+
+    Unlike an RDD checkpoint this computes the rows a single time, keeps column pruning and
+    gives the planner a size.  The folder's own retention removes the files.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

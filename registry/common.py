@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from lexiframe.functions import fixed
 from lexiframe.functions.text import WHITESPACE
 from lexiframe.operators.chunks import hash_embed, to_chunks
+from lexiframe.session import scratch_path
+from lexiframe.sources.index import bootstrap_index
 from lexiframe.sources.tables import read_table, spread
 
 
@@ -52,8 +54,10 @@ def document_segments(spark, folder):
 
 
 def document_chunks(spark, folder):
-    """Embedded chunk table of all documents."""
-    return hash_embed(to_chunks(document_segments(spark, folder)))
+    """Chunk index of all documents: embedded once, written, read back."""
+    path = scratch_path(spark, "chunks")
+    bootstrap_index(hash_embed(to_chunks(document_segments(spark, folder))), path)
+    return spark.read.parquet(path)
 
 
 CHUNKS_SQL = f"""

@@ -27,14 +27,19 @@ RENDERED_PER_PAGE = 12
 RULES = default_rules(header_lines=1)
 
 
-def _paged(df, lines: str, per_page: int):
-    """One row per page of an array column."""
-    pages = F.sequence(F.lit(1), F.ceil(F.size(lines) / per_page).cast("int"))
-    return (
-        df.where(F.size(lines) > 0)
-        .withColumn("page_no", F.explode(pages))
-        .withColumn(lines, F.slice(lines, (F.col("page_no") - 1) * per_page + 1, F.lit(per_page)))
-    )
+def _paged(df, lines, per_page: int, decorate=lambda page, last: page):
+    """One row per page of an array of lines, as (other columns, page_no, text)."""
+    count = F.ceil(F.size(lines) / per_page).cast("int")
+    others = [c for c in df.columns if c != lines]
+
+    def page(p):
+        part = F.slice(lines, (p - 1) * per_page + 1, F.lit(per_page))
+        return F.struct(p.alias("page_no"), decorate(F.array_join(part, "\n"), p == count).alias("text"))
+
+    # no filter on the array: it would be pushed down and split every text twice
+    numbers = F.when(count > 0, F.sequence(F.lit(1), count))
+    pages = F.explode(F.transform(numbers, page)).alias("p")
+    return df.select(*others, pages).select(*others, "p.*")
 
 
 def document_pages(spark, folder):
@@ -42,9 +47,7 @@ def document_pages(spark, folder):
     docs = table(spark, folder, "documents").select(
         "doc_id", non_blank_lines(F.col("text")).alias("l")
     )
-    return _paged(docs, "l", LINES_PER_PAGE).select(
-        "doc_id", "page_no", F.array_join("l", "\n").alias("text")
-    )
+    return _paged(docs, "l", LINES_PER_PAGE)
 
 
 def rendered_pages(spark, folder):
@@ -52,7 +55,7 @@ def rendered_pages(spark, folder):
     docs = table(spark, folder, "documents").select(
         "doc_id", non_blank_lines(F.col("text")).alias("l")
     )
-    docs = docs.where(F.size("l") > 0).withColumn(
+    docs = docs.withColumn(
         "section", F.explode(F.array(F.lit(fixed.BODY), F.lit(fixed.ELUCIDATION)))
     )
     body = F.col("section") == fixed.BODY
@@ -61,40 +64,33 @@ def rendered_pages(spark, folder):
         text = F.concat(F.lit("("), number.cast("string"), F.lit(")"))
         return F.when(body, text).otherwise(F.concat(F.lit("Ayat "), text))
 
-    none = F.array().cast("array<string>")
-
-    def some(test, *lines):
-        return F.when(test, F.array(*lines)).otherwise(none)
-
     def render(line, i):
         article, r = F.floor(i / 9), i % 9
         number = (article + 1).cast("string")
         first, numbered = r == 0, article % 4 != 3
         split = article % 7 == 6
-        return F.concat(
-            some(first & (article % 5 == 0), F.lit("BAB I"), F.lit("KETENTUAN")),
-            some(first & split, F.lit("Pasal"), number),
-            some(first & ~split, F.concat(F.lit("Pasal "), number)),
-            some(first, F.lit("Ketentuan pembuka")),
-            some(numbered & (r % 3 == 0), marker(F.floor(r / 3) + 1)),
-            some(numbered & (r == 5), marker(F.lit(99))),
-            some(r == 7, F.concat(F.lit("- "), number, F.lit(" -"))),
-            some(~numbered & (r == 4), F.lit("Pasal")),
-            F.array(line),
+        return F.concat_ws(
+            "\n",
+            F.when(first & (article % 5 == 0), "BAB I\nKETENTUAN"),
+            F.when(first, F.concat(F.when(split, "Pasal\n").otherwise("Pasal "), number)),
+            F.when(first, "Ketentuan pembuka"),
+            F.when(numbered & (r % 3 == 0), marker(F.floor(r / 3) + 1)),
+            F.when(numbered & (r == 5), marker(F.lit(99))),
+            F.when(r == 7, F.concat(F.lit("- "), number, F.lit(" -"))),
+            F.when(~numbered & (r == 4), "Pasal"),
+            line,
         )
 
-    rendered = docs.withColumn("r", F.flatten(F.transform("l", render)))
-    pages = _paged(rendered.withColumn("n", F.size("r")), "r", RENDERED_PER_PAGE)
-    last = F.col("page_no") == F.ceil(F.col("n") / RENDERED_PER_PAGE)
-    end = F.when(body, fixed.BODY_END_MARKER).otherwise(fixed.ELUCIDATION_END_MARKER)
-    lines = F.concat(
-        F.array(F.lit("LEMBARAN NEGARA")),
-        F.col("r"),
-        F.when(last, F.array(end, F.lit("Lampiran"))).otherwise(none),
-    )
-    return pages.select(
-        "doc_id", "section", "page_no", F.array_join(lines, "\n").alias("text")
+    rendered = docs.withColumn(
+        "r", F.split(F.array_join(F.transform("l", render), "\n"), "\n")
     )
+    end = F.when(body, fixed.BODY_END_MARKER).otherwise(fixed.ELUCIDATION_END_MARKER)
+
+    def decorate(page, last):
+        closing = F.when(last, F.concat(F.lit("\n"), end, F.lit("\nLampiran"))).otherwise("")
+        return F.concat(F.lit("LEMBARAN NEGARA\n"), page, closing)
+
+    return _paged(rendered.drop("l"), "r", RENDERED_PER_PAGE, decorate)
 
 
 PAGES_SQL = f"""

@@ -24,6 +24,7 @@ def train_cells(chunks: DataFrame, cells: int, seed: int = 7, max_iter: int = 10
     """Unit-length k-means centres.  Large tables are sampled for training only."""
     if cells > MAX_CELLS:
         raise ValueError(f"at most {MAX_CELLS} cells")
+    chunks = chunks.where(F.exists("embedding", lambda v: v != 0))  # zeros have no direction
     total = chunks.count()
     wanted = cells * TRAIN_ROWS_PER_CELL
     sample = chunks if total <= wanted else chunks.sample(wanted / total, seed)

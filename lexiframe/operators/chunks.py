@@ -1,12 +1,12 @@
 """Chunk table: ids, metadata, token windows, embeddings and their checks."""
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from lexiframe.functions import fixed
 from lexiframe.functions.text import words
@@ -14,6 +14,7 @@ from lexiframe.functions.text import words
 HASH_DIM = 64
 WINDOW_TOKENS = 300
 WINDOW_OVERLAP = 30
+VECTOR = T.ArrayType(T.FloatType())
 
 
 def chunk_id(article, paragraph, chunk_type) -> Column:
@@ -88,37 +89,25 @@ def hash_embed(
 ) -> DataFrame:
     """Deterministic embedding without a model: hashed token counts, unit length.
 
-    Tokens are hashed in the JVM; counting is one vectorised pass per Arrow batch, so the
-    step needs no shuffle.
+    Tokens are hashed in the JVM and counted in one vectorised pass per Arrow batch.  Only
+    bucket numbers travel to Python, nothing is shuffled, and an unused embedding is pruned.
     """
-    others = [c for c in df.columns if c != name]
-    schema = T.StructType(
-        [df.schema[c] for c in others] + [T.StructField(name, T.ArrayType(T.FloatType()))]
-    )
-    arrow = to_arrow_schema(schema)
-
-    def embed(batches):
-        for batch in batches:
-            n = batch.num_rows
-            buckets = batch.column("_buckets")
-            owner = np.repeat(
-                np.arange(n), pc.fill_null(pc.list_value_length(buckets), 0).to_numpy()
-            )
-            flat = buckets.flatten().to_numpy(zero_copy_only=False)
-            counts = np.bincount(owner * dim + flat, minlength=n * dim).reshape(n, dim)
-            norm = np.sqrt((counts.astype(np.float64) ** 2).sum(axis=1))
-            norm[norm == 0] = 1.0
-            unit = (counts / norm[:, None]).astype(np.float32).ravel()
-            vectors = pa.ListArray.from_arrays(
-                pa.array(np.arange(n + 1, dtype=np.int32) * dim), pa.array(unit)
-            )
-            columns = [batch.column(c) for c in others] + [vectors]
-            yield pa.RecordBatch.from_arrays(
-                [c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow
-            )
-
-    hashed = df.select(*others, hash_buckets(F.col(text), dim).alias("_buckets"))
-    return hashed.mapInArrow(embed, schema)
+    @F.arrow_udf(VECTOR)
+    def embed(buckets: pa.Array) -> pa.Array:
+        n = len(buckets)
+        lengths = pc.fill_null(pc.list_value_length(buckets), 0)
+        owner = np.repeat(np.arange(n), lengths.to_numpy(zero_copy_only=False))
+        flat = buckets.flatten().to_numpy(zero_copy_only=False)
+        counts = np.bincount(owner * dim + flat, minlength=n * dim).reshape(n, dim)
+        norm = np.sqrt((counts.astype(np.float64) ** 2).sum(axis=1))
+        norm[norm == 0] = 1.0
+        unit = (counts / norm[:, None]).astype(np.float32).ravel()
+        offsets = pa.array(np.arange(n + 1, dtype=np.int32) * dim)
+        return pa.ListArray.from_arrays(offsets, pa.array(unit))
+
+    return df.withColumn("_buckets", hash_buckets(F.col(text), dim)).withColumn(
+        name, embed("_buckets")
+    ).drop("_buckets")
 
 
 def embed_with(
@@ -132,22 +121,18 @@ def embed_with(
 
     A batch that raises fails its task; Spark retries it and then aborts the write.
     """
-    others = [c for c in df.columns if c != name]
-    schema = T.StructType(
-        [df.schema[c] for c in others] + [T.StructField(name, T.ArrayType(T.FloatType()))]
-    )
-
-    def run(frames):
-        for frame in frames:
-            for start in range(0, len(frame), batch_size):
-                part = frame.iloc[start : start + batch_size].copy()
-                vectors = list(embed_fn(part[text].tolist()))
-                if len(vectors) != len(part):
-                    raise ValueError("embed_fn must return one vector per text")
-                part[name] = [np.asarray(v, dtype=np.float32) for v in vectors]
-                yield part
-
-    return df.select(*others).mapInPandas(run, schema)
+    @F.pandas_udf(VECTOR)
+    def embed(texts: pd.Series) -> pd.Series:
+        out = []
+        for start in range(0, len(texts), batch_size):
+            part = texts.iloc[start : start + batch_size].tolist()
+            vectors = [np.asarray(v, dtype=np.float32) for v in embed_fn(part)]
+            if len(vectors) != len(part):
+                raise ValueError("embed_fn must return one vector per text")
+            out += vectors
+        return pd.Series(out, dtype=object)
+
+    return df.withColumn(name, embed(text))
 
 
 def wrong_dimension(chunks: DataFrame, dim: int, embedding: str = "embedding") -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiframe.functions import fixed
+from lexiframe.session import checkpointed
 
 
 def _weight(weights) -> Column:
@@ -42,6 +43,8 @@ def fuse(
     """
     if min_cosine is not None:
         hits = hits.where(F.col("similarity") >= min_cosine)
+    # a question has a few dozen hits; one shuffle serves every window below
+    hits = hits.repartition("query_id")
     weight = _weight(weights or fixed.LIST_WEIGHTS)
     if fusion == "first_hit":
         hits = first_hits(hits)
@@ -74,11 +77,17 @@ def default_if_unset(col: Column, default) -> Column:
 
 
 def format_results(fused: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Late join of the few surviving chunk ids to their text and metadata, with defaults."""
+    """Late join of the few surviving chunk ids to their text and metadata, with defaults.
+
+    The fused rows are written first: their known size lets the planner broadcast the ids
+    and read matching texts where they lie, instead of shuffling the chunk table.
+    """
+    fused = checkpointed(fused, "fused")
     meta = chunks.select(
         "chunk_id", "source", "article_number", "paragraph_number", "chunk_type", "text"
     )
-    return fused.join(meta, "chunk_id", "left").select(
+    wanted = meta.join(fused.select("chunk_id").distinct(), "chunk_id")
+    return fused.join(wanted, "chunk_id", "left").select(
         "query_id",
         "rank",
         "chunk_id",

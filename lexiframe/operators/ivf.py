@@ -11,12 +11,12 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lexiframe.functions.topk import CosineScorer, array_matrix, best_rows, result_batch
-from lexiframe.operators.topk_join import CELL_QUERIES, CELL_ROWS, rank_within
+from lexiframe.operators.topk_join import CELL_BYTES, rank_within, rows_within
 
-MAX_CELLS = 16_384
+MAX_CELLS = 4_096  # bounds the broadcast centres
 TRAIN_ROWS_PER_CELL = 256
 
 
@@ -41,22 +41,21 @@ def train_cells(chunks: DataFrame, cells: int, seed: int = 7, max_iter: int = 10
 def assign_cells(df: DataFrame, centres: np.ndarray, probes: int = 1) -> DataFrame:
     """Add ``cells``: the nearest cell numbers, nearest first."""
     shared = df.sparkSession.sparkContext.broadcast(centres)
-    schema = T.StructType([*df.schema.fields, T.StructField("cells", T.ArrayType(T.IntegerType()))])
-    arrow = to_arrow_schema(schema)
 
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            rows = array_matrix(batch.column("embedding"))
-            nearest = np.argsort(-(rows @ shared.value.T), axis=1, kind="stable")[:, :probes]
-            offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * nearest.shape[1]
-            cells = pa.ListArray.from_arrays(offsets, pa.array(nearest.ravel().astype(np.int32)))
-            yield pa.RecordBatch.from_arrays(
-                [c.cast(f.type) for c, f in zip([*batch.columns, cells], arrow)], schema=arrow
-            )
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def nearest(vectors: pa.Array) -> pa.Array:
+        sims = array_matrix(vectors) @ shared.value.T if len(vectors) else np.zeros((0, 1))
+        width = min(probes, sims.shape[1])
+        if width < sims.shape[1]:
+            found = np.argpartition(-sims, width - 1, axis=1)[:, :width]
+        else:
+            found = np.tile(np.arange(width), (len(sims), 1))
+        order = np.argsort(-np.take_along_axis(sims, found, 1), axis=1, kind="stable")
+        cells = np.take_along_axis(found, order, 1).astype(np.int32)
+        offsets = pa.array(np.arange(len(sims) + 1, dtype=np.int32) * width)
+        return pa.ListArray.from_arrays(offsets, pa.array(cells.ravel()))
 
-    return df.mapInArrow(run, schema)
+    return df.withColumn("cells", nearest("embedding"))
 
 
 def knn_ivf(
@@ -65,8 +64,8 @@ def knn_ivf(
     centres: np.ndarray,
     k: int = 10,
     probes: int = 4,
-    cell_queries: int = CELL_QUERIES,
-    cell_rows: int = CELL_ROWS,
+    cell_queries: int | None = None,
+    cell_rows: int | None = None,
 ) -> DataFrame:
     """k best chunks among the probed cells; probing every cell gives the exact result.
 
@@ -76,6 +75,8 @@ def knn_ivf(
         "query_id", F.col("embedding").alias("_qv"), F.explode("cells").alias("cell")
     )
     rows = chunks.select("chunk_id", "cell", F.col("embedding").alias("_cv"))
+    cell_queries = cell_queries or rows_within(queries.select("embedding"), CELL_BYTES)
+    cell_rows = cell_rows or rows_within(rows, CELL_BYTES)
 
     def parts(df, size, name):
         return df.groupBy("cell").agg(F.ceil(F.count("*") / size).cast("int").alias(name))

@@ -13,7 +13,7 @@ from lexiframe.session import checkpointed
 BM25_K1 = 1.2
 BM25_B = 0.75
 _BROADCAST_QUESTIONS = 512
-_CELL_QUESTIONS = 256
+_CELL_QUESTIONS = 256  # bounds the vocabulary of a scoring block
 
 
 def bm25(
@@ -118,7 +118,7 @@ def search_by_text(
     """
     if where is not None:
         docs = docs.where(where)
-    pairs = containing(questions, docs)
+    pairs = checkpointed(containing(questions, docs), "pairs")
     scored = (
         pairs.join(questions.select("query_id", F.col("embedding").alias("_q")), "query_id")
         .join(docs.select("chunk_id", F.col("embedding").alias("_d")), "chunk_id")

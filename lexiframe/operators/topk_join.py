@@ -2,8 +2,11 @@
 
 Small query sides (checked) are broadcast and the corpus is read once without a
 shuffle; each task keeps only its running best k per query.  Beyond the bound both sides
-are hashed onto a grid of cells whose sizes are computed from row counts, and cells are
-scored independently.  Neither way forms query x corpus rows in Spark.
+are hashed onto a grid of cells of bounded bytes, and cells are scored independently.
+Neither way forms query x corpus rows in Spark.
+
+Every task returns up to k rows per query, so the number of tasks, not the corpus, sets the
+size of the final merge; tasks therefore read several splits each.
 """
 
 import pyarrow as pa
@@ -16,8 +19,8 @@ from lexiframe.functions.topk import best_rows, result_batch
 
 BROADCAST_ROWS = 16_384
 BROADCAST_BYTES = 256 << 20
-CELL_QUERIES = 8_192
-CELL_ROWS = 65_536
+CELL_BYTES = 64 << 20
+TASKS_PER_CORE = 4
 
 
 def topk_join(
@@ -29,8 +32,8 @@ def topk_join(
     corpus_id: str = "chunk_id",
     score: str = "similarity",
     broadcast_rows: int = BROADCAST_ROWS,
-    cell_queries: int = CELL_QUERIES,
-    cell_rows: int = CELL_ROWS,
+    cell_queries: int | None = None,
+    cell_rows: int | None = None,
 ) -> DataFrame:
     """(query_id, corpus_id, score, rank); rank is 1-based, ties ordered by corpus id."""
     out = T.StructType(
@@ -42,9 +45,9 @@ def topk_join(
     )
     arrow_out = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in out.fields])
 
-    head = queries.limit(broadcast_rows + 1).toArrow()
-    if head.num_rows <= broadcast_rows and head.nbytes <= BROADCAST_BYTES:
-        shared = queries.sparkSession.sparkContext.broadcast(head)
+    shared = _bounded_table(queries, query_id, broadcast_rows)
+    if shared is not None:
+        tasks = TASKS_PER_CORE * queries.sparkSession.sparkContext.defaultParallelism
 
         def score_partition(batches):
             table = shared.value.combine_chunks()
@@ -54,7 +57,7 @@ def topk_join(
                 table.column(query_id).combine_chunks(), best, arrow_out
             ).to_batches(max_chunksize=65_536)
 
-        partial = corpus.mapInArrow(score_partition, out)
+        partial = corpus.coalesce(tasks).mapInArrow(score_partition, out)
     else:
         partial = _grid(
             queries, corpus, scorer, k, query_id, corpus_id, cell_queries, cell_rows, out, arrow_out
@@ -62,9 +65,30 @@ def topk_join(
     return rank_within(partial, [query_id], [F.desc(score), F.col(corpus_id)], k)
 
 
+def _bounded_table(queries: DataFrame, query_id: str, rows: int):
+    """Broadcast of the query rows, or None when they exceed the bound.
+
+    Ids are counted first, so an oversized query side is never computed here.
+    """
+    if queries.select(query_id).limit(rows + 1).count() > rows:
+        return None
+    table = queries.toArrow()
+    if table.nbytes > BROADCAST_BYTES:
+        return None
+    return queries.sparkSession.sparkContext.broadcast(table)
+
+
+def rows_within(df: DataFrame, budget: int, sample: int = 256) -> int:
+    """Rows of the table that fit the byte budget, from the width of its first rows."""
+    head = df.limit(sample).toArrow()
+    return max(256, budget // max(head.nbytes // max(head.num_rows, 1), 1))
+
+
 def _grid(
     queries, corpus, scorer, k, query_id, corpus_id, cell_queries, cell_rows, out, arrow_out
 ):
+    cell_queries = cell_queries or rows_within(queries, CELL_BYTES)
+    cell_rows = cell_rows or rows_within(corpus, CELL_BYTES)
     stripes = -(-queries.count() // cell_queries) or 1
     columns = -(-corpus.select(corpus_id).count() // cell_rows) or 1
     placed_queries = queries.withColumn(

@@ -62,7 +62,7 @@ def test_embed_hook_batches_and_aborts(spark):
         raise RuntimeError("no quota")
 
     with pytest.raises(Exception, match="no quota"):
-        embed_with(df, broken).count()
+        embed_with(df, broken).collect()
 
 
 def test_hash_embed_is_unit_length_or_zero(spark):

@@ -105,9 +105,7 @@ def hash_embed(
         offsets = pa.array(np.arange(n + 1, dtype=np.int32) * dim)
         return pa.ListArray.from_arrays(offsets, pa.array(unit))
 
-    return df.withColumn("_buckets", hash_buckets(F.col(text), dim)).withColumn(
-        name, embed("_buckets")
-    ).drop("_buckets")
+    return df.withColumn(name, _once(embed)(hash_buckets(F.col(text), dim)))
 
 
 def embed_with(
@@ -132,7 +130,12 @@ def embed_with(
             out += vectors
         return pd.Series(out, dtype=object)
 
-    return df.withColumn(name, embed(text))
+    return df.withColumn(name, _once(embed)(F.col(text)))
+
+
+def _once(udf):
+    """Keep the planner from repeating the function below filters on its result."""
+    return udf.asNondeterministic()
 
 
 def wrong_dimension(chunks: DataFrame, dim: int, embedding: str = "embedding") -> DataFrame:

@@ -55,7 +55,7 @@ def assign_cells(df: DataFrame, centres: np.ndarray, probes: int = 1) -> DataFra
         offsets = pa.array(np.arange(len(sims) + 1, dtype=np.int32) * width)
         return pa.ListArray.from_arrays(offsets, pa.array(cells.ravel()))
 
-    return df.withColumn("cells", nearest("embedding"))
+    return df.withColumn("cells", nearest.asNondeterministic()("embedding"))
 
 
 def knn_ivf(

@@ -6,7 +6,7 @@ from lexiframe.functions import fixed
 from lexiframe.operators import evaluate as ops
 from lexiframe.operators.fuse import fuse
 from registry.common import quoted, table
-from registry.retrieval import FUSED_SQL, hits
+from registry.retrieval import FORMATTED_SQL, FUSED_SQL, hits, results
 
 
 def category_range_join(spark, folder):
@@ -61,7 +61,24 @@ def eval_mean_quality(spark, folder):
     )
 
 
+def eval_judgements(spark, folder):
+    """Results judged by article ranges: fifty articles either side of the question's own."""
+    q = F.col("vec_id")
+    judgements = table(spark, folder, "embeddings").select(
+        q.alias("query_id"),
+        F.greatest(q - 50, F.lit(0)).alias("lo"),
+        (q + 50).alias("hi"),
+        F.when(q % 2 == 1, F.lit(1).cast("bigint")).alias("paragraph"),
+    )
+    return ops.judged_hits(results(spark, folder), judgements).select(
+        "query_id",
+        F.col("rank").cast("bigint").alias("rank"),
+        F.col("relevant").cast("bigint").alias("relevant"),
+    )
+
+
 QUERIES = {
+    "eval_judgements": eval_judgements,
     "category_range_join": category_range_join,
     "related_articles": related_articles,
     "eval_recall_precision": eval_recall_precision,
@@ -89,6 +106,11 @@ quality AS (
 """
 
 ORACLES = {
+    "eval_judgements": f"""
+        WITH {FORMATTED_SQL}
+        SELECT query_id, rank, CASE WHEN article_number BETWEEN greatest(query_id - 50, 0) AND query_id + 50
+               AND (query_id % 2 = 0 OR paragraph_number = 1) THEN 1 ELSE 0 END AS relevant
+        FROM formatted""",
     "category_range_join": f"""
         SELECT coalesce(category, '(none)') AS category, count(*) AS items,
                count(DISTINCT l_orderkey) AS articles

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from lexiframe.functions import fixed
 from lexiframe.operators.chunks import (
     HASH_DIM,
+    embed_with,
     hash_embed,
     stack_sections,
     to_chunks,
@@ -109,6 +110,23 @@ def embed_documents(spark, folder):
     )
 
 
+def _letter_counts(texts):
+    return [[len(t), t.count("e"), t.count(" ")] for t in texts]
+
+
+def embed_batches(spark, folder):
+    """Documents embedded through a user function, fifty texts per call."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    vectors = embed_with(docs, _letter_counts)
+    return vectors.select(
+        "doc_id",
+        *[
+            F.get("embedding", F.lit(i)).cast("bigint").alias(name)
+            for i, name in enumerate(("chars", "letters_e", "spaces"))
+        ],
+    )
+
+
 def chunk_tokens(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return token_windows(docs).select(
@@ -127,6 +145,7 @@ QUERIES = {
     "index_stats": index_stats,
     "dim_check": dim_check,
     "hash_embed": embed_documents,
+    "embed_batches": embed_batches,
     "chunk_tokens": chunk_tokens,
 }
 
@@ -153,6 +172,9 @@ ORACLES = {
             SELECT doc_id, generate_subscripts(embedding, 1) - 1 AS bucket,
                    unnest(embedding) AS weight FROM emb)
         WHERE weight <> 0""",
+    "embed_batches": """
+        SELECT doc_id, length(text) AS chars, length(text) - length(replace(text, 'e', '')) AS letters_e,
+               length(text) - length(replace(text, ' ', '')) AS spaces FROM documents""",
     "chunk_tokens": f"""
         WITH t AS (SELECT doc_id, {sql_words("text")} AS t FROM documents),
         w AS (SELECT doc_id, t, unnest(range(0, 1 + ceil(greatest(len(t) - 300, 0) / 270.0)::BIGINT))

@@ -13,7 +13,7 @@ from lexiframe.operators.ivf import knn_ivf, train_cells, with_cell
 from lexiframe.operators.knn import knn
 from lexiframe.plans.answer import search_lists
 from lexiframe.session import checkpointed
-from registry.common import sql_cosine, table
+from registry.common import CHUNKS_SQL, sql_cosine, sql_embeddings, table
 
 
 def _vectors(spark, folder):
@@ -45,11 +45,20 @@ def knn_filtered(spark, folder):
     )
 
 
-def knn_approximate(spark, folder):
+def _probed(spark, folder, probes, cells=16):
     chunks = _vectors(spark, folder).select("chunk_id", "embedding")
-    centres = train_cells(chunks, cells=16)
-    indexed = checkpointed(with_cell(chunks, centres))
-    return _ranked(knn_ivf(_queries(spark, folder), indexed, centres, probes=8))
+    centres = train_cells(chunks, cells)
+    indexed = checkpointed(with_cell(chunks, centres), "cells")
+    return _ranked(knn_ivf(_queries(spark, folder), indexed, centres, probes=probes))
+
+
+def knn_approximate(spark, folder):
+    return _probed(spark, folder, probes=8)
+
+
+def knn_exhaustive(spark, folder):
+    """Probing every cell must give the exact neighbours."""
+    return _probed(spark, folder, probes=16)
 
 
 def searches(spark, folder):
@@ -137,6 +146,7 @@ QUERIES = {
     "knn_cosine": knn_cosine,
     "knn_filtered": knn_filtered,
     "knn_ivf": knn_approximate,
+    "knn_ivf_exhaustive": knn_exhaustive,
     "rrf_fused": rrf_fused,
     "rrf_textbook": rrf_textbook,
     "retrieve_formatted": retrieve_formatted,
@@ -184,6 +194,27 @@ fused AS (
     FROM normed WHERE score >= 0.1)
 """
 
+# From ``subs`` (all searches as text) to ``placed`` (fused rank and score per chunk).
+ANSWER_SQL = f"""
+chunks AS ({CHUNKS_SQL}),
+search AS (SELECT *, query_id || '/' || list_prio || '/' || sub_query AS sid FROM subs),
+{sql_embeddings("qe", "search", "sid", "search_text")},
+{sql_embeddings("de", "chunks", "chunk_id", "text")},
+sims AS (SELECT sid, chunk_id, {sql_cosine("qe.embedding", "de.embedding")} AS sim FROM qe, de),
+near AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY sim DESC, chunk_id) AS rank
+         FROM sims QUALIFY rank <= 10),
+hits AS (SELECT * FROM near JOIN search USING (sid) WHERE rank <= k),
+firsts AS (SELECT * FROM hits QUALIFY row_number() OVER (
+           PARTITION BY query_id, chunk_id ORDER BY list_prio, sub_query, rank) = 1),
+ranked AS (SELECT *, row_number() OVER (
+           PARTITION BY query_id, list_prio ORDER BY sub_query, rank, chunk_id) AS lr FROM firsts),
+scored AS (SELECT *, {WEIGHT_SQL} / (60 + lr) AS part FROM ranked),
+placed AS (SELECT query_id, chunk_id, part / max(part) OVER (PARTITION BY query_id) AS score,
+                  row_number() OVER (
+                      PARTITION BY query_id ORDER BY part DESC, list_prio, lr, chunk_id) AS place
+           FROM scored)
+"""
+
 FORMATTED_SQL = f"""
 {FUSED_SQL},
 formatted AS (
@@ -202,10 +233,12 @@ CONTEXT_SQL = """
     || text
 """
 
+_NEAR_SQL = f"""
+    WITH {KNN_SQL} SELECT query_id, chunk_id, rank, round(sim, 6) AS similarity FROM near"""
+
 ORACLES = {
-    "knn_cosine": f"""
-        WITH {KNN_SQL}
-        SELECT query_id, chunk_id, rank, round(sim, 6) AS similarity FROM near""",
+    "knn_cosine": _NEAR_SQL,
+    "knn_ivf_exhaustive": _NEAR_SQL,
     "knn_filtered": f"""
         WITH {KNN_SQL}
         SELECT query_id, chunk_id, row_number() OVER (

@@ -287,10 +287,9 @@ def _marker_rows(blocks: DataFrame) -> DataFrame:
         F.col("e.pos").alias("pos"),
         kind.alias("kind"),
         F.when(kind == "B", F.col("pending")).alias("pending"),
-        F.when(
-            kind.isin("A", "B"),
-            F.col("start_occurrence") + F.sum((kind == "A").cast("bigint")).over(upto),
-        ).alias("occurrence"),
+        (F.col("start_occurrence") + F.sum((kind == "A").cast("bigint")).over(upto)).alias(
+            "occurrence"
+        ),
         F.when(kind == "A", number).when(kind == "B", F.col("start_article")).alias("article"),
         F.when(kind == "A", F.lit(0).cast("bigint"))
         .when(kind == "P", number)
@@ -314,7 +313,7 @@ def segment(
     article_number, paragraph_number (null when the article has none), text.
     """
     lines = statute_lines(pages, rules, pages_per_block)
-    markers = checkpointed(block_markers(lines))  # used twice below
+    markers = _with_numbered(checkpointed(block_markers(lines), "markers"))
     assigned = _assign(lines, markers, rules)
 
     separated = F.concat(F.when(F.col("is_list"), "\n").otherwise(" "), F.col("text"))
@@ -327,14 +326,8 @@ def segment(
         joined(F.struct("pos", separated.alias("s"))).alias("s")
     )
     segments = fragments.groupBy(*keys).agg(joined(F.struct("block", "s")).alias("s"))
-    segments = segments.withColumn("text", strip(F.col("s")))
-
-    # Text ahead of an article's first paragraph is dropped when it has paragraphs.
-    numbered = _with_occurrence(markers).where("kind = 'P'").select(*DOC, "occurrence").distinct()
-    lead = segments.where("paragraph = 0").join(numbered, [*DOC, "occurrence"], "left_anti")
     return (
-        segments.where("paragraph > 0")
-        .unionByName(lead)
+        segments.withColumn("text", strip(F.col("s")))
         .where("text <> ''")
         .select(
             *DOC,
@@ -346,9 +339,13 @@ def segment(
     )
 
 
-def _with_occurrence(markers: DataFrame) -> DataFrame:
-    upto = Window.partitionBy(*BLOCK).orderBy("pos")
-    return markers.withColumn("occurrence", F.last("occurrence", True).over(upto))
+def _with_numbered(markers: DataFrame) -> DataFrame:
+    """Flag markers of articles with numbered paragraphs: text ahead of those is dropped."""
+    article = [*DOC, "occurrence"]
+    numbered = markers.where("kind = 'P'").select(*article).distinct()
+    return markers.join(numbered.withColumn("numbered", F.lit(True)), article, "left").fillna(
+        False, ["numbered"]
+    )
 
 
 def _assign(lines: DataFrame, markers: DataFrame, rules: dict[str, Rules]) -> DataFrame:
@@ -360,7 +357,7 @@ def _assign(lines: DataFrame, markers: DataFrame, rules: dict[str, Rules]) -> Da
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     states = {
         c: F.last(c, True).over(upto)
-        for c in ("pending", "occurrence", "article", "paragraph", "inside")
+        for c in ("pending", "occurrence", "article", "paragraph", "inside", "numbered")
     }
     states["marker_pos"] = F.last(F.when(F.col("kind").isNotNull(), F.col("pos")), True).over(upto)
     states["after_bare"] = F.last(F.col("line_class") == "bare", True).over(before)
@@ -368,6 +365,7 @@ def _assign(lines: DataFrame, markers: DataFrame, rules: dict[str, Rules]) -> Da
         F.col("kind").isNull()
         & (F.col("line_class") != "bare")
         & F.col("inside")
+        & ((F.col("paragraph") > 0) | ~F.col("numbered"))
         & (F.col("marker_pos") != F.col("pos"))
     )
     split = F.coalesce("after_bare", "pending")

@@ -16,7 +16,7 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def write_sections(segments: DataFrame, path: str) -> None:
-    """JSON lines partitioned by document and section."""
+    """JSON lines with one folder per section; the document id stays a field."""
     segments.write.mode("overwrite").option("ignoreNullFields", "false").partitionBy(
-        "doc_id", "section"
+        "section"
     ).json(path)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lexiframe.functions import fixed
+from lexiframe.operators.conversation import micros
 from lexiframe.session import scratch_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -15,9 +16,13 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def message_stream(
-    spark: SparkSession, folder: str, name: str, ts: str = "ts", files_per_trigger: int = 64
+    spark: SparkSession, folder: str, name: str, ts: str | None = None, files_per_trigger: int = 64
 ) -> DataFrame:
-    """Stream of a Parquet table; zone-less timestamps become timestamps for watermarks."""
+    """Stream of a Parquet table.
+
+    Watermarks need a timestamp, so a zone-less ``ts`` is read as UTC whatever the session
+    zone.
+    """
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
     stream = (
         spark.readStream.schema(schema)
@@ -25,7 +30,7 @@ def message_stream(
         .option("maxFilesPerTrigger", files_per_trigger)
         .parquet(folder)
     )
-    return stream.withColumn(ts, F.col(ts).cast("timestamp"))
+    return stream if ts is None else stream.withColumn(ts, F.timestamp_micros(micros(ts)))
 
 
 def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
@@ -84,18 +89,16 @@ class RollingContext(StatefulProcessor):
         recent = [m[0] for m in self.messages.get()]
         stored = self.updated.get() if self.updated.exists() else None
         last = None if stored is None else pd.Timestamp(stored[0]).tz_localize(None)
-        for frame in rows:
-            frame = frame.sort_values(["ts", "message_id"], kind="stable")
-            shown = []
-            for at, kind in zip(frame["ts"], frame["kind"]):
-                if last is not None and at > last + self.ttl:
-                    recent = []
-                shown.append("|".join(recent[-self.shown :]))
-                recent = [] if kind == self.delete_kind else [*recent, kind][-self.keep :]
-                last = at
-            yield pd.DataFrame(
-                {"key": key[0], "message_id": frame["message_id"], "context": shown}
-            )
+        # frames of a key come in no order; a micro-batch is bounded by its trigger
+        frame = pd.concat(list(rows)).sort_values(["ts", "message_id"], kind="stable")
+        shown = []
+        for at, kind in zip(frame["ts"], frame["kind"]):
+            if last is not None and at > last + self.ttl:
+                recent = []
+            shown.append("|".join(recent[-self.shown :]))
+            recent = [] if kind == self.delete_kind else [*recent, kind][-self.keep :]
+            last = at
+        yield pd.DataFrame({"key": key[0], "message_id": frame["message_id"], "context": shown})
         if recent:
             self.messages.put([(m,) for m in recent])
         else:

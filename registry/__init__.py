@@ -1,5 +1,9 @@
 """Registered queries over the given tables, each with its DuckDB equivalent."""
 
+import sys
+
+from pyspark import cloudpickle
+
 from registry import (
     conversation,
     evaluation,
@@ -12,6 +16,8 @@ from registry import (
     validation,
 )
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not import it
+
 _PARTS = (
     statutes,
     validation,

@@ -49,6 +49,10 @@ def test_colliding_ids_and_wrong_width_keep_the_old_index(spark, tmp_path):
     with pytest.raises(ValueError, match="wide"):
         ix.rebuild_index(chunks(spark, ROWS), path, 32)
     assert ix.count_index(spark, path).first().chunks == 4
+    mixed = spark.createDataFrame([("a", [1.0]), ("b", [1.0, 2.0])], "chunk_id string, embedding array<float>")
+    with pytest.raises(Exception, match="not 1 wide: b"):
+        ix.rebuild_index(mixed, str(tmp_path / "other"), 1)
+    assert ix.count_index(spark, path).first().chunks == 4
 
 
 def test_embed_hook_batches_and_aborts(spark):

@@ -51,8 +51,8 @@ def test_only_valid_documents_are_published(spark, tmp_path):
     report = publish_segments(seg, expected, str(tmp_path / "out"))
     assert report.count() == 3
     assert [r.doc_id for r in spark.read.json(str(tmp_path / "out")).select("doc_id").distinct().collect()] == [1]
-    line = open(sorted(glob.glob(str(tmp_path / "out/doc_id=1/section=body/*.json")))[0]).readline()
-    assert '"paragraph_number":' in line
+    line = open(sorted(glob.glob(str(tmp_path / "out/section=body/*.json")))[0]).readline()
+    assert '"doc_id":1' in line and '"paragraph_number":' in line
 
 
 def test_long_ranges_are_generated_in_steps(spark):

@@ -117,6 +117,25 @@ def _keep_best(rows, scores, ids, k):
     return rows[kept], scores[kept], ids[kept]
 
 
+def _best_cells(block, k):
+    """Mask of the k best cells per row; of equal scores the first columns (smallest ids) stay.
+
+    Any number of copies of a row costs one running count, not a sort.
+    """
+    found = block > -np.inf
+    n = block.shape[1]
+    if n <= k:
+        return found
+    floor = np.partition(block, n - k, axis=1)[:, n - k][:, None]
+    hit = (block >= floor) & found
+    if np.count_nonzero(hit) > k * len(block):
+        above = block > floor
+        room = k - np.count_nonzero(above, axis=1)[:, None]
+        level = hit & ~above
+        hit = above | (level & (np.cumsum(level, axis=1) <= room))
+    return hit
+
+
 def _slices(batches, height):
     for batch in batches:
         for start in range(0, batch.num_rows, height):
@@ -135,18 +154,14 @@ def best_rows(scorer, state, n_queries, batches, id_column, k):
         ids = column.to_numpy() if isinstance(column, pa.ChunkedArray) else column.to_numpy(
             zero_copy_only=False
         )
-        rows = scorer.load(state, batch)
+        by_id = np.argsort(ids, kind="stable")
+        ids, rows = ids[by_id], scorer.load(state, batch)[by_id]
         step = max(1, _CELLS_PER_STEP // n)
         found = []
         for lo in range(0, n_queries, step):
             hi = min(lo + step, n_queries)
             block = np.round(scorer.score(state, rows, lo, hi), SCORE_DECIMALS)
-            if n > k:
-                floor = np.partition(block, n - k, axis=1)[:, n - k]
-                hit = (block >= floor[:, None]) & (block > -np.inf)
-            else:
-                hit = block > -np.inf
-            r, c = np.nonzero(hit)
+            r, c = np.nonzero(_best_cells(block, k))
             found.append(_keep_best(r + lo, block[r, c], ids[c], k))
         parts = found if best[2] is None else [best, *found]
         best = _keep_best(*(np.concatenate(x) for x in zip(*parts)), k)

@@ -34,7 +34,8 @@ def bm25(
     row per task.  Texts are not shuffled: scoring is a top-k join that counts the terms of
     a document where it is read and never forms (question, document) rows.
     """
-    tokens = docs.select(doc_id, keyword_tokens(F.col(doc_text)).alias("_t"))
+    text_or_empty = F.coalesce(F.col(doc_text), F.lit(""))
+    tokens = docs.select(doc_id, keyword_tokens(text_or_empty).alias("_t"))
     terms = questions.select(
         query_id, F.explode(F.array_distinct(keyword_tokens(F.col(query_text)))).alias("_term")
     )

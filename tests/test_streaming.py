@@ -56,3 +56,14 @@ def test_append_mode_emits_closed_sessions(spark, tmp_path):
     source = stream(spark, tmp_path, [rows, later, last])
     done = ops.run_to_table(ops.session_stream(source), "test-sessions")
     assert sorted((r.conv_id, r.messages) for r in done.collect()) == [(1, 1), (1, 2)]
+
+
+def test_messages_behind_the_watermark_are_dropped(spark, tmp_path):
+    first = [(1, 1, T0 + 100 * HOUR, "a")]
+    more = [(1, 3, T0 + 101 * HOUR, "c")]
+    late = [(2, 2, T0, "b")]  # a batch's watermark filters the batch after the next one
+    last = [(3, 4, T0 + 300 * HOUR, "d")]
+    end = [(3, 5, T0 + 301 * HOUR, "e")]
+    source = stream(spark, tmp_path, [first, more, late, last, end])
+    done = ops.run_to_table(ops.session_stream(source), "test-late")
+    assert [(r.conv_id, r.messages) for r in done.collect()] == [(1, 2)]

@@ -51,6 +51,21 @@ def test_knn_equals_brute_force(spark, vectors, limits):
     assert collected(found) == brute(vectors, list(range(300)), 10)
 
 
+def test_a_third_of_the_chunks_are_copies(spark):
+    data = np.random.default_rng(9).normal(size=(600, 4)).astype(np.float32)
+    data[100:300] = data[100]
+    found = knn(frame(spark, data, "query_id"), frame(spark, data, "chunk_id"), 10)
+    assert collected(found) == brute(data, list(range(600)), 10)
+
+
+def test_string_ids(spark, vectors):
+    chunks = frame(spark, vectors[40:60], "chunk_id").withColumn(
+        "chunk_id", F.concat(F.lit("c"), F.col("chunk_id"))
+    )
+    found = knn(frame(spark, vectors[:1], "query_id"), chunks, 3)  # all copies
+    assert [r.chunk_id for r in found.orderBy("rank").collect()] == ["c0", "c1", "c10"]
+
+
 def test_fewer_chunks_than_k(spark, vectors):
     found = knn(frame(spark, vectors[:4], "query_id"), frame(spark, vectors[:3], "chunk_id"), 10)
     assert {q: len(v) for q, v in collected(found).items()} == {0: 3, 1: 3, 2: 3, 3: 3}

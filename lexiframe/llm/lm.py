@@ -5,8 +5,8 @@ Two scores per document, both over its lower-cased words and one end:
 * ``base_score``: a unigram model with exact counts over all training documents.
 * ``score``: log10 probability under a class-based attention model on subword ids.  A public BPE
   vocabulary cuts words into subwords; their counts over the corpus put them into classes of about
-  equal mass.  Attention over the subwords before gives the distribution of the next class, the
-  counts give the subword within its class.
+  equal mass.  Attention over the subwords before gives the distribution of the next class; counts of
+  subwords, and of pairs within words, give the subword within its class.
 
 The model is trained in numpy on windows that every training document gives, one per
 ``TRAIN_EVERY`` words, so training follows the input; tasks train on their own windows and the
@@ -36,11 +36,13 @@ from lexiframe.llm.words import texts_of, words_of
 from lexiframe.session import checkpointed
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-PATTERN = r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+|\s+"  # a space goes before every word
+PATTERN = r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"  # a space goes before every word
 KNOWN_WORDS = 1 << 19
 FLUSH = 1 << 18  # distinct words counted before a task passes them on
-CLASSES = 32
+CLASSES = 48  # half for subwords that begin a word, half for those within words
 SYMBOLS = 1024
+GROUPS = 6  # of symbols that stand in the same windows
+TRUST = 4.0  # pseudo-counts with which a class's shares enter its pair counts
 BLOCK = 16
 WIDTH = 16
 TRAIN_EVERY = 512
@@ -48,6 +50,8 @@ ROUNDS = 3
 WINDOWS_PER_TASK = 40_000
 BATCH = 256
 RATE = 0.01
+WINDOWS_SEEN = 200_000  # a task with fewer windows goes over them again, PASSES times at most
+PASSES = 20
 SCORED_AT_ONCE = 1024  # blocks
 SLICE = 256  # documents tokenised before they are scored
 
@@ -152,39 +156,133 @@ def frequent_words(counts: DataFrame, most: int = KNOWN_WORDS) -> DataFrame:
     return counts.where(F.col("n") >= least) if least is not None else counts.limit(0)
 
 
-def subword_counts(counts: DataFrame, ranks) -> np.ndarray:
-    """Occurrences of every subword id in the counted words; the ids' number bounds the result."""
+def encoded_words(counts: DataFrame, ranks) -> DataFrame:
+    """``ids, n``: subwords of every counted word."""
 
     def run(batches):
-        encode, found = subword_encoder(ranks.value), np.zeros(len(ranks.value), np.int64)
+        encode = subword_encoder(ranks.value)
         for batch in batches:
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for i in encode(word):
-                    found[i] += n
-        some = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(found[some])], ["id", "n"])
+            ids = [encode(word) for word in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), batch.column(1)], ["ids", "n"])
 
-    out = np.zeros(len(ranks.value), np.int64)
-    for i, n in counts.mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n")).collect():
-        out[i] = n
-    return out
+    return counts.select("word", "n").mapInArrow(run, "ids array<int>, n bigint")
 
 
-def subword_tables(counts: np.ndarray, ends: int, classes: int = CLASSES, symbols: int = SYMBOLS) -> dict:
-    """Class, symbol and log10 share within its class of every subword id; the last id is the end.
+def symbol_table(counts: np.ndarray, begins: np.ndarray, ends: int, symbols: int = SYMBOLS) -> dict:
+    """Masses and symbols of all subword ids; the last id is the end.
 
-    Classes cut the ids, ordered by falling count, into about equal masses.  The ``symbols`` most
-    frequent ids are symbols of their own, the rest share one; two more stand for start and padding.
+    The ``symbols`` most frequent ids are symbols of their own and the rest share one; two more
+    stand for start and padding.
     """
-    mass = np.append(counts, ends).astype(np.float64) + 0.5
-    order = np.argsort(-mass, kind="stable")
-    before = np.cumsum(mass[order]) - mass[order]
-    kind = np.empty(len(mass), np.int16)
-    kind[order] = np.minimum(before / mass.sum() * classes, classes - 1)
+    mass = np.append(counts, ends).astype(np.float64) + 0.01
+    top = np.argsort(-mass, kind="stable")[:symbols]
     symbol = np.full(len(mass), symbols, np.int16)
-    symbol[order[:symbols]] = np.arange(min(symbols, len(mass)))
-    total = np.bincount(kind, weights=mass, minlength=classes)
-    return {"kind": kind, "symbol": symbol, "share": np.log10(mass / total[kind]), "classes": classes, "symbols": symbols}
+    symbol[top] = np.arange(len(top))
+    return {"mass": mass, "begins": np.append(begins, True), "symbol": symbol, "symbols": symbols}
+
+
+def symbol_groups(windows: DataFrame, symbols: int = SYMBOLS, groups: int = GROUPS) -> np.ndarray:
+    """Group of every symbol by the windows it stands in (texts of a language, say).
+
+    Counts of pairs of symbols in a window, over all windows, give a similarity; its leading
+    eigenvectors are clustered.
+    """
+
+    def run(batches):
+        found = np.zeros((symbols, symbols), np.float32)
+        for batch in batches:
+            rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int16).reshape(-1, 2 * BLOCK)
+            for at in range(0, len(rows), 4096):
+                some = rows[at : at + 4096]
+                there = np.zeros((len(some), symbols + 3), np.float32)
+                there[np.arange(len(some))[:, None], some] = 1
+                found += there[:, :symbols].T @ there[:, :symbols]
+        some = np.flatnonzero(found)
+        n = found.ravel()[some].astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n)], ["cell", "n"])
+
+    pairs = np.zeros(symbols * symbols)
+    counted = windows.select("key", "symbols").mapInArrow(run, "cell bigint, n bigint")
+    for cell, n in counted.groupBy("cell").agg(F.sum("n")).collect():  # symbols squared at most
+        pairs[cell] = n
+    pairs = pairs.reshape(symbols, symbols)
+    single = np.diag(pairs).copy()
+    np.fill_diagonal(pairs, 0)
+    expected = np.outer(single, single) / max(single.sum(), 1)
+    similar = np.log1p(np.maximum(pairs / np.maximum(expected, 1e-9) - 1, 0))
+    values, vectors = np.linalg.eigh(similar)
+    points = vectors[:, -groups:] * np.sqrt(np.maximum(values[-groups:], 0))
+    points /= np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-9)
+    centres = points[:1]
+    while len(centres) < groups:  # farthest points first, then the usual rounds
+        centres = np.vstack([centres, points[np.argmin((points @ centres.T).max(1))]])
+    for _ in range(20):
+        group = np.argmax(points @ centres.T, axis=1)
+        centres = np.array([points[group == g].sum(0) if (group == g).any() else centres[g] for g in range(groups)])
+        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
+    return group
+
+
+def subword_tables(base: dict, group: np.ndarray, classes: int = CLASSES) -> dict:
+    """Class, unit and share of every subword id.
+
+    Ids that begin a word (and the end) and ids within words have classes of their own; each half is
+    cut, by group and falling count, into about equal masses.  The units of a class are its symbols
+    and one for all its other ids, in which ``share`` is an id's part.
+    """
+    mass, symbol, symbols = base["mass"], base["symbol"], base["symbols"]
+    of = np.append(group, len(group) + 1)[np.minimum(symbol, symbols)]  # other ids come last
+    kind, half = np.empty(len(mass), np.int16), classes // 2
+    for first, which in ((0, base["begins"]), (half, ~base["begins"])):
+        ids = np.flatnonzero(which)
+        order = ids[np.lexsort((ids, -mass[ids], of[ids]))]
+        before = np.cumsum(mass[order]) - mass[order]
+        kind[order] = first + np.minimum(before / max(mass[order].sum(), 1e-9) * half, half - 1)
+    unit = np.where(symbol < symbols, symbol, symbols + kind).astype(np.int64)
+    whole = np.bincount(unit, weights=mass, minlength=symbols + classes)
+    unit_kind = np.zeros(symbols + classes, np.int64)
+    unit_kind[unit] = kind
+    in_class = np.bincount(kind, weights=mass, minlength=classes)
+    return base | {
+        "kind": kind, "unit": unit, "share": np.log10(mass / whole[unit]), "unit_kind": unit_kind,
+        "prior": whole / np.maximum(in_class[unit_kind], 1e-9), "classes": classes,
+    }
+
+
+def pair_table(encoded: DataFrame, shared, tables: dict) -> np.ndarray:
+    """log10 share of a unit in its class after a symbol, from all pairs within words.
+
+    Units that begin words do not depend on the symbol before.  The table's size is fixed.
+    """
+    symbols, units = tables["symbols"], len(tables["prior"])
+
+    def run(batches):
+        t, found = shared.value, np.zeros((symbols + 1) * units, np.int64)
+        for batch in batches:
+            lists = batch.column(0)
+            ids = t["symbol"][lists.flatten().to_numpy()].astype(np.int64)
+            unit = t["unit"][lists.flatten().to_numpy()]
+            sizes = np.diff(lists.offsets.to_numpy())
+            n = np.repeat(batch.column(1).to_numpy(), sizes)
+            inside = np.ones(len(ids), bool)
+            inside[(np.cumsum(sizes) - sizes)[sizes > 0]] = False
+            at = np.flatnonzero(inside)
+            found += np.bincount(ids[at - 1] * units + unit[at], weights=n[at], minlength=len(found)).astype(np.int64)
+        some = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(found[some])], ["cell", "n"])
+
+    counts = np.zeros((symbols + 3) * units)
+    for cell, n in encoded.mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n")).collect():
+        counts[cell] = n
+    counts = counts.reshape(-1, units)
+    kinds, prior = tables["unit_kind"], tables["prior"]
+    totals = np.zeros((len(counts), tables["classes"]))
+    for kind in range(tables["classes"]):
+        totals[:, kind] = counts[:, kinds == kind].sum(1)
+    shares = (counts + TRUST * prior) / (totals[:, kinds] + TRUST)
+    begins = kinds < tables["classes"] // 2
+    shares[:, begins] = prior[begins]
+    return np.log10(np.maximum(shares, 1e-12)).astype(np.float32)
 
 
 # --- model ------------------------------------------------------------------------------------
@@ -281,14 +379,14 @@ def gradients(p: dict, symbols: np.ndarray, kinds: np.ndarray) -> tuple[float, d
     return float(loss), g
 
 
-def train_locally(p: dict, windows: np.ndarray, rate: float = RATE) -> dict:
-    """One pass of Adam over windows (symbols, then kinds)."""
+def train_locally(p: dict, symbols: np.ndarray, kinds: np.ndarray, rate: float = RATE) -> dict:
+    """Adam over windows in the given order, with falling speed."""
     p = {n: v.copy() for n, v in p.items()}
     first, second = ({n: np.zeros_like(v) for n, v in p.items()} for _ in range(2))
-    steps = max(1, -(-len(windows) // BATCH))
+    steps = max(1, -(-len(symbols) // BATCH))
     for step in range(steps):
-        some = windows[step * BATCH : (step + 1) * BATCH]
-        _, g = gradients(p, some[:, : 2 * BLOCK], some[:, 2 * BLOCK :].astype(np.int64))
+        some = slice(step * BATCH, (step + 1) * BATCH)
+        _, g = gradients(p, symbols[some], kinds[some])
         speed = rate * (1 - step / steps * 0.9)
         for n in p:
             first[n] += 0.1 * (g[n] - first[n])
@@ -299,17 +397,17 @@ def train_locally(p: dict, windows: np.ndarray, rate: float = RATE) -> dict:
 
 
 def training_windows(docs: DataFrame, shared, ranks) -> DataFrame:
-    """``key, window``: int16 symbols of two blocks and the kinds that follow those of the second.
+    """``key, symbols, ids``: symbols of two blocks and the ids that follow those of the second.
 
     A document gives one window, and one more per ``TRAIN_EVERY`` words, from a place that its
-    checksum decides.
+    checksum decides.  The window at a document's start has no first block.
     """
 
     def run(batches):
-        tables, lexicon = shared.value["tables"], Lexicon(subword_encoder(ranks.value))
-        kind, symbol, end = tables["kind"], tables["symbol"], len(tables["kind"]) - 1
+        symbol, lexicon = shared.value["symbol"], Lexicon(subword_encoder(ranks.value))
+        end = len(symbol) - 1
         for batch in batches:
-            keys, windows = [], []
+            keys, symbols, targets = [], [], []
             for key, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
                 words = words_of(text)
                 spare = max(1, min(TRAIN_EVERY, len(words) - BLOCK))
@@ -317,47 +415,58 @@ def training_windows(docs: DataFrame, shared, ranks) -> DataFrame:
                     some = words[at : at + 2 * BLOCK + 1]
                     ids = lexicon.subwords(lexicon.of(some))
                     if at + len(some) == len(words):
-                        ids = np.append(ids, end)
-                    past = np.concatenate(([START], symbol[ids])) if at == 0 else symbol[ids]
-                    next_ids = ids if at == 0 else ids[1:]
-                    n = min(len(next_ids), 2 * BLOCK if at else BLOCK)
-                    window = np.full(3 * BLOCK, PAD, np.int16)
-                    window[2 * BLOCK :] = -1
-                    # a first block has no context; later ones are context, then scored
-                    put = BLOCK if at == 0 else 0
-                    window[put : put + n] = past[:n]
-                    kinds = kind[next_ids[:n]][0 if at == 0 else BLOCK :]
-                    window[2 * BLOCK : 2 * BLOCK + len(kinds)] = kinds
+                        ids = np.append(ids, end).astype(np.int32)
+                    window, ahead = np.full(2 * BLOCK, PAD, np.int16), np.full(BLOCK, -1, np.int32)
+                    if at == 0:
+                        ids = ids[:BLOCK]
+                        window[BLOCK] = START
+                        window[BLOCK + 1 : BLOCK + len(ids)] = symbol[ids[:-1]]
+                        ahead[: len(ids)] = ids
+                    else:
+                        ids = ids[: 2 * BLOCK + 1]
+                        window[: len(ids) - 1] = symbol[ids[:-1]]
+                        ahead[: max(0, len(ids) - BLOCK - 1)] = ids[BLOCK + 1 :]
                     keys.append(key)
-                    windows.append(window.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(windows, pa.binary())], ["key", "window"])
+                    symbols.append(window.tobytes())
+                    targets.append(ahead.tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.int64()), pa.array(symbols, pa.binary()), pa.array(targets, pa.binary())],
+                ["key", "symbols", "ids"],
+            )
 
     rows = docs.select(F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("key"), "text")
-    return rows.mapInArrow(run, "key bigint, window binary")
+    return rows.mapInArrow(run, "key bigint, symbols binary, ids binary")
 
 
-def train(windows: DataFrame, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+def train(windows: DataFrame, kinds: np.ndarray, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
     """Parameters averaged over tasks after every round; tasks follow the number of windows."""
     count = windows.count()
     values = flat(new_parameters())
     if not count:
         return unflat(values)
     parts = -(-count // WINDOWS_PER_TASK)
-    dealt = checkpointed(windows.repartition(parts, "window").sortWithinPartitions("key", "window"), "windows")
+    dealt = checkpointed(windows.repartition(parts, "symbols", "ids").sortWithinPartitions("key", "symbols", "ids"), "windows")
     spark = windows.sparkSession
+    kind_of = np.append(kinds, -1).astype(np.int64)  # id -1 is not scored
     for turn in range(rounds):
-        shared = spark.sparkContext.broadcast(values)
+        shared = spark.sparkContext.broadcast((values, kind_of))
         rate = RATE / (1 + turn)
 
         def run(batches, shared=shared, rate=rate):
-            data = [w for batch in batches for w in batch.column(1).to_pylist()]
-            if not data:
+            start, kind = shared.value
+            symbols, ids = [], []
+            for batch in batches:
+                symbols += batch.column(1).to_pylist()
+                ids += batch.column(2).to_pylist()
+            if not ids:
                 return
-            rows = np.frombuffer(b"".join(data), np.int16).reshape(-1, 3 * BLOCK)
-            rows = rows[np.random.default_rng(len(rows)).permutation(len(rows))]
-            new = flat(train_locally(unflat(shared.value), rows, rate)).astype(np.float64) * len(rows)
+            rows = np.frombuffer(b"".join(symbols), np.int16).reshape(-1, 2 * BLOCK)
+            ahead = kind[np.frombuffer(b"".join(ids), np.int32).reshape(-1, BLOCK)]
+            rng, passes = np.random.default_rng(len(rows)), max(1, min(PASSES, WINDOWS_SEEN // len(rows)))
+            order = np.concatenate([rng.permutation(len(rows)) for _ in range(passes)])
+            new = flat(train_locally(unflat(start), rows[order], ahead[order], rate)).astype(np.float64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(new) + 1)), pa.array(np.append(new, len(rows)))], ["at", "x"]
+                [pa.array(np.arange(len(new) + 1)), pa.array(np.append(new, 1.0) * len(rows))], ["at", "x"]
             )
 
         got = dealt.mapInArrow(run, "at bigint, x double").groupBy("at").agg(F.sum("x")).collect()
@@ -413,7 +522,8 @@ class Scorer:
         ids = np.where(valid, flat_ids, self.end)
         chosen = z[np.arange(len(z)), self.t["kind"][ids]]
         np.exp(z, out=z)
-        logs = (chosen - np.log(z.sum(1))) * 0.4342944819032518 + self.t["share"][ids]
+        logs = (chosen - np.log(z.sum(1))) * 0.4342944819032518
+        logs = logs + self.t["share"][ids] + self.t["pairs"][own.ravel(), self.t["unit"][ids]]
         return np.where(valid, logs, 0.0).reshape(-1, BLOCK).sum(1)
 
     def scores(self, documents: list[np.ndarray]) -> np.ndarray:
@@ -459,9 +569,19 @@ def lm_scores(docs: DataFrame, train_on, tokenizer: str = TOKENIZER, known_words
     ends = training.count()
     tokens, distinct = (row[0] or 0) + ends, row[1] + (ends > 0)
     known = frequent_words(counts, known_words).select("word", "n").toArrow()  # at most known_words rows
-    tables = subword_tables(subword_counts(counts, ranks), ends)
-    shared = spark.sparkContext.broadcast({"tables": tables})
-    parameters = train(checkpointed(training_windows(training, shared, ranks), "windows"))
+    encoded = checkpointed(encoded_words(counts, ranks), "encoded")
+    found = np.zeros(len(ranks.value), np.int64)
+    by_id = encoded.select("n", F.explode("ids").alias("id")).groupBy("id").agg(F.sum("n"))
+    for i, n in by_id.collect():  # at most one row per subword id
+        found[i] = n
+    begins = np.array([t.startswith(b" ") for t, _ in sorted(ranks.value.items(), key=lambda x: x[1])])
+    base = symbol_table(found, begins, ends)
+    shared = spark.sparkContext.broadcast(base)
+    windows = checkpointed(training_windows(training, shared, ranks), "windows")
+    tables = subword_tables(base, symbol_groups(windows))
+    shared = spark.sparkContext.broadcast(tables)
+    tables = tables | {"pairs": pair_table(encoded, shared, tables)}
+    parameters = train(windows, tables["kind"])
     known_n = known.column(1).to_numpy()
     least = int(known_n.min()) if len(known_n) else None
     model = spark.sparkContext.broadcast(

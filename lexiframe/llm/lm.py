@@ -52,7 +52,7 @@ BATCH = 256
 RATE = 0.01
 WINDOWS_SEEN = 200_000  # a task with fewer windows goes over them again, PASSES times at most
 PASSES = 20
-SCORED_AT_ONCE = 1024  # blocks
+SCORED_AT_ONCE = 128  # blocks
 SLICE = 256  # documents tokenised before they are scored
 
 
@@ -72,6 +72,18 @@ def subword_encoder(ranks: dict[bytes, int]):
     return lambda word: encoding.encode_ordinary(" " + word.decode("utf-8", "replace"))
 
 
+class _Rows(dict):
+    """Row of a word; a word not met before gets the next one."""
+
+    def __init__(self, lexicon):
+        super().__init__()
+        self.lexicon = lexicon
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = row = self.lexicon.add(word)
+        return row
+
+
 class Lexicon:
     """Rows of words: counts of known ones, subwords of all that a task has met."""
 
@@ -80,26 +92,25 @@ class Lexicon:
         self._reset()
 
     def _reset(self):
-        self.rows = {word: row for row, word in enumerate(self.first)}
         self.names = list(self.first)
+        self.rows = _Rows(self)
+        self.rows.update(zip(self.names, range(len(self.names)), strict=True))
         self.start = np.full(max(1 << 16, len(self.names) * 2), -1, np.int64)
         self.length = np.zeros(len(self.start), np.int64)
         self.flat, self.used = np.zeros(1 << 18, np.int32), 0
 
-    def _row(self, word: bytes) -> int:
-        row = self.rows.get(word)
-        if row is None:
-            row = self.rows[word] = len(self.names)
-            self.names.append(word)
-            if row == len(self.start):
-                self.start = np.concatenate([self.start, np.full(row, -1, np.int64)])
-                self.length = np.concatenate([self.length, np.zeros(row, np.int64)])
+    def add(self, word: bytes) -> int:
+        row = len(self.names)
+        self.names.append(word)
+        if row == len(self.start):
+            self.start = np.concatenate([self.start, np.full(row, -1, np.int64)])
+            self.length = np.concatenate([self.length, np.zeros(row, np.int64)])
         return row
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self.rows) > self.most + len(self.first):
+        if len(self.names) > self.most + len(self.first):
             self._reset()
-        return np.fromiter(map(self._row, words), np.int64, len(words))
+        return np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
 
     def subwords(self, rows: np.ndarray) -> np.ndarray:
         """Subword ids of the words in order."""
@@ -485,11 +496,21 @@ class Scorer:
         p, self.t = parameters, tables
         scale = np.float32(1 / np.sqrt(WIDTH))
         self.q = p["embed"] @ p["query"] * scale
-        self.kv = np.concatenate([p["embed"] @ p["key"], p["embed"] @ p["value"]], 1)
+        self.k = p["embed"] @ p["key"]
+        # keys, values and a last column of ones, which sums the weights along with the values
+        ones = np.ones((len(p["embed"]), 1), np.float32)
+        self.kv = np.concatenate([self.k, p["embed"] @ p["value"], ones], 1)
+        self.out = np.concatenate([p["out"], p["bias"][None]]).astype(np.float32)
+        self.sum = np.ones(CLASSES, np.float32)
         self.r = p["embed"] @ p["own"] + p["shift"]
         self.base = p["near"][_BACK] + _FUTURE
         self.p = p
         self.end = len(tables["kind"]) - 1
+        # exponents below this need no shift by their maximum
+        self.tame = {
+            "attend": float(np.linalg.norm(self.q, axis=1).max() * np.linalg.norm(self.k, axis=1).max() + p["near"].max()) < 60,
+            "out": float(np.abs(p["out"]).sum(0).max() + np.abs(p["bias"]).max()) < 60,
+        }
 
     def blocks(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Windows of symbols and the ids to predict (-1: padding) of one document."""
@@ -507,22 +528,29 @@ class Scorer:
         """Sum of log10 probabilities per block."""
         own = symbols[:, BLOCK:]
         kv = self.kv[symbols]
-        bias = np.broadcast_to(self.base, (len(symbols), *self.base.shape))
-        padded = (symbols == PAD).any(1)
-        if padded.any():
-            bias = bias.copy()
-            bias[padded] += np.where(symbols[padded] == PAD, np.float32(-1e9), np.float32(0))[:, None, :]
-        a = _attend(self.q[own], kv[:, :, :WIDTH], bias)
-        c = (a @ kv[:, :, WIDTH:]).reshape(-1, WIDTH)
-        h = np.tanh(self.r[own.ravel()] + c @ self.p["mix"])
-        z = h @ self.p["out"] + self.p["bias"]
-        z -= z.max(1, keepdims=True)
+        a = self.q[own] @ kv[:, :, :WIDTH].swapaxes(1, 2)
+        a += self.base
+        padded = np.flatnonzero((symbols == PAD).any(1))
+        if len(padded):
+            a[padded] += np.where(symbols[padded] == PAD, np.float32(-1e9), np.float32(0))[:, None, :]
+        if not self.tame["attend"]:
+            a -= a.max(2, keepdims=True)
+        np.exp(a, out=a)
+        c = (a @ kv[:, :, WIDTH:]).reshape(-1, WIDTH + 1)
+        h = c[:, :WIDTH] @ self.p["mix"]
+        h /= c[:, WIDTH:]
+        h += self.r[own.ravel()]
+        whole = np.ones((len(h), WIDTH + 1), np.float32)
+        np.tanh(h, out=whole[:, :WIDTH])
+        z = whole @ self.out
+        if not self.tame["out"]:
+            z -= z.max(1, keepdims=True)
         flat_ids = ahead.ravel()
         valid = flat_ids >= 0
         ids = np.where(valid, flat_ids, self.end)
         chosen = z[np.arange(len(z)), self.t["kind"][ids]]
         np.exp(z, out=z)
-        logs = (chosen - np.log(z.sum(1))) * 0.4342944819032518
+        logs = (chosen - np.log(z @ self.sum)) * 0.4342944819032518
         logs = logs + self.t["share"][ids] + self.t["pairs"][own.ravel(), self.t["unit"][ids]]
         return np.where(valid, logs, 0.0).reshape(-1, BLOCK).sum(1)
 

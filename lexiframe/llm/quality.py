@@ -49,6 +49,19 @@ def word_shape(word: bytes) -> str:
     return text[:12]
 
 
+class _Numbers(dict):
+    """Number of a word; a word not met before gets the next one."""
+
+    def __init__(self, features):
+        super().__init__()
+        self.features = features
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        self.features.add(word, number)
+        return number
+
+
 class Features:
     """Buckets of the n-grams of a text; words are looked up once per task."""
 
@@ -57,17 +70,13 @@ class Features:
         self._forget()
 
     def _forget(self):
-        self.ids, self.table = {}, np.zeros((2, 1 << 14), np.uint64)
-
-    def _number(self, word: bytes) -> int:
-        found = self.ids.get(word)
-        if found is None:
-            found = self.ids[word] = len(self.ids)
-            if found == self.table.shape[1]:
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)], 1)
-            self.table[0, found] = xxhash.xxh3_64_intdigest(word)
-            self.table[1, found] = xxhash.xxh3_64_intdigest(word_shape(word).encode())
-        return found
+        self.ids, self.table = _Numbers(self), np.zeros((2, 1 << 14), np.uint64)
+
+    def add(self, word: bytes, number: int) -> None:
+        if number == self.table.shape[1]:
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)], 1)
+        self.table[0, number] = xxhash.xxh3_64_intdigest(word)
+        self.table[1, number] = xxhash.xxh3_64_intdigest(word_shape(word).encode())
 
     def of(self, text: bytes | None) -> np.ndarray:
         words = (text or b"").split()
@@ -75,7 +84,7 @@ class Features:
             return np.empty(0, np.int64)
         if len(self.ids) > self.most:
             self._forget()
-        number = np.fromiter(map(self._number, words), np.int64, len(words))
+        number = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
         word, shape = self.table[:, number]
         again = np.zeros(len(words), np.uint64)
         again[1:] = number[1:] == number[:-1]

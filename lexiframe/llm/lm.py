@@ -386,7 +386,9 @@ def gradients(p: dict, symbols: np.ndarray, kinds: np.ndarray) -> tuple[float, d
     de = dk @ p["key"].T + dv @ p["value"].T
     de[:, BLOCK:] += dq @ p["query"].T + dh @ p["own"].T
     g["embed"] = np.zeros_like(p["embed"])
-    np.add.at(g["embed"], symbols.ravel(), de.reshape(-1, WIDTH))
+    order = np.argsort(symbols, axis=None, kind="stable")
+    met, starts = np.unique(symbols.ravel()[order], return_index=True)
+    g["embed"][met] = np.add.reduceat(de.reshape(-1, WIDTH)[order], starts, axis=0)
     return float(loss), g
 
 

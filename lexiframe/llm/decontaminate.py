@@ -1,12 +1,13 @@
 """Benchmark decontamination by latent semantic retrieval (operator 9).
 
 Benchmark items and passages of documents are TF-IDF vectors over hashed words; document frequencies
-cover all documents.  A randomised SVD gives their latent space: the matrix of all item pieces and the
-passages of a bounded sample of documents stays distributed, products with it are Spark jobs, and
-only factors of fixed size reach the driver.  Then every window of every document is projected and
-compared with every item piece, in blocks of pieces of bounded size.  The cosine at which a window
-becomes a candidate is scaled by the lengths, so that a window that holds a piece and much else still
-is one.  Candidates are checked on the words: the longest common subsequence must hold most of the
+cover all documents.  A randomised SVD gives their latent space: the matrix of the item pieces, which
+weigh most, and the passages of a bounded sample of documents stays distributed, products with it are
+Spark jobs, and only factors of fixed size reach the driver.  Pieces are searched in blocks no larger
+than the rank, so the space holds them nearly whole.  Every window of every document is projected and
+compared with every piece of the block; as both steps are linear, a table of bounded size has a word's
+part in each comparison.  The cosine at which a window becomes a candidate is scaled by the lengths,
+so that a window that holds a piece and much else still is one.  Candidates are checked on the words: the longest common subsequence must hold most of the
 piece, or much of it and the words of its answer (its last sentence), which catches paraphrases.
 
 Defined results: null or empty texts contain nothing; items of fewer than ``min_words`` words match
@@ -28,15 +29,18 @@ from lexiframe.llm.common import checked_broadcast
 from lexiframe.llm.words import WordIds, texts_of, words_of
 from lexiframe.session import checkpointed
 
-BUCKETS = 1 << 15
-RANK = 128
+BUCKETS = 1 << 14
+RANK = 256
 PIECE = 64  # words of an item piece
 STEP = 32  # words from window to window
 WINDOW = 96  # PIECE + STEP: every run of PIECE words is whole in some window
 FIT_DOCS = 1000  # documents sampled for the latent space
-BLOCK = 2048  # item pieces searched at once
+FIT_TASKS = 2  # their passages are a few thousand rows; each task sends a whole factor
+BLOCK = RANK  # item pieces searched at once
+PIECE_WEIGHT = 30.0  # of an item piece among the passages
 MIN_WORDS = 8
-ESTIMATE = 0.5  # share of a piece's own projection that a candidate window reaches
+LEAST_IDF = 0.05
+ESTIMATE = 0.55  # share of a piece's own projection that a candidate window reaches
 LCS = 0.8
 PARAPHRASE = 0.6
 CHUNK = 1 << 14  # words projected at once
@@ -153,8 +157,8 @@ def latent_space(rows: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int =
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(flat, pa.binary())], ["row", "y"])
 
         got = rows.mapInArrow(run, "row bigint, y binary").orderBy("row").collect()
-        shared.unpersist()
-        return np.array([np.frombuffer(r[1], "<f4") for r in got], np.float64)
+        shared.destroy()
+        return np.array([np.frombuffer(r[1], "<f4") for r in got])
 
     def transposed_times(left: np.ndarray) -> np.ndarray:
         names = [r[0] for r in rows.select("row").orderBy("row").collect()]
@@ -162,7 +166,7 @@ def latent_space(rows: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int =
 
         def partial(batches):
             place, factor = shared.value
-            sums = np.zeros((buckets, factor.shape[1]))
+            sums = np.zeros((buckets, factor.shape[1]), np.float32)
             for batch in batches:
                 texts = (w.split() for w in batch.column(1).to_pylist())
                 for row, scale, (bucket, weights) in zip(
@@ -180,38 +184,42 @@ def latent_space(rows: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int =
 
         kind = "column bigint, z binary"
         got = rows.mapInArrow(partial, kind).groupBy("column").applyInArrow(total, kind).orderBy("column").collect()
-        shared.unpersist()
-        return np.array([np.frombuffer(r[1], "<f4") for r in got], np.float64).T
+        shared.destroy()
+        return np.array([np.frombuffer(r[1], "<f4") for r in got]).T
 
-    start = np.random.default_rng(seed).standard_normal((buckets, rank)).astype(np.float32)
-    left = np.linalg.qr(times(start))[0]
-    right = np.linalg.qr(transposed_times(left))[0]
-    left = np.linalg.qr(times(right.astype(np.float32)))[0]
+    left = np.linalg.qr(times(np.random.default_rng(seed).standard_normal((buckets, rank), np.float32)))[0]
+    left = np.linalg.qr(times(np.linalg.qr(transposed_times(left))[0]))[0]
     product = transposed_times(left)
-    values, vectors = np.linalg.eigh(product.T @ product)
-    keep = values > max(values.max(initial=0), 1e-12) * 1e-9
-    return product @ (vectors[:, keep] / np.sqrt(values[keep]))
+    values, vectors = np.linalg.eigh((product.T @ product).astype(np.float64))
+    keep = values > max(values.max(initial=0), 1e-12) * 1e-6
+    return product @ (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
+
+
+def comparison_table(pieces, space: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Buckets x pieces: a word's part in the projection of its window onto a piece.
+
+    The unit is the piece's own projection, so a window that holds a piece reaches about 1.
+    """
+    project = (space * idf[:, None]).astype(np.float32)
+    ids = WordIds(len(idf))
+    own = np.array([project[ids.of(words)].sum(0) for _, _, words, _ in pieces], np.float32)
+    return project @ (own / np.maximum((own**2).sum(1, keepdims=True), 1e-9)).T
 
 
 class Searcher:
     """Finds item pieces in texts; built once per task."""
 
-    def __init__(self, pieces, space: np.ndarray, idf: np.ndarray, parameters: dict):
-        self.pieces, self.ids, self.p = pieces, WordIds(len(idf)), parameters
-        self.project = (space * idf[:, None]).astype(np.float32)
-        own = np.array([self.project[self.ids.of(words)].sum(0) for _, _, words, _ in pieces], np.float32)
-        own = own.reshape(len(pieces), self.project.shape[1])
-        # a window's projection onto a piece, as a share of the piece's own
-        self.against = (own / np.maximum((own**2).sum(1, keepdims=True), 1e-9)).T.copy()
+    def __init__(self, pieces, table: np.ndarray, parameters: dict):
+        self.pieces, self.table, self.ids, self.p = pieces, table, WordIds(len(table)), parameters
 
     def estimates(self, words: list[bytes]) -> np.ndarray:
         """Windows x pieces."""
         bucket, step = self.ids.of(words), self.p["step"]
         parts = []
         for at in range(0, len(bucket), CHUNK):  # CHUNK is a multiple of the step
-            some = self.project[bucket[at : at + CHUNK]]
-            parts.append(np.add.reduceat(some, np.arange(0, len(some), step), axis=0) @ self.against)
-        blocks = np.concatenate(parts)
+            some = self.table[bucket[at : at + CHUNK]]
+            parts.append(np.add.reduceat(some, np.arange(0, len(some), step), axis=0))
+        blocks = parts[0] if len(parts) == 1 else np.concatenate(parts)
         span = self.p["window"] // step
         sums = blocks.copy()
         for i in range(1, min(span, len(blocks))):
@@ -229,6 +237,9 @@ class Searcher:
             item, piece, own, answer = self.pieces[number]
             start = int(window) * self.p["step"]
             part = words[start : start + self.p["window"]]
+            there = set(part)
+            if sum(word in there for word in own) < self.p["paraphrase"] * len(own):
+                continue  # no subsequence is longer than that
             common = common_subsequence(own, part)
             if common < self.p["paraphrase"] * len(own):
                 continue
@@ -262,7 +273,7 @@ def find_leaks(
     if not count:
         return spark.createDataFrame([], HIT_TYPE)
     rows, found = document_frequencies(docs)
-    idf = 1 + np.log((rows + 1) / (found + 1))
+    idf = np.maximum(np.log((rows + 1) / (found + 1)), LEAST_IDF)
     sample = checkpointed(
         docs.select("doc_id").where("doc_id is not null").distinct()
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS).withColumnRenamed("doc_id", "__id"),
@@ -282,9 +293,9 @@ def find_leaks(
     for number in range(blocks := math.ceil(count / block)):
         mine = pieces.where(F.pmod(F.xxhash64("row"), F.lit(blocks)) == number) if blocks > 1 else pieces
         matrix = checkpointed(
-            mine.select("row", "words", F.lit(4.0).alias("weight"))
+            mine.select("row", "words", F.lit(PIECE_WEIGHT).alias("weight"))
             .union(passages.select("row", "words", F.lit(1.0).alias("weight")))
-            .repartition(8, "row").sortWithinPartitions("row"),
+            .repartition(FIT_TASKS).sortWithinPartitions("row"),
             "matrix",
         )
         space = latent_space(matrix, idf, rank)
@@ -292,7 +303,8 @@ def find_leaks(
             (r["item_id"], r["piece"], bytes(r["words"]).split(), bytes(r["answer"]).split())
             for r in mine.orderBy("row").collect()
         ]
-        shared = spark.sparkContext.broadcast((known, space, idf))
+        shared = spark.sparkContext.broadcast((known, comparison_table(known, space, idf)))
+        del space
 
         def run(batches, shared=shared):
             searcher = Searcher(*shared.value, parameters)

@@ -9,10 +9,13 @@ empty contents count, which meet in buckets that grow with the table.)  A set ne
 also signs in the band below, for its smaller partners.  Sets with too few non-empty ranges make
 their bands sign once more with other ranges, until none is left, so the join is exact.
 
-Candidates are then verified on whole sets.  Equal sets are one class from the start.  A bucket does
-not emit all its pairs: in every round a few of its members are centres and meet only members of
-other components, and a bucket ends when its open members are in one component.  Centres grow
-eightfold per round.
+Candidates are then verified on whole sets.  Equal sets are one class from the start.  No list of
+candidate pairs is made: a bucket ties its members to its smallest, its centre.  All tied sets are
+sorted by their least centre and cut into blocks of bounded cost, so most candidates are within one
+block.  A block is compared with itself; members of a centre that lie in several blocks are compared
+with those in the centre's first block, and then only where two blocks are not yet one component.
+A task holds at most two blocks, counts common shingles of all its sets and returns a spanning forest
+of the links.
 
 Defined results: null or empty texts have no shingles and no links; documents with fewer words than a
 shingle have one; null ids take part as rows and are ignored in minima; repeated ids are rows of their
@@ -26,14 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiframe.llm.common import checked_broadcast, components
+from lexiframe.llm.common import checked_broadcast, components, prefix_sums
 from lexiframe.llm.words import mixed, shingle_hashes, texts_of, words_of
 from lexiframe.session import checkpointed
 
 WORDS = 5
 PERCENT = 80
 BAND_STEPS = 3  # a band spans (100 / percent) ** 3
-GROWTH = 8  # centres per bucket, from round to round
+BLOCK_COST = 1 << 19  # shingles of a block
+ANCHOR_STEPS = 3
+LEAST_COST = 512  # of a set, so that a block has about a thousand sets at most
+RARE = 64  # shingles in more sets of a block are counted by matrix products
 
 
 def band_bounds(percent: int, size: int) -> tuple[int, int, int]:
@@ -75,18 +81,27 @@ class Signer:
             self.bands[size] = [p for p in plans if self.only is None or p[0] in self.only]
         return self.bands[size]
 
+    @staticmethod
+    def _ranges(hashes: np.ndarray, ranges: int) -> np.ndarray:
+        return ((hashes >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+
     def sign(self, hashes: np.ndarray) -> tuple[np.ndarray, list[int]]:
         """Signatures of a set and the bands in which it has too few non-empty ranges."""
         out, thin = [], []
         if most_different(self.percent, len(hashes)) < 1:
             return np.empty(0, np.uint64), thin  # only equal sets are similar enough
+        plain = hashes
         if self.salt:
             hashes = np.sort(mixed(hashes, self.salt))
         weights, own = mixed(hashes, 7), band_bounds(self.percent, len(hashes))[0]
         for band, ranges, need in self._band(len(hashes)):
-            part = ((hashes >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+            part = self._ranges(hashes, ranges)
             starts = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1))
-            if len(starts) < need and band == own:
+            # a set is thin as long as no salt so far has given it enough ranges
+            if len(starts) < need and band == own and not any(
+                len(np.unique(self._ranges(mixed(plain, salt) if salt else plain, ranges))) >= need
+                for salt in range(self.salt)
+            ):
                 thin.append(band)
             sums = np.add.reduceat(weights, starts)[:need]
             place = (part[starts[:need]] << np.uint64(16)) ^ np.uint64(band * 64 + self.salt % 64)
@@ -94,6 +109,12 @@ class Signer:
         return np.concatenate(out) if out else np.empty(0, np.uint64), thin
 
 
+def set_key(hashes: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set."""
+    sums = [mixed(hashes, salt).sum(dtype=np.uint64) for salt in (1, 2)]
+    return tuple(np.array(sums, np.uint64).view(np.int64).tolist())
+
+
 SET_TYPE = "doc_id bigint, n bigint, k1 bigint, k2 bigint, sigs array<bigint>, thin array<int>"
 
 
@@ -107,11 +128,11 @@ def _signed_sets(docs: DataFrame, words: int, percent: int, salt: int = 0, only=
             for text in texts_of(batch.column(1)):
                 hashes = shingle_hashes(words_of(text), words)
                 sizes.append(len(hashes))
-                keys.append((mixed(hashes, 1).sum(dtype=np.uint64), mixed(hashes, 2).sum(dtype=np.uint64)))
+                keys.append(set_key(hashes))
                 own, bands = signer.sign(hashes)
                 sigs.append(own)
                 thin.append(bands)
-            key = np.array(keys, np.uint64).reshape(-1, 2).view(np.int64)
+            key = np.array(keys, np.int64).reshape(-1, 2)
             ends = np.cumsum([0, *(len(s) for s in sigs)])
             flat = np.concatenate([*sigs, np.empty(0, np.uint64)]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -129,56 +150,126 @@ def _signed_sets(docs: DataFrame, words: int, percent: int, salt: int = 0, only=
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, SET_TYPE)
 
 
-def _whole_sets(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, k1, k2, hashes`` for verification."""
-
-    def run(batches):
-        for batch in batches:
-            sets = [shingle_hashes(words_of(text), words) for text in texts_of(batch.column(1))]
-            keys = [(mixed(h, 1).sum(dtype=np.uint64), mixed(h, 2).sum(dtype=np.uint64)) for h in sets]
-            key = np.array(keys, np.uint64).reshape(-1, 2).view(np.int64)
-            ends = np.cumsum([0, *map(len, sets)])
-            flat = np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(key[:, 0].copy()),
-                    pa.array(key[:, 1].copy()),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
-                ],
-                ["doc_id", "k1", "k2", "hashes"],
-            )
-
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
-        run, "doc_id bigint, k1 bigint, k2 bigint, hashes array<bigint>"
-    )
+def linked_sets(sets: list[np.ndarray], side: np.ndarray, percent: int) -> np.ndarray:
+    """Smallest member of the component of every set, over links between the given sets.
 
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(a, b)`` whose sets reach the similarity."""
-    left = sets.select(F.col("uid").alias("a"), F.col("hashes").alias("one"))
-    right = sets.select(F.col("uid").alias("b"), F.col("hashes").alias("two"))
-    sizes = F.size("one") + F.size("two")
-    same = F.size(F.array_intersect("one", "two"))
-    narrow = F.least(F.size("one"), F.size("two")) * 100 >= F.greatest(F.size("one"), F.size("two")) * percent
-    return (
-        pairs.join(left, "a")
-        .join(right, "b")
-        .where(narrow)
-        .where(same * 100 >= (sizes - same) * percent)
-        .select("a", "b")
-    )
+    With two sides only pairs across them count.  Shingles in few sets are counted pair by pair,
+    those in many by products of indicator columns.
+    """
+    many, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
+    owner = np.repeat(np.arange(many), sizes)
+    values = np.concatenate([*sets, np.empty(0, np.int64)])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    starts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.empty(0, int)
+    spread = np.diff(np.append(starts, len(values)))
+    same = np.zeros(many * many, np.int32)
+    few = (spread > 1) & (spread <= RARE)
+    at = np.repeat(starts[few], spread[few])
+    place = np.arange(len(at)) - np.repeat(np.cumsum(spread[few]) - spread[few], spread[few]) + at
+    end = at + np.repeat(spread[few], spread[few])
+    for step in range(1, RARE):
+        place, end = place[place + step < end], end[place + step < end]
+        if not len(place):
+            break
+        same += np.bincount(owner[place] * many + owner[place + step], minlength=many * many).astype(np.int32)
+    same = same.reshape(many, many)
+    wide = np.flatnonzero(spread > RARE)
+    for first in range(0, len(wide), 1024):
+        some = wide[first : first + 1024]
+        there = np.zeros((many, len(some)), np.float32)
+        for column, group in enumerate(some):
+            there[owner[starts[group] : starts[group] + spread[group]], column] = 1
+        same += np.triu(there @ there.T, 1).astype(np.int32)
+    close = same.astype(np.int64) * 100 >= percent * (sizes[:, None] + sizes[None, :] - same)
+    close &= np.triu(np.ones((many, many), bool), 1)
+    if len(np.unique(side)) > 1:
+        close &= side[:, None] != side[None, :]
+    one, two = np.nonzero(close)
+    least = np.arange(many)
+    while True:
+        low = np.minimum(least[one], least[two])
+        after = least.copy()
+        np.minimum.at(after, one, low)
+        np.minimum.at(after, two, low)
+        after = after[after]
+        if (after == least).all():
+            return least
+        least = after
 
 
-def _with_component(rows: DataFrame, parts: DataFrame | None, column: str, name: str) -> DataFrame:
-    if parts is None:
-        return rows.withColumn(name, F.col(column))
-    found = parts.select(F.col("node").alias(column), F.col("component").alias("__c"))
-    return rows.join(found, column, "left").withColumn(name, F.coalesce("__c", column)).drop("__c")
+def _block_links(tasks: DataFrame, wanted: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """``a, b``: spanning forest of the links within every task of ``tasks(uid, i, j, side)``.
 
+    Texts travel to the tasks, which compress better than their hashes.  ``wanted`` has the id and
+    the set's key of every row, so of rows that share an id each finds its own text.
+    """
 
-def _pair(a: str, b: str):
-    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+    def run(table: pa.Table) -> pa.Table:
+        uids, sets, sides = [], [], []
+        for batch in table.to_batches():
+            columns = [batch.column(n).to_pylist() for n in ("uid", "k1", "k2", "side")]
+            for uid, k1, k2, side, text in zip(*columns, texts_of(batch.column("text")), strict=True):
+                hashes = shingle_hashes(words_of(text), words)
+                if set_key(hashes) == (k1, k2):
+                    uids.append(uid)
+                    sets.append(hashes.view(np.int64))
+                    sides.append(side)
+        uid, place = np.unique(np.array(uids, np.int64), return_index=True)
+        least = linked_sets([sets[i] for i in place], np.array(sides, np.int64)[place], percent)
+        moved = np.flatnonzero(least != np.arange(len(least)))
+        return pa.table({"a": uid[least[moved]], "b": uid[moved]})
+
+    tasks = checkpointed(tasks.join(wanted.withColumnRenamed("doc_id", "__id"), "uid"), "tasks")
+    rows = docs.select("doc_id", "text").join(checked_broadcast(tasks), F.col("doc_id").eqNullSafe(F.col("__id")))
+    rows = rows.select("uid", "k1", "k2", "side", "i", "j", "text")
+    return rows.groupBy("i", "j").applyInArrow(run, "a bigint, b bigint")
+
+
+def _cross_tasks(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Tasks for ``pairs(a, i, j)``: the members of centre ``a`` in either block."""
+    out = None
+    for column, side in (("i", 0), ("j", 1)):
+        some = members.join(pairs.withColumn("block", F.col(column)), ["a", "block"])
+        some = some.select("uid", "i", "j", F.lit(side).alias("side"))
+        out = some if out is None else out.union(some)
+    return out.distinct()
+
+
+def _candidate_links(ties: DataFrame, wanted: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links ``(a, b)`` that connect all linked sets among the candidates of ``ties(a, b)``."""
+    members = checkpointed(ties.select("a", F.col("b").alias("uid")).union(ties.select("a", "a")).distinct(), "members")
+    up = members.select("a", F.col("a").alias("up")).distinct()
+    for _ in range(ANCHOR_STEPS):  # the least centre, then the least centre of its centres, and so on
+        anchors = members.join(up, "a").groupBy("uid").agg(F.min("up").alias("anchor"))
+        anchors = checkpointed(anchors, "anchors")
+        up = anchors.select(F.col("uid").alias("a"), F.col("anchor").alias("up"))
+    wanted, sizes = wanted.drop("n"), wanted.select("uid", "n")
+    cost = F.greatest("n", F.lit(LEAST_COST)).alias("cost")
+    anchors = anchors.join(sizes, "uid").select("uid", "anchor", cost, F.lit(0).alias("all"))
+    placed = prefix_sums(anchors, ["all"], ["anchor", "uid"], "cost", "placed")
+    placed = checkpointed(placed.select("uid", F.floor(F.col("before") / BLOCK_COST).alias("block")), "blocks")
+    itself = placed.select("uid", F.col("block").alias("i"), F.col("block").alias("j"), F.lit(0).alias("side"))
+    members = members.join(placed, "uid")
+    spans = members.groupBy("a", "block").agg(F.min("uid").alias("one"))
+    first = spans.groupBy("a").agg(F.min("block").alias("first"), F.count(F.lit(1)).alias("blocks")).where("blocks > 1")
+    spans = checkpointed(spans.join(first, "a").select("a", "block", "first", "blocks"), "spans")
+    wide = checkpointed(spans.select(F.col("a").alias("of")).distinct(), "wide")
+    members = checkpointed(members.join(checked_broadcast(wide), F.col("a") == F.col("of"), "left_semi"), "spanning")
+    star = spans.where("block <> first").select("a", F.col("first").alias("i"), F.col("block").alias("j"))
+    links = checkpointed(_block_links(itself.union(_cross_tasks(members, star)), wanted, docs, words, percent), "links")
+    rest = spans.where("block <> first and blocks > 2").select("a", "block")
+    if rest.isEmpty():
+        return links
+    parts = components(links, "parts").select(F.col("node").alias("uid"), "component")
+    known = members.join(parts, "uid", "left").withColumn("part", F.coalesce("component", "uid"))
+    known = known.groupBy("a", "block").agg(F.min("part").alias("lo"), F.max("part").alias("hi"))
+    known = checkpointed(known.join(rest, ["a", "block"]), "known")
+    other = known.select("a", F.col("block").alias("j"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    one = (F.col("lo") == F.col("hi")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo") == F.col("lo2"))
+    pairs = known.withColumnRenamed("block", "i").join(other, "a").where(F.col("i") < F.col("j")).where(~one)
+    pairs = checkpointed(pairs.select("a", "i", "j"), "pairs")
+    return checkpointed(links.union(_block_links(_cross_tasks(members, pairs), wanted, docs, words, percent)), "links")
 
 
 def link_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -224,54 +315,19 @@ def link_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
         .where("a < b"),
         "met",
     )
-    larger = checkpointed(met.where("n > 2").select(F.col("sig").alias("of")), "larger")
-    rows = checkpointed(
-        sigs.join(checked_broadcast(larger, 1 << 21), F.col("sig") == F.col("of")).select("sig", "uid"), "buckets"
+    larger = checkpointed(met.where("n > 2").select(F.col("sig").alias("of"), "a"), "larger")
+    ties = met.where("n = 2").select("a", "b").union(
+        sigs.join(checked_broadcast(larger, 1 << 21), F.col("sig") == F.col("of"))
+        .where("uid <> a")
+        .select("a", F.col("uid").alias("b"))
     )
-    pairs = met.where("n = 2").select("a", "b")
-    wanted = checkpointed(
-        pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).union(rows.select("uid")).distinct(),
-        "wanted",
-    )
-    wanted = checkpointed(members.join(checked_broadcast(wanted), "uid").select("uid", "doc_id", "k1", "k2"), "wanted")
-    key = wanted.select("uid", F.col("doc_id").alias("id"), F.col("k1").alias("c1"), F.col("k2").alias("c2"))
-    texts = docs.join(
-        checked_broadcast(wanted.select(F.col("doc_id").alias("__id")).distinct()),
-        F.col("doc_id").eqNullSafe(F.col("__id")),
-        "left_semi",
-    )
-    sets = checkpointed(
-        _whole_sets(texts, words)
-        .join(
-            checked_broadcast(key),
-            F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")),
-        )
-        .select("uid", "hashes")
-        .dropDuplicates(["uid"]),
-        "whole",
-    )
-    links, parts, centres = None, None, 1
-    while True:
-        rows = _with_component(rows.select("sig", "uid"), parts, "uid", "part")
-        mixed_up = rows.groupBy(F.col("sig").alias("of")).agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi")
-        rows = checkpointed(rows.join(mixed_up.select("of"), F.col("sig") == F.col("of")).drop("of"), "open")
-        chosen = checkpointed(
-            rows.groupBy(F.col("sig").alias("of"), F.pmod(F.hash("uid"), F.lit(centres)).alias("seat"))
-            .agg(F.min(F.struct("uid", "part")).alias("c"))
-            .select("of", F.col("c.uid").alias("centre"), F.col("c.part").alias("centre_part")),
-            "centres",
-        )
-        met_now = rows.join(chosen, F.col("sig") == F.col("of")).where("uid <> centre and part <> centre_part")
-        met_now = met_now.select(*_pair("uid", "centre"))
-        pairs = checkpointed((met_now if pairs is None else met_now.union(pairs)).distinct(), "pairs")
-        if pairs.isEmpty():
-            break
-        found = _verified(pairs, sets, percent)
-        links = checkpointed(found if links is None else links.union(found), "links")
-        parts = components(links, "parts")
-        gone = chosen.select(F.col("of").alias("sig"), F.col("centre").alias("uid"))
-        rows = checkpointed(rows.join(gone, ["sig", "uid"], "left_anti"), "open")
-        pairs, centres = None, centres * GROWTH
+    ties = checkpointed(ties.distinct(), "ties")
+    wanted = ties.select(F.col("a").alias("uid")).union(ties.select("b")).distinct()
+    wanted = checkpointed(wanted, "wanted")
+    wanted = checkpointed(members.join(checked_broadcast(wanted), "uid").select("uid", "doc_id", "k1", "k2", "n"), "wanted")
+    parts = None
+    if not ties.isEmpty():
+        parts = components(_candidate_links(ties, wanted, docs, words, percent), "parts")
     if parts is None:
         return members.select(
             "doc_id", F.col("n").alias("n_shingles"), F.col("class_id").alias("component_id"), "class_id"

@@ -26,9 +26,11 @@ def array_matrix(column, dtype=np.float64) -> np.ndarray:
     n = len(column)
     if n == 0:
         return np.zeros((0, 0), dtype)
+    lengths = pc.list_value_length(column)
+    widths = pc.min_max(lengths)
+    if lengths.null_count or widths["min"] != widths["max"]:
+        raise ValueError("vectors differ in length or are missing")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(dtype, copy=False)
-    if flat.size % n:
-        raise ValueError("vectors differ in length")
     return flat.reshape(n, -1)
 
 

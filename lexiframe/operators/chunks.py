@@ -34,9 +34,18 @@ def stack_sections(body: DataFrame, elucidation: DataFrame) -> DataFrame:
 
 
 def to_chunks(segments: DataFrame, source: str = fixed.STATUTE_SOURCE) -> DataFrame:
-    """Chunk rows with flat metadata columns; an absent paragraph stays null."""
+    """Chunk rows with flat metadata columns; an absent paragraph stays null.
+
+    With a ``doc_id`` column it is kept, and ids begin with ``doc{doc_id}_`` where it is set.
+    """
+    name, document = chunk_id("article_number", "paragraph_number", "chunk_type"), []
+    if "doc_id" in segments.columns:
+        prefix = F.when(F.col("doc_id").isNotNull(), F.concat(F.lit("doc"), "doc_id", F.lit("_")))
+        name = F.concat(F.coalesce(prefix, F.lit("")), name)
+        document = ["doc_id"]
     return segments.select(
-        chunk_id("article_number", "paragraph_number", "chunk_type").alias("chunk_id"),
+        name.alias("chunk_id"),
+        *document,
         F.lit(source).alias("source"),
         F.col("article_number").cast("bigint").alias("article_number"),
         F.col("paragraph_number").cast("bigint").alias("paragraph_number"),

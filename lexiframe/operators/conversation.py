@@ -117,10 +117,20 @@ def format_context(results: DataFrame) -> DataFrame:
     )
 
 
-def prompt_table(questions: DataFrame, contexts: DataFrame) -> DataFrame:
-    """Prompt per question(query_id, message, history), or the fixed answer without passages."""
+def prompt_table(
+    questions: DataFrame, contexts: DataFrame, failed: DataFrame | None = None
+) -> DataFrame:
+    """Prompt per question(query_id, message, history), or the fixed answer without passages.
+
+    Questions of ``failed(query_id)`` get no prompt and the fixed error answer.
+    """
     joined = questions.join(contexts, "query_id", "left")
-    found = F.coalesce("passages", F.lit(0)) > 0
+    broken = F.lit(False)
+    if failed is not None:
+        marked = failed.select("query_id", F.lit(True).alias("_failed"))
+        joined = joined.join(marked, "query_id", "left")
+        broken = F.coalesce("_failed", F.lit(False))
+    found = (F.coalesce("passages", F.lit(0)) > 0) & ~broken
     history = F.when(
         F.coalesce("history", F.lit("")) != "",
         F.concat(F.lit(f"\n\n{fixed.PROMPT_HISTORY_TITLE}\n"), F.col("history"), F.lit("\n")),
@@ -137,7 +147,9 @@ def prompt_table(questions: DataFrame, contexts: DataFrame) -> DataFrame:
     return joined.select(
         "query_id",
         F.when(found, prompt).alias("prompt"),
-        F.when(~found, F.lit(fixed.NO_RELEVANT_CHUNKS)).alias("answer"),
+        F.when(broken, F.lit(fixed.PROCESSING_ERROR))
+        .when(~found, F.lit(fixed.NO_RELEVANT_CHUNKS))
+        .alias("answer"),
     )
 
 

@@ -17,18 +17,14 @@ from lexiframe.functions.topk import CosineScorer, array_matrix, best_rows, resu
 from lexiframe.operators.topk_join import CELL_BYTES, rank_within, rows_within
 
 MAX_CELLS = 4_096  # bounds the broadcast centres
-TRAIN_ROWS_PER_CELL = 256
 
 
 def train_cells(chunks: DataFrame, cells: int, seed: int = 7, max_iter: int = 10) -> np.ndarray:
-    """Unit-length k-means centres.  Large tables are sampled for training only."""
+    """Unit-length k-means centres of all given vectors; pass fewer rows to train on those."""
     if cells > MAX_CELLS:
         raise ValueError(f"at most {MAX_CELLS} cells")
     chunks = chunks.where(F.exists("embedding", lambda v: v != 0))  # zeros have no direction
-    total = chunks.count()
-    wanted = cells * TRAIN_ROWS_PER_CELL
-    sample = chunks if total <= wanted else chunks.sample(wanted / total, seed)
-    vectors = sample.select(
+    vectors = chunks.select(
         array_to_vector(F.transform("embedding", lambda v: v.cast("double"))).alias("features")
     )
     model = KMeans(k=cells, seed=seed, maxIter=max_iter, distanceMeasure="cosine").fit(vectors)
@@ -39,7 +35,8 @@ def train_cells(chunks: DataFrame, cells: int, seed: int = 7, max_iter: int = 10
 
 
 def assign_cells(df: DataFrame, centres: np.ndarray, probes: int = 1) -> DataFrame:
-    """Add ``cells``: the nearest cell numbers, nearest first."""
+    """Add ``cells``: the nearest cell numbers, nearest first.  Rows without a vector go."""
+    df = df.where(F.col("embedding").isNotNull())
     shared = df.sparkSession.sparkContext.broadcast(centres)
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))

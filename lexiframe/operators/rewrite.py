@@ -27,7 +27,7 @@ def expand_terms(
 ) -> DataFrame:
     """Add ``static_terms``: expansions of every term inside the lower-cased question.
 
-    Dictionary order, duplicates kept, no word boundaries.  ``matched_terms`` lists the
+    Dictionary order (``prio``, then term), duplicates kept, no word boundaries.  ``matched_terms`` lists the
     dictionary terms that fired.
     """
     if terms is None:
@@ -36,7 +36,8 @@ def expand_terms(
         rows = bounded_rows(terms, ["prio", "term", "expansions"])
         if rows is None:
             return _expand_terms_joined(questions, terms, text, key)
-        entries = [(r["term"], r["expansions"]) for r in sorted(rows, key=lambda r: r["prio"])]
+        rows = sorted(rows, key=lambda r: (r["prio"], r["term"], r["expansions"]))
+        entries = [(r["term"], r["expansions"]) for r in rows]
     fired = contained(
         F.col("_lowered"),
         [
@@ -86,11 +87,10 @@ def special_pattern(
             hits = substring_join(
                 questions.select(key, lowered.alias("_text")), patterns, key, "_text", "pattern"
             )
-            first = hits.groupBy(key).agg(F.min_by("rewrite", "prio").alias("special_query"))
+            first = hits.groupBy(key).agg(F.min_by("rewrite", F.struct("prio", "pattern", "rewrite")).alias("special_query"))
             return questions.join(first, key, "left")
-        entries = [
-            (r["pattern"], r["rewrite"]) for r in sorted(rows, key=lambda r: r["prio"])
-        ]
+        rows = sorted(rows, key=lambda r: (r["prio"], r["pattern"], r["rewrite"]))
+        entries = [(r["pattern"], r["rewrite"]) for r in rows]
     chosen = F.lit(None).cast("string")
     for pattern, rewrite in reversed(entries):
         hit = F.contains(F.col("_lowered"), F.lit(pattern))
@@ -109,6 +109,19 @@ def _without_fence(answer: Column) -> Column:
     return F.when(F.startswith(body, F.lit("```")), unfenced).otherwise(body)
 
 
+def _one_value(json: Column) -> Column:
+    """Do the brackets outside of strings close exactly once, so that one value is all there is?"""
+    brackets = F.regexp_replace(F.regexp_replace(json, r'"(?:[^"\\]|\\.)*"', ""), r"[^\[\]{}]", "")
+
+    def step(state, bracket):
+        depth = state["depth"] + F.when(bracket.isin("{", "["), 1).otherwise(-1)
+        return F.struct(depth.alias("depth"), (state["closed"] + (depth == 0).cast("int")).alias("closed"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("closed"))
+    marks = F.filter(F.split(brackets, ""), lambda c: c != "")
+    return F.aggregate(marks, start, step, lambda state: state["closed"] == 1)
+
+
 def parse_llm_rewrite(rewrites: DataFrame, text: str = "message") -> DataFrame:
     """Turn a model's JSON answer into search query and key phrases, with fallbacks.
 
@@ -124,7 +137,8 @@ def parse_llm_rewrite(rewrites: DataFrame, text: str = "message") -> DataFrame:
     }
     parsed = F.from_json(cleaned, _LLM_SCHEMA, options)
     closed = F.coalesce(F.endswith(strip(cleaned), F.lit("}")), F.lit(False))
-    usable = F.col("_p").isNotNull() & F.col("_p._bad").isNull() & closed
+    whole = F.coalesce(_one_value(cleaned), F.lit(False))
+    usable = F.col("_p").isNotNull() & F.col("_p._bad").isNull() & closed & whole
     answered = F.coalesce(F.col("_p.legal_search_query"), F.lit(""))
     fallback = F.coalesce(
         F.col("special_query"),

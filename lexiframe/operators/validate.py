@@ -122,6 +122,13 @@ def validation_report(segments: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def only_valid(segments: DataFrame, report: DataFrame) -> DataFrame:
-    """Segments of documents all of whose sections are valid."""
-    bad = report.where("not is_valid").select("doc_id").distinct()
-    return segments.join(bad, "doc_id", "left_anti")
+    """Segments of documents all of whose sections were checked and found valid.
+
+    A document with a section that the report lacks, or whose validity is unknown, stays out.
+    """
+    valid = report.where("is_valid").select(*DOC).distinct()
+    unchecked = segments.select(*DOC).distinct().join(valid, DOC, "left_anti").select("doc_id")
+    failed = report.where(~F.coalesce("is_valid", F.lit(False))).select("doc_id")
+    return segments.where(F.col("doc_id").isNotNull()).join(
+        unchecked.union(failed).distinct(), "doc_id", "left_anti"
+    )

@@ -10,6 +10,7 @@ from lexiframe.operators.conversation import format_context, prompt_table
 from lexiframe.operators.fuse import default_if_unset, format_results, fuse
 from lexiframe.operators.rewrite import expand_terms, parse_llm_rewrite, special_pattern, subqueries
 from lexiframe.operators.topk_join import topk_join
+from lexiframe.session import checkpointed
 
 _SEARCH = ["query_id", "list_type", "list_prio", "sub_query", "k"]
 
@@ -61,6 +62,25 @@ def failed_questions(searches: DataFrame) -> DataFrame:
     )
 
 
+def searches_of(
+    questions: DataFrame, embed=hash_embed, rewriting: bool = True, terms=None, patterns=None
+) -> DataFrame:
+    """All searches of questions(query_id, message[, llm_response]) with their embedding."""
+    rewritten = rewrite(questions, terms, patterns) if rewriting else questions
+    return embed(subqueries(rewritten, rewriting=rewriting), text="search_text")
+
+
+def _results(questions, searches, chunks, fusion, min_cosine) -> DataFrame:
+    hits = search_lists(searches, chunks)
+    if "top_k" not in questions.columns:
+        return format_results(fuse(hits, fusion, min_cosine=min_cosine), chunks)
+    limit = default_if_unset(F.col("top_k"), fixed.FINAL_TOP_K)
+    ranked = fuse(hits, fusion, top_k=None, min_cosine=min_cosine).join(
+        questions.select("query_id", limit.alias("_k")), "query_id"
+    )
+    return format_results(ranked.where("rank <= _k").drop("_k"), chunks)
+
+
 def retrieve(
     questions: DataFrame,
     chunks: DataFrame,
@@ -76,21 +96,24 @@ def retrieve(
     ``embed(df, text=...)`` adds the ``embedding`` column and must be the function the
     chunk table was embedded with.
     """
-    rewritten = rewrite(questions, terms, patterns) if rewriting else questions
-    searches = embed(subqueries(rewritten, rewriting=rewriting), text="search_text")
-    hits = search_lists(searches, chunks)
-    if "top_k" not in questions.columns:
-        return format_results(fuse(hits, fusion, min_cosine=min_cosine), chunks)
-    limit = default_if_unset(F.col("top_k"), fixed.FINAL_TOP_K)
-    ranked = fuse(hits, fusion, top_k=None, min_cosine=min_cosine).join(
-        questions.select("query_id", limit.alias("_k")), "query_id"
-    )
-    return format_results(ranked.where("rank <= _k").drop("_k"), chunks)
+    searches = searches_of(questions, embed, rewriting, terms, patterns)
+    return _results(questions, searches, chunks, fusion, min_cosine)
 
 
-def answer_prompts(questions: DataFrame, chunks: DataFrame, **options) -> DataFrame:
-    """Prompt, or the fixed answer where nothing was found, for every question."""
+def answer_prompts(
+    questions: DataFrame,
+    chunks: DataFrame,
+    fusion: str = "first_hit",
+    min_cosine: float | None = None,
+    **options,
+) -> DataFrame:
+    """Prompt, or a fixed answer, for every question.
+
+    Where nothing was found the answer says so; a question whose legal or original search
+    failed gets the error answer, whatever its other searches found.
+    """
     if "history" not in questions.columns:
         questions = questions.withColumn("history", F.lit(""))
-    results = retrieve(questions, chunks, **options)
-    return prompt_table(questions, format_context(results))
+    searches = checkpointed(searches_of(questions, **options), "searches")
+    results = _results(questions, searches, chunks, fusion, min_cosine)
+    return prompt_table(questions, format_context(results), failed_questions(searches))

@@ -10,7 +10,7 @@ from lexiframe.operators.segment import segment
 from lexiframe.operators.validate import only_valid, validation_report
 from lexiframe.session import checkpointed
 from lexiframe.sources.index import bootstrap_index, rebuild_index
-from lexiframe.sources.jsonl import read_jsonl, write_sections
+from lexiframe.sources.jsonl import DOCUMENT_SCHEMA, read_jsonl, write_sections
 
 
 def parse_statutes(
@@ -47,11 +47,17 @@ def ingest(
     source: str = fixed.STATUTE_SOURCE,
     once: bool = False,
 ) -> None:
-    """Read both JSON lines files, embed, check and write the chunk index."""
-    rows = stack_sections(read_jsonl(spark, body_path), read_jsonl(spark, elucidation_path))
+    """Read both JSON lines files, embed, check and write the chunk index.
+
+    Lines may carry a ``doc_id``; chunk ids then name their document.
+    """
+    rows = stack_sections(
+        read_jsonl(spark, body_path, DOCUMENT_SCHEMA),
+        read_jsonl(spark, elucidation_path, DOCUMENT_SCHEMA),
+    )
     chunks = embed(to_chunks(rows, source), text="text")
     if once:
-        bootstrap_index(chunks, index_path)
+        bootstrap_index(chunks, index_path, dim)
     else:
         rebuild_index(chunks, index_path, dim)
 

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 SEGMENT_SCHEMA = "article_number bigint, paragraph_number bigint, text string"
+DOCUMENT_SCHEMA = f"doc_id bigint, {SEGMENT_SCHEMA}"  # lines of several documents
 
 
 def read_jsonl(spark: SparkSession, path, schema: str = SEGMENT_SCHEMA) -> DataFrame:

@@ -1,7 +1,10 @@
-"""Fusion against a sequential oracle, and the quirks it must keep."""
+"""Fusion against its closed form in SQL, and the quirks it must keep."""
 
 import random
 
+import duckdb
+import pyarrow as pa
+
 from pyspark.sql import functions as F
 
 from lexiframe.functions import fixed
@@ -27,24 +30,33 @@ def random_hits(rng, questions):
     return rows
 
 
+CLOSED_FORM = """
+WITH placed AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY list_prio, sub_query, rank) AS pos FROM hits),
+kept AS (
+    SELECT query_id, list_type, chunk_id, pos FROM placed
+    QUALIFY NOT {dedupe} OR pos = min(pos) OVER (PARTITION BY query_id, chunk_id)),
+parts AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id, list_type ORDER BY pos) AS place FROM kept),
+scores AS (
+    SELECT query_id, chunk_id, min(pos) AS pos, sum(weight / (60 + place)) AS score
+    FROM parts JOIN weights USING (list_type) GROUP BY ALL)
+SELECT query_id, chunk_id, score / max(score) OVER (PARTITION BY query_id) AS score
+FROM scores QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) <= {top_k}
+ORDER BY query_id, scores.score DESC, pos
+"""
+
+
 def oracle(rows, top_k, dedupe):
+    """Scores from the positions in the lists, in SQL."""
+    names = [c.split()[0] for c in HITS.split(", ")]
+    con = duckdb.connect()
+    con.register("hits", pa.table(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True))))
+    kinds = list(fixed.LIST_WEIGHTS.items())
+    con.register("weights", pa.table({"list_type": [k for k, _ in kinds], "weight": [float(w) for _, w in kinds]}))
     out = {}
-    for q in {r[0] for r in rows}:
-        seen, by_type, scores = set(), {}, {}
-        for _, kind, _, _, _, chunk, _ in sorted(r for r in rows if r[0] == q) and sorted(
-            (r for r in rows if r[0] == q), key=lambda r: (r[2], r[3], r[4])
-        ):
-            if dedupe and chunk in seen:
-                continue
-            seen.add(chunk)
-            by_type.setdefault(kind, []).append(chunk)
-        for kind, chunks in by_type.items():
-            for rank, chunk in enumerate(chunks):
-                part = fixed.LIST_WEIGHTS[kind] / (60 + rank + 1)
-                scores[chunk] = scores.get(chunk, 0) + part
-        best = max(scores.values())
-        order = sorted(scores, key=lambda c: -scores[c])[:top_k]
-        out[q] = [(c, round(scores[c] / best, 9)) for c in order]
+    for query, chunk, score in con.execute(CLOSED_FORM.format(dedupe=str(dedupe).lower(), top_k=top_k)).fetchall():
+        out.setdefault(query, []).append((chunk, round(score, 9)))
     return out
 
 

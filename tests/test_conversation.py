@@ -126,3 +126,14 @@ def test_deletion(spark):
     requests = spark.createDataFrame([(2,), (9,)], "conv_id int")
     assert [r.conv_id for r in ops.delete_sessions(messages, requests).collect()] == [1]
     assert {tuple(r) for r in ops.deletion_results(messages, requests).collect()} == {(2, True), (9, False)}
+
+
+def test_failed_turns_get_the_error_answer(spark):
+    from lexiframe.functions import fixed
+    from lexiframe.operators.conversation import prompt_table
+
+    questions = spark.createDataFrame([(1, "m", ""), (2, "m", ""), (3, "m", "")], "query_id bigint, message string, history string")
+    contexts = spark.createDataFrame([(1, "c", 1), (2, "c", 1)], "query_id bigint, context string, passages bigint")
+    failed = spark.createDataFrame([(2,)], "query_id bigint")
+    got = {r.query_id: (r.prompt is None, r.answer) for r in prompt_table(questions, contexts, failed).collect()}
+    assert got == {1: (False, None), 2: (True, fixed.PROCESSING_ERROR), 3: (True, fixed.NO_RELEVANT_CHUNKS)}

@@ -110,3 +110,33 @@ def test_token_windows(spark, n, windows):
         tokens = r.text.split()
         assert len(tokens) == r.token_count <= 300 and tokens[0] == str(270 * r.chunk_index)
     assert not rows or rows[-1].text.split()[-1] == str(n - 1)
+
+
+def test_a_late_bad_vector_keeps_the_old_index(spark, tmp_path):
+    path = str(tmp_path / "index")
+    schema = "chunk_id string, embedding array<float>"
+    ix.rebuild_index(spark.createDataFrame([("old", [1.0])], schema), path, 1)
+    mixed = spark.createDataFrame([("a", [1.0]), ("b", [1.0, 2.0])], schema)
+    with pytest.raises(Exception, match="not 1 wide: b"):
+        ix.rebuild_index(mixed, path, 1)
+    assert [r.chunk_id for r in spark.read.parquet(path).collect()] == ["old"]
+
+
+def test_append_raises_on_clashes_and_widths(spark, tmp_path):
+    path = str(tmp_path / "index")
+    ix.rebuild_index(chunks(spark, ROWS[:2]), path, 64)
+    other = [(1, 1, "body", "another text")]
+    for clash in (other, [(9, 1, "body", "one"), (9, 1, "body", "two")]):
+        with pytest.raises(ValueError, match="chunk ids"):
+            ix.append_chunks(chunks(spark, clash), path)
+    narrow = chunks(spark, [(8, 1, "body", "x")]).selectExpr("* except (embedding)", "array(1f) as embedding")
+    with pytest.raises(ValueError, match="wide"):
+        ix.append_chunks(narrow, path)
+    assert ix.count_index(spark, path).first().chunks == 2
+
+
+def test_ids_name_their_document(spark):
+    rows = [(7, 1, 1, "body", "a"), (8, 1, 1, "body", "b"), (None, 1, 1, "body", "c")]
+    df = spark.createDataFrame(rows, f"doc_id bigint, {SEGMENTS}")
+    got = {r.chunk_id: r.doc_id for r in to_chunks(df).collect()}
+    assert got == {"doc7_art1_p1_body": 7, "doc8_art1_p1_body": 8, "art1_p1_body": None}

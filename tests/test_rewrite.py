@@ -111,3 +111,32 @@ def test_analytics(spark, questions):
     assert counts[None] == 1 and counts["helm"] == 1 and counts["lampu merah"] == 1
     assert [r.query_id for r in ops.unmatched_questions(expanded).collect()] == [3]
     assert [r["rank"] for r in ops.top_topics(expanded, 2).collect()] == [1, 2]
+
+
+@pytest.mark.parametrize("answer", ['{"legal_search_query": "q"}{"b": 1}', '{"legal_search_query": "q"} note {x}', '{"legal_search_query": "q"} {}'])
+def test_content_after_the_answer_is_no_json(spark, answer):
+    row = spark.createDataFrame([(1, "m", answer)], "query_id bigint, message string, llm_response string")
+    assert rewrite(row).first().legal_search_query == "m"
+
+
+def test_brackets_in_strings_do_not_count(spark):
+    answer = '{"legal_search_query": "a } b { \\" ] c", "key_legal_phrases": ["x[", "y"]}'
+    row = spark.createDataFrame([(1, "m", answer)], "query_id bigint, message string, llm_response string")
+    assert rewrite(row).first().legal_search_query == 'a } b { " ] c'
+
+
+def test_dictionaries_of_any_size_agree(spark, monkeypatch):
+    entries = [(0, " ", ["space"]), (0, "bar", ["b"]), (0, "", ["all"]), (1, "foo", ["f"]), (1, "az", ["z"])]
+    terms = spark.createDataFrame(entries, "prio int, term string, expansions array<string>")
+    patterns = spark.createDataFrame([(p, t, x[0]) for p, t, x in entries], "prio int, pattern string, rewrite string")
+    questions = spark.createDataFrame([(1, "foo bar baz"), (2, "nothing"), (3, None)], "query_id bigint, message string")
+
+    def answers():
+        static = {r.query_id: r.static_terms for r in ops.expand_terms(questions, terms).collect()}
+        special = {r.query_id: r.special_query for r in ops.special_pattern(questions, patterns).collect()}
+        return static, special
+
+    small = answers()
+    assert small[0][1] == ["all", "space", "b", "z", "f"] and small[1] == {1: "all", 2: "all", 3: None}
+    monkeypatch.setattr(ops, "bounded_rows", lambda *a, **k: None)
+    assert answers() == small

@@ -128,3 +128,13 @@ def test_containing_paths_agree(spark):
     for limit in (100, 0):
         rows = containing(questions, docs, literal_patterns=limit).collect()
         assert {tuple(r) for r in rows} == want and len(rows) == len(want)
+
+
+@pytest.mark.parametrize("vectors", [[[1.0, 2.0], [1.0, 2.0, 3.0, 4.0]], [None, [1.0, 2.0, 3.0, 4.0]]])
+def test_uneven_or_missing_vectors_raise(vectors):
+    import pyarrow as pa
+
+    from lexiframe.functions.topk import array_matrix
+
+    with pytest.raises(ValueError, match="differ in length"):
+        array_matrix(pa.array(vectors, pa.list_(pa.float32())))

@@ -84,3 +84,16 @@ def test_judgements(spark):
     n = spark.createDataFrame([(5, 4), (6, 2)], "query_id bigint, n_relevant int")
     got = {r.query_id: (r.recall, r.precision) for r in recall_precision(judged, n).collect()}
     assert got == {5: (0.5, 0.4), 6: (0.0, 0.0)}
+
+
+def test_only_checked_and_valid_documents_are_published(spark):
+    from lexiframe.operators.validate import only_valid
+
+    segments = spark.createDataFrame(
+        [(1, "body", 1), (2, "body", 7), (3, "body", 1), (4, "body", 1), (4, "notes", 1), (None, "body", 1)],
+        "doc_id bigint, section string, article_number bigint",
+    )
+    report = spark.createDataFrame(
+        [(1, "body", True), (3, "body", None), (4, "body", True)], "doc_id bigint, section string, is_valid boolean"
+    )
+    assert [r.doc_id for r in only_valid(segments, report).collect()] == [1]

@@ -102,7 +102,7 @@ def test_no_pages(spark, tmp_path):
 
 
 def test_archives_are_valid_records(spark, tmp_path):
-    warc.write_archives(spark.createDataFrame([(1, "http://a/b?c", "hello")], PAGES), str(tmp_path / "w"))
+    warc.write_archives(spark.createDataFrame([(1, "http://a/b?c", "hello")], PAGES).coalesce(1), str(tmp_path / "w"))
     (name,) = (tmp_path / "w").glob("*.gz")
     data = gzip.open(name).read()
     assert data.startswith(b"WARC/1.1\r\nWARC-Type: request\r\n") and data.endswith(b"\r\n\r\n")

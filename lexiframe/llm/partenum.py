@@ -9,13 +9,17 @@ empty contents count, which meet in buckets that grow with the table.)  A set ne
 also signs in the band below, for its smaller partners.  Sets with too few non-empty ranges make
 their bands sign once more with other ranges, until none is left, so the join is exact.
 
-Candidates are then verified on whole sets.  Equal sets are one class from the start.  No list of
-candidate pairs is made: a bucket ties its members to its smallest, its centre.  All tied sets are
-sorted by their least centre and cut into blocks of bounded cost, so most candidates are within one
-block.  A block is compared with itself; members of a centre that lie in several blocks are compared
-with those in the centre's first block, and then only where two blocks are not yet one component.
-A task holds at most two blocks, counts common shingles of all its sets and returns a spanning forest
-of the links.
+Candidates are then verified.  Equal sets are one class from the start.  No list of candidate pairs
+is made: a bucket ties its members to its smallest, its centre.  All tied sets are sorted by their
+least centre and cut into blocks of bounded cost, so most candidates are within one block.  A block is
+compared with itself; members of a centre that lie in several blocks are compared with those in the
+centre's first block, and then only where two blocks are not yet one component.  A task holds at most
+two blocks and returns a spanning forest.
+
+This is done twice.  First with a short parity sketch per set: a shingle flips one bit, so sketches
+never differ in more bits than their sets differ in shingles, and pairs that differ too much are
+certainly not linked.  Documents that only share a passage go here, without their texts.  The
+components of what is left are compared once more on whole texts, counting common shingles exactly.
 
 Defined results: null or empty texts have no shingles and no links; documents with fewer words than a
 shingle have one; null ids take part as rows and are ignored in minima; repeated ids are rows of their
@@ -24,6 +28,8 @@ own; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,6 +45,8 @@ BAND_STEPS = 3  # a band spans (100 / percent) ** 3
 BLOCK_COST = 1 << 19  # shingles of a block
 ANCHOR_STEPS = 3
 LEAST_COST = 512  # of a set, so that a block has about a thousand sets at most
+LEAST_BITS = 64  # of a sketch
+SKETCH_ROWS = 256  # sketches compared at once with those of similar size
 RARE = 64  # shingles in more sets of a block are counted by matrix products
 
 
@@ -115,20 +123,31 @@ def set_key(hashes: np.ndarray) -> tuple[int, int]:
     return tuple(np.array(sums, np.uint64).view(np.int64).tolist())
 
 
-SET_TYPE = "doc_id bigint, n bigint, k1 bigint, k2 bigint, sigs array<bigint>, thin array<int>"
+def parity_sketch(hashes: np.ndarray) -> bytes:
+    """Parities of the set's numbers of shingles in cells, a power of two that reaches its size.
+
+    Halves of a sketch combined by XOR are the sketch with half as many cells.
+    """
+    bits = max(LEAST_BITS, 1 << max(0, len(hashes) - 1).bit_length())
+    cells = (hashes & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(cells, minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+SET_TYPE = "doc_id bigint, n bigint, k1 bigint, k2 bigint, sigs array<bigint>, thin array<int>, bits binary"
 
 
 def _signed_sets(docs: DataFrame, words: int, percent: int, salt: int = 0, only=None) -> DataFrame:
-    """A row per document: size, 128-bit key of its set, signatures, thin bands."""
+    """A row per document: size, 128-bit key of its set, signatures, thin bands, sketch."""
 
     def run(batches):
         signer = Signer(percent, salt, only)
         for batch in batches:
-            sizes, keys, sigs, thin = [], [], [], []
+            sizes, keys, sigs, thin, bits = [], [], [], [], []
             for text in texts_of(batch.column(1)):
                 hashes = shingle_hashes(words_of(text), words)
                 sizes.append(len(hashes))
                 keys.append(set_key(hashes))
+                bits.append(parity_sketch(hashes))
                 own, bands = signer.sign(hashes)
                 sigs.append(own)
                 thin.append(bands)
@@ -143,8 +162,9 @@ def _signed_sets(docs: DataFrame, words: int, percent: int, salt: int = 0, only=
                     pa.array(key[:, 1].copy()),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
                     pa.array(thin, pa.list_(pa.int32())),
+                    pa.array(bits, pa.binary()),
                 ],
-                ["doc_id", "n", "k1", "k2", "sigs", "thin"],
+                ["doc_id", "n", "k1", "k2", "sigs", "thin", "bits"],
             )
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, SET_TYPE)
@@ -185,7 +205,36 @@ def linked_sets(sets: list[np.ndarray], side: np.ndarray, percent: int) -> np.nd
     close &= np.triu(np.ones((many, many), bool), 1)
     if len(np.unique(side)) > 1:
         close &= side[:, None] != side[None, :]
-    one, two = np.nonzero(close)
+    return _least_members(many, *np.nonzero(close))
+
+
+def close_sets(sizes: np.ndarray, bits: list[bytes], side: np.ndarray, percent: int) -> np.ndarray:
+    """As ``linked_sets``, over pairs whose sketches do not rule out a link."""
+    lengths, most = np.array([len(b) for b in bits], np.int64), 1 << (-(-100 // percent) - 1).bit_length()
+    ones, twos = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    across = len(np.unique(side)) > 1
+    for length in np.unique(lengths):  # smaller partners; larger ones are folded to this length
+        here = np.flatnonzero((lengths >= length) & (lengths <= length * most))
+        here = here[np.argsort(sizes[here], kind="stable")]
+        size, own = sizes[here], int((lengths[here] == length).sum())
+        end = np.searchsorted(size, size[own - 1] * 100 // percent, "right")
+        here, size = here[:end], size[:end]
+        folded = [np.bitwise_xor.reduce(np.frombuffer(bits[i], np.uint8).reshape(-1, length), axis=0) for i in here]
+        signs = 1 - 2 * np.unpackbits(np.array(folded), axis=1).astype(np.float32)
+        for at in range(0, own, SKETCH_ROWS):
+            last = min(own, at + SKETCH_ROWS)
+            end = np.searchsorted(size, size[last - 1] * 100 // percent, "right")
+            differ = (8 * length - signs[at:last] @ signs[at:end].T) / 2
+            close = differ * (100 + percent) <= (100 - percent) * (size[at:last, None] + size[None, at:end])
+            if across:
+                close &= side[here[at:last], None] != side[None, here[at:end]]
+            one, two = np.nonzero(np.triu(close, 1))
+            ones.append(here[at + one])
+            twos.append(here[at + two])
+    return _least_members(len(bits), np.concatenate(ones), np.concatenate(twos))
+
+
+def _least_members(many: int, one: np.ndarray, two: np.ndarray) -> np.ndarray:
     least = np.arange(many)
     while True:
         low = np.minimum(least[one], least[two])
@@ -198,7 +247,26 @@ def linked_sets(sets: list[np.ndarray], side: np.ndarray, percent: int) -> np.nd
         least = after
 
 
-def _block_links(tasks: DataFrame, wanted: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _forest(uid: np.ndarray, least: np.ndarray) -> pa.Table:
+    moved = np.flatnonzero(least != np.arange(len(least)))
+    return pa.table({"a": uid[least[moved]], "b": uid[moved]})
+
+
+def _sketch_links(tasks: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: spanning forest of the possible links within every task of ``tasks(uid, i, j, side)``."""
+
+    def run(table: pa.Table) -> pa.Table:
+        uid, place = np.unique(table.column("uid").to_numpy(), return_index=True)
+        sizes, sides = table.column("n").to_numpy()[place], table.column("side").to_numpy()[place]
+        bits = table.column("bits").take(pa.array(place)).to_pylist()
+        return _forest(uid, close_sets(sizes, bits, sides, percent))
+
+    tasks = checkpointed(tasks, "tasks")
+    rows = signed.select("uid", "n", "bits").join(checked_broadcast(tasks), "uid")
+    return rows.groupBy("i", "j").applyInArrow(run, "a bigint, b bigint")
+
+
+def _text_links(tasks: DataFrame, wanted: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """``a, b``: spanning forest of the links within every task of ``tasks(uid, i, j, side)``.
 
     Texts travel to the tasks, which compress better than their hashes.  ``wanted`` has the id and
@@ -217,9 +285,9 @@ def _block_links(tasks: DataFrame, wanted: DataFrame, docs: DataFrame, words: in
                     sides.append(side)
         uid, place = np.unique(np.array(uids, np.int64), return_index=True)
         least = linked_sets([sets[i] for i in place], np.array(sides, np.int64)[place], percent)
-        moved = np.flatnonzero(least != np.arange(len(least)))
-        return pa.table({"a": uid[least[moved]], "b": uid[moved]})
+        return _forest(uid, least)
 
+    wanted = wanted.drop("n")
     tasks = checkpointed(tasks.join(wanted.withColumnRenamed("doc_id", "__id"), "uid"), "tasks")
     rows = docs.select("doc_id", "text").join(checked_broadcast(tasks), F.col("doc_id").eqNullSafe(F.col("__id")))
     rows = rows.select("uid", "k1", "k2", "side", "i", "j", "text")
@@ -236,15 +304,17 @@ def _cross_tasks(members: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def _candidate_links(ties: DataFrame, wanted: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links ``(a, b)`` that connect all linked sets among the candidates of ``ties(a, b)``."""
+def _candidate_links(ties: DataFrame, sizes: DataFrame, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links ``(a, b)`` that connect all linked sets among the candidates of ``ties(a, b)``.
+
+    ``sizes(uid, n)`` has every tied set; ``compare`` gives the links within each of its tasks.
+    """
     members = checkpointed(ties.select("a", F.col("b").alias("uid")).union(ties.select("a", "a")).distinct(), "members")
     up = members.select("a", F.col("a").alias("up")).distinct()
     for _ in range(ANCHOR_STEPS):  # the least centre, then the least centre of its centres, and so on
         anchors = members.join(up, "a").groupBy("uid").agg(F.min("up").alias("anchor"))
         anchors = checkpointed(anchors, "anchors")
         up = anchors.select(F.col("uid").alias("a"), F.col("anchor").alias("up"))
-    wanted, sizes = wanted.drop("n"), wanted.select("uid", "n")
     cost = F.greatest("n", F.lit(LEAST_COST)).alias("cost")
     anchors = anchors.join(sizes, "uid").select("uid", "anchor", cost, F.lit(0).alias("all"))
     placed = prefix_sums(anchors, ["all"], ["anchor", "uid"], "cost", "placed")
@@ -257,7 +327,7 @@ def _candidate_links(ties: DataFrame, wanted: DataFrame, docs: DataFrame, words:
     wide = checkpointed(spans.select(F.col("a").alias("of")).distinct(), "wide")
     members = checkpointed(members.join(checked_broadcast(wide), F.col("a") == F.col("of"), "left_semi"), "spanning")
     star = spans.where("block <> first").select("a", F.col("first").alias("i"), F.col("block").alias("j"))
-    links = checkpointed(_block_links(itself.union(_cross_tasks(members, star)), wanted, docs, words, percent), "links")
+    links = checkpointed(compare(itself.union(_cross_tasks(members, star))), "links")
     rest = spans.where("block <> first and blocks > 2").select("a", "block")
     if rest.isEmpty():
         return links
@@ -269,7 +339,7 @@ def _candidate_links(ties: DataFrame, wanted: DataFrame, docs: DataFrame, words:
     one = (F.col("lo") == F.col("hi")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo") == F.col("lo2"))
     pairs = known.withColumnRenamed("block", "i").join(other, "a").where(F.col("i") < F.col("j")).where(~one)
     pairs = checkpointed(pairs.select("a", "i", "j"), "pairs")
-    return checkpointed(links.union(_block_links(_cross_tasks(members, pairs), wanted, docs, words, percent)), "links")
+    return checkpointed(links.union(compare(_cross_tasks(members, pairs))), "links")
 
 
 def link_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -322,12 +392,18 @@ def link_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
         .select("a", F.col("uid").alias("b"))
     )
     ties = checkpointed(ties.distinct(), "ties")
-    wanted = ties.select(F.col("a").alias("uid")).union(ties.select("b")).distinct()
-    wanted = checkpointed(wanted, "wanted")
-    wanted = checkpointed(members.join(checked_broadcast(wanted), "uid").select("uid", "doc_id", "k1", "k2", "n"), "wanted")
     parts = None
     if not ties.isEmpty():
-        parts = components(_candidate_links(ties, wanted, docs, words, percent), "parts")
+        tied = checkpointed(ties.select(F.col("a").alias("uid")).union(ties.select("b")).distinct(), "tied")
+        sizes = checkpointed(members.select("uid", "n").join(checked_broadcast(tied), "uid"), "sizes")
+        parts = components(_candidate_links(ties, sizes, lambda t: _sketch_links(t, signed, percent)), "possible")
+        ties = checkpointed(parts.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")), "ties")
+    if not ties.isEmpty():
+        wanted = checkpointed(parts.select(F.col("node").alias("uid")), "wanted")
+        wanted = members.join(checked_broadcast(wanted), "uid").select("uid", "doc_id", "k1", "k2", "n")
+        wanted = checkpointed(wanted, "wanted")
+        links = _candidate_links(ties, wanted.select("uid", "n"), lambda t: _text_links(t, wanted, docs, words, percent))
+        parts = components(links, "parts")
     if parts is None:
         return members.select(
             "doc_id", F.col("n").alias("n_shingles"), F.col("class_id").alias("component_id"), "class_id"

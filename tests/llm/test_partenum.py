@@ -157,3 +157,22 @@ def test_hashes_are_of_sets_of_runs():
     assert len(shingle_hashes(words, 2)) == 2 and len(shingle_hashes(words, 9)) == 1
     assert len(shingle_hashes([], 4)) == 0
     assert (shingle_hashes(words_of("Ü x".encode()), 4) != shingle_hashes(words_of("ü x".encode()), 4)).all()
+
+
+def test_sketches_rule_out_no_link():
+    """Every linked pair is a possible link, folded or not; sets without common shingles are not."""
+    rng = np.random.default_rng(2)
+    for percent in (40, 60, 80, 85):
+        for size in [1, 2, 3, 5, 9, 31, 33, 60, 64, 65, 100, 257, 1000]:
+            for other in {size, -(-size * percent // 100), size * 9 // 10 + 1}:
+                same = -(-percent * (size + other) // (100 + percent))
+                if same > min(size, other):
+                    continue
+                pool = rng.integers(0, 1 << 63, size + other - same, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+                sets = [pool[:size], pool[size - same :]]
+                bits, sizes = [partenum.parity_sketch(s) for s in sets], np.array([size, other])
+                assert partenum.close_sets(sizes, bits, np.zeros(2, int), percent).tolist() == [0, 0]
+                assert partenum.close_sets(sizes, bits, np.arange(2), percent).tolist() == [0, 0]
+    apart = [rng.integers(0, 1 << 63, 200, dtype=np.uint64) for _ in range(50)]
+    bits = [partenum.parity_sketch(s) for s in apart]
+    assert partenum.close_sets(np.full(50, 200), bits, np.zeros(50, int), 80).tolist() == list(range(50))

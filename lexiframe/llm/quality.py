@@ -81,7 +81,7 @@ class Features:
     def of(self, text: bytes | None) -> np.ndarray:
         words = (text or b"").split()
         if not words:
-            return np.empty(0, np.int64)
+            return np.empty(0, np.int32)
         if len(self.ids) > self.most:
             self._forget()
         number = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
@@ -92,7 +92,7 @@ class Features:
         grams = [word, _mix(word[:-1] * np.uint64(31) + word[1:]), shape + np.uint64(1)]
         grams += [_mix(shape[:-1] * np.uint64(37) + shape[1:])]
         grams += [_mix((shape[:-2] * np.uint64(41) + shape[1:-1]) * np.uint64(43) + shape[2:])]
-        return np.unique((np.concatenate(grams) & np.uint64(self.mask)).astype(np.int64))
+        return np.unique((np.concatenate(grams) & np.uint64(self.mask)).astype(np.int32))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -111,19 +111,20 @@ def log_count_ratios(rows: list[np.ndarray], labels: np.ndarray, size: int, smoo
 def dual_descent(rows, labels, ratios, size, epochs=EPOCHS, cost=COST, seed=1) -> tuple[np.ndarray, float]:
     """Weights and bias of the hinge-loss model on scaled indicators of unit length.
 
+    Rows are scaled when they are visited, as copies of all would double the task's memory.
     One dual variable per row, kept between 0 and ``cost`` (times the class's weight); each step
     solves for one of them exactly and moves the weights along its row.
     """
     sign = np.where(labels == 1, 1.0, -1.0)
     share = np.array([np.mean(labels == 0), np.mean(labels == 1)])
     most = cost * 0.5 / np.maximum(share, 1e-9)[labels]
-    scaled = [ratios[r] for r in rows]
-    scaled = [v / max(np.sqrt(v @ v), 1e-12) for v in scaled]
+    lengths = [max(np.sqrt(ratios[r] @ ratios[r]), 1e-12) for r in rows]
     weights, bias, alpha = np.zeros(size), 0.0, np.zeros(len(rows))
     order = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in order.permutation(len(rows)):
-            buckets, x = rows[i], scaled[i]
+            buckets = rows[i]
+            x = ratios[buckets] / lengths[i]
             slope = sign[i] * (weights[buckets] @ x + bias) - 1
             step = min(max(alpha[i] - slope / (2.0 if len(x) else 1.0), 0.0), most[i])
             if step != alpha[i]:

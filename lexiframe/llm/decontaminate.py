@@ -6,9 +6,11 @@ weigh most, and the passages of a bounded sample of documents stays distributed,
 Spark jobs, and only factors of fixed size reach the driver.  Pieces are searched in blocks no larger
 than the rank, so the space holds them nearly whole.  Every window of every document is projected and
 compared with every piece of the block; as both steps are linear, a table of bounded size has a word's
-part in each comparison.  The cosine at which a window becomes a candidate is scaled by the lengths,
-so that a window that holds a piece and much else still is one.  Candidates are checked on the words: the longest common subsequence must hold most of the
-piece, or much of it and the words of its answer (its last sentence), which catches paraphrases.
+part in each comparison.  Parts below zero count as zero, so the words that a window shares with a
+piece reach the sum of their parts whatever else stands there; a window is a candidate from the least
+sum that enough words of the piece can have, so no window that passes the check is left out.
+Candidates are checked on the words: the longest common subsequence must hold most of the piece, or
+much of it and the words of its answer (its last sentence), which catches paraphrases.
 
 Defined results: null or empty texts contain nothing; items of fewer than ``min_words`` words match
 nothing (they would match clean documents); repeated items and repeated documents each have rows of
@@ -40,7 +42,7 @@ BLOCK = RANK  # item pieces searched at once
 PIECE_WEIGHT = 30.0  # of an item piece among the passages
 MIN_WORDS = 8
 LEAST_IDF = 0.05
-ESTIMATE = 0.55  # share of a piece's own projection that a candidate window reaches
+ROUNDING = 1e-4  # of sums in single precision
 LCS = 0.8
 PARAPHRASE = 0.6
 CHUNK = 1 << 14  # words projected at once
@@ -198,12 +200,27 @@ def latent_space(rows: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int =
 def comparison_table(pieces, space: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Buckets x pieces: a word's part in the projection of its window onto a piece.
 
-    The unit is the piece's own projection, so a window that holds a piece reaches about 1.
+    The unit is the piece's own projection, so a window that holds a piece reaches about 1.  No part
+    is below zero.
     """
     project = (space * idf[:, None]).astype(np.float32)
     ids = WordIds(len(idf))
     own = np.array([project[ids.of(words)].sum(0) for _, _, words, _ in pieces], np.float32)
-    return project @ (own / np.maximum((own**2).sum(1, keepdims=True), 1e-9)).T
+    table = project @ (own / np.maximum((own**2).sum(1, keepdims=True), 1e-9)).T
+    return np.maximum(table, 0, out=table)
+
+
+def least_estimates(pieces, table: np.ndarray, share: float) -> np.ndarray:
+    """Per piece the smallest estimate of a window that holds ``share`` of its words.
+
+    That is the sum over the words with the smallest parts; other words of the window add nothing
+    negative.
+    """
+    ids, out = WordIds(len(table)), np.zeros(len(pieces), np.float32)
+    for number, (_, _, words, _) in enumerate(pieces):
+        parts = np.sort(table[ids.of(words), number].astype(np.float64))
+        out[number] = parts[: math.ceil(share * len(words))].sum() * (1 - ROUNDING)
+    return out
 
 
 class Searcher:
@@ -211,6 +228,7 @@ class Searcher:
 
     def __init__(self, pieces, table: np.ndarray, parameters: dict):
         self.pieces, self.table, self.ids, self.p = pieces, table, WordIds(len(table)), parameters
+        self.least = least_estimates(pieces, table, min(parameters["paraphrase"], parameters["lcs"]))
 
     def estimates(self, words: list[bytes]) -> np.ndarray:
         """Windows x pieces."""
@@ -233,11 +251,13 @@ class Searcher:
             return []
         found = self.estimates(words)
         best: dict = {}
-        for window, number in zip(*np.nonzero(found >= self.p["estimate"]), strict=True):
+        last = -1
+        for window, number in zip(*(x.tolist() for x in np.nonzero(found >= self.least)), strict=True):
             item, piece, own, answer = self.pieces[number]
-            start = int(window) * self.p["step"]
-            part = words[start : start + self.p["window"]]
-            there = set(part)
+            start = window * self.p["step"]
+            if window != last:
+                part = words[start : start + self.p["window"]]
+                there, last = set(part), window
             if sum(word in there for word in own) < self.p["paraphrase"] * len(own):
                 continue  # no subsequence is longer than that
             common = common_subsequence(own, part)
@@ -259,7 +279,6 @@ def find_leaks(
     benchmark: DataFrame,
     rank: int = RANK,
     min_words: int = MIN_WORDS,
-    estimate: float = ESTIMATE,
     lcs: float = LCS,
     paraphrase: float = PARAPHRASE,
     block: int = BLOCK,
@@ -288,7 +307,7 @@ def find_leaks(
         .withColumn("row", F.monotonically_increasing_id() - F.lit(1 << 62)),
         "passages",
     )
-    parameters = {"step": STEP, "window": WINDOW, "estimate": estimate, "lcs": lcs, "paraphrase": paraphrase}
+    parameters = {"step": STEP, "window": WINDOW, "lcs": lcs, "paraphrase": paraphrase}
     out = None
     for number in range(blocks := math.ceil(count / block)):
         mine = pieces.where(F.pmod(F.xxhash64("row"), F.lit(blocks)) == number) if blocks > 1 else pieces

@@ -83,6 +83,27 @@ def test_search_finds_what_brute_force_finds(spark, seed):
     assert len(have) >= 0.97 * len(want)
 
 
+def test_paraphrases_without_their_rare_words_are_found(spark):
+    """The 40% of an item's words that weigh most are replaced, its answer is kept."""
+    rng = random.Random(5)
+    common, docs, items = [f"c{i}" for i in range(60)], [], []
+    for i in range(40):
+        rare = [f"r{i}x{j}" for j in range(12)]
+        body = rng.sample(common, 15) + rare
+        rng.shuffle(body)
+        answer = rng.sample(common, 4)
+        items.append((i, " ".join(body) + ". " + " ".join(answer)))
+        changed = [f"n{rng.randrange(9000)}" if w in rare else w for w in body]
+        changed[-1] += "."
+        filler = [rng.choice(common) if rng.random() < 0.4 else f"f{rng.randrange(5000)}" for _ in range(200)]
+        at = rng.randrange(200)
+        docs.append((i, " ".join(filler[:at] + changed + answer + filler[at:])))
+    docs += [(100 + i, " ".join(rng.choices(common, k=150))) for i in range(60)]
+    want = brute_force(docs, items)
+    have = {(r["doc_id"], r["item_id"]) for r in found(spark, docs, items)}
+    assert len(want) >= 30 and have == want
+
+
 def test_recall_on_given_tables(spark, data_dir):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data_dir}/documents.parquet").collect()]
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{data_dir}/benchmark.parquet").collect()]

@@ -8,9 +8,9 @@ Two scores per document, both over its lower-cased words and one end:
   equal mass.  Attention over the subwords before gives the distribution of the next class; counts of
   subwords, and of pairs within words, give the subword within its class.
 
-The model is trained in numpy on windows that every training document gives, one per
-``TRAIN_EVERY`` words, so training follows the input; tasks train on their own windows and the
-parameters are averaged after each round.  Scoring cuts a document into blocks; a block and the block
+The model is trained in numpy on every block of every training document, its start and end included,
+with the same passes at every size; tasks train on their own windows and the parameters are averaged
+after each round.  Scoring cuts a document into blocks; a block and the block
 before it are one context window, in which all queries of many blocks are answered by batched masked
 attention, so windows overlap by half and every token is scored once.
 
@@ -45,13 +45,12 @@ GROUPS = 6  # of symbols that stand in the same windows
 TRUST = 4.0  # pseudo-counts with which a class's shares enter its pair counts
 BLOCK = 16
 WIDTH = 16
-TRAIN_EVERY = 512
-ROUNDS = 3
-WINDOWS_PER_TASK = 40_000
+PIECE_BLOCKS = 64  # blocks of a row of training text
+ROUNDS = 1  # passes over all training text
+WINDOWS_PER_TASK = 1 << 18
+HELD = 1 << 14  # windows that a task shuffles at once
 BATCH = 256
 RATE = 0.01
-WINDOWS_SEEN = 200_000  # a task with fewer windows goes over them again, PASSES times at most
-PASSES = 20
 SCORED_AT_ONCE = 128  # blocks
 SLICE = 256  # documents tokenised before they are scored
 
@@ -192,7 +191,7 @@ def symbol_table(counts: np.ndarray, begins: np.ndarray, ends: int, symbols: int
     return {"mass": mass, "begins": np.append(begins, True), "symbol": symbol, "symbols": symbols}
 
 
-def symbol_groups(windows: DataFrame, symbols: int = SYMBOLS, groups: int = GROUPS) -> np.ndarray:
+def symbol_groups(pieces: DataFrame, shared, symbols: int = SYMBOLS, groups: int = GROUPS) -> np.ndarray:
     """Group of every symbol by the windows it stands in (texts of a language, say).
 
     Counts of pairs of symbols in a window, over all windows, give a similarity; its leading
@@ -200,20 +199,20 @@ def symbol_groups(windows: DataFrame, symbols: int = SYMBOLS, groups: int = GROU
     """
 
     def run(batches):
-        found = np.zeros((symbols, symbols), np.float32)
-        for batch in batches:
-            rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int16).reshape(-1, 2 * BLOCK)
-            for at in range(0, len(rows), 4096):
-                some = rows[at : at + 4096]
-                there = np.zeros((len(some), symbols + 3), np.float32)
-                there[np.arange(len(some))[:, None], some] = 1
-                found += there[:, :symbols].T @ there[:, :symbols]
+        table, side = shared.value["symbol"], symbols + 1
+        found = np.zeros(side * side, np.int64)
+        one, other = np.triu_indices(2 * BLOCK)
+        for rows, _ in window_chunks(batches, table, 4096):
+            rows = np.sort(np.minimum(rows, symbols).astype(np.int32), axis=1)
+            rows[:, 1:][rows[:, 1:] == rows[:, :-1]] = symbols  # a symbol counts once in a window
+            found += np.bincount((rows[:, one] * side + rows[:, other]).ravel(), minlength=len(found))
+        found = found.reshape(side, side)[:symbols, :symbols]
+        found = (found + np.triu(found, 1).T).ravel()
         some = np.flatnonzero(found)
-        n = found.ravel()[some].astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n)], ["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(found[some])], ["cell", "n"])
 
     pairs = np.zeros(symbols * symbols)
-    counted = windows.select("key", "symbols").mapInArrow(run, "cell bigint, n bigint")
+    counted = pieces.select("first", "ids").mapInArrow(run, "cell bigint, n bigint")
     for cell, n in counted.groupBy("cell").agg(F.sum("n")).collect():  # symbols squared at most
         pairs[cell] = n
     pairs = pairs.reshape(symbols, symbols)
@@ -392,102 +391,126 @@ def gradients(p: dict, symbols: np.ndarray, kinds: np.ndarray) -> tuple[float, d
     return float(loss), g
 
 
-def train_locally(p: dict, symbols: np.ndarray, kinds: np.ndarray, rate: float = RATE) -> dict:
-    """Adam over windows in the given order, with falling speed."""
+def piece_windows(ids: np.ndarray, first: bool, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of symbols and the ids to predict (-1: padding) of a piece of ``training_pieces``."""
+    body = ids if first else ids[BLOCK + 1 :]
+    count = -(-len(body) // BLOCK)
+    past, ahead = np.full((count + 1) * BLOCK, PAD, np.int16), np.full(count * BLOCK, -1, np.int32)
+    if first:
+        past[BLOCK] = START
+        past[BLOCK + 1 : BLOCK + len(body)] = symbol[body[:-1]]
+    else:
+        past[: BLOCK + len(body)] = symbol[ids[:-1]]
+    ahead[: len(body)] = body
+    past = past.reshape(-1, BLOCK)
+    return np.concatenate([past[:-1], past[1:]], 1), ahead.reshape(-1, BLOCK)
+
+
+def id_type(ids: int):
+    """How pieces store ids below ``ids``."""
+    return np.dtype("<u2" if ids <= 1 << 16 else "<i4")
+
+
+def window_chunks(batches, symbol: np.ndarray, most: int = HELD):
+    """Windows of batches of ``first, ids``, about ``most`` at once."""
+    held, size, kind = [], 0, id_type(len(symbol))
+    for batch in batches:
+        for first, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            held.append(piece_windows(np.frombuffer(ids, kind), first, symbol))
+            size += len(held[-1][0])
+            if size >= most:
+                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                held, size = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def train_locally(p: dict, chunks, steps: int, rate: float = RATE) -> tuple[dict, int]:
+    """Adam over chunks of windows and kinds, with speed that falls over ``steps``; also their number."""
     p = {n: v.copy() for n, v in p.items()}
     first, second = ({n: np.zeros_like(v) for n, v in p.items()} for _ in range(2))
-    steps = max(1, -(-len(symbols) // BATCH))
-    for step in range(steps):
-        some = slice(step * BATCH, (step + 1) * BATCH)
-        _, g = gradients(p, symbols[some], kinds[some])
-        speed = rate * (1 - step / steps * 0.9)
+    step = seen = 0
+    for symbols, kinds in _batches(chunks):
+        _, g = gradients(p, symbols, kinds)
+        speed = rate * (1 - min(1, step / steps) * 0.9)
         for n in p:
             first[n] += 0.1 * (g[n] - first[n])
             second[n] += 0.01 * (g[n] ** 2 - second[n])
             m, s = first[n] / (1 - 0.9 ** (step + 1)), second[n] / (1 - 0.99 ** (step + 1))
             p[n] -= (speed * m / (np.sqrt(s) + 1e-8)).astype(np.float32)
-    return p
-
-
-def training_windows(docs: DataFrame, shared, ranks) -> DataFrame:
-    """``key, symbols, ids``: symbols of two blocks and the ids that follow those of the second.
-
-    A document gives one window, and one more per ``TRAIN_EVERY`` words, from a place that its
-    checksum decides.  The window at a document's start has no first block.
+        step, seen = step + 1, seen + len(symbols)
+    return p, seen
+
+
+def _batches(chunks):
+    """``BATCH`` windows at a time, each chunk in random order; what is left goes with the next chunk."""
+    rng, left = np.random.default_rng(0), None
+    for chunk in chunks:
+        if left is not None:
+            chunk = tuple(np.concatenate(x) for x in zip(left, chunk, strict=True))
+        order = rng.permutation(len(chunk[0]))
+        whole = len(order) // BATCH * BATCH
+        for at in range(0, whole, BATCH):
+            some = order[at : at + BATCH]
+            yield chunk[0][some], chunk[1][some]
+        left = tuple(x[order[whole:]] for x in chunk)
+    if left is not None and len(left[0]):
+        yield left
+
+
+def training_pieces(docs: DataFrame, end: int, ranks, most: int = PIECE_BLOCKS) -> DataFrame:
+    """``first, ids``: subwords and end of every document, in rows of at most ``most`` blocks.
+
+    All rows of a document but the first begin with the ``BLOCK + 1`` ids before them.
     """
 
     def run(batches):
-        symbol, lexicon = shared.value["symbol"], Lexicon(subword_encoder(ranks.value))
-        end = len(symbol) - 1
+        lexicon, kind = Lexicon(subword_encoder(ranks.value)), id_type(end + 1)
         for batch in batches:
-            keys, symbols, targets = [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-                words = words_of(text)
-                spare = max(1, min(TRAIN_EVERY, len(words) - BLOCK))
-                for at in range(key % spare, max(1, len(words)), TRAIN_EVERY):
-                    some = words[at : at + 2 * BLOCK + 1]
-                    ids = lexicon.subwords(lexicon.of(some))
-                    if at + len(some) == len(words):
-                        ids = np.append(ids, end).astype(np.int32)
-                    window, ahead = np.full(2 * BLOCK, PAD, np.int16), np.full(BLOCK, -1, np.int32)
-                    if at == 0:
-                        ids = ids[:BLOCK]
-                        window[BLOCK] = START
-                        window[BLOCK + 1 : BLOCK + len(ids)] = symbol[ids[:-1]]
-                        ahead[: len(ids)] = ids
-                    else:
-                        ids = ids[: 2 * BLOCK + 1]
-                        window[: len(ids) - 1] = symbol[ids[:-1]]
-                        ahead[: max(0, len(ids) - BLOCK - 1)] = ids[BLOCK + 1 :]
-                    keys.append(key)
-                    symbols.append(window.tobytes())
-                    targets.append(ahead.tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(symbols, pa.binary()), pa.array(targets, pa.binary())],
-                ["key", "symbols", "ids"],
-            )
+            for at in range(0, batch.num_rows, SLICE):
+                firsts, rows = [], []
+                for text in texts_of(batch.column(0).slice(at, SLICE)):
+                    ids = np.append(lexicon.subwords(lexicon.of(words_of(text))), end).astype(kind)
+                    for start in range(0, len(ids), most * BLOCK):
+                        firsts.append(start == 0)
+                        rows.append(ids[max(0, start - BLOCK - 1) : start + most * BLOCK].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(firsts, pa.bool_()), pa.array(rows, pa.binary())], ["first", "ids"])
 
-    rows = docs.select(F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("key"), "text")
-    return rows.mapInArrow(run, "key bigint, symbols binary, ids binary")
+    return docs.select("text").mapInArrow(run, "first boolean, ids binary")
 
 
-def train(windows: DataFrame, kinds: np.ndarray, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """Parameters averaged over tasks after every round; tasks follow the number of windows."""
-    count = windows.count()
+def dealt_pieces(pieces: DataFrame, tasks: int) -> DataFrame:
+    """The rows written in ``tasks`` parts."""
+    return checkpointed(pieces.repartition(tasks, "ids").sortWithinPartitions("ids"), "pieces")
+
+
+def train(pieces: DataFrame, shared, steps: int, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+    """Parameters averaged over tasks after every round; every round is one pass over all windows."""
     values = flat(new_parameters())
-    if not count:
-        return unflat(values)
-    parts = -(-count // WINDOWS_PER_TASK)
-    dealt = checkpointed(windows.repartition(parts, "symbols", "ids").sortWithinPartitions("key", "symbols", "ids"), "windows")
-    spark = windows.sparkSession
-    kind_of = np.append(kinds, -1).astype(np.int64)  # id -1 is not scored
+    spark = pieces.sparkSession
     for turn in range(rounds):
-        shared = spark.sparkContext.broadcast((values, kind_of))
+        started = spark.sparkContext.broadcast(values)
         rate = RATE / (1 + turn)
 
-        def run(batches, shared=shared, rate=rate):
-            start, kind = shared.value
-            symbols, ids = [], []
-            for batch in batches:
-                symbols += batch.column(1).to_pylist()
-                ids += batch.column(2).to_pylist()
-            if not ids:
-                return
-            rows = np.frombuffer(b"".join(symbols), np.int16).reshape(-1, 2 * BLOCK)
-            ahead = kind[np.frombuffer(b"".join(ids), np.int32).reshape(-1, BLOCK)]
-            rng, passes = np.random.default_rng(len(rows)), max(1, min(PASSES, WINDOWS_SEEN // len(rows)))
-            order = np.concatenate([rng.permutation(len(rows)) for _ in range(passes)])
-            new = flat(train_locally(unflat(start), rows[order], ahead[order], rate)).astype(np.float64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(new) + 1)), pa.array(np.append(new, 1.0) * len(rows))], ["at", "x"]
-            )
+        def run(batches, started=started, rate=rate):
+            t = shared.value
+            kind_of = np.append(t["kind"], -1).astype(np.int64)  # id -1 is not scored
+            chunks = ((symbols, kind_of[ahead]) for symbols, ahead in window_chunks(batches, t["symbol"]))
+            p, seen = train_locally(unflat(started.value), chunks, steps, rate)
+            if seen:
+                new = flat(p).astype(np.float64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(len(new) + 1)), pa.array(np.append(new, 1.0) * seen)], ["at", "x"]
+                )
 
-        got = dealt.mapInArrow(run, "at bigint, x double").groupBy("at").agg(F.sum("x")).collect()
+        got = pieces.select("first", "ids").mapInArrow(run, "at bigint, x double").groupBy("at").agg(F.sum("x")).collect()
         total = np.zeros(len(values) + 1)
         for at, x in got:  # one row per parameter
             total[at] = x
+        if not total[-1]:
+            break
         values = (total[:-1] / total[-1]).astype(np.float32)
-        shared.unpersist()
+        started.unpersist()
     return unflat(values)
 
 
@@ -607,11 +630,13 @@ def lm_scores(docs: DataFrame, train_on, tokenizer: str = TOKENIZER, known_words
     begins = np.array([t.startswith(b" ") for t, _ in sorted(ranks.value.items(), key=lambda x: x[1])])
     base = symbol_table(found, begins, ends)
     shared = spark.sparkContext.broadcast(base)
-    windows = checkpointed(training_windows(training, shared, ranks), "windows")
-    tables = subword_tables(base, symbol_groups(windows))
+    count = int(found.sum()) // BLOCK + ends  # windows, at most
+    tasks = max(1, -(-count // WINDOWS_PER_TASK))
+    pieces = dealt_pieces(training_pieces(training, len(base["symbol"]) - 1, ranks), tasks)
+    tables = subword_tables(base, symbol_groups(pieces, shared))
     shared = spark.sparkContext.broadcast(tables)
     tables = tables | {"pairs": pair_table(encoded, shared, tables)}
-    parameters = train(windows, tables["kind"])
+    parameters = train(pieces, shared, max(1, count // tasks // BATCH))
     known_n = known.column(1).to_numpy()
     least = int(known_n.min()) if len(known_n) else None
     model = spark.sparkContext.broadcast(

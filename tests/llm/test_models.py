@@ -212,3 +212,22 @@ def test_gradients_equal_differences():
             down = lm.gradients(p, symbols, kinds)[0]
             flat[at] = old
             assert np.asarray(g[name]).reshape(-1)[at] == pytest.approx((up - down) / 2e-5, rel=1e-3, abs=1e-6)
+
+
+def test_every_block_of_every_document_is_trained(spark):
+    """The pieces give the windows that scoring gives, starts and ends included, at any length."""
+    ranks = spark.sparkContext.broadcast(lm.read_ranks(lm.TOKENIZER))
+    symbol = (np.arange(len(ranks.value) + 1) % lm.SYMBOLS).astype(np.int16)
+    scorer = lm.Scorer(lm.new_parameters(1), toy_tables() | {"symbol": symbol, "kind": np.zeros(len(symbol), np.int16)})
+    lexicon = lm.Lexicon(lm.subword_encoder(ranks.value))
+    texts = [None, "", *(" ".join(f"w{i * j}" for i in range(n)) for j, n in enumerate([1, 7, 16, 17, 300, 3000]))]
+    want = Counter()
+    for text in texts:
+        ids = lexicon.subwords(lexicon.of(lm.words_of(text.encode() if text else None)))
+        want.update((s.tobytes(), a.tobytes()) for s, a in zip(*scorer.blocks(ids), strict=True))
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    pieces = lm.training_pieces(docs, len(symbol) - 1, ranks, most=4).toArrow()
+    have = Counter()
+    for symbols, ahead in lm.window_chunks(pieces.to_batches(), symbol, 10):
+        have.update((s.tobytes(), a.tobytes()) for s, a in zip(symbols, ahead, strict=True))
+    assert have == want and sum(want.values()) > 300

@@ -480,8 +480,10 @@ def training_pieces(docs: DataFrame, end: int, ranks, most: int = PIECE_BLOCKS)
 
 
 def dealt_pieces(pieces: DataFrame, tasks: int) -> DataFrame:
-    """The rows written in ``tasks`` parts."""
-    return checkpointed(pieces.repartition(tasks, "ids").sortWithinPartitions("ids"), "pieces")
+    """The rows written in ``tasks`` parts, dealt by their number: equal rows go to many parts."""
+    numbered = pieces.withColumn("row", F.monotonically_increasing_id())
+    dealt = numbered.repartition(tasks, F.xxhash64("row")).sortWithinPartitions("row")
+    return checkpointed(dealt.select("first", "ids"), "pieces")
 
 
 def train(pieces: DataFrame, shared, steps: int, rounds: int = ROUNDS) -> dict[str, np.ndarray]:

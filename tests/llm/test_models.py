@@ -231,3 +231,19 @@ def test_every_block_of_every_document_is_trained(spark):
     for symbols, ahead in lm.window_chunks(pieces.to_batches(), symbol, 10):
         have.update((s.tobytes(), a.tobytes()) for s, a in zip(symbols, ahead, strict=True))
     assert have == want and sum(want.values()) > 300
+
+
+def test_copies_of_a_text_are_dealt_to_many_tasks(spark):
+    pieces = spark.range(4000).selectExpr("true as first", "cast('same text' as binary) as ids")
+    dealt = lm.dealt_pieces(pieces, 8)
+    assert dealt.columns == ["first", "ids"] and dealt.count() == 4000
+    sizes = [r["count"] for r in dealt.groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 700
+
+
+def test_training_holds_a_bounded_number_of_windows(monkeypatch):
+    """One group of equal windows passes through a task in batches."""
+    seen = []
+    monkeypatch.setattr(lm, "gradients", lambda p, s, k: (seen.append(len(s)), (0.0, p))[1])
+    chunks = ((np.zeros((300, 2 * lm.BLOCK), np.int16), np.zeros((300, lm.BLOCK), np.int64)) for _ in range(20))
+    assert lm.train_locally(lm.new_parameters(1), chunks, 20)[1] == sum(seen) == 6000 and max(seen) == lm.BATCH

@@ -65,7 +65,7 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = checkpointed(media.text_media(read_table(spark, sf_dir, "documents")), "media")
-    return media.media_features(stored, with_tiles=False).drop("tiles")
+    return media.media_features(stored)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

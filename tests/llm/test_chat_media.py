@@ -171,3 +171,19 @@ def test_difference_hash_sees_direction():
     assert media.difference_hash(ramp) == "f" * 16
     assert media.difference_hash(ramp[:, ::-1]) == "0" * 16
     assert len(media.tiles(ramp)) == 4 and np.load(io.BytesIO(media.tiles(ramp)[0])).shape == (16, 16)
+
+
+def test_query_writes_the_tiles_of_every_document(spark):
+    from lexiframe.llm.queries import op8_media
+
+    folder = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    rows = op8_media(spark, folder).select("doc_id", "tiles").collect()
+    assert len(rows) == len(texts) > 0
+    for row in rows:
+        text = (texts[row["doc_id"]] or "").encode()
+        payload = text + bytes(-len(text) % media.WIDTH or (0 if text else media.WIDTH))
+        image = np.frombuffer(payload, np.uint8).reshape(-1, media.WIDTH)
+        want = media.tiles(image)
+        assert [bytes(t) for t in row["tiles"]] == want and len(want) >= 1
+        assert all(np.load(io.BytesIO(t)).shape == (media.TILE, media.TILE) for t in want)

@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiframe.llm import chat, decontaminate, line_dedup, lm, media, mixing, partenum, quality, sharding, warc
+from lexiframe.llm import (
+    centroids,
+    chat,
+    decontaminate,
+    line_dedup,
+    lm,
+    media,
+    mixing,
+    partenum,
+    phrases,
+    quality,
+    sharding,
+    simhash,
+    warc,
+)
 from lexiframe.llm.common import crc_mod
 from lexiframe.session import checkpointed, scratch_path
 from lexiframe.sources.tables import read_table
@@ -78,6 +92,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -91,6 +117,9 @@ QUERIES = {
         op8_media,
         op9_decontamination,
         op10_mixing,
+        op11_centroid_clustering,
+        op12_simhash,
+        op13_phrase_mining,
     )
 }
 
@@ -211,10 +240,77 @@ FROM documents d LEFT JOIN sizes USING (doc_id)
 JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)
 """
 
+
+
+def _op11() -> str:
+    """Lists of integers per vector; every round assigns by list functions and groups by component."""
+    steps = ["""
+kept AS (
+    SELECT row_number() OVER () AS row_id, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
+    FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (
+    SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v AS m FROM kept
+    ORDER BY sha256('1:' || vec_id), v LIMIT 16)"""]
+    for i in range(4):
+        steps.append(f"""
+d{i} AS (
+    SELECT row_id, c, list_sum(list_transform(range(1, 65), lambda i: (v[i] - m[i]) * (v[i] - m[i])))::BIGINT AS distance
+    FROM kept, c{i}),
+a{i} AS (
+    SELECT row_id, min(distance)::BIGINT AS distance, arg_min(c, distance * 16 + c)::INT AS cluster FROM d{i} GROUP BY row_id)""")
+        if i < 3:
+            steps.append(f"""
+s{i} AS (
+    SELECT cluster, i, sum(v[i])::HUGEINT AS total, count(*)::HUGEINT AS members
+    FROM a{i} JOIN kept USING (row_id), range(1, 65) AS r(i) GROUP BY ALL),
+c{i + 1} AS (
+    SELECT c, coalesce(n.m, c{i}.m) AS m FROM c{i} LEFT JOIN (
+        SELECT cluster, list(((total - ((total % members) + members) % members) // members)::BIGINT ORDER BY i) AS m
+        FROM s{i} GROUP BY cluster) n ON n.cluster = c)""")
+    return "WITH " + ",".join(steps) + """
+SELECT vec_id, cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia,
+       sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM kept JOIN a3 USING (row_id) JOIN c3 ON c = cluster
+"""
+
+
+_OP13 = """
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents),
+lists AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM lists GROUP BY lang),
+grams AS (
+    SELECT lang, k AS words, array_to_string(w[i : i + k - 1], ' ') AS phrase
+    FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM lists, range(1, 6) AS s(k) WHERE len(w) >= k)),
+found AS (SELECT lang, words, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (
+    SELECT lang, words, phrase, f AS a, k, array_to_string(string_split(phrase, ' ')[:k], ' ') AS p,
+           array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS q
+    FROM (SELECT *, unnest(range(1, words)) AS k FROM found WHERE words > 1)),
+scored AS (
+    SELECT c.lang, c.words, c.phrase, a, k, x.f AS l, y.f AS r, n,
+           ((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+    FROM cuts c JOIN found x ON x.lang = c.lang AND x.phrase = p JOIN found y ON y.lang = c.lang AND y.phrase = q
+    JOIN totals t ON t.lang = c.lang),
+best AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (
+    SELECT * FROM best b WHERE NOT EXISTS (
+        SELECT 1 FROM best o WHERE o.lang = b.lang AND o.words > b.words AND 100 * o.a >= 100 * b.a
+           AND contains(' ' || o.phrase || ' ', ' ' || b.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept QUALIFY rank <= 2000
+"""
+
 ORACLES = {
     "op1_line_dedup": _OP1,
     "op5_warc": _OP5,
     "op6_chat": _OP6,
     "op7_jaccard_join": _OP7,
     "op10_mixing": _OP10,
+    "op11_centroid_clustering": _op11(),
+    "op13_phrase_mining": _OP13,
 }

@@ -34,150 +34,159 @@ from lexiframe.session import checkpointed, scratch_path
 
 LEAST = 100
 LONGEST = 5
-SHARDS = 3
+SHARDS = 2
 TOP = 2000
 PERCENT = 100
 SLOTS = 1 << 23  # bytes of the broadcast table
-CHUNK_WORDS = 1 << 20
-CHUNK_BYTES = 1 << 26  # of the distinct words of a chunk
+CHUNK_BYTES = 1 << 24  # of the texts of a chunk; one longer text is a chunk of its own
+CHUNK_LANGS = 64
 CUT = b"\xff"  # stands for the end of a piece; no byte of a UTF-8 text
-_ENDS = bytes(CUT[0] if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
 UNKNOWN = "und"
 
-COUNTED = "slot int, lang binary, phrase binary, words int, start int, count bigint"
+#: Lower case and one byte for all ends of pieces; what is left of white space is space and tab.
+_PLAIN = bytes(CUT[0] if c in b".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
+_SPACED = b" " + CUT + b" "
 
+COUNTED = "key binary, tag int, count bigint"  # key: language, CUT, phrase; tag: 8 * first step + words
 
-def pieces_and_words(text: bytes | None) -> list[bytes]:
-    """Lower-cased words of a text with ``CUT`` between pieces."""
-    if not text:
-        return []
-    out = []
-    for piece in text.lower().translate(_ENDS).split(CUT):
-        out += filter(None, piece.replace(b"\t", b" ").split(b" "))
-        out.append(CUT)
+
+def plain_text(text: bytes | None) -> bytes:
+    """Text in lower case with ``CUT`` as a word between pieces and after the last one."""
+    return (text or b"").translate(_PLAIN).replace(CUT, _SPACED) + _SPACED
+
+
+def phrase_hashes(longest: int, own: np.ndarray) -> np.ndarray:
+    """Hash of a phrase from the hashes of its words, as tasks build it word by word."""
+    out = own[0]
+    for length in range(2, longest + 1):
+        out = longer_hash(out, own[length - 1], length)
     return out
 
 
-class _Words(dict):
-    """Numbers of one language's words within a chunk; ``CUT`` is 0."""
+def longer_hash(shorter: np.ndarray, last: np.ndarray, length: int) -> np.ndarray:
+    return mixed(mixed(shorter ^ np.uint64(length)) ^ last)
 
-    def __init__(self, chunk: _Chunk, lang: bytes):
-        super().__init__({CUT: 0})
-        self.chunk, self.lang = chunk, lang
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = self.chunk.add(self.lang, word)
-        return number
+def word_hashes(lang: bytes, words) -> np.ndarray:
+    """Hashes of words of a language."""
+    begin = lang + CUT
+    return np.fromiter((xxhash.xxh3_64_intdigest(begin + w) for w in words), np.uint64, len(words))
 
 
 class _Chunk:
-    """Words of some texts as numbers; counts the active phrases among them."""
-
-    def __init__(self, marks: np.ndarray, step: int, shards: int, longest: int):
-        self.marks, self.step, self.shards, self.longest = marks, step, shards, longest
-        self.clear()
-
-    def clear(self) -> None:
-        self.langs, self.by_lang = [b""], {}
-        self.words, self.ids, self.held, self.bytes = [b""], [np.zeros(1, np.int64)], 0, 0
-
-    def add(self, lang: bytes, word: bytes) -> int:
-        self.langs.append(lang)
-        self.words.append(word)
-        self.bytes += len(word)
-        return len(self.words) - 1
-
-    def put(self, lang: bytes, text: bytes | None) -> None:
-        words = pieces_and_words(text)
-        known = self.by_lang.get(lang)
-        if known is None:
-            known = self.by_lang[lang] = _Words(self, lang)
-        self.ids.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
-        self.held += len(words)
-
-    @property
-    def full(self) -> bool:
-        return self.held >= CHUNK_WORDS or self.bytes >= CHUNK_BYTES
-
-    def _slots(self, hashes: np.ndarray) -> np.ndarray:
-        return (hashes & np.uint64(len(self.marks) - 1)).astype(np.int64)
-
-    def _rows(self, at, numbers, length, start, hashes, counts) -> pa.RecordBatch:
-        """Rows for the phrases of ``length`` words that begin ``at`` places of ``numbers``."""
-        words = pa.array(self.words, pa.binary())
-        parts = [words.take(pa.array(numbers[at + i])) for i in range(length)]
+    """Texts of one language as numbers of words; counts the active phrases among them."""
+
+    def __init__(self, lang: bytes, marks: np.ndarray, step: int, shards: int, longest: int):
+        self.lang, self.marks, self.step, self.shards, self.longest = lang, marks, step, shards, longest
+        self.texts, self.size = [], 0
+
+    def put(self, text: bytes | None) -> None:
+        self.texts.append(plain_text(text))
+        self.size += len(self.texts[-1])
+
+    def _rows(self, words, first, numbers, length, start, counts) -> pa.RecordBatch:
+        """Rows for the phrases of ``length`` words that begin at the places ``first`` of ``numbers``."""
+        parts = [words.take(pa.array(numbers[first + i])) for i in range(length)]
+        begin = pa.scalar(self.lang + CUT, pa.binary())
         phrase = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())) if length > 1 else parts[0]
-        lang = pa.array(self.langs, pa.binary()).take(pa.array(numbers[at]))
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(self._slots(hashes).astype(np.int32)),
-                lang,
-                phrase,
-                pa.array(np.full(len(at), length, np.int32)),
-                pa.array(start.astype(np.int32)),
-                pa.array(counts.astype(np.int64)),
-            ],
-            ["slot", "lang", "phrase", "words", "start", "count"],
-        )
+        key = pc.binary_join_element_wise(begin, phrase, pa.scalar(b"", pa.binary()))
+        tag = pa.array((start.astype(np.int32) * 8 + length).astype(np.int32))
+        return pa.RecordBatch.from_arrays([key, tag, pa.array(counts.astype(np.int64))], ["key", "tag", "count"])
 
     def counts(self):
         """Batches of ``COUNTED`` rows; forgets the texts."""
-        ids = np.concatenate([*self.ids, np.zeros(self.longest, np.int64)])
-        own = np.fromiter(
-            (xxhash.xxh3_64_intdigest(lang + CUT + word) for lang, word in zip(self.langs, self.words, strict=True)),
-            np.uint64,
-            len(self.words),
-        )
-        hashes, code = own[ids], ids
-        mark = np.where(ids > 0, self.marks[self._slots(hashes)], 0)
+        whole = b"".join(self.texts)
+        self.texts, self.size = [], 0
+        bounds = pa.py_buffer(np.array([0, len(whole)], np.int32))
+        one = pa.Array.from_buffers(pa.string(), 1, [None, bounds, pa.py_buffer(whole)])
+        coded = pc.ascii_split_whitespace(one).flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.binary())
+        numbers = coded.indices.to_numpy()
+        filled = pc.and_(pc.not_equal(words, pa.scalar(CUT)), pc.greater(pc.binary_length(words), 0)).to_numpy(zero_copy_only=False)
         if self.step < self.shards:
-            seen = np.bincount(ids, minlength=len(self.words))
-            seen[0] = 0
+            seen = np.bincount(numbers, minlength=len(words)) * filled
             there = np.flatnonzero(seen)
-            # at most one number a word: the table of numbers is its own text
-            yield self._rows(there, np.arange(len(self.words)), 1, np.zeros(len(there)), own[there], seen[there])
-            for lang, known in self.by_lang.items():
-                total = int(sum(seen[i] for i in known.values()))
-                yield pa.RecordBatch.from_pylist(
-                    [{"slot": 0, "lang": lang, "phrase": b"", "words": 0, "start": 0, "count": total}],
-                    pa.schema([("slot", pa.int32()), ("lang", pa.binary()), ("phrase", pa.binary()),
-                               ("words", pa.int32()), ("start", pa.int32()), ("count", pa.int64())]),
-                )
+            yield self._rows(words, there, np.arange(len(words)), 1, np.zeros(len(there)), seen[there])
+            yield pa.RecordBatch.from_pylist(
+                [{"key": self.lang + CUT, "tag": 0, "count": int(seen.sum())}],
+                pa.schema([("key", pa.binary()), ("tag", pa.int32()), ("count", pa.int64())]),
+            )
+        if not self.step:
+            return
+        own, mask = word_hashes(self.lang, words.to_numpy(zero_copy_only=False)), np.uint64(len(self.marks) - 1)
+        known = self.marks[own & mask] * filled  # first step of a word's extensions, 0 while there is none
+        mark = known[numbers]
+        at = np.flatnonzero(mark)
+        mark, code = mark[at], numbers[at].astype(np.int64)
+        hashes = own[code]
         for length in range(2, self.longest + 1):
-            at = np.flatnonzero((mark[:-1] > 0) & (mark[1:] > 0))
-            at = at[at + length <= len(ids)]
-            start = np.maximum(mark[at], mark[at + 1])
-            longer = mixed(hashes[at] ^ np.uint64(length)) ^ own[ids[at + length - 1]]
-            longer = mixed(longer)
-            next_mark = self.marks[self._slots(longer)]
-            counted = self.step < start.astype(np.int64) + self.shards
-            needed = counted | (next_mark > 0)
-            at, start, longer, next_mark, counted = (x[needed] for x in (at, start, longer, next_mark, counted))
-            key = (code[at] << 32) | ids[at + length - 1]
-            _, first, number, many = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-            pick = counted[first]
+            pair = np.flatnonzero(at[1:] - at[:-1] == 1)
+            start = np.maximum(mark[pair], mark[pair + 1])
+            at, last = at[pair], numbers[at[pair] + length - 1]
+            longer = longer_hash(hashes[pair], own[last], length)
+            following = self.marks[longer & mask]
+            counted = self.step < start.astype(np.int32) + self.shards
+            needed = np.flatnonzero(counted | (following > 0))
+            key = (code[pair[needed]] << 32) | last[needed]
+            _, first, code, many = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+            pick = counted[needed[first]]
             if pick.any():
-                some = first[pick]
-                yield self._rows(at[some], ids, length, start[some], longer[some], many[pick])
-            mark, code, hashes = np.zeros_like(mark), np.zeros_like(code), np.zeros_like(hashes)
-            mark[at], code[at], hashes[at] = next_mark, number, longer
-        self.clear()
+                some = needed[first[pick]]
+                yield self._rows(words, at[some], numbers, length, start[some], many[pick])
+            on = following[needed] > 0  # the others have no extension yet
+            at, mark, hashes, code = at[needed][on], following[needed][on], longer[needed][on], code[on]
 
 
 def _shard_counts(shard: DataFrame, marks, step: int, shards: int, longest: int) -> DataFrame:
     """Counts of the phrases active in this step, one row per chunk and phrase."""
 
     def run(batches):
-        chunk = _Chunk(np.frombuffer(marks.value, np.uint8), step, shards, longest)
+        chunks: dict[bytes, _Chunk] = {}
+        table = np.frombuffer(marks.value, np.uint8)
         for batch in batches:
             for lang, text in zip(texts_of(batch.column(0)), texts_of(batch.column(1)), strict=True):
-                chunk.put(lang, text)
-                if chunk.full:
-                    yield from chunk.counts()
-        yield from chunk.counts()
+                if lang not in chunks:
+                    if len(chunks) >= CHUNK_LANGS:  # of any number of languages a few wait for more texts
+                        for chunk in chunks.values():
+                            yield from chunk.counts()
+                        chunks = {}
+                    chunks[lang] = _Chunk(lang, table, step, shards, longest)
+                chunks[lang].put(text)
+                if chunks[lang].size >= CHUNK_BYTES:
+                    yield from chunks.pop(lang).counts()
+                elif sum(c.size for c in chunks.values()) >= 2 * CHUNK_BYTES:
+                    for chunk in chunks.values():
+                        yield from chunk.counts()
+                    chunks = {}
+        for chunk in chunks.values():
+            yield from chunk.counts()
+
+    return shard.select("lang", "text").mapInArrow(run, COUNTED)
+
+
+def _named(totals: DataFrame, slots: int) -> DataFrame:
+    """``lang, phrase, words, count, slot`` of counted rows."""
 
-    counts = shard.select("lang", "text").mapInArrow(run, COUNTED)
-    return counts.withColumns({"lang": F.col("lang").cast("string"), "phrase": F.col("phrase").cast("string")})
+    def run(batches):
+        for batch in batches:
+            keys = [k.partition(CUT) for k in batch.column("key").to_pylist()]
+            found = []
+            for lang, _, phrase in keys:
+                words = phrase.split(b" ") if phrase else []
+                found.append(int(phrase_hashes(len(words), word_hashes(lang, words)) & np.uint64(slots - 1)) if words else 0)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([k[0] for k in keys], pa.binary()),
+                    pa.array([k[2] for k in keys], pa.binary()),
+                    pa.array(batch.column("tag").to_numpy() % 8, pa.int32()),
+                    batch.column("count"),
+                    pa.array(found, pa.int32()),
+                ],
+                ["lang", "phrase", "words", "count", "slot"],
+            )
+
+    rows = totals.select("key", "tag", "count").mapInArrow(run, "lang binary, phrase binary, words int, count bigint, slot int")
+    return rows.withColumns({"lang": F.col("lang").cast("string"), "phrase": F.col("phrase").cast("string")})
 
 
 def frequent_phrases(
@@ -187,8 +196,8 @@ def frequent_phrases(
 
     A row of 0 words per language has the number of all its word occurrences.
     """
-    if slots & (slots - 1) or shards * longest > 250:
-        raise ValueError("slots must be a power of two and shards * longest at most 250")
+    if slots & (slots - 1) or shards * longest > 250 or longest > 7:
+        raise ValueError("slots must be a power of two, longest at most 7 and shards * longest at most 250")
     spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
     path = scratch_path(spark, "shards")
     texts = docs.select(
@@ -199,28 +208,30 @@ def frequent_phrases(
     texts.write.partitionBy("shard").parquet(path)
     schema = "lang string, text string, shard int"
     marks, running, done, step, last = np.zeros(slots, np.uint8), None, [], 0, 0
+    words, start = F.col("tag") % 8, F.floor(F.col("tag") / 8)
     while step < shards or step < last + shards:
         shard = spark.read.schema(schema).parquet(path).where(F.col("shard") == step % shards)
         sent = sc.broadcast(marks.tobytes())
         counts = _shard_counts(shard, sent, step, shards, longest)
         if running is not None:
             counts = counts.unionByName(running)
-        keys = ["slot", "lang", "phrase", "words", "start"]
-        totals = checkpointed(counts.groupBy(*keys).agg(F.sum("count").alias("count")), f"step{step}")
+        # a key has one row per chunk at most, so it is dealt out first and added up once
+        totals = counts.repartition("key").groupBy("key", "tag").agg(F.sum("count").alias("count"))
+        totals = checkpointed(totals, f"step{step}")
         sent.unpersist()
-        over = totals.where((F.col("count") >= least) & F.col("words").between(1, longest - 1)).select("slot").distinct()
-        found = over.toArrow().column(0).to_numpy()  # numbers below ``slots``
+        over = totals.where((F.col("count") >= least) & words.between(1, longest - 1))
+        found = _named(over, slots).select("slot").distinct().toArrow().column(0).to_numpy()  # numbers below ``slots``
         found = found[marks[found] == 0]
         marks[found] = step + 1
         last = step + 1 if len(found) else last
-        ended = F.col("start") <= step + 1 - shards
-        done.append(totals.where(ended & ((F.col("count") >= least) | (F.col("words") == 0))))
+        ended = start <= step + 1 - shards
+        done.append(totals.where(ended & ((F.col("count") >= least) | (words == 0))))
         running = totals.where(~ended)
         step += 1
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return checkpointed(out.select("lang", "phrase", "words", "count"), "frequent")
+    return checkpointed(_named(out, slots).drop("slot"), "frequent")
 
 
 def _exact(column: str) -> Column:

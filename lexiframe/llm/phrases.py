@@ -3,17 +3,18 @@
 The corpus is dealt into ``SHARDS`` shards, scanned in turn and again from the first one.  A phrase is
 active from the step after both of its subphrases (without the last, without the first word) have
 reached the threshold, whatever the other phrases of its length do, and is counted for one full cycle
-from then on.  So phrases of all lengths are counted in the same scans, and every count that is kept is
-the exact count over all shards.
+from then on.  So phrases of all lengths are counted in the same scans, each over all shards.
 
-A task learns what has reached the threshold from a table of fixed size, broadcast each step: the slot
-of a phrase's hash holds the step from which its extensions are active.  Phrases that share a slot only
-make others start early; their counts are exact all the same, as a phrase's start follows from the
-slots alone.  Running counts of phrases still in their cycle stay in tables, one per step; those that
-end their cycle below the threshold go.  The driver sees slot numbers only.
+While counting, a phrase is a 56-bit hash with its first step and length, which is all that is
+shuffled.  A task learns what has reached the threshold from a table of fixed size, broadcast each step:
+the slot of a phrase's hash holds the step from which its extensions are active.  Phrases that share a
+slot or a hash can only make each other start early, though never before their own subphrases, or seem
+more frequent; none is missed.  Running
+counts of phrases still in their cycle stay in tables, one per step; those that end their cycle below
+the threshold go.  The driver sees slot numbers only.  A last scan counts, as text, the phrases whose
+slots hold something frequent; so every count that is returned is exact.
 
-Texts are worked on in chunks of bounded words; a chunk identifies phrases by numbers of its own
-(no hash decides equality) and returns one row per phrase, which Spark adds up before shuffling.
+Texts are worked on in chunks of bounded size; a chunk returns one row per phrase.
 
 Defined results: null texts are empty; null languages are ``und``; repeated rows count as often as they
 occur; ids and other columns are ignored; an empty table gives no rows.  Phrases are compared by code
@@ -47,7 +48,9 @@ UNKNOWN = "und"
 _PLAIN = bytes(CUT[0] if c in b".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACED = b" " + CUT + b" "
 
-COUNTED = "key binary, tag int, count bigint"  # key: language, CUT, phrase; tag: 8 * first step + words
+COUNTED = "key bigint, count bigint"  # key: 56 bits of the hash, five of the first step, three of the length
+NAMED = "lang binary, phrase binary, words int, count bigint"
+_HASH = np.uint64(~0xFF & 0xFFFFFFFFFFFFFFFF)
 
 
 def plain_text(text: bytes | None) -> bytes:
@@ -55,14 +58,6 @@ def plain_text(text: bytes | None) -> bytes:
     return (text or b"").translate(_PLAIN).replace(CUT, _SPACED) + _SPACED
 
 
-def phrase_hashes(longest: int, own: np.ndarray) -> np.ndarray:
-    """Hash of a phrase from the hashes of its words, as tasks build it word by word."""
-    out = own[0]
-    for length in range(2, longest + 1):
-        out = longer_hash(out, own[length - 1], length)
-    return out
-
-
 def longer_hash(shorter: np.ndarray, last: np.ndarray, length: int) -> np.ndarray:
     return mixed(mixed(shorter ^ np.uint64(length)) ^ last)
 
@@ -74,119 +69,124 @@ def word_hashes(lang: bytes, words) -> np.ndarray:
 
 
 class _Chunk:
-    """Texts of one language as numbers of words; counts the active phrases among them."""
+    """Texts of one language as numbers of words.
+
+    ``marks`` has, by slot, the first step of extensions, 0 while there is none.
+    """
 
-    def __init__(self, lang: bytes, marks: np.ndarray, step: int, shards: int, longest: int):
-        self.lang, self.marks, self.step, self.shards, self.longest = lang, marks, step, shards, longest
+    def __init__(self, lang: bytes, marks: np.ndarray, longest: int):
+        self.lang, self.marks, self.longest = lang, marks, longest
+        self.shift = np.uint64(64 - (len(marks).bit_length() - 1))
         self.texts, self.size = [], 0
 
     def put(self, text: bytes | None) -> None:
         self.texts.append(plain_text(text))
         self.size += len(self.texts[-1])
 
-    def _rows(self, words, first, numbers, length, start, counts) -> pa.RecordBatch:
-        """Rows for the phrases of ``length`` words that begin at the places ``first`` of ``numbers``."""
-        parts = [words.take(pa.array(numbers[first + i])) for i in range(length)]
-        begin = pa.scalar(self.lang + CUT, pa.binary())
-        phrase = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())) if length > 1 else parts[0]
-        key = pc.binary_join_element_wise(begin, phrase, pa.scalar(b"", pa.binary()))
-        tag = pa.array((start.astype(np.int32) * 8 + length).astype(np.int32))
-        return pa.RecordBatch.from_arrays([key, tag, pa.array(counts.astype(np.int64))], ["key", "tag", "count"])
-
-    def counts(self):
-        """Batches of ``COUNTED`` rows; forgets the texts."""
+    def _coded(self):
+        """Distinct words, number of the word at every place, times of each word (0 for ends), hashes."""
         whole = b"".join(self.texts)
         self.texts, self.size = [], 0
         bounds = pa.py_buffer(np.array([0, len(whole)], np.int32))
         one = pa.Array.from_buffers(pa.string(), 1, [None, bounds, pa.py_buffer(whole)])
         coded = pc.ascii_split_whitespace(one).flatten().dictionary_encode()
-        words = coded.dictionary.cast(pa.binary())
-        numbers = coded.indices.to_numpy()
-        filled = pc.and_(pc.not_equal(words, pa.scalar(CUT)), pc.greater(pc.binary_length(words), 0)).to_numpy(zero_copy_only=False)
-        if self.step < self.shards:
-            seen = np.bincount(numbers, minlength=len(words)) * filled
-            there = np.flatnonzero(seen)
-            yield self._rows(words, there, np.arange(len(words)), 1, np.zeros(len(there)), seen[there])
-            yield pa.RecordBatch.from_pylist(
-                [{"key": self.lang + CUT, "tag": 0, "count": int(seen.sum())}],
-                pa.schema([("key", pa.binary()), ("tag", pa.int32()), ("count", pa.int64())]),
-            )
-        if not self.step:
-            return
-        own, mask = word_hashes(self.lang, words.to_numpy(zero_copy_only=False)), np.uint64(len(self.marks) - 1)
-        known = self.marks[own & mask] * filled  # first step of a word's extensions, 0 while there is none
-        mark = known[numbers]
+        words, numbers = coded.dictionary.cast(pa.binary()), coded.indices.to_numpy()
+        filled = pc.and_(pc.not_equal(words, pa.scalar(CUT)), pc.greater(pc.binary_length(words), 0))
+        times = np.bincount(numbers, minlength=len(words)) * filled.to_numpy(zero_copy_only=False)
+        return words, numbers, times, word_hashes(self.lang, words.to_numpy(zero_copy_only=False))
+
+    def _at(self, table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Entries of the hashes' slots, which are their first bits."""
+        return table[(hashes >> self.shift).astype(np.int64)] if len(table) > 1 else np.repeat(table, len(hashes))
+
+    def step_counts(self, step: int, shards: int):
+        """Batches of ``COUNTED`` rows of the phrases active in this step; forgets the texts."""
+        _, numbers, times, own = self._coded()
+        if step < shards:
+            there = np.flatnonzero(times)
+            yield _counted(own[there], 0, 1, times[there])
+        mark = (self._at(self.marks, own) * (times > 0))[numbers]
         at = np.flatnonzero(mark)
-        mark, code = mark[at], numbers[at].astype(np.int64)
-        hashes = own[code]
+        mark, hashes = mark[at], own[numbers[at]]
+        for length in range(2, self.longest + 1):
+            pair = np.flatnonzero(at[1:] - at[:-1] == 1)
+            start = np.maximum(mark[pair], mark[pair + 1]).astype(np.int64)
+            at = at[pair]
+            longer = longer_hash(hashes[pair], own[numbers[at + length - 1]], length)
+            counted = step < start + shards
+            if counted.any():
+                tag = (start[counted] * 8 + length).astype(np.uint64)
+                yield _counted(*np.unique((longer[counted] & _HASH) | tag, return_counts=True))
+            mark = self._at(self.marks, longer)
+            on = mark > 0
+            # a slot that another phrase marked does not let extensions start before the phrase itself
+            at, mark, hashes = at[on], np.maximum(mark, start)[on], longer[on]
+
+    def exact_counts(self, frequent: np.ndarray):
+        """Batches of ``NAMED`` rows of the phrases whose slot is ``frequent``, and of all words (0 words)."""
+        words, numbers, times, own = self._coded()
+        yield self._rows(words, numbers[:0], numbers, 0, np.array([times.sum()]))
+        there = np.flatnonzero(times * self._at(frequent, own))
+        yield self._rows(words, there, np.arange(len(words)), 1, times[there])
+        at = np.flatnonzero((self._at(self.marks, own) * (times > 0))[numbers])
+        code, hashes = numbers[at].astype(np.int64), own[numbers[at]]
         for length in range(2, self.longest + 1):
             pair = np.flatnonzero(at[1:] - at[:-1] == 1)
-            start = np.maximum(mark[pair], mark[pair + 1])
             at, last = at[pair], numbers[at[pair] + length - 1]
             longer = longer_hash(hashes[pair], own[last], length)
-            following = self.marks[longer & mask]
-            counted = self.step < start.astype(np.int32) + self.shards
-            needed = np.flatnonzero(counted | (following > 0))
-            key = (code[pair[needed]] << 32) | last[needed]
-            _, first, code, many = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-            pick = counted[needed[first]]
-            if pick.any():
-                some = needed[first[pick]]
-                yield self._rows(words, at[some], numbers, length, start[some], many[pick])
-            on = following[needed] > 0  # the others have no extension yet
-            at, mark, hashes, code = at[needed][on], following[needed][on], longer[needed][on], code[on]
-
-
-def _shard_counts(shard: DataFrame, marks, step: int, shards: int, longest: int) -> DataFrame:
-    """Counts of the phrases active in this step, one row per chunk and phrase."""
+            needed = np.flatnonzero(self._at(frequent, longer))  # what has extensions is frequent itself
+            at, longer, last, code = at[needed], longer[needed], last[needed], code[pair][needed]
+            _, first, code, many = np.unique((code << 32) | last, return_index=True, return_inverse=True, return_counts=True)
+            if len(first):
+                yield self._rows(words, at[first], numbers, length, many)
+            on = self._at(self.marks, longer) > 0
+            at, code, hashes = at[on], code[on], longer[on]
+
+    def _rows(self, words, first, numbers, length, counts) -> pa.RecordBatch:
+        """Rows for the phrases of ``length`` words that begin at the places ``first`` of ``numbers``."""
+        parts = [words.take(pa.array(numbers[first + i])) for i in range(length)]
+        space = pa.scalar(b" ", pa.binary())
+        phrase = pc.binary_join_element_wise(*parts, space) if length else pa.array([b""] * len(counts), pa.binary())
+        lang = pa.array([self.lang], pa.binary()).take(pa.array(np.zeros(len(counts), np.int64)))
+        size = pa.array(np.full(len(counts), length, np.int32))
+        return pa.RecordBatch.from_arrays([lang, phrase, size, pa.array(counts.astype(np.int64))], ["lang", "phrase", "words", "count"])
+
+
+def _counted(hashes: np.ndarray, *more) -> pa.RecordBatch:
+    """Rows of hashes that are tagged already, or of hashes with a first step and length."""
+    if len(more) > 1:
+        start, length, counts = more
+        hashes = (hashes & _HASH) | np.uint64(start * 8 + length)
+    else:
+        counts = more[0]
+    return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts.astype(np.int64))], ["key", "count"])
+
+
+def _by_chunk(texts: DataFrame, marks, longest: int, count, schema: str) -> DataFrame:
+    """Rows that ``count`` gives for the chunks of every task."""
 
     def run(batches):
         chunks: dict[bytes, _Chunk] = {}
         table = np.frombuffer(marks.value, np.uint8)
         for batch in batches:
             for lang, text in zip(texts_of(batch.column(0)), texts_of(batch.column(1)), strict=True):
+                if lang not in chunks and len(chunks) >= CHUNK_LANGS:
+                    full = list(chunks)
+                elif sum(c.size for c in chunks.values()) >= 2 * CHUNK_BYTES:
+                    full = list(chunks)
+                elif lang in chunks and chunks[lang].size >= CHUNK_BYTES:
+                    full = [lang]
+                else:
+                    full = []
+                for done in full:
+                    yield from count(chunks.pop(done))
                 if lang not in chunks:
-                    if len(chunks) >= CHUNK_LANGS:  # of any number of languages a few wait for more texts
-                        for chunk in chunks.values():
-                            yield from chunk.counts()
-                        chunks = {}
-                    chunks[lang] = _Chunk(lang, table, step, shards, longest)
+                    chunks[lang] = _Chunk(lang, table, longest)
                 chunks[lang].put(text)
-                if chunks[lang].size >= CHUNK_BYTES:
-                    yield from chunks.pop(lang).counts()
-                elif sum(c.size for c in chunks.values()) >= 2 * CHUNK_BYTES:
-                    for chunk in chunks.values():
-                        yield from chunk.counts()
-                    chunks = {}
         for chunk in chunks.values():
-            yield from chunk.counts()
+            yield from count(chunk)
 
-    return shard.select("lang", "text").mapInArrow(run, COUNTED)
-
-
-def _named(totals: DataFrame, slots: int) -> DataFrame:
-    """``lang, phrase, words, count, slot`` of counted rows."""
-
-    def run(batches):
-        for batch in batches:
-            keys = [k.partition(CUT) for k in batch.column("key").to_pylist()]
-            found = []
-            for lang, _, phrase in keys:
-                words = phrase.split(b" ") if phrase else []
-                found.append(int(phrase_hashes(len(words), word_hashes(lang, words)) & np.uint64(slots - 1)) if words else 0)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([k[0] for k in keys], pa.binary()),
-                    pa.array([k[2] for k in keys], pa.binary()),
-                    pa.array(batch.column("tag").to_numpy() % 8, pa.int32()),
-                    batch.column("count"),
-                    pa.array(found, pa.int32()),
-                ],
-                ["lang", "phrase", "words", "count", "slot"],
-            )
-
-    rows = totals.select("key", "tag", "count").mapInArrow(run, "lang binary, phrase binary, words int, count bigint, slot int")
-    return rows.withColumns({"lang": F.col("lang").cast("string"), "phrase": F.col("phrase").cast("string")})
+    return texts.select("lang", "text").mapInArrow(run, schema)
 
 
 def frequent_phrases(
@@ -196,8 +196,8 @@ def frequent_phrases(
 
     A row of 0 words per language has the number of all its word occurrences.
     """
-    if slots & (slots - 1) or shards * longest > 250 or longest > 7:
-        raise ValueError("slots must be a power of two, longest at most 7 and shards * longest at most 250")
+    if slots & (slots - 1) or shards * longest > 30 or longest > 7:
+        raise ValueError("slots must be a power of two, longest at most 7 and shards * longest at most 30")
     spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
     path = scratch_path(spark, "shards")
     texts = docs.select(
@@ -206,32 +206,57 @@ def frequent_phrases(
         F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int").alias("shard"),
     )
     texts.write.partitionBy("shard").parquet(path)
-    schema = "lang string, text string, shard int"
-    marks, running, done, step, last = np.zeros(slots, np.uint8), None, [], 0, 0
-    words, start = F.col("tag") % 8, F.floor(F.col("tag") / 8)
+    texts = spark.read.schema("lang string, text string, shard int").parquet(path)
+    words, start = F.col("key").bitwiseAND(F.lit(7)), F.shiftright("key", 3).bitwiseAND(F.lit(31))
+    slot = F.shiftrightunsigned("key", 64 - (slots.bit_length() - 1)) if slots > 1 else F.lit(0)
+
+    def slots_of(rows: DataFrame) -> np.ndarray:
+        return rows.select(slot.cast("int").alias("slot")).distinct().toArrow().column(0).to_numpy()  # at most ``slots``
+
+    marks, frequent = np.zeros(slots, np.uint8), np.zeros(slots, np.uint8)
+    running, step, last = None, 0, 0
     while step < shards or step < last + shards:
-        shard = spark.read.schema(schema).parquet(path).where(F.col("shard") == step % shards)
         sent = sc.broadcast(marks.tobytes())
-        counts = _shard_counts(shard, sent, step, shards, longest)
+        now = texts.where(F.col("shard") == step % shards)
+        counts = _by_chunk(now, sent, longest, _Step(step, shards), COUNTED)
         if running is not None:
             counts = counts.unionByName(running)
         # a key has one row per chunk at most, so it is dealt out first and added up once
-        totals = counts.repartition("key").groupBy("key", "tag").agg(F.sum("count").alias("count"))
-        totals = checkpointed(totals, f"step{step}")
+        totals = checkpointed(counts.repartition("key").groupBy("key").agg(F.sum("count").alias("count")), f"step{step}")
         sent.unpersist()
-        over = totals.where((F.col("count") >= least) & words.between(1, longest - 1))
-        found = _named(over, slots).select("slot").distinct().toArrow().column(0).to_numpy()  # numbers below ``slots``
+        reached = totals.where(F.col("count") >= least)
+        found = slots_of(reached.where(words < longest))
         found = found[marks[found] == 0]
         marks[found] = step + 1
         last = step + 1 if len(found) else last
-        ended = start <= step + 1 - shards
-        done.append(totals.where(ended & ((F.col("count") >= least) | (words == 0))))
-        running = totals.where(~ended)
+        frequent[slots_of(reached)] = 1
+        running = totals.where(start > step + 1 - shards)
         step += 1
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return checkpointed(_named(out, slots).drop("slot"), "frequent")
+    sent = sc.broadcast(marks.tobytes())
+    exact = _by_chunk(texts, sent, longest, _Exact(sc.broadcast(frequent.tobytes())), NAMED)
+    exact = exact.repartition("lang", "phrase").groupBy("lang", "phrase", "words").agg(F.sum("count").alias("count"))
+    exact = exact.where((F.col("count") >= least) | (F.col("words") == 0))
+    return checkpointed(exact.withColumns({c: F.col(c).cast("string") for c in ("lang", "phrase")}), "frequent")
+
+
+class _Step:
+    """Counts of a chunk in one step."""
+
+    def __init__(self, step: int, shards: int):
+        self.step, self.shards = step, shards
+
+    def __call__(self, chunk: _Chunk):
+        return chunk.step_counts(self.step, self.shards)
+
+
+class _Exact:
+    """Counts of a chunk's frequent phrases as text."""
+
+    def __init__(self, frequent):
+        self.frequent = frequent
+
+    def __call__(self, chunk: _Chunk):
+        return chunk.exact_counts(np.frombuffer(self.frequent.value, np.uint8))
 
 
 def _exact(column: str) -> Column:

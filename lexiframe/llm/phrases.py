@@ -41,6 +41,8 @@ PERCENT = 100
 SLOTS = 1 << 23  # bytes of the broadcast table
 CHUNK_BYTES = 1 << 24  # of the texts of a chunk; one longer text is a chunk of its own
 CHUNK_LANGS = 64
+HELD_ROWS = 1 << 19  # distinct phrases that a task of the last scan adds up
+TASKS_PER_CORE = 2
 CUT = b"\xff"  # stands for the end of a piece; no byte of a UTF-8 text
 UNKNOWN = "und"
 
@@ -152,6 +154,27 @@ class _Chunk:
         return pa.RecordBatch.from_arrays([lang, phrase, size, pa.array(counts.astype(np.int64))], ["lang", "phrase", "words", "count"])
 
 
+def _summed(batches):
+    """Rows of ``NAMED`` added up within a task, as far as ``HELD_ROWS`` distinct ones."""
+    held, rows = [], 0
+
+    def merged() -> pa.Table:
+        table = pa.Table.from_batches(held).group_by(["lang", "phrase", "words"]).aggregate([("count", "sum")])
+        return table.rename_columns([c.removesuffix("_sum") for c in table.column_names]).select(["lang", "phrase", "words", "count"])
+
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= 2 * HELD_ROWS:
+            table = merged()
+            held, rows = table.to_batches(), table.num_rows
+            if rows >= HELD_ROWS:
+                yield from held
+                held, rows = [], 0
+    if held:
+        yield from merged().to_batches(max_chunksize=1 << 16)
+
+
 def _counted(hashes: np.ndarray, *more) -> pa.RecordBatch:
     """Rows of hashes that are tagged already, or of hashes with a first step and length."""
     if len(more) > 1:
@@ -162,10 +185,13 @@ def _counted(hashes: np.ndarray, *more) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts.astype(np.int64))], ["key", "count"])
 
 
-def _by_chunk(texts: DataFrame, marks, longest: int, count, schema: str) -> DataFrame:
-    """Rows that ``count`` gives for the chunks of every task."""
+def _by_chunk(texts: DataFrame, marks, longest: int, count, schema: str, finish=iter) -> DataFrame:
+    """Rows that ``count`` gives for the chunks of every task, through ``finish``."""
 
     def run(batches):
+        yield from finish(chunk_rows(batches))
+
+    def chunk_rows(batches):
         chunks: dict[bytes, _Chunk] = {}
         table = np.frombuffer(marks.value, np.uint8)
         for batch in batches:
@@ -233,7 +259,9 @@ def frequent_phrases(
         running = totals.where(start > step + 1 - shards)
         step += 1
     sent = sc.broadcast(marks.tobytes())
-    exact = _by_chunk(texts, sent, longest, _Exact(sc.broadcast(frequent.tobytes())), NAMED)
+    # a task returns a row per frequent phrase it meets, so there are as many tasks as keep the cores busy
+    few = texts.coalesce(TASKS_PER_CORE * sc.defaultParallelism)
+    exact = _by_chunk(few, sent, longest, _Exact(sc.broadcast(frequent.tobytes())), NAMED, _summed)
     exact = exact.repartition("lang", "phrase").groupBy("lang", "phrase", "words").agg(F.sum("count").alias("count"))
     exact = exact.where((F.col("count") >= least) | (F.col("words") == 0))
     return checkpointed(exact.withColumns({c: F.col(c).cast("string") for c in ("lang", "phrase")}), "frequent")

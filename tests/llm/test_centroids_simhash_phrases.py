@@ -259,6 +259,7 @@ def test_chunks_do_not_change_counts(spark, monkeypatch):
     whole = sorted(map(tuple, phrases.frequent_phrases(df, least=5).collect()))
     monkeypatch.setattr(phrases, "CHUNK_BYTES", 200)
     monkeypatch.setattr(phrases, "CHUNK_LANGS", 2)
+    monkeypatch.setattr(phrases, "HELD_ROWS", 20)
     assert sorted(map(tuple, phrases.frequent_phrases(df, least=5).collect())) == whole
 
 

@@ -34,26 +34,27 @@ def array_matrix(column, dtype=np.float64) -> np.ndarray:
     return flat.reshape(n, -1)
 
 
+def unit_rows(matrix: np.ndarray) -> np.ndarray:
+    """Rows at length one; zeros stay."""
+    norm = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
+    norm[norm == 0] = 1.0
+    return matrix / norm[:, None]
+
+
 class CosineScorer:
     """Cosine similarity; a zero vector is similar to nothing (0)."""
 
     def __init__(self, query_vector: str, row_vector: str):
         self.query_vector, self.row_vector = query_vector, row_vector
 
-    @staticmethod
-    def _unit(matrix):
-        norm = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
-        norm[norm == 0] = 1.0
-        return matrix / norm[:, None]
-
     def prepare(self, queries):
-        return self._unit(array_matrix(queries.column(self.query_vector)))
+        return unit_rows(array_matrix(queries.column(self.query_vector)))
 
     def rows_per_step(self, state):
         return max(1, _VALUES_PER_STEP // max(state.shape[1], 1))
 
     def load(self, state, batch):
-        return self._unit(array_matrix(batch.column(self.row_vector)))
+        return unit_rows(array_matrix(batch.column(self.row_vector)))
 
     def score(self, state, rows, lo, hi):
         return state[lo:hi] @ rows.T
@@ -106,7 +107,7 @@ def _order_codes(values: np.ndarray) -> np.ndarray:
     return np.unique(values, return_inverse=True)[1] if values.dtype == object else values
 
 
-def _keep_best(rows, scores, ids, k):
+def keep_best(rows, scores, ids, k):
     """Best k entries per row number, by score descending then id."""
     if rows.size == 0:
         return rows, scores, ids
@@ -119,7 +120,7 @@ def _keep_best(rows, scores, ids, k):
     return rows[kept], scores[kept], ids[kept]
 
 
-def _best_cells(block, k):
+def best_cells(block, k):
     """Mask of the k best cells per row; of equal scores the first columns (smallest ids) stay.
 
     Any number of copies of a row costs one running count, not a sort.
@@ -138,7 +139,7 @@ def _best_cells(block, k):
     return hit
 
 
-def _slices(batches, height):
+def slices(batches, height):
     for batch in batches:
         for start in range(0, batch.num_rows, height):
             yield batch.slice(start, height)
@@ -148,7 +149,7 @@ def best_rows(scorer, state, n_queries, batches, id_column, k):
     """Running best-k over a stream of record batches; memory is one batch plus k per query."""
     best = (np.zeros(0, np.int64), np.zeros(0), None)
     height = scorer.rows_per_step(state)
-    for batch in _slices(batches, height):
+    for batch in slices(batches, height):
         n = batch.num_rows
         if n == 0 or n_queries == 0:
             continue
@@ -163,10 +164,10 @@ def best_rows(scorer, state, n_queries, batches, id_column, k):
         for lo in range(0, n_queries, step):
             hi = min(lo + step, n_queries)
             block = np.round(scorer.score(state, rows, lo, hi), SCORE_DECIMALS)
-            r, c = np.nonzero(_best_cells(block, k))
-            found.append(_keep_best(r + lo, block[r, c], ids[c], k))
+            r, c = np.nonzero(best_cells(block, k))
+            found.append(keep_best(r + lo, block[r, c], ids[c], k))
         parts = found if best[2] is None else [best, *found]
-        best = _keep_best(*(np.concatenate(x) for x in zip(*parts)), k)
+        best = keep_best(*(np.concatenate(x) for x in zip(*parts)), k)
     return best
 
 

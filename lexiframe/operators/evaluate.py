@@ -1,5 +1,8 @@
 """Article categories, related articles and retrieval quality."""
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +34,17 @@ def related_articles(spark, entries=fixed.RELATED_ARTICLES) -> DataFrame:
 
 
 def with_related_terms(df: DataFrame, article: str) -> DataFrame:
-    """Join rows to the terms their article is listed under."""
-    related = related_articles(df.sparkSession).withColumnRenamed("article_number", article)
-    return df.join(related, article)
+    """Rows with each term their article is listed under.
+
+    The lists are a few fixed lines, so their ranges are literals and nothing is joined.
+    """
+    number = F.col(article)
+    listed = []
+    for term, articles in fixed.RELATED_ARTICLES:
+        bounds = [part.strip().split("-") for part in articles.split(",")]
+        within = [number.between(int(b[0]), int(b[-1])) for b in bounds]
+        listed.append(F.when(reduce(or_, within), F.lit(term)))
+    return df.withColumn("term", F.explode(F.array_compact(F.array(*listed))))
 
 
 def judged_hits(hits: DataFrame, judgements: DataFrame) -> DataFrame:

@@ -6,6 +6,10 @@ from pyspark.sql import functions as F
 from lexiframe.functions import fixed
 from lexiframe.session import checkpointed
 
+FEW_IDS = 1 << 17  # distinct ids that are sent to every task
+POPULAR = 1 << 14  # rows that share one id before its text is sent to them
+POPULAR_BYTES = 64 << 20
+
 
 def _weight(weights) -> Column:
     w = F.lit(float(fixed.UNKNOWN_LIST_WEIGHT))
@@ -76,18 +80,38 @@ def default_if_unset(col: Column, default) -> Column:
     return F.coalesce(F.nullif(col, F.lit(0)), F.lit(default))
 
 
-def format_results(fused: DataFrame, chunks: DataFrame) -> DataFrame:
+def hydrate(fused: DataFrame, meta: DataFrame, few: int = FEW_IDS, popular: int = POPULAR) -> DataFrame:
+    """Written ``fused`` rows with the columns of ``meta`` for their chunk id, null where unknown.
+
+    A few distinct ids (counted) are sent to the chunk table, which is read where it lies.  More meet
+    it by id; a table bucketed by id (``BucketedChunks``) is not shuffled for that.  Ids that very many
+    rows share would meet in one task either way, so their texts, few by nature and counted in
+    bytes, are sent to the rows instead.
+    """
+    ids = checkpointed(fused.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("rows")), "ids")
+    if ids.limit(few + 1).count() <= few:
+        meta = meta.join(F.broadcast(ids.select("chunk_id")), "chunk_id", "left_semi")
+    hot = ids.where(F.col("rows") > popular).select("chunk_id")
+    if hot.isEmpty() or hot.limit(few + 1).count() > few:
+        return fused.join(meta, "chunk_id", "left")
+    texts = checkpointed(meta.join(F.broadcast(hot), "chunk_id", "left_semi"), "popular")
+    size = texts.agg(F.sum(F.octet_length("text").cast("bigint")).alias("bytes")).first().bytes or 0
+    sent = F.broadcast(texts) if size <= POPULAR_BYTES else texts
+    shared = fused.join(F.broadcast(hot), "chunk_id", "left_semi").join(sent, "chunk_id", "left")
+    rest = fused.join(F.broadcast(hot), "chunk_id", "left_anti").join(meta, "chunk_id", "left")
+    return rest.unionByName(shared)
+
+
+def format_results(fused: DataFrame, chunks: DataFrame, **limits) -> DataFrame:
     """Late join of the few surviving chunk ids to their text and metadata, with defaults.
 
-    The fused rows are written first: their known size lets the planner broadcast the ids
-    and read matching texts where they lie, instead of shuffling the chunk table.
+    The fused rows are written first, so that the size of what meets the chunk table is known.
     """
     fused = checkpointed(fused, "fused")
     meta = chunks.select(
         "chunk_id", "source", "article_number", "paragraph_number", "chunk_type", "text"
     )
-    wanted = meta.join(fused.select("chunk_id").distinct(), "chunk_id")
-    return fused.join(wanted, "chunk_id", "left").select(
+    return hydrate(fused, meta, **limits).select(
         "query_id",
         "rank",
         "chunk_id",

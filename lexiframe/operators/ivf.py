@@ -72,7 +72,24 @@ def knn_ivf(
         "query_id", F.col("embedding").alias("_qv"), F.explode("cells").alias("cell")
     )
     rows = chunks.select("chunk_id", "cell", F.col("embedding").alias("_cv"))
-    cell_queries = cell_queries or rows_within(queries.select("embedding"), CELL_BYTES)
+    found = knn_cells(placed, rows, k, "query_id", "chunk_id", cell_queries, cell_rows)
+    return rank_within(found, ["query_id"], [F.desc("similarity"), "chunk_id"], k)
+
+
+def knn_cells(
+    placed: DataFrame,
+    rows: DataFrame,
+    k: int,
+    query_id: str,
+    chunk_id: str,
+    cell_queries: int | None = None,
+    cell_rows: int | None = None,
+) -> DataFrame:
+    """Best rows of every query within the parts of its cells, for query sides of any size.
+
+    ``placed(query_id, _qv, cell)`` meets ``rows(chunk_id, _cv, cell)``.
+    """
+    cell_queries = cell_queries or rows_within(placed.select("_qv"), CELL_BYTES)
     cell_rows = cell_rows or rows_within(rows, CELL_BYTES)
 
     def parts(df, size, name):
@@ -87,17 +104,17 @@ def knn_ivf(
         return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
 
     left = placed.join(plan, "cell").select(
-        "query_id", "_qv", "cell", mine("query_id", "_stripes").alias("_stripe"),
+        query_id, "_qv", "cell", mine(query_id, "_stripes").alias("_stripe"),
         every("_columns").alias("_column"),
     )
     right = rows.join(plan, "cell").select(
-        "chunk_id", "_cv", "cell", mine("chunk_id", "_columns").alias("_column"),
+        chunk_id, "_cv", "cell", mine(chunk_id, "_columns").alias("_column"),
         every("_stripes").alias("_stripe"),
     )
     out = T.StructType(
         [
-            T.StructField("query_id", queries.schema["query_id"].dataType),
-            T.StructField("chunk_id", chunks.schema["chunk_id"].dataType),
+            T.StructField(query_id, placed.schema[query_id].dataType),
+            T.StructField(chunk_id, rows.schema[chunk_id].dataType),
             T.StructField("similarity", T.DoubleType()),
         ]
     )
@@ -108,12 +125,11 @@ def knn_ivf(
         if q.num_rows == 0 or c.num_rows == 0:
             return arrow_out.empty_table()
         q = q.combine_chunks()
-        best = best_rows(scorer, scorer.prepare(q), q.num_rows, c.to_batches(8_192), "chunk_id", k)
-        return result_batch(q.column("query_id").combine_chunks(), best, arrow_out)
+        best = best_rows(scorer, scorer.prepare(q), q.num_rows, c.to_batches(8_192), chunk_id, k)
+        return result_batch(q.column(query_id).combine_chunks(), best, arrow_out)
 
     keys = ["cell", "_column", "_stripe"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score_part, out)
-    return rank_within(found, ["query_id"], [F.desc("similarity"), "chunk_id"], k)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score_part, out)
 
 
 def with_cell(chunks: DataFrame, centres: np.ndarray) -> DataFrame:

@@ -1,13 +1,26 @@
 """Keyword search: BM25 ranking, substring search, hybrid list assembly."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lexiframe.functions import fixed
 from lexiframe.functions.text import keyword_tokens
-from lexiframe.functions.topk import Bm25Scorer
+from lexiframe.functions.topk import (
+    SCORE_DECIMALS,
+    Bm25Scorer,
+    keep_best,
+    slices,
+    array_matrix,
+    result_batch,
+    unit_rows,
+)
+from lexiframe.operators.dictionary import ENTRY_BYTES, MAX_BYTES, PatternMatcher
 from lexiframe.operators.substrings import bounded_rows, contained, substring_join
-from lexiframe.operators.topk_join import rank_within, topk_join
+from lexiframe.operators.topk_join import TASKS_PER_CORE, rank_within, topk_join
 from lexiframe.session import checkpointed
 
 BM25_K1 = 1.2
@@ -112,20 +125,70 @@ def search_by_text(
     docs: DataFrame,
     k: int = fixed.VECTOR_TOP_K,
     where=None,
+    max_bytes: int = MAX_BYTES,
 ) -> DataFrame:
     """Documents containing the question, nearest embedding first.
 
-    Only matching pairs are compared; both tables carry ``embedding``.
+    Both tables carry ``embedding``; rows without text or vector take no part.  All questions are found
+    in one pass over a document, in the task that reads it, and each task keeps its best k of a
+    question: matches are never written or shuffled.  Question tables above ``max_bytes`` go in
+    stripes, one scan each.
     """
     if where is not None:
         docs = docs.where(where)
-    pairs = checkpointed(containing(questions, docs), "pairs")
-    scored = (
-        pairs.join(questions.select("query_id", F.col("embedding").alias("_q")), "query_id")
-        .join(docs.select("chunk_id", F.col("embedding").alias("_d")), "chunk_id")
-        .select("query_id", "chunk_id", F.round(cosine("_q", "_d"), 9).alias("similarity"))
+    complete = F.col("embedding").isNotNull()
+    asked = questions.select("query_id", "search_text", "embedding").where(complete & F.col("search_text").isNotNull())
+    asked = checkpointed(asked, "questions")
+    size = F.octet_length("search_text") + 8 * F.size("embedding") + ENTRY_BYTES
+    stripes = -(-(asked.agg(F.sum(size.cast("bigint"))).first()[0] or 0) // max_bytes) or 1
+    docs = docs.select("chunk_id", "text", "embedding").where(complete & F.col("text").isNotNull())
+    found = None
+    for stripe in range(stripes):
+        own = F.pmod(F.xxhash64("query_id", "search_text"), F.lit(stripes)) == stripe
+        hits = _matches_in_place(asked.where(own) if stripes > 1 else asked, docs, k)
+        found = hits if found is None else found.unionByName(hits)
+    return rank_within(found, ["query_id"], [F.desc("similarity"), "chunk_id"], k)
+
+
+def _matches_in_place(asked: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """Up to k rows per question and task: the nearest documents that contain it."""
+    shared = docs.sparkSession.sparkContext.broadcast(asked.toArrow().combine_chunks())
+    out = T.StructType(
+        [
+            T.StructField("query_id", asked.schema["query_id"].dataType),
+            T.StructField("chunk_id", docs.schema["chunk_id"].dataType),
+            T.StructField("similarity", T.DoubleType()),
+        ]
     )
-    return rank_within(scored, ["query_id"], [F.desc("similarity"), "chunk_id"], k)
+    schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in out.fields])
+
+    def run(batches):
+        held = shared.value
+        names = pa.chunked_array(held.column("query_id")).combine_chunks()
+        unit = unit_rows(array_matrix(held.column("embedding"))) if held.num_rows else None
+        matcher = PatternMatcher(held.column("search_text").to_pylist())
+        best = (np.zeros(0, np.int64), np.zeros(0), None)
+        for batch in slices(batches, 1_024):
+            met = [matcher.numbers(t) for t in batch.column("text").to_pylist()]
+            question = np.fromiter((n for m in met for n in m), np.int64)
+            if not len(question):
+                continue
+            row = np.repeat(np.arange(batch.num_rows), [len(m) for m in met])
+            rows = unit_rows(array_matrix(batch.column("embedding")))
+            near = np.concatenate(
+                [
+                    np.einsum("ij,ij->i", unit[question[i : i + 65_536]], rows[row[i : i + 65_536]])
+                    for i in range(0, len(row), 65_536)
+                ]
+            )
+            ids = batch.column("chunk_id").to_numpy(zero_copy_only=False)[row]
+            found = (question, np.round(near, SCORE_DECIMALS), ids)
+            parts = [found] if best[2] is None else [best, found]
+            best = keep_best(*(np.concatenate(x) for x in zip(*parts, strict=True)), k)
+        yield from result_batch(names, best, schema).to_batches(max_chunksize=65_536)
+
+    tasks = TASKS_PER_CORE * docs.sparkSession.sparkContext.defaultParallelism
+    return docs.coalesce(tasks).mapInArrow(run, out)
 
 
 def cosine(a: str, b: str):

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from lexiframe.functions import fixed
 from lexiframe.functions.text import strip
-from lexiframe.operators.substrings import bounded_rows, contained, substring_join
+from lexiframe.operators.dictionary import fired_entries
+from lexiframe.operators.substrings import contained
 
 _LLM_SCHEMA = "legal_search_query string, key_legal_phrases array<string>, _bad string"
 
@@ -23,83 +24,43 @@ def pattern_table(spark, entries=fixed.SPECIAL_REWRITES) -> DataFrame:
 
 
 def expand_terms(
-    questions: DataFrame, terms: DataFrame | None = None, text: str = "message", key="query_id"
+    questions: DataFrame, terms: DataFrame | None = None, text: str = "message", **limits
 ) -> DataFrame:
     """Add ``static_terms``: expansions of every term inside the lower-cased question.
 
     Dictionary order (``prio``, then term), duplicates kept, no word boundaries.  ``matched_terms`` lists the
-    dictionary terms that fired.
+    dictionary terms that fired.  The result belongs to the row, whatever its id.
     """
-    if terms is None:
-        entries = [(t, list(x)) for t, x in fixed.TERM_EXPANSIONS]
-    else:
-        rows = bounded_rows(terms, ["prio", "term", "expansions"])
-        if rows is None:
-            return _expand_terms_joined(questions, terms, text, key)
-        rows = sorted(rows, key=lambda r: (r["prio"], r["term"], r["expansions"]))
-        entries = [(r["term"], r["expansions"]) for r in rows]
-    fired = contained(
-        F.col("_lowered"),
-        [
+    lowered = questions.withColumn("_lowered", F.lower(F.col(text)))
+    if terms is None:  # a few fixed entries need no pass of their own
+        entries = [
             (t, F.struct(F.lit(t).alias("term"), F.array(*map(F.lit, x)).alias("expansions")))
-            for t, x in entries
-        ],
-    )
+            for t, x in fixed.TERM_EXPANSIONS
+        ]
+        fired = lowered.withColumn("_fired", contained(F.col("_lowered"), entries))
+    else:
+        fired = fired_entries(lowered, "_lowered", terms.select("prio", "term", "expansions"), "term", "_fired", **limits)
     return (
-        questions.withColumn("_lowered", F.lower(F.col(text)))
-        .withColumn("_fired", fired)
-        .withColumn("matched_terms", F.transform("_fired", lambda e: e["term"]))
+        fired.withColumn("matched_terms", F.transform("_fired", lambda e: e["term"]))
         .withColumn("static_terms", F.flatten(F.transform("_fired", lambda e: e["expansions"])))
         .drop("_fired", "_lowered")
     )
 
 
-def _expand_terms_joined(questions, terms, text, key):
-    lowered = questions.select(key, F.lower(F.col(text)).alias("_text"))
-    fired = substring_join(lowered, terms, key, "_text", "term")
-    collected = fired.groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct("prio", "term", "expansions"))).alias("_fired")
-    )
-    empty = F.array().cast("array<string>")
-    return (
-        questions.join(collected, key, "left")
-        .withColumn(
-            "matched_terms", F.coalesce(F.transform("_fired", lambda e: e["term"]), empty)
-        )
-        .withColumn(
-            "static_terms",
-            F.coalesce(F.flatten(F.transform("_fired", lambda e: e["expansions"])), empty),
-        )
-        .drop("_fired")
-    )
-
-
 def special_pattern(
-    questions: DataFrame, patterns: DataFrame | None = None, text: str = "message", key="query_id"
+    questions: DataFrame, patterns: DataFrame | None = None, text: str = "message", **limits
 ) -> DataFrame:
     """Add ``special_query``: rewrite of the first pattern, in order, inside the question."""
-    lowered = F.lower(F.col(text))
+    lowered = questions.withColumn("_lowered", F.lower(F.col(text)))
     if patterns is None:
-        entries = fixed.SPECIAL_REWRITES
-    else:
-        rows = bounded_rows(patterns, ["prio", "pattern", "rewrite"])
-        if rows is None:
-            hits = substring_join(
-                questions.select(key, lowered.alias("_text")), patterns, key, "_text", "pattern"
-            )
-            first = hits.groupBy(key).agg(F.min_by("rewrite", F.struct("prio", "pattern", "rewrite")).alias("special_query"))
-            return questions.join(first, key, "left")
-        rows = sorted(rows, key=lambda r: (r["prio"], r["pattern"], r["rewrite"]))
-        entries = [(r["pattern"], r["rewrite"]) for r in rows]
-    chosen = F.lit(None).cast("string")
-    for pattern, rewrite in reversed(entries):
-        hit = F.contains(F.col("_lowered"), F.lit(pattern))
-        chosen = F.when(hit, F.lit(rewrite)).otherwise(chosen)
-    return (
-        questions.withColumn("_lowered", lowered)
-        .withColumn("special_query", chosen)
-        .drop("_lowered")
-    )
+        chosen = F.lit(None).cast("string")
+        for pattern, rewrite in reversed(fixed.SPECIAL_REWRITES):
+            chosen = F.when(F.contains(F.col("_lowered"), F.lit(pattern)), F.lit(rewrite)).otherwise(chosen)
+        return lowered.withColumn("special_query", chosen).drop("_lowered")
+    entries = patterns.select("prio", "pattern", "rewrite")
+    fired = fired_entries(lowered, "_lowered", entries, "pattern", "_fired", **limits)
+    first = F.get("_fired", F.lit(0))["rewrite"]
+    return fired.withColumn("special_query", first).drop("_fired", "_lowered")
 
 
 def _without_fence(answer: Column) -> Column:
@@ -110,7 +71,7 @@ def _without_fence(answer: Column) -> Column:
 
 
 def _one_value(json: Column) -> Column:
-    """Do the brackets outside of strings close exactly once, so that one value is all there is?"""
+    """Do the brackets outside of strings close exactly once and nothing after, so that one value is all there is?"""
     brackets = F.regexp_replace(F.regexp_replace(json, r'"(?:[^"\\]|\\.)*"', ""), r"[^\[\]{}]", "")
 
     def step(state, bracket):
@@ -119,7 +80,7 @@ def _one_value(json: Column) -> Column:
 
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("closed"))
     marks = F.filter(F.split(brackets, ""), lambda c: c != "")
-    return F.aggregate(marks, start, step, lambda state: state["closed"] == 1)
+    return F.aggregate(marks, start, step, lambda state: (state["closed"] == 1) & (state["depth"] == 0))
 
 
 def parse_llm_rewrite(rewrites: DataFrame, text: str = "message") -> DataFrame:

@@ -27,6 +27,7 @@ from lexiframe.session import checkpointed
 DOC = ["doc_id", "section"]
 BLOCK = [*DOC, "block"]
 PAGES_PER_BLOCK = 64
+OPEN_BLOCKS = 256  # of one span that are folded in a row; longer ones are followed by pointers
 
 
 def statute_lines(
@@ -135,8 +136,12 @@ def _start_numbers(
     spans = narrow.withColumns(
         {"span": F.count("ended").over(before), "base": base, **carried}
     )
-    moving = spans.where(F.size("jumps") > 0)
-    trail = moving.groupBy(*DOC, "span").agg(
+    moving = checkpointed(spans.where(F.size("jumps") > 0).select(*BLOCK, "span", "base", "jumps"), "moving")
+    long = moving.groupBy(*DOC, "span").count().where(F.col("count") > OPEN_BLOCKS)
+    long = checkpointed(long.select(*(F.col(c).alias(f"_{c}") for c in (*DOC, "span"))), "long")
+    in_long = _same([*DOC, "span"])
+    short = moving.join(long, in_long, "left_anti")
+    trail = short.groupBy(*DOC, "span").agg(
         F.first("base").alias("base"),
         F.sort_array(F.collect_list(F.struct("block", F.map_entries("jumps").alias("j")))).alias(
             "steps"
@@ -161,6 +166,8 @@ def _start_numbers(
     moved = trail.select(*DOC, F.explode(after["out"]).alias("o")).select(
         *DOC, F.col("o.block").alias("block"), F.col("o.number").alias("moved")
     )
+    if not long.isEmpty():
+        moved = moved.unionByName(_followed(moving.join(long, in_long, "left_semi")))
     within = (
         Window.partitionBy(*DOC, "span")
         .orderBy("block")
@@ -173,6 +180,42 @@ def _start_numbers(
     )
 
 
+def _same(columns: list[str], prefix: str = "_") -> Column:
+    same = F.lit(True)
+    for c in columns:
+        same = same & F.col(c).eqNullSafe(F.col(f"{prefix}{c}"))
+    return same
+
+
+def _followed(moving: DataFrame) -> DataFrame:
+    """``doc_id, section, block, moved``: number after each block that changes it, for spans of any length.
+
+    A jump of a block leads to the first later block that has a jump from where it ended; the span's
+    base leads to the first block with a jump from there.  The jumps taken are those reached from the
+    base along these pointers.  Pointers are doubled, so a span of n blocks takes log2(n) rounds of
+    joins over narrow rows, and no row or group holds a span.
+    """
+    span = [*DOC, "span"]
+    jumps = moving.select(*span, "block", F.explode("jumps").alias("key", "value"))
+    bases = moving.groupBy(*span).agg((F.min("block") - 1).alias("block"), F.first("base").alias("value"))
+    nodes = jumps.unionByName(bases.withColumn("key", F.lit(None).cast("bigint")))
+    nodes = checkpointed(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    ends = nodes.select(*span, F.col("value").alias("number"), "block", "id", F.lit(False).alias("begins"))
+    starts = nodes.where("key is not null").select(*span, F.col("key").alias("number"), "block", "id", F.lit(True).alias("begins"))
+    later = Window.partitionBy(*span, "number").orderBy("block").rangeBetween(1, Window.unboundedFollowing)
+    begin = F.when(F.col("begins"), F.struct("block", "id"))
+    pointers = ends.unionByName(starts).withColumn("to", F.min(begin).over(later)["id"])
+    jump = checkpointed(pointers.where("not begins and to is not null").select("id", "to"), "pointers")
+    reached = nodes.where("key is null").select("id")
+    while not jump.isEmpty():
+        more = reached.join(jump, "id").select(F.col("to").alias("id"))
+        reached = checkpointed(reached.unionByName(more), "reached")
+        onward = jump.select(F.col("id").alias("to"), F.col("to").alias("next"))
+        jump = checkpointed(jump.join(onward, "to").select("id", F.col("next").alias("to")), "pointers")
+    taken = nodes.where("key is not null").join(reached, "id")
+    return taken.select(*BLOCK, F.col("value").alias("moved"))
+
+
 def _follow(cur: Column, entries: Column) -> Column:
     return F.coalesce(F.try_element_at(F.map_from_entries(entries), cur), cur)
 

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lexiframe.functions.topk import best_rows, result_batch
+from lexiframe.session import checkpointed
 
 BROADCAST_ROWS = 16_384
 BROADCAST_BYTES = 256 << 20
@@ -45,7 +46,7 @@ def topk_join(
     )
     arrow_out = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in out.fields])
 
-    shared = _bounded_table(queries, query_id, broadcast_rows)
+    shared = bounded_table(queries, query_id, broadcast_rows)
     if shared is not None:
         tasks = TASKS_PER_CORE * queries.sparkSession.sparkContext.defaultParallelism
 
@@ -65,13 +66,21 @@ def topk_join(
     return rank_within(partial, [query_id], [F.desc(score), F.col(corpus_id)], k)
 
 
-def _bounded_table(queries: DataFrame, query_id: str, rows: int):
-    """Broadcast of the query rows, or None when they exceed the bound.
+def bounded_table(queries: DataFrame, query_id: str, rows: int = BROADCAST_ROWS, written: bool = False):
+    """Broadcast of the query rows, or None when they exceed the bound in rows or bytes.
 
-    Ids are counted first, so an oversized query side is never computed here.
+    Ids are counted first; a side that has few enough is then written once (unless it is ``written``),
+    and its array elements are added up in Spark before anything reaches the driver.
     """
     if queries.select(query_id).limit(rows + 1).count() > rows:
         return None
+    wide = [f.name for f in queries.schema.fields if isinstance(f.dataType, T.ArrayType)]
+    if not written:
+        queries = checkpointed(queries, "queries")
+    if wide:
+        values = sum((F.coalesce(F.size(c), F.lit(0)) for c in wide), F.lit(0)).cast("bigint")
+        if (queries.agg(F.sum(values)).first()[0] or 0) * 8 > BROADCAST_BYTES:
+            return None
     table = queries.toArrow()
     if table.nbytes > BROADCAST_BYTES:
         return None

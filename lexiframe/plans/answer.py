@@ -27,18 +27,21 @@ def rewrite(questions: DataFrame, terms=None, patterns=None, text: str = "messag
     return parse_llm_rewrite(matched, text)
 
 
-def search_lists(searches: DataFrame, chunks: DataFrame, where=None, **limits) -> DataFrame:
+def search_lists(searches: DataFrame, chunks: DataFrame | None, where=None, search=None, **limits) -> DataFrame:
     """Run every search(query_id, list_type, list_prio, sub_query, k, embedding) in one pass.
 
     All searches of all questions meet the chunk table in a single top-k join; the search
     key travels as one struct, so nothing is joined back.  A search whose embedding failed
-    (null) returns nothing.
+    (null) returns nothing.  ``search(keyed, k, where)`` takes the place of the scan over all
+    chunks, such as ``VectorIndex.searcher()``.
     """
+    keyed = searches.where(F.col("embedding").isNotNull()).select(F.struct(*_SEARCH).alias("search"), "embedding")
+    if search is not None:
+        hits = search(keyed, fixed.VECTOR_TOP_K, where)
+        return hits.select("search.*", "rank", "chunk_id", "similarity").where("rank <= k").drop("k")
     if where is not None:
         chunks = chunks.where(where)
-    keyed = searches.where(F.col("embedding").isNotNull()).select(
-        F.struct(*_SEARCH).alias("search"), F.col("embedding").alias("_qv")
-    )
+    keyed = keyed.withColumnRenamed("embedding", "_qv")
     corpus = chunks.where(F.col("embedding").isNotNull()).select(
         "chunk_id", F.col("embedding").alias("_cv")
     )
@@ -70,8 +73,12 @@ def searches_of(
     return embed(subqueries(rewritten, rewriting=rewriting), text="search_text")
 
 
-def _results(questions, searches, chunks, fusion, min_cosine) -> DataFrame:
-    hits = search_lists(searches, chunks)
+def _results(questions, searches, chunks, fusion, min_cosine, search=None) -> DataFrame:
+    hits = search_lists(searches, chunks, search=search)
+    if "min_similarity" in questions.columns:
+        least = default_if_unset(F.col("min_similarity"), fixed.MIN_SIMILARITY).alias("_least")
+        least = questions.select("query_id", least).groupBy("query_id").agg(F.min("_least").alias("_least"))
+        hits = hits.join(least, "query_id").where(F.col("similarity") >= F.col("_least")).drop("_least")
     if "top_k" not in questions.columns:
         return format_results(fuse(hits, fusion, min_cosine=min_cosine), chunks)
     limit = default_if_unset(F.col("top_k"), fixed.FINAL_TOP_K)
@@ -90,14 +97,18 @@ def retrieve(
     min_cosine: float | None = None,
     terms=None,
     patterns=None,
+    search=None,
 ) -> DataFrame:
-    """Formatted results of questions(query_id, message[, top_k][, llm_response]).
+    """Formatted results of questions(query_id, message[, top_k][, min_similarity][, llm_response]).
+
+    A question's ``min_similarity`` (null and 0: the default) bounds the cosine of every hit.
 
     ``embed(df, text=...)`` adds the ``embedding`` column and must be the function the
-    chunk table was embedded with.
+    chunk table was embedded with.  ``search`` replaces the scan over all chunks, which then
+    only give the texts of what was found.
     """
     searches = searches_of(questions, embed, rewriting, terms, patterns)
-    return _results(questions, searches, chunks, fusion, min_cosine)
+    return _results(questions, searches, chunks, fusion, min_cosine, search)
 
 
 def answer_prompts(
@@ -105,6 +116,7 @@ def answer_prompts(
     chunks: DataFrame,
     fusion: str = "first_hit",
     min_cosine: float | None = None,
+    search=None,
     **options,
 ) -> DataFrame:
     """Prompt, or a fixed answer, for every question.
@@ -115,5 +127,5 @@ def answer_prompts(
     if "history" not in questions.columns:
         questions = questions.withColumn("history", F.lit(""))
     searches = checkpointed(searches_of(questions, **options), "searches")
-    results = _results(questions, searches, chunks, fusion, min_cosine)
+    results = _results(questions, searches, chunks, fusion, min_cosine, search)
     return prompt_table(questions, format_context(results), failed_questions(searches))

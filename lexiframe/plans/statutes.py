@@ -9,7 +9,7 @@ from lexiframe.operators.lines import default_rules, select_pages
 from lexiframe.operators.segment import segment
 from lexiframe.operators.validate import only_valid, validation_report
 from lexiframe.session import checkpointed
-from lexiframe.sources.index import bootstrap_index, rebuild_index
+from lexiframe.sources.index import bootstrap_index, read_index, rebuild_index
 from lexiframe.sources.jsonl import DOCUMENT_SCHEMA, read_jsonl, write_sections
 
 
@@ -65,7 +65,7 @@ def ingest(
 def index_health(spark: SparkSession, index_path: str) -> DataFrame:
     """Chunk counts per type, from metadata columns only."""
     return (
-        spark.read.parquet(index_path)
+        read_index(spark, index_path)
         .groupBy("chunk_type")
         .agg(F.count("*").alias("chunks"))
     )

@@ -1,5 +1,7 @@
 """Session helpers."""
 
+import contextlib
+import contextvars
 import os
 import tempfile
 import uuid
@@ -40,9 +42,29 @@ def shared_dir(spark: SparkSession) -> str:
     return os.path.dirname(sc.getCheckpointDir())
 
 
+_SCOPE: contextvars.ContextVar[str | None] = contextvars.ContextVar("scratch_scope", default=None)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """New unique path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/lexiframe/{label}-{uuid.uuid4().hex}"
+    """New unique path below the shared folder, or below the folder of the scope at hand."""
+    folder = _SCOPE.get() or f"{shared_dir(spark).rstrip('/')}/lexiframe"
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession, label: str = "scope"):
+    """Intermediate tables written inside go when the block ends, however it ends.
+
+    What is read from them has to be written elsewhere before.
+    """
+    path = scratch_path(spark, label)
+    token = _SCOPE.set(path)
+    try:
+        yield path
+    finally:
+        _SCOPE.reset(token)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def checkpointed(df, label: str = "table"):

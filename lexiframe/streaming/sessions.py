@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lexiframe.functions import fixed
 from lexiframe.operators.conversation import micros
-from lexiframe.session import scratch_path
+from lexiframe.session import scratch_path, scratch_scope
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -140,14 +140,17 @@ def context_stream(
 def retrieve_stream(questions: DataFrame, chunks: DataFrame, path: str, **options):
     """Start retrieving for a question stream; each micro-batch runs the batch plan.
 
-    Results of a batch go to their own folder, so a repeated batch replaces itself.
+    Results of a batch go to their own folder, so a repeated batch replaces itself; its intermediate
+    tables are gone when it ends.  With ``search=index.searcher()`` a batch reads the cells its
+    questions probe instead of all chunks.
     """
     from lexiframe.plans.answer import retrieve
 
     def answer(batch: DataFrame, number: int) -> None:
-        retrieve(batch, chunks, **options).write.mode("overwrite").parquet(
-            f"{path}/batch={number}"
-        )
+        with scratch_scope(batch.sparkSession, "batch"):
+            retrieve(batch, chunks, **options).write.mode("overwrite").parquet(
+                f"{path}/batch={number}"
+            )
 
     return (
         questions.writeStream.option("checkpointLocation", f"{path}__state")

@@ -37,3 +37,8 @@ def all_queries():
 
 def all_oracles():
     return {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
+
+
+def index_searches():
+    """Search alone on an index built before: name -> (build, search(spark, folder, index))."""
+    return {name: pair for part in _PARTS for name, pair in getattr(part, "SEARCHES", {}).items()}

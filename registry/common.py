@@ -6,7 +6,7 @@ from lexiframe.functions import fixed
 from lexiframe.functions.text import WHITESPACE
 from lexiframe.operators.chunks import hash_embed, to_chunks
 from lexiframe.session import scratch_path
-from lexiframe.sources.index import bootstrap_index
+from lexiframe.sources.index import bootstrap_index, read_index
 from lexiframe.sources.tables import read_table, spread
 
 
@@ -57,7 +57,7 @@ def document_chunks(spark, folder):
     """Chunk index of all documents: embedded once, written, read back."""
     path = scratch_path(spark, "chunks")
     bootstrap_index(hash_embed(to_chunks(document_segments(spark, folder))), path)
-    return spark.read.parquet(path)
+    return read_index(spark, path)
 
 
 CHUNKS_SQL = f"""

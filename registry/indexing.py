@@ -14,7 +14,15 @@ from lexiframe.operators.chunks import (
 )
 from lexiframe.plans.statutes import index_health, ingest
 from lexiframe.session import scratch_path
-from lexiframe.sources.index import append_chunks, rebuild_index, scan_index
+from lexiframe.sources.index import (
+    append_chunks,
+    bootstrap_index,
+    index_history,
+    read_index,
+    rebuild_index,
+    scan_index,
+    truncate_index,
+)
 from lexiframe.sources.jsonl import read_jsonl, write_jsonl
 from registry.common import CHUNKS_SQL, document_segments, sql_embeddings, sql_words, table
 
@@ -61,7 +69,7 @@ def _ingested(spark, folder):
 
 
 def ingest_chunks(spark, folder):
-    chunks = spark.read.parquet(_ingested(spark, folder))
+    chunks = read_index(spark, _ingested(spark, folder))
     return _metadata(chunks, "text")
 
 
@@ -72,7 +80,30 @@ def ingest_append(spark, folder):
     rebuild_index(chunks.where(F.col("chunk_type") == fixed.BODY), index)
     append_chunks(chunks, index)
     append_chunks(chunks, index)
-    return _metadata(spark.read.parquet(index))
+    return _metadata(read_index(spark, index))
+
+
+def index_versions(spark, folder):
+    """What every version of an index holds; all are read after the last one was written.
+
+    1 bodies, 2 the missing chunks appended, 3 nothing (a repeated append), 4 truncated, 5 rebuilt
+    with elucidations; the bootstraps in between change nothing.
+    """
+    index = scratch_path(spark, "index")
+    chunks = to_chunks(document_segments(spark, folder))
+    bootstrap_index(chunks.where(F.col("chunk_type") == fixed.BODY), index)
+    append_chunks(chunks, index)
+    append_chunks(chunks, index)
+    bootstrap_index(chunks, index)
+    truncate_index(spark, index)
+    bootstrap_index(chunks, index)
+    rebuild_index(chunks.where(F.col("chunk_type") == fixed.ELUCIDATION), index)
+    versions = index_history(spark, index)
+    rows = None
+    for version in range(1, 6):
+        ids = read_index(spark, index, version).select(F.lit(version).cast("bigint").alias("version"), "chunk_id")
+        rows = ids if rows is None else rows.unionByName(ids)
+    return versions.join(rows, "version", "left").select("version", "operation", "folders", "chunks", "chunk_id")
 
 
 def scan_chunks(spark, folder):
@@ -84,8 +115,9 @@ def index_stats(spark, folder):
 
 
 def dim_check(spark, folder):
-    """Vectors per label that are not 64 wide."""
-    vectors = table(spark, folder, "embeddings")
+    """Vectors per label that are not 64 wide; some are cut, some missing."""
+    cut = F.when(F.col("vec_id") % 7 == 0, F.slice("embedding", 1, 63)).when(F.col("vec_id") % 11 != 0, F.col("embedding"))
+    vectors = table(spark, folder, "embeddings").withColumn("embedding", cut)
     bad = wrong_dimension(vectors, HASH_DIM).groupBy("label").agg(F.count("*").alias("wrong"))
     return (
         vectors.groupBy("label")
@@ -141,6 +173,7 @@ QUERIES = {
     "jsonl_roundtrip": jsonl_roundtrip,
     "ingest_chunks": ingest_chunks,
     "ingest_append": ingest_append,
+    "index_versions": index_versions,
     "scan_chunks": scan_chunks,
     "index_stats": index_stats,
     "dim_check": dim_check,
@@ -161,10 +194,20 @@ ORACLES = {
         SELECT chunk_id, source, article_number, coalesce(paragraph_number, 0) AS paragraph_number,
                chunk_type, md5(text) AS text_md5, text FROM ({CHUNKS_SQL})""",
     "ingest_append": _META_SQL,
+    "index_versions": f"""
+        WITH c AS ({CHUNKS_SQL}),
+        v(version, operation, folders) AS (
+            VALUES (1, 'bootstrap', 1), (2, 'append', 2), (3, 'append', 3), (4, 'truncate', 0), (5, 'rebuild', 1)),
+        held AS (
+            SELECT version, chunk_id FROM v, c
+            WHERE version IN (2, 3) OR (version = 1 AND chunk_type = 'body')
+               OR (version = 5 AND chunk_type = 'elucidation'))
+        SELECT version, operation, folders, count(chunk_id) OVER (PARTITION BY version) AS chunks, chunk_id
+        FROM v LEFT JOIN held USING (version)""",
     "scan_chunks": _META_SQL,
     "index_stats": f"SELECT chunk_type, count(*) AS chunks FROM ({CHUNKS_SQL}) GROUP BY ALL",
     "dim_check": """
-        SELECT label, count(*) AS vectors, count(*) FILTER (len(embedding) <> 64) AS wrong
+        SELECT label, count(*) AS vectors, count(*) FILTER (vec_id % 7 = 0 OR vec_id % 11 = 0) AS wrong
         FROM embeddings GROUP BY ALL""",
     "hash_embed": f"""
         WITH {sql_embeddings("emb", "documents", "doc_id", "text")}

@@ -8,7 +8,8 @@ from lexiframe.operators.chunks import hash_embed
 from lexiframe.operators.fuse import fuse
 from lexiframe.plans.answer import search_lists
 from lexiframe.session import scratch_path
-from lexiframe.sources.index import bootstrap_index
+from lexiframe.sources.index import bootstrap_index, read_index
+from lexiframe.sources.postings import PostingsIndex
 from registry.common import sql_cosine, sql_embeddings, sql_lines, table
 
 HYBRID_WEIGHTS = {"original_query": 1.0, "keyword": 1.0}
@@ -36,11 +37,16 @@ def indexed_documents(spark, folder):
     """Documents embedded once, written, read back."""
     path = scratch_path(spark, "documents")
     bootstrap_index(hash_embed(documents(spark, folder)), path)
-    return spark.read.parquet(path)
+    return read_index(spark, path)
 
 
-def bm25(spark, folder):
-    return ops.bm25(questions(spark, folder), documents(spark, folder)).select(
+def postings_index(spark, folder):
+    """Postings of all documents, written by term."""
+    return PostingsIndex.build(spark, scratch_path(spark, "postings"), documents(spark, folder))
+
+
+def _scored(hits):
+    return hits.select(
         "query_id",
         "chunk_id",
         F.col("rank").cast("bigint").alias("rank"),
@@ -48,6 +54,20 @@ def bm25(spark, folder):
     )
 
 
+def search_postings(spark, folder, index):
+    """Every passage against the postings of all documents."""
+    return _scored(index.search(questions(spark, folder)))
+
+
+def bm25(spark, folder):
+    return search_postings(spark, folder, postings_index(spark, folder))
+
+
+def bm25_scan(spark, folder):
+    """The same without an index."""
+    return _scored(ops.bm25(questions(spark, folder), documents(spark, folder)))
+
+
 def keyword_contains(spark, folder):
     found = ops.search_by_text(
         hash_embed(line_questions(spark, folder), text="search_text"),
@@ -72,16 +92,13 @@ def hybrid_rrf(spark, folder):
         F.lit(10).alias("k"),
         "embedding",
     )
-    hits = ops.hybrid_hits(search_lists(searches, hash_embed(docs)), ops.bm25(asked, docs))
-    return fuse(hits, fusion="rrf", top_k=20, weights=HYBRID_WEIGHTS).select(
-        "query_id",
-        "chunk_id",
-        F.col("rank").cast("bigint").alias("rank"),
-        F.round("score", 6).alias("score"),
-    )
+    hits = ops.hybrid_hits(search_lists(searches, hash_embed(docs)), postings_index(spark, folder).search(asked))
+    return _scored(fuse(hits, fusion="rrf", top_k=20, weights=HYBRID_WEIGHTS))
 
 
-QUERIES = {"bm25": bm25, "keyword_contains": keyword_contains, "hybrid_rrf": hybrid_rrf}
+SEARCHES = {"bm25_search": (postings_index, search_postings)}
+
+QUERIES = {"bm25": bm25, "bm25_scan": bm25_scan, "keyword_contains": keyword_contains, "hybrid_rrf": hybrid_rrf}
 
 _TOKENS = "list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')"
 
@@ -105,6 +122,8 @@ bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, c
 ORACLES = {
     "bm25": f"""
         WITH {_BM25_SQL} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM bm""",
+    "bm25_scan": f"""
+        WITH {_BM25_SQL} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM bm""",
     "keyword_contains": f"""
         WITH lq AS (
             SELECT item_id || '-' || (generate_subscripts(l, 1) - 1) AS query_id, unnest(l) AS text

@@ -12,7 +12,9 @@ from lexiframe.operators.fuse import format_results, fuse
 from lexiframe.operators.ivf import knn_ivf, train_cells, with_cell
 from lexiframe.operators.knn import knn
 from lexiframe.plans.answer import search_lists
-from lexiframe.session import checkpointed
+from lexiframe.session import checkpointed, scratch_path
+from lexiframe.sources.bucketed import BucketedChunks
+from lexiframe.sources.vector_index import VectorIndex
 from registry.common import CHUNKS_SQL, sql_cosine, sql_embeddings, table
 
 
@@ -52,8 +54,26 @@ def _probed(spark, folder, probes, cells=16):
     return _ranked(knn_ivf(_queries(spark, folder), indexed, centres, probes=probes))
 
 
-def knn_approximate(spark, folder):
-    return _probed(spark, folder, probes=8)
+COARSE, FINE, COARSE_PROBES, PROBES = 8, 4, 4, 10
+
+
+def vector_index(spark, folder):
+    """All embeddings stored by cell."""
+    return VectorIndex.build(spark, scratch_path(spark, "vectors"), _vectors(spark, folder), COARSE, FINE)
+
+
+def search_cells(spark, folder, index):
+    """Every vector as a query against the cells it probes."""
+    return _ranked(index.search(_queries(spark, folder), 10, COARSE_PROBES, PROBES))
+
+
+def knn_indexed(spark, folder):
+    return search_cells(spark, folder, vector_index(spark, folder))
+
+
+def knn_indexed_filtered(spark, folder):
+    index = vector_index(spark, folder)
+    return _ranked(index.search(_queries(spark, folder), 10, COARSE_PROBES, PROBES, where=F.col("label") == 3))
 
 
 def knn_exhaustive(spark, folder):
@@ -126,7 +146,11 @@ def results(spark, folder):
 
 
 def retrieve_formatted(spark, folder):
-    return results(spark, folder).select(
+    return _formatted(results(spark, folder))
+
+
+def _formatted(found):
+    return found.select(
         "query_id",
         F.col("rank").cast("bigint").alias("rank"),
         "source",
@@ -138,18 +162,29 @@ def retrieve_formatted(spark, folder):
     )
 
 
+def retrieve_bucketed(spark, folder):
+    """Texts from a chunk table bucketed by id; no id counts as few, so the rows meet it by bucket."""
+    chunks = BucketedChunks.write(spark, scratch_path(spark, "bucketed"), document_table(spark, folder), 8)
+    found = format_results(fuse(hits(spark, folder)), chunks.read(), few=0)
+    return _formatted(found)
+
+
 def context_blocks(spark, folder):
     return format_context(results(spark, folder))
 
 
+SEARCHES = {"knn_ivf_search": (vector_index, search_cells)}
+
 QUERIES = {
     "knn_cosine": knn_cosine,
     "knn_filtered": knn_filtered,
-    "knn_ivf": knn_approximate,
+    "knn_ivf": knn_indexed,
+    "knn_ivf_filtered": knn_indexed_filtered,
     "knn_ivf_exhaustive": knn_exhaustive,
     "rrf_fused": rrf_fused,
     "rrf_textbook": rrf_textbook,
     "retrieve_formatted": retrieve_formatted,
+    "retrieve_bucketed": retrieve_bucketed,
     "format_context": context_blocks,
 }
 
@@ -195,7 +230,9 @@ fused AS (
 """
 
 # From ``subs`` (all searches as text) to ``placed`` (fused rank and score per chunk).
-ANSWER_SQL = f"""
+def answer_sql(kept="true"):
+    """``kept`` is a condition on a hit of a search."""
+    return f"""
 chunks AS ({CHUNKS_SQL}),
 search AS (SELECT *, query_id || '/' || list_prio || '/' || sub_query AS sid FROM subs),
 {sql_embeddings("qe", "search", "sid", "search_text")},
@@ -203,7 +240,7 @@ search AS (SELECT *, query_id || '/' || list_prio || '/' || sub_query AS sid FRO
 sims AS (SELECT sid, chunk_id, {sql_cosine("qe.embedding", "de.embedding")} AS sim FROM qe, de),
 near AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY sim DESC, chunk_id) AS rank
          FROM sims QUALIFY rank <= 10),
-hits AS (SELECT * FROM near JOIN search USING (sid) WHERE rank <= k),
+hits AS (SELECT * FROM near JOIN search USING (sid) WHERE rank <= k AND {kept}),
 firsts AS (SELECT * FROM hits QUALIFY row_number() OVER (
            PARTITION BY query_id, chunk_id ORDER BY list_prio, sub_query, rank) = 1),
 ranked AS (SELECT *, row_number() OVER (
@@ -215,6 +252,8 @@ placed AS (SELECT query_id, chunk_id, part / max(part) OVER (PARTITION BY query_
            FROM scored)
 """
 
+ANSWER_SQL = answer_sql()
+
 FORMATTED_SQL = f"""
 {FUSED_SQL},
 formatted AS (
@@ -236,7 +275,43 @@ CONTEXT_SQL = """
 _NEAR_SQL = f"""
     WITH {KNN_SQL} SELECT query_id, chunk_id, rank, round(sim, 6) AS similarity FROM near"""
 
+
+
+def ivf_sql(where="true"):
+    """Centres by hash, cells by nearest centre, probes by nearest cell, exact scores within."""
+    near = sql_cosine("a.v", "b.v")
+    return f"""
+    WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, md5(vec_id::VARCHAR) AS h FROM embeddings),
+    usable AS (SELECT * FROM e WHERE len(list_filter(v, lambda x: x <> 0)) > 0),
+    coarse AS (SELECT row_number() OVER (ORDER BY h, vec_id, v) - 1 AS c, v FROM usable QUALIFY c < {COARSE}),
+    csims AS (SELECT a.vec_id, c, {near} AS sim FROM e a, coarse b),
+    cranks AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, c) AS r FROM csims),
+    firsts AS (
+        SELECT c, row_number() OVER (PARTITION BY c ORDER BY h, vec_id, v) AS n, v
+        FROM usable JOIN cranks USING (vec_id) WHERE r = 1 QUALIFY n <= {FINE}
+        UNION ALL SELECT c, 1, v FROM coarse
+        WHERE c NOT IN (SELECT c FROM usable JOIN cranks USING (vec_id) WHERE r = 1)),
+    fine AS (SELECT row_number() OVER (ORDER BY c, n) - 1 AS f, c, v FROM firsts),
+    fsims AS (
+        SELECT a.vec_id, r, f, {near} AS sim
+        FROM e a JOIN cranks USING (vec_id) JOIN fine b USING (c) WHERE r <= {COARSE_PROBES}),
+    owned AS (
+        SELECT vec_id, f FROM fsims WHERE r = 1
+        QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, f) = 1),
+    probed AS (
+        SELECT vec_id, f FROM fsims QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, f) <= {PROBES}),
+    met AS (
+        SELECT p.vec_id AS query_id, o.vec_id AS chunk_id, {near} AS sim
+        FROM probed p JOIN owned o USING (f) JOIN e a ON a.vec_id = p.vec_id JOIN e b ON b.vec_id = o.vec_id
+        WHERE b.{where})
+    SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, chunk_id) AS rank,
+           round(sim, 6) AS similarity
+    FROM met QUALIFY rank <= 10"""
+
+
 ORACLES = {
+    "knn_ivf": ivf_sql("vec_id IS NOT NULL"),
+    "knn_ivf_filtered": ivf_sql("label = 3"),
     "knn_cosine": _NEAR_SQL,
     "knn_ivf_exhaustive": _NEAR_SQL,
     "knn_filtered": f"""
@@ -265,6 +340,7 @@ ORACLES = {
                round(score, 6) AS score, round(sim, 6) AS similarity, list_type
         FROM normed WHERE score >= 0.1 QUALIFY rank <= 20""",
     "retrieve_formatted": f"WITH {FORMATTED_SQL} SELECT * FROM formatted",
+    "retrieve_bucketed": f"WITH {FORMATTED_SQL} SELECT * FROM formatted",
     "format_context": f"""
         WITH {FORMATTED_SQL}
         SELECT query_id, string_agg({CONTEXT_SQL}, chr(10) || chr(10) ORDER BY rank) AS context,

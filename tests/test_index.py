@@ -38,7 +38,7 @@ def test_rebuild_append_scan_truncate_bootstrap(spark, tmp_path):
     assert "embedding" not in plan.split("ReadSchema")[1]
     ix.truncate_index(spark, path)
     assert ix.count_index(spark, path).first().chunks == 0
-    assert "embedding" in spark.read.parquet(path).columns
+    assert "embedding" in ix.read_index(spark, path).columns
 
 
 def test_colliding_ids_and_wrong_width_keep_the_old_index(spark, tmp_path):
@@ -97,7 +97,7 @@ def test_ingest_reads_both_files(spark, tmp_path):
         (tmp_path / f"{name}.jsonl").write_text("\n".join(lines))
     path = str(tmp_path / "index")
     ingest(spark, str(tmp_path / "body.jsonl"), str(tmp_path / "elucidation.jsonl"), path, 64)
-    kinds = [r.chunk_type for r in spark.read.parquet(path).collect()]
+    kinds = [r.chunk_type for r in ix.read_index(spark, path).collect()]
     assert sorted(kinds) == ["body"] * 3 + ["elucidation"] * 2
 
 
@@ -119,7 +119,7 @@ def test_a_late_bad_vector_keeps_the_old_index(spark, tmp_path):
     mixed = spark.createDataFrame([("a", [1.0]), ("b", [1.0, 2.0])], schema)
     with pytest.raises(Exception, match="not 1 wide: b"):
         ix.rebuild_index(mixed, path, 1)
-    assert [r.chunk_id for r in spark.read.parquet(path).collect()] == ["old"]
+    assert [r.chunk_id for r in ix.read_index(spark, path).collect()] == ["old"]
 
 
 def test_append_raises_on_clashes_and_widths(spark, tmp_path):

@@ -7,6 +7,7 @@ import pytest
 
 from lexiframe.functions import fixed
 from lexiframe.operators.lines import default_rules
+from lexiframe.operators import segment as module
 from lexiframe.operators.segment import segment
 
 VOCABULARY = {
@@ -79,8 +80,10 @@ def expected(pages, rule):
     return segments
 
 
-@pytest.mark.parametrize("header,per_block", [(0, 1), (1, 2), (0, 64)])
-def test_random_documents(spark, header, per_block):
+@pytest.mark.parametrize("header,per_block,open_blocks", [(0, 1, 256), (0, 1, 0), (1, 2, 1), (0, 64, 256)])
+def test_random_documents(spark, header, per_block, open_blocks, monkeypatch):
+    """Blocks of any size, folded in a row or followed by pointers."""
+    monkeypatch.setattr(module, "OPEN_BLOCKS", open_blocks)
     rng = random.Random(7 + header + per_block)
     rules = default_rules(header)
     rows, want = [], {}
@@ -102,6 +105,23 @@ def test_random_documents(spark, header, per_block):
     assert not wrong, (wrong[0], want.get(wrong[0]), have.get(wrong[0]))
 
 
+def test_one_document_over_hundreds_of_blocks(spark, monkeypatch):
+    """Split markers that count up over 600 blocks, with false ones in between, and one article over the rest."""
+    monkeypatch.setattr(module, "OPEN_BLOCKS", 16)
+    rules, pages, want = default_rules(), [], []
+    for i in range(1, 601):
+        false = "Pasal\n7\n" if i % 3 == 0 else ""
+        pages.append(f"{false}Pasal\n{i}\nisi {i}")
+    for i in range(1, 301):
+        pages.append(f"({i})\nayat {i}\n(7)\nlagi")
+    want = expected(pages, rules["body"])
+    assert len(want) == 899 and {a for a, _, _ in want} == set(range(1, 601))
+    rows = [(None, "body", i + 1, page) for i, page in enumerate(pages)]
+    df = spark.createDataFrame(rows, "doc_id bigint, section string, page_no int, text string")
+    got = segment(df, rules, 1).orderBy("occurrence", "paragraph_number").collect()
+    assert [(r.article_number, r.paragraph_number, r.text) for r in got] == want
+
+
 def test_unicode_space_and_breaks(spark):
     text = "Pasal 1  satu \x1c(1)\u0085　dua　\r\nPasal 2\x0btiga"
     pages = spark.createDataFrame(

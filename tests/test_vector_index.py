@@ -1,0 +1,181 @@
+"""Vector index by cells: exactness, pruning, versions; versioned tables under failures."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lexiframe.operators.cells import Quantiser, train_quantiser
+from lexiframe.operators.ivf import recall_against, train_cells
+from lexiframe.operators.knn import knn
+from lexiframe.plans.answer import retrieve
+from lexiframe.operators.chunks import hash_embed
+from lexiframe.sources import index as ix
+from lexiframe.sources import vector_index
+from lexiframe.sources.snapshots import VersionConflict, VersionedTable
+from lexiframe.sources.vector_index import VectorIndex
+
+CHUNKS = "chunk_id string, embedding array<float>, label int"
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = np.random.default_rng(11)
+    middle = rng.normal(size=(12, 8))
+    vectors = (middle[rng.integers(0, 12, 500)] + 0.4 * rng.normal(size=(500, 8))).astype(np.float32)
+    vectors[20:90] = vectors[20]  # a large group of copies
+    vectors[5] = 0
+    out = [(f"c{i:03}", v.tolist(), i % 3) for i, v in enumerate(vectors)]
+    return [*out, ("c000", out[7][1], 0), ("none", None, 1)]
+
+
+@pytest.fixture(scope="module")
+def queries(spark, rows):
+    return spark.createDataFrame([(i, v) for i, (_, v, _) in enumerate(rows[::5])], "query_id int, embedding array<float>")
+
+
+def found(df):
+    return sorted((r.query_id, r["rank"], r.chunk_id, r.similarity) for r in df.collect())
+
+
+@pytest.mark.parametrize("limit", [vector_index.PRUNED_CELLS, 0])
+def test_all_cells_are_exact_and_few_keep_recall(spark, tmp_path, rows, queries, limit, monkeypatch):
+    chunks = spark.createDataFrame(rows, CHUNKS).repartition(4)
+    index = VectorIndex.build(spark, str(tmp_path / "v"), chunks, coarse=5, fine=4)
+    exact = knn(queries, chunks, 10)
+    if not limit:  # a query side beyond every bound: shuffled to its cells
+        monkeypatch.setattr(vector_index, "bounded_table", lambda *a, **k: None)
+        monkeypatch.setattr(vector_index, "PRUNED_CELLS", 0)
+    assert found(index.search(queries, 10, 5, 20)) == found(exact)
+    where = F.col("label") == 1
+    assert found(index.search(queries, 10, 5, 20, where=where)) == found(knn(queries, chunks, 10, where=where))
+    recall = recall_against(index.search(queries, 10, 2, 5), exact).first()
+    assert recall.neighbours == 1010 - 10 * 0 or recall.neighbours > 900
+    assert recall.recall > 0.7
+    assert index.read().count() == 501
+
+
+def test_only_probed_cells_are_read(spark, tmp_path, rows, queries):
+    index = VectorIndex.build(spark, str(tmp_path / "v"), spark.createDataFrame(rows, CHUNKS), coarse=5, fine=4)
+    one = queries.where("query_id = 3")
+    hits = index.search(one, 5, 1, 2)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+    cells = {r.cell for r in index.placed(one, 1, 2, "query_id").collect()}
+    assert len(cells) <= 2
+    candidates = index.candidates(index.placed(one, 1, 2, "query_id"), 2)
+    assert {r.cell for r in candidates.collect()} <= cells
+    held = {r.cell: r["count"] for r in index.read().groupBy("cell").count().collect()}
+    assert candidates.count() == sum(held.get(c, 0) for c in cells) < 501 / 2
+
+
+def test_quantiser_probes_are_the_nearest_cells(rows):
+    rng = np.random.default_rng(2)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    coarse, fine = unit(rng.normal(size=(4, 6))), unit(rng.normal(size=(9, 6)))
+    q = Quantiser(coarse, fine, np.array([0, 3, 3, 5, 9]))
+    for v in rng.normal(size=(50, 6)):
+        near = np.argsort(-(unit(v[None]) @ coarse.T)[0], kind="stable")[:2]
+        cells = [c for n in near for c in range(q.starts[n], q.starts[n + 1])]
+        best = sorted(cells, key=lambda c: (-round(float(unit(v[None])[0] @ fine[c]), 9), c))[:3]
+        assert q.probe(v[None], 2, 3)[0].tolist() == best
+
+
+def test_trained_centres_add_and_old_versions(spark, tmp_path, rows, queries):
+    path, chunks = str(tmp_path / "v"), spark.createDataFrame(rows, CHUNKS)
+    some, rest = chunks.where("label <> 2"), chunks.where("label = 2")
+    centres = train_cells(chunks.where("embedding is not null"), 4)
+    first = VectorIndex.build(spark, path, some, 4, 3, coarse_centres=centres)
+    second = first.add(rest)
+    assert found(second.search(queries, 10, 4, 12)) == found(knn(queries, chunks, 10))
+    assert found(first.search(queries, 10, 4, 12)) == found(knn(queries, some, 10))
+    with pytest.raises(VersionConflict):
+        first.add(rest)
+    second.table.expire(keep=1)
+    assert found(VectorIndex(spark, path).search(queries, 10, 4, 12)) == found(knn(queries, chunks, 10))
+    with pytest.raises(ValueError, match="no version 1"):
+        VectorIndex(spark, path, version=1)
+
+
+def test_empty_index_and_too_many_centres(spark, tmp_path, queries):
+    index = VectorIndex.build(spark, str(tmp_path / "v"), spark.createDataFrame([("z", [0.0, 0.0], 1)], CHUNKS).limit(0))
+    two = queries.withColumn("embedding", F.slice("embedding", 1, 1))
+    assert index.search(two).collect() == []
+    big = spark.createDataFrame([("a", [1.0] * 1024, 1)], CHUNKS)
+    with pytest.raises(ValueError, match="bytes"):
+        train_quantiser(big, 4096, 1 << 20)
+
+
+def test_answers_through_the_index(spark, tmp_path):
+    texts = [(f"t{i}", "s", i, None, "body", f"aturan nomor {i} lampu {i % 5} helm {i % 3}") for i in range(60)]
+    schema = "chunk_id string, source string, article_number long, paragraph_number long, chunk_type string, text string"
+    chunks = hash_embed(spark.createDataFrame(texts, schema)).cache()
+    questions = spark.createDataFrame([(1, "lampu merah"), (2, "helm 2 aturan")], "query_id int, message string")
+    index = VectorIndex.build(spark, str(tmp_path / "v"), chunks.select("chunk_id", "embedding"), 3, 3)
+    plain = sorted(map(tuple, retrieve(questions, chunks).collect()))
+    assert sorted(map(tuple, retrieve(questions, chunks, search=index.searcher(coarse_probes=3, probes=9)).collect())) == plain
+    assert len(plain) == 10
+
+
+# ---------------------------------------------------------------- versioned tables
+
+SIMPLE = "chunk_id string, embedding array<float>"
+
+
+def ids(df):
+    return sorted(r.chunk_id for r in df.collect())
+
+
+def test_a_job_lost_before_the_switch_changes_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "i")
+    ix.rebuild_index(spark.createDataFrame([("old", [1.0])], SIMPLE), path)
+    reader = ix.read_index(spark, path)
+
+    def lost(*a, **k):
+        raise RuntimeError("lost")
+
+    more = spark.createDataFrame([("new", [2.0]), ("newer", [3.0])], SIMPLE)
+    with monkeypatch.context() as m:
+        m.setattr(VersionedTable, "commit", lost)  # all data written, no manifest
+        for action in (ix.rebuild_index, ix.append_chunks):
+            with pytest.raises(RuntimeError, match="lost"):
+                action(more, path)
+    with monkeypatch.context() as m:
+        m.setattr(VersionedTable, "_rename", lost)  # manifest written, not switched
+        with pytest.raises(RuntimeError, match="lost"):
+            ix.rebuild_index(more, path)
+    broken = more.withColumn("chunk_id", F.when(F.col("chunk_id") == "newer", F.raise_error(F.lit("half way"))).otherwise(F.col("chunk_id")))
+    with pytest.raises(Exception, match="half way"):
+        VersionedTable(spark, path).replace(broken.repartition(2))
+    assert ids(ix.read_index(spark, path)) == ["old"] and VersionedTable(spark, path).versions() == [1]
+    ix.rebuild_index(more, path)
+    assert ids(ix.read_index(spark, path)) == ["new", "newer"] and ids(reader) == ["old"]
+
+
+def test_a_failed_bootstrap_can_be_repeated(spark, tmp_path):
+    path = str(tmp_path / "i")
+    with pytest.raises(Exception, match="not 1 wide: b"):
+        ix.bootstrap_index(spark.createDataFrame([("a", [1.0]), ("b", [1.0, 2.0])], SIMPLE), path, 1)
+    ix.bootstrap_index(spark.createDataFrame([("a", [1.0])], SIMPLE), path, 1)
+    ix.bootstrap_index(spark.createDataFrame([("c", [1.0])], SIMPLE), path, 1)
+    assert ids(ix.read_index(spark, path)) == ["a"]
+
+
+def test_writers_at_once_and_pinned_readers(spark, tmp_path):
+    path = str(tmp_path / "i")
+    table, df = VersionedTable(spark, path), spark.createDataFrame([("a", [1.0])], SIMPLE)
+    table.replace(df)
+    folder = table.write_data(df)
+    assert table.commit([folder], df.schema, 1, "one") == 2
+    with pytest.raises(VersionConflict):
+        table.commit([folder], df.schema, 1, "two")
+    assert table.manifest()["operation"] == "one" and table.versions() == [1, 2]
+    ix.truncate_index(spark, path)
+    ix.append_chunks(spark.createDataFrame([("b", [2.0]), (None, [2.0])], SIMPLE), path)
+    ix.append_chunks(spark.createDataFrame([(None, [2.0])], SIMPLE), path)  # a null id is an id
+    assert [ix.read_index(spark, path, v).count() for v in (1, 2, 3, 4, 5)] == [1, 1, 0, 2, 2]
+    history = [(r.version, r.operation, r.chunks) for r in ix.index_history(spark, path).orderBy("version").collect()]
+    assert history == [(1, "replace", 1), (2, "one", 1), (3, "truncate", 0), (4, "append", 2), (5, "append", 2)]
+    assert table.expire(keep=2) == [1, 2, 3] and ix.read_index(spark, path).count() == 2
+    assert len(table._names("data")) == 2
+    with pytest.raises(ValueError, match="no version 9"):
+        table.read(9)

@@ -86,7 +86,7 @@ def document_frequencies(docs: DataFrame, buckets: int = BUCKETS) -> tuple[int,
             for text in texts_of(batch.column(0)):
                 rows += 1
                 if text:
-                    found[np.unique(ids.of(words_of(text)))] += 1
+                    found[np.unique(ids.of(list(set(words_of(text)))))] += 1
         some = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(some, -1)), pa.array(np.append(found[some], rows))], ["bucket", "n"]
@@ -298,10 +298,14 @@ def find_leaks(
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS).withColumnRenamed("doc_id", "__id"),
         "sample",
     )
+    # written before they are split, as filters on the words would be pushed to all texts
+    sampled = checkpointed(
+        docs.where("text is not null").select("doc_id", "text")
+        .join(checked_broadcast(sample), F.col("doc_id") == F.col("__id"), "left_semi"),
+        "sampled",
+    )
     passages = checkpointed(
-        docs.join(checked_broadcast(sample), F.col("doc_id") == F.col("__id"), "left_semi")
-        .select("doc_id", F.split(F.trim("text"), r"[\x20\x09-\x0D]+").alias("w"))
-        .where("w is not null")
+        sampled.select("doc_id", F.split(F.trim("text"), r"[\x20\x09-\x0D]+").alias("w"))
         .select("doc_id", "w", F.explode(F.expr(f"sequence(1, size(w), {WINDOW})")).alias("at"))
         .select(F.lower(F.array_join(F.expr(f"slice(w, at, {WINDOW})"), " ")).cast("binary").alias("words"))
         .withColumn("row", F.monotonically_increasing_id() - F.lit(1 << 62)),

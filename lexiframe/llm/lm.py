@@ -582,26 +582,36 @@ class Scorer:
         return np.where(valid, logs, 0.0).reshape(-1, BLOCK).sum(1)
 
     def scores(self, documents: list[np.ndarray]) -> np.ndarray:
-        """Documents of any length, ``SCORED_AT_ONCE`` blocks at a time."""
-        out = np.zeros(len(documents))
-        held, owners, size = [], [], 0
+        """Documents of any length, always ``SCORED_AT_ONCE`` blocks at a time.
 
-        def flush():
-            symbols, ahead = (np.concatenate(x) for x in zip(*held, strict=True))
-            np.add.at(out, np.repeat(*np.array(owners).T), self.block_scores(symbols, ahead))
+        The last blocks are filled up: products of one shape only, so that a document's score does not
+        depend on how many blocks are scored beside it.
+        """
+        out = np.zeros(len(documents))
+        held, size = [], 0
+
+        def flush(last: bool = False):
+            symbols, ahead, owners = (np.concatenate(x) for x in zip(*held, strict=True))
+            missing = -len(symbols) % SCORED_AT_ONCE
+            if last and missing:
+                symbols = np.concatenate([symbols, np.full((missing, symbols.shape[1]), START, symbols.dtype)])
+                ahead = np.concatenate([ahead, np.full((missing, ahead.shape[1]), -1, ahead.dtype)])
+            whole = len(symbols) // SCORED_AT_ONCE * SCORED_AT_ONCE
+            for at in range(0, whole, SCORED_AT_ONCE):
+                own = owners[at : at + SCORED_AT_ONCE]
+                sums = self.block_scores(symbols[at : at + SCORED_AT_ONCE], ahead[at : at + SCORED_AT_ONCE])
+                np.add.at(out, own, sums[: len(own)])
+            return symbols[whole:], ahead[whole:], owners[whole:]
 
         for number, ids in enumerate(documents):
             symbols, ahead = self.blocks(ids)
-            for at in range(0, len(symbols), SCORED_AT_ONCE):
-                part = (symbols[at : at + SCORED_AT_ONCE], ahead[at : at + SCORED_AT_ONCE])
-                held.append(part)
-                owners.append((number, len(part[0])))
-                size += len(part[0])
-                if size >= SCORED_AT_ONCE:
-                    flush()
-                    held, owners, size = [], [], 0
-        if held:
-            flush()
+            held.append((symbols, ahead, np.full(len(symbols), number)))
+            size += len(symbols)
+            if size >= SCORED_AT_ONCE:
+                held = [flush()]
+                size = len(held[0][0])
+        if size:
+            flush(last=True)
         return out
 
 

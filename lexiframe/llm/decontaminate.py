@@ -82,11 +82,16 @@ def document_frequencies(docs: DataFrame, buckets: int = BUCKETS) -> tuple[int,
 
     def run(batches):
         ids, rows, found = WordIds(buckets), 0, np.zeros(buckets, np.int64)
+        number, there = ids.__getitem__, []
         for batch in batches:
             for text in texts_of(batch.column(0)):
                 rows += 1
                 if text:
-                    found[np.unique(ids.of(list(set(words_of(text)))))] += 1
+                    there.extend(set(map(number, set(words_of(text)))))
+                if len(there) >= 1 << 20:
+                    found += np.bincount(there, minlength=buckets)
+                    there.clear()
+        found += np.bincount(np.array(there, np.int64), minlength=buckets)
         some = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(some, -1)), pa.array(np.append(found[some], rows))], ["bucket", "n"]

@@ -4,6 +4,7 @@ from lexiframe.functions import fixed
 from lexiframe.operators.lines import select_pages, split_lines
 from lexiframe.plans.answer import answer_prompts, retrieve
 from lexiframe.plans.statutes import index_health, ingest, parse_statutes, publish_segments
+from lexiframe.sources.index import read_index
 from lexiframe.sources.jsonl import read_jsonl, write_jsonl
 
 PAGES = [
@@ -53,7 +54,7 @@ def test_statute_to_prompt(spark, tmp_path):
         "body": 3,
         "elucidation": 3,
     }
-    chunks = spark.read.parquet(index)
+    chunks = read_index(spark, index)
     questions = spark.createDataFrame(
         [(1, "Parkir di trotoar dilarang.", 1), (2, "wajib memakai helm", 0)],
         "query_id int, message string, top_k int",

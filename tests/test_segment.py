@@ -116,7 +116,7 @@ def test_one_document_over_hundreds_of_blocks(spark, monkeypatch):
         pages.append(f"({i})\nayat {i}\n(7)\nlagi")
     want = expected(pages, rules["body"])
     assert len(want) == 899 and {a for a, _, _ in want} == set(range(1, 601))
-    rows = [(None, "body", i + 1, page) for i, page in enumerate(pages)]
+    rows = [(5, "body", i + 1, page) for i, page in enumerate(pages)]
     df = spark.createDataFrame(rows, "doc_id bigint, section string, page_no int, text string")
     got = segment(df, rules, 1).orderBy("occurrence", "paragraph_number").collect()
     assert [(r.article_number, r.paragraph_number, r.text) for r in got] == want

@@ -563,13 +563,14 @@ class Scorer:
         if not self.tame["attend"]:
             a -= a.max(2, keepdims=True)
         np.exp(a, out=a)
-        c = (a @ kv[:, :, WIDTH:]).reshape(-1, WIDTH + 1)
-        h = c[:, :WIDTH] @ self.p["mix"]
-        h /= c[:, WIDTH:]
-        h += self.r[own.ravel()]
-        whole = np.ones((len(h), WIDTH + 1), np.float32)
-        np.tanh(h, out=whole[:, :WIDTH])
-        z = whole @ self.out
+        # one product per block, all of one shape: a block's score does not depend on those beside it
+        c = a @ kv[:, :, WIDTH:]
+        h = c[:, :, :WIDTH] @ self.p["mix"]
+        h /= c[:, :, WIDTH:]
+        h += self.r[own]
+        whole = np.ones((*own.shape, WIDTH + 1), np.float32)
+        np.tanh(h, out=whole[:, :, :WIDTH])
+        z = (whole @ self.out).reshape(own.size, -1)
         if not self.tame["out"]:
             z -= z.max(1, keepdims=True)
         flat_ids = ahead.ravel()
@@ -577,41 +578,32 @@ class Scorer:
         ids = np.where(valid, flat_ids, self.end)
         chosen = z[np.arange(len(z)), self.t["kind"][ids]]
         np.exp(z, out=z)
-        logs = (chosen - np.log(z @ self.sum)) * 0.4342944819032518
+        total = (z.reshape(*own.shape, -1) @ self.sum).ravel()
+        logs = (chosen - np.log(total)) * 0.4342944819032518
         logs = logs + self.t["share"][ids] + self.t["pairs"][own.ravel(), self.t["unit"][ids]]
         return np.where(valid, logs, 0.0).reshape(-1, BLOCK).sum(1)
 
     def scores(self, documents: list[np.ndarray]) -> np.ndarray:
-        """Documents of any length, always ``SCORED_AT_ONCE`` blocks at a time.
-
-        The last blocks are filled up: products of one shape only, so that a document's score does not
-        depend on how many blocks are scored beside it.
-        """
+        """Documents of any length, ``SCORED_AT_ONCE`` blocks at a time."""
         out = np.zeros(len(documents))
-        held, size = [], 0
-
-        def flush(last: bool = False):
-            symbols, ahead, owners = (np.concatenate(x) for x in zip(*held, strict=True))
-            missing = -len(symbols) % SCORED_AT_ONCE
-            if last and missing:
-                symbols = np.concatenate([symbols, np.full((missing, symbols.shape[1]), START, symbols.dtype)])
-                ahead = np.concatenate([ahead, np.full((missing, ahead.shape[1]), -1, ahead.dtype)])
-            whole = len(symbols) // SCORED_AT_ONCE * SCORED_AT_ONCE
-            for at in range(0, whole, SCORED_AT_ONCE):
-                own = owners[at : at + SCORED_AT_ONCE]
-                sums = self.block_scores(symbols[at : at + SCORED_AT_ONCE], ahead[at : at + SCORED_AT_ONCE])
-                np.add.at(out, own, sums[: len(own)])
-            return symbols[whole:], ahead[whole:], owners[whole:]
+        held, owners, size = [], [], 0
+
+        def flush():
+            symbols, ahead = (np.concatenate(x) for x in zip(*held, strict=True))
+            np.add.at(out, np.repeat(*np.array(owners).T), self.block_scores(symbols, ahead))
 
         for number, ids in enumerate(documents):
             symbols, ahead = self.blocks(ids)
-            held.append((symbols, ahead, np.full(len(symbols), number)))
-            size += len(symbols)
-            if size >= SCORED_AT_ONCE:
-                held = [flush()]
-                size = len(held[0][0])
-        if size:
-            flush(last=True)
+            for at in range(0, len(symbols), SCORED_AT_ONCE):
+                part = (symbols[at : at + SCORED_AT_ONCE], ahead[at : at + SCORED_AT_ONCE])
+                held.append(part)
+                owners.append((number, len(part[0])))
+                size += len(part[0])
+                if size >= SCORED_AT_ONCE:
+                    flush()
+                    held, owners, size = [], [], 0
+        if held:
+            flush()
         return out
 
 

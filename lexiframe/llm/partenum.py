@@ -1,13 +1,18 @@
 """N-gram Jaccard join by PartEnum signatures (operator 7).
 
 A document is the set of its word shingles (64-bit hashes).  Sets are put into bands of sizes.  In a
-band the hash domain is cut into ``n`` ranges; a signature is one range's content.  Two sets that reach
-the similarity differ in at most ``k`` shingles, where ``k`` follows from the smaller size, so among the
-first ``k + 1`` non-empty ranges of the smaller set one is equal in both, and the larger set, which
-signs at least as many, signs it too: every linked pair shares a signature.  (This is the second level with subsets of one partition: larger subsets would make
-empty contents count, which meet in buckets that grow with the table.)  A set near a band's lower end
-also signs in the band below, for its smaller partners.  Sets with too few non-empty ranges make
-their bands sign once more with other ranges, until none is left, so the join is exact.
+band the hash domain is cut into ranges; a signature is one range's content.  Two sets that reach the
+similarity differ in at most ``k`` shingles, where ``k`` follows from the smaller size, so at most ``k``
+signatures of either are missing in the other.  Of its non-empty ranges a set keeps the ``k + 1`` whose
+signatures are rarest in the table, in one order for all sets.  Every linked pair shares one that both
+keep: let the smaller set's last kept signature come no later than the larger's (or the larger keep
+all it has); one of its ``k + 1`` is in the larger set, and no later than that set's last, so kept.  The
+other case is the same with the sets exchanged.  (This is the second level with subsets of one partition:
+larger subsets would make empty contents count, which meet in buckets that grow with the table.)  A
+passage that many documents share makes frequent signatures, which documents that share nothing else do
+not keep, so it ties none of them.  A set near a band's lower end also signs in the band below, for its
+smaller partners.  Sets with too few non-empty ranges make their bands sign once more with other
+ranges, until none is left, so the join is exact.
 
 Candidates are then verified.  Equal sets are one class from the start.  No list of candidate pairs
 is made: a bucket ties its members to its smallest, its centre.  All tied sets are sorted by their
@@ -32,7 +37,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiframe.llm.common import checked_broadcast, components, prefix_sums
@@ -68,9 +73,8 @@ def most_different(percent: int, size: int) -> int:
 
 
 def ranges_of(percent: int, high: int) -> int:
-    """Ranges of a band: enough that nearly every set has the non-empty ones it needs."""
-    need = most_different(percent, high) + 1
-    return need + need // 4 + 6 + 200 // high
+    """Ranges of a band: twice those that a set keeps, so that common contents need not be kept."""
+    return 2 * (most_different(percent, high) + 1) + 6 + 200 // high
 
 
 class Signer:
@@ -93,11 +97,11 @@ class Signer:
     def _ranges(hashes: np.ndarray, ranges: int) -> np.ndarray:
         return ((hashes >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
 
-    def sign(self, hashes: np.ndarray) -> tuple[np.ndarray, list[int]]:
-        """Signatures of a set and the bands in which it has too few non-empty ranges."""
+    def sign(self, hashes: np.ndarray) -> tuple[list[tuple[int, np.ndarray]], list[int]]:
+        """Per band how many signatures to keep and those of all non-empty ranges; bands with too few."""
         out, thin = [], []
         if most_different(self.percent, len(hashes)) < 1:
-            return np.empty(0, np.uint64), thin  # only equal sets are similar enough
+            return out, thin  # only equal sets are similar enough
         plain = hashes
         if self.salt:
             hashes = np.sort(mixed(hashes, self.salt))
@@ -111,10 +115,10 @@ class Signer:
                 for salt in range(self.salt)
             ):
                 thin.append(band)
-            sums = np.add.reduceat(weights, starts)[:need]
-            place = (part[starts[:need]] << np.uint64(16)) ^ np.uint64(band * 64 + self.salt % 64)
-            out.append(mixed(sums ^ mixed(place, 11)))
-        return np.concatenate(out) if out else np.empty(0, np.uint64), thin
+            sums = np.add.reduceat(weights, starts)
+            place = (part[starts] << np.uint64(16)) ^ np.uint64(band * 64 + self.salt % 64)
+            out.append((need, mixed(sums ^ mixed(place, 11))))
+        return out, thin
 
 
 def set_key(hashes: np.ndarray) -> tuple[int, int]:
@@ -133,41 +137,75 @@ def parity_sketch(hashes: np.ndarray) -> bytes:
     return np.packbits(np.bincount(cells, minlength=bits).astype(np.uint8) & 1).tobytes()
 
 
-SET_TYPE = "doc_id bigint, n bigint, k1 bigint, k2 bigint, sigs array<bigint>, thin array<int>, bits binary"
+RUNS = "array<struct<need:int,sigs:array<bigint>>>"
+SET_TYPE = f"doc_id bigint, text_hash bigint, n bigint, k1 bigint, k2 bigint, runs {RUNS}, thin array<int>, bits binary"
 
 
 def _signed_sets(docs: DataFrame, words: int, percent: int, salt: int = 0, only=None) -> DataFrame:
-    """A row per document: size, 128-bit key of its set, signatures, thin bands, sketch."""
+    """A row per document: hash of its text, size, 128-bit key of its set, signatures, thin bands, sketch."""
 
     def run(batches):
         signer = Signer(percent, salt, only)
         for batch in batches:
-            sizes, keys, sigs, thin, bits = [], [], [], [], []
-            for text in texts_of(batch.column(1)):
+            sizes, keys, runs, thin, bits = [], [], [], [], []
+            for text in texts_of(batch.column(2)):
                 hashes = shingle_hashes(words_of(text), words)
                 sizes.append(len(hashes))
                 keys.append(set_key(hashes))
                 bits.append(parity_sketch(hashes))
                 own, bands = signer.sign(hashes)
-                sigs.append(own)
+                runs.append(own)
                 thin.append(bands)
             key = np.array(keys, np.int64).reshape(-1, 2)
-            ends = np.cumsum([0, *(len(s) for s in sigs)])
-            flat = np.concatenate([*sigs, np.empty(0, np.uint64)]).view(np.int64)
+            flat = [run for own in runs for run in own]
+            sigs = np.concatenate([*(s for _, s in flat), np.empty(0, np.uint64)]).view(np.int64)
+            ends = pa.array(np.cumsum([0, *(len(s) for _, s in flat)]), pa.int32())
+            needs = pa.array([need for need, _ in flat], pa.int32())
+            structs = pa.StructArray.from_arrays(
+                [needs, pa.ListArray.from_arrays(ends, pa.array(sigs))], ["need", "sigs"]
+            )
+            outer = pa.array(np.cumsum([0, *(len(own) for own in runs)]), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(1),
                     pa.array(sizes, pa.int64()),
                     pa.array(key[:, 0].copy()),
                     pa.array(key[:, 1].copy()),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
+                    pa.ListArray.from_arrays(outer, structs),
                     pa.array(thin, pa.list_(pa.int32())),
                     pa.array(bits, pa.binary()),
                 ],
-                ["doc_id", "n", "k1", "k2", "sigs", "thin", "bits"],
+                ["doc_id", "text_hash", "n", "k1", "k2", "runs", "thin", "bits"],
             )
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, SET_TYPE)
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("bigint"), F.xxhash64(text), text.alias("text")).mapInArrow(run, SET_TYPE)
+
+
+def _signatures(signed: DataFrame, salt: int) -> DataFrame:
+    """``uid, run, keep, sig``: every signature of sets, with how many of the rarest their run keeps.
+
+    ``keep`` is what a run may keep beyond the signatures that it has in common with no other set.
+    """
+    runs = signed.select("uid", F.posexplode("runs").alias("run", "of"))
+    return runs.select(
+        "uid", (F.col("run") + 2 * salt).alias("run"), "of.need", F.size("of.sigs").alias("all"), F.explode("of.sigs").alias("sig")
+    )
+
+
+def _rarest(sigs: DataFrame) -> DataFrame:
+    """``uid, sig`` of the signatures that runs keep, without those of a single set.
+
+    The order is that of the number of sets, then the signature.  A window holds one run.
+    """
+    met = checkpointed(sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"), "met")
+    met = met.withColumnRenamed("sig", "of")
+    common = sigs.join(checked_broadcast(met), F.col("sig") == F.col("of"))
+    run = Window.partitionBy("uid", "run")
+    rank = F.row_number().over(run.orderBy("sets", "sig"))
+    kept = common.withColumn("rank", rank).withColumn("alone", F.col("all") - F.count(F.lit(1)).over(run))
+    return kept.where(F.col("rank") + F.col("alone") <= F.col("need")).select("uid", "sig").distinct()
 
 
 def linked_sets(sets: list[np.ndarray], side: np.ndarray, percent: int) -> np.ndarray:
@@ -370,15 +408,16 @@ def link_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
         classed.select("doc_id", "n", "k1", "k2", "uid", "first", F.coalesce("class_id", "doc_id").alias("class_id")),
         "members",
     )
-    sigs = classed.where("uid = first").select("uid", F.explode("sigs").alias("sig"))
+    sigs = _signatures(classed.where("uid = first"), 0)
     salt, thin = 0, [r[0] for r in signed.select(F.explode("thin").alias("band")).distinct().collect()]
     while thin:  # hardly ever: other ranges for the bands concerned, which number a few dozen at most
         salt += 1
         more = checkpointed(_signed_sets(docs, words, percent, salt, frozenset(thin)), "sets")
         own = members.where("uid = first").select("uid", F.col("k1").alias("c1"), F.col("k2").alias("c2"))
         same = (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2"))
-        sigs = sigs.union(more.join(own, same).select("uid", F.explode("sigs").alias("sig")).distinct())
+        sigs = sigs.union(_signatures(more.dropDuplicates(["k1", "k2"]).join(own, same), salt))
         thin = [r[0] for r in more.select(F.explode("thin").alias("band")).distinct().collect()]
+    sigs = checkpointed(_rarest(sigs), "kept")
     met = checkpointed(
         sigs.groupBy("sig")
         .agg(F.min("uid").alias("a"), F.max("uid").alias("b"), F.count(F.lit(1)).alias("n"))

@@ -276,7 +276,7 @@ class Searcher:
         return [row for _, row in best.values()]
 
 
-HIT_TYPE = "doc_id bigint, item_id bigint, piece int, start int, common int, words int, answered boolean"
+HIT_TYPE = "doc_id bigint, text_hash bigint, item_id bigint, piece int, start int, common int, words int, answered boolean"
 
 
 def find_leaks(
@@ -337,14 +337,15 @@ def find_leaks(
         def run(batches, shared=shared):
             searcher = Searcher(*shared.value, parameters)
             fields = pa.schema(
-                [("doc_id", pa.int64()), ("item_id", pa.int64())]
+                [(n, pa.int64()) for n in ("doc_id", "text_hash", "item_id")]
                 + [(n, pa.int32()) for n in ("piece", "start", "common", "words")]
                 + [("answered", pa.bool_())]
             )
+            ids = lambda batch: (batch.column(n).to_pylist() for n in (0, 1))
             for batch in batches:
                 rows = [
-                    (doc, *hit)
-                    for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True)
+                    (doc, own, *hit)
+                    for doc, own, text in zip(*ids(batch), texts_of(batch.column(2)), strict=True)
                     for hit in searcher.hits(text)
                 ]
                 columns = zip(*rows, strict=True) if rows else [[]] * len(fields)
@@ -352,13 +353,21 @@ def find_leaks(
                     [pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields
                 )
 
-        hits = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, HIT_TYPE)
+        text = F.col("text").cast("string")
+        hits = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64(text), text.alias("text")).mapInArrow(run, HIT_TYPE)
         out = hits if out is None else out.union(hits)
     return out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
-    """Rows of ``docs`` in which no benchmark item was found; rows without an id stay."""
+def without_leaks(docs: DataFrame, benchmark: DataFrame, keep_null_ids: bool = True, **parameters) -> DataFrame:
+    """Rows of ``docs`` in which no benchmark item was found.
+
+    Rows without an id stay, unless ``keep_null_ids`` is off.  Rows go by id and text: other texts under
+    the same id stay.  Other columns are kept, whatever their names.
+    """
     leaks = checkpointed(find_leaks(docs, benchmark, **parameters), "leaks")
-    drop = checked_broadcast(checkpointed(leaks.select(F.col("doc_id").alias("__id")).where("__id is not null").distinct(), "drop"))
-    return docs.join(drop, F.col("doc_id") == F.col("__id"), "left_anti")
+    leaks = leaks.where("doc_id is not null") if keep_null_ids else leaks
+    drop = checkpointed(leaks.select("doc_id", "text_hash").distinct(), "drop")
+    same_id = F.col("docs.doc_id").cast("bigint").eqNullSafe(F.col("leaks.doc_id"))
+    same = same_id & (F.xxhash64(F.col("docs.text").cast("string")) == F.col("leaks.text_hash"))
+    return docs.alias("docs").join(checked_broadcast(drop).alias("leaks"), same, "left_anti")

@@ -80,12 +80,13 @@ def mix(
     max_epochs: int = MAX_EPOCHS,
     seed: str = "mix",
 ) -> DataFrame:
-    """``doc_id, source, size, source_size, target, taken`` for every row of ``docs``."""
+    """``doc_id, source, size, source_size, target, taken, text_hash`` for every row of ``docs``."""
     rows = checkpointed(
         docs.select(
             F.col("doc_id"),
             F.col("source").cast("string").alias("source"),
             word_count(F.col("text")).alias("size"),
+            F.xxhash64(F.col("text").cast("string")).alias("text_hash"),
         ),
         "sizes",
     )
@@ -94,7 +95,7 @@ def mix(
     keyed = rows.withColumn(
         "key", F.md5(F.concat_ws("/", F.lit(seed), F.col("doc_id").cast("string")).cast("binary"))
     )
-    placed = prefix_sums(keyed, ["source"], ["key", "doc_id", "size"], "size", "mixed")
+    placed = prefix_sums(keyed, ["source"], ["key", "doc_id", "size", "text_hash"], "size", "mixed")
     goal = checked_broadcast(targets.withColumnRenamed("source", "to"))
     budget = F.round("target").cast("bigint")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
@@ -111,6 +112,7 @@ def mix(
             (F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least("size", "rest")))
             .cast("bigint")
             .alias("taken"),
+            "text_hash",
         )
     )
 
@@ -120,18 +122,36 @@ def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
 
     A document at which a budget ends is kept whole, so a source may exceed its target by less
     than one document.  Documents of which nothing is taken go, those without words included.
-    Rows are matched by id and source; repeated ids of one source share the larger count.
+    Rows are matched by id, source and text.  Of rows equal in all three one is repeated as often as
+    they are taken together.  Other columns are kept, whatever their names.
     """
     plan = (
         mix(docs, **parameters)
-        .where("taken > 0")
-        .groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"))
-        .agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("__copies"))
+        .groupBy("doc_id", "source", "text_hash")
+        .agg(
+            F.sum(F.when(F.col("taken") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0)).cast("int").alias("copies"),
+            F.count(F.lit(1)).alias("rows"),
+        )
     )
-    plan = checked_broadcast(checkpointed(plan, "copies"))
-    same = docs["doc_id"].eqNullSafe(F.col("__id")) & docs["source"].eqNullSafe(F.col("__source"))
+    plan = checkpointed(plan.where("copies > 0"), "copies")
+    taken = _repeated(docs, plan.where("rows = 1"))
+    equal = checkpointed(plan.where("rows > 1"), "equal")
+    if equal.isEmpty():
+        return taken
+    some = docs.alias("docs").join(checked_broadcast(equal).alias("plan"), _same_row(), "left_semi")
+    return taken.unionByName(_repeated(some.dropDuplicates(["doc_id", "source", "text"]), equal))
+
+
+def _same_row():
     return (
-        docs.join(plan, same)
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-        .select(*(docs[c] for c in docs.columns))
+        F.col("docs.doc_id").eqNullSafe(F.col("plan.doc_id"))
+        & F.col("docs.source").cast("string").eqNullSafe(F.col("plan.source"))
+        & (F.xxhash64(F.col("docs.text").cast("string")) == F.col("plan.text_hash"))
     )
+
+
+def _repeated(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows of ``docs`` as often as ``plan`` says."""
+    rows = docs.alias("docs").join(checked_broadcast(plan).alias("plan"), _same_row())
+    copies = F.explode(F.sequence(F.lit(1), F.col("plan.copies")))
+    return rows.select(F.struct("docs.*").alias("row"), copies.alias("copy")).select("row.*")

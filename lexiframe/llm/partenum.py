@@ -27,8 +27,8 @@ certainly not linked.  Documents that only share a passage go here, without thei
 components of what is left are compared once more on whole texts, counting common shingles exactly.
 
 Defined results: null or empty texts have no shingles and no links; documents with fewer words than a
-shingle have one; null ids take part as rows and are ignored in minima; repeated ids are rows of their
-own; an empty table gives no rows; other columns are ignored.
+shingle have one; null ids take part as rows and are ignored in minima; repeated ids, with equal or
+other texts, are rows of their own; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -97,7 +97,12 @@ class Signer:
     def _ranges(hashes: np.ndarray, ranges: int) -> np.ndarray:
         return ((hashes >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
 
-    def sign(self, hashes: np.ndarray) -> tuple[list[tuple[int, np.ndarray]], list[int]]:
+    def sign(self, hashes: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """All signatures of a set and the bands in which it has too few non-empty ranges."""
+        runs, thin = self.runs(hashes)
+        return np.concatenate([*(sigs for _, sigs in runs), np.empty(0, np.uint64)]), thin
+
+    def runs(self, hashes: np.ndarray) -> tuple[list[tuple[int, np.ndarray]], list[int]]:
         """Per band how many signatures to keep and those of all non-empty ranges; bands with too few."""
         out, thin = [], []
         if most_different(self.percent, len(hashes)) < 1:
@@ -153,7 +158,7 @@ def _signed_sets(docs: DataFrame, words: int, percent: int, salt: int = 0, only=
                 sizes.append(len(hashes))
                 keys.append(set_key(hashes))
                 bits.append(parity_sketch(hashes))
-                own, bands = signer.sign(hashes)
+                own, bands = signer.runs(hashes)
                 runs.append(own)
                 thin.append(bands)
             key = np.array(keys, np.int64).reshape(-1, 2)
@@ -304,11 +309,13 @@ def _sketch_links(tasks: DataFrame, signed: DataFrame, percent: int) -> DataFram
     return rows.groupBy("i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
-def _text_links(tasks: DataFrame, wanted: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _text_links(
+    tasks: DataFrame, wanted: DataFrame, docs: DataFrame, words: int, percent: int, repeated: bool
+) -> DataFrame:
     """``a, b``: spanning forest of the links within every task of ``tasks(uid, i, j, side)``.
 
-    Texts travel to the tasks, which compress better than their hashes.  ``wanted`` has the id and
-    the set's key of every row, so of rows that share an id each finds its own text.
+    Texts travel to the tasks, which compress better than their hashes.  ``wanted`` has the id, the
+    text's hash and the set's key of every row; ``repeated`` says that rows share both of the first.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -325,13 +332,20 @@ def _text_links(tasks: DataFrame, wanted: DataFrame, docs: DataFrame, words: int
         least = linked_sets([sets[i] for i in place], np.array(sides, np.int64)[place], percent)
         return _forest(uid, least)
 
-    wanted = wanted.drop("n")
-    tasks = checkpointed(tasks.join(wanted.withColumnRenamed("doc_id", "__id"), "uid"), "tasks")
-    rows = docs.select("doc_id", "text").join(checked_broadcast(tasks), F.col("doc_id").eqNullSafe(F.col("__id")))
-    rows = rows.select("uid", "k1", "k2", "side", "i", "j", "text")
+    tasks = checkpointed(tasks.join(wanted.drop("n"), "uid"), "tasks").alias("tasks")
+    rows = docs.alias("docs").join(checked_broadcast(tasks), _same_row("docs", "tasks"))
+    rows = rows.select(*(f"tasks.{c}" for c in ("uid", "k1", "k2", "side", "i", "j")), F.col("docs.text").cast("string").alias("text"))
+    if repeated:
+        rows = rows.dropDuplicates(["uid", "i", "j"])
     return rows.groupBy("i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
+def _same_row(docs: str, known: str):
+    """Rows of ``docs`` are told apart by id and text, whatever other columns they have."""
+    same_id = F.col(f"{docs}.doc_id").cast("bigint").eqNullSafe(F.col(f"{known}.doc_id"))
+    return same_id & (F.xxhash64(F.col(f"{docs}.text").cast("string")) == F.col(f"{known}.text_hash"))
+
+
 def _cross_tasks(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """Tasks for ``pairs(a, i, j)``: the members of centre ``a`` in either block."""
     out = None
@@ -381,10 +395,10 @@ def _candidate_links(ties: DataFrame, sizes: DataFrame, compare: Callable[[DataF
 
 
 def link_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id, class_id`` for every row of ``docs``.
+    """``doc_id, n_shingles, component_id, class_id, text_hash, part`` for every row of ``docs``.
 
     ``component_id`` is the smallest id reachable over links, ``class_id`` the smallest id with the
-    same set.
+    same set.  ``part`` numbers the component, also where no row of it has an id.
     """
     signed = checkpointed(
         _signed_sets(docs, words, percent).withColumn("uid", F.monotonically_increasing_id()), "sets"
@@ -405,7 +419,7 @@ def link_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
         checked_broadcast(copies), (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("n") > 0), "left"
     ).withColumn("first", F.coalesce("first", "uid"))
     members = checkpointed(
-        classed.select("doc_id", "n", "k1", "k2", "uid", "first", F.coalesce("class_id", "doc_id").alias("class_id")),
+        classed.select("doc_id", "text_hash", "n", "k1", "k2", "uid", "first", F.coalesce("class_id", "doc_id").alias("class_id")),
         "members",
     )
     sigs = _signatures(classed.where("uid = first"), 0)
@@ -439,42 +453,56 @@ def link_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
         ties = checkpointed(parts.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")), "ties")
     if not ties.isEmpty():
         wanted = checkpointed(parts.select(F.col("node").alias("uid")), "wanted")
-        wanted = members.join(checked_broadcast(wanted), "uid").select("uid", "doc_id", "k1", "k2", "n")
-        wanted = checkpointed(wanted, "wanted")
-        links = _candidate_links(ties, wanted.select("uid", "n"), lambda t: _text_links(t, wanted, docs, words, percent))
+        wanted = members.join(checked_broadcast(wanted), "uid")
+        wanted = checkpointed(wanted.select("uid", "doc_id", "text_hash", "k1", "k2", "n"), "wanted")
+        repeated = not members.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty()
+        links = _candidate_links(ties, wanted.select("uid", "n"), lambda t: _text_links(t, wanted, docs, words, percent, repeated))
         parts = components(links, "parts")
     if parts is None:
         return members.select(
-            "doc_id", F.col("n").alias("n_shingles"), F.col("class_id").alias("component_id"), "class_id"
+            "doc_id", F.col("n").alias("n_shingles"), F.col("class_id").alias("component_id"), "class_id",
+            "text_hash", F.col("first").alias("part"),
         )
     first = members.where("uid = first").select("uid", "class_id")
     known = parts.join(first, F.col("node") == F.col("uid"))
     least = known.groupBy("component").agg(F.min("class_id").alias("component_id"))
     map_to = checkpointed(
-        known.select(F.col("uid").alias("first"), "component").join(least, "component").select("first", "component_id"), "map"
+        known.select(F.col("uid").alias("first"), "component").join(least, "component").select("first", "component_id", "component"), "map"
     )
     return members.join(checked_broadcast(map_to), "first", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.coalesce("component_id", "class_id").alias("component_id"),
         "class_id",
+        "text_hash",
+        F.coalesce("component", "first").alias("part"),
     )
 
 
-def one_of_each_group(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Rows of ``docs`` without those that have a linked document of smaller id.
+def one_of_each_group(
+    docs: DataFrame, words: int = WORDS, percent: int = PERCENT, keep_null_ids: bool = True
+) -> DataFrame:
+    """Rows of ``docs``, of every group of linked ones only the first by id, then by hash of the text.
 
-    Of rows that repeat an id one stays if their texts are equal.  Rows without words or id stay.
+    Rows without an id stay; without ``keep_null_ids`` they are compared like any other and come last
+    in their groups.  Rows go by id and text: other texts under a dropped row's id stay, and of rows
+    equal in both one stays.  Rows without words stay.  Other columns are kept, whatever their names.
     """
-    groups = link_groups(docs, words, percent)
-    drop = checkpointed(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct(), "drop")
-    rest = docs.join(checked_broadcast(drop), F.col("doc_id") == F.col("__id"), "left_anti")
-    twice = checkpointed(
-        groups.where("n_shingles > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("__id")).count().where("count > 1").select("__id"),
-        "twice",
-    )
+    groups = link_groups(docs, words, percent).where("n_shingles > 0")
+    groups = checkpointed(groups.where("doc_id is not null") if keep_null_ids else groups, "groups")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    several = groups.groupBy(F.col("part").alias("of")).agg(F.min(place).alias("keep"), F.count(F.lit(1)).alias("rows"))
+    several = checkpointed(several.where("rows > 1"), "several")
+    known = groups.join(checked_broadcast(several), F.col("part") == F.col("of"))
+    kept = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("text_hash") == F.col("keep.text_hash"))
+    rows = known.groupBy("doc_id", "text_hash").agg(F.max(kept).alias("kept"), F.count(F.lit(1)).alias("rows"))
+    rows = checkpointed(rows.where("not kept or rows > 1"), "rows")
+    drop = checked_broadcast(checkpointed(rows.where("not kept"), "drop")).alias("gone")
+    rest = docs.alias("docs").join(drop, _same_row("docs", "gone"), "left_anti")
+    twice = checkpointed(rows.where("kept"), "twice")
     if twice.isEmpty():
         return rest
-    again = rest.join(checked_broadcast(twice), F.col("doc_id") == F.col("__id"), "left_semi")
-    single = rest.join(checked_broadcast(twice), F.col("doc_id") == F.col("__id"), "left_anti")
+    twice = checked_broadcast(twice).alias("twice")
+    again = rest.alias("docs").join(twice, _same_row("docs", "twice"), "left_semi")
+    single = rest.alias("docs").join(twice, _same_row("docs", "twice"), "left_anti")
     return single.unionByName(again.dropDuplicates(["doc_id", "text"]))

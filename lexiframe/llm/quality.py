@@ -43,10 +43,10 @@ _SHAPE = ((regex.compile(r"\p{Lu}+"), "A"), (regex.compile(r"\p{Ll}+"), "a"), (r
 
 def word_shape(word: bytes) -> str:
     """Letters by case, digits and signs, runs as one."""
-    text = word[:64].decode("utf-8", "replace")
+    text = word.decode("utf-8", "replace")
     for pattern, to in _SHAPE:
         text = pattern.sub(to, text)
-    return text[:12]
+    return text
 
 
 class _Numbers(dict):
@@ -204,7 +204,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, bits: in
         docs.select("doc_id", "text")
         .join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
         .select(F.xxhash64("doc_id").alias("key"), "doc_id", "quality", "text")
-        .dropDuplicates(["doc_id"])
+        .groupBy("key", "doc_id", "quality")  # of texts that share an id the one with the least hash
+        .agg(F.min_by("text", F.xxhash64("text")).alias("text"))
         .repartition(1)
         .sortWithinPartitions("key", "doc_id")
         .select("quality", "text")

@@ -74,7 +74,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return partenum.link_groups(docs, words=4, percent=85).drop("class_id")
+    return partenum.link_groups(docs, words=4, percent=85).drop("class_id", "text_hash", "part")
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,11 +85,11 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(
         read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
-    )
+    ).drop("text_hash")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read_table(spark, sf_dir, "documents"))
+    return mixing.mix(read_table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiframe.llm.common import prefix_sums
@@ -115,21 +115,23 @@ def write_shards(docs: DataFrame, path: str, **parameters) -> DataFrame:
     """Write one folder per shard, rows in curve order; returns the manifest used for pruning.
 
     The manifest has a row per shard with counts, bytes and the range of every dimension.  Rows
-    are matched to their shard by id and checksum.
+    are matched to their places by id and checksum; rows equal in both take their places in turn.
+    A column ``shard`` of ``docs`` is replaced.
     """
     placed = checkpointed(shard(docs, **parameters), "placed")
-    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    one = placed.groupBy(
-        F.col("doc_id").alias("__id"), F.col("text_crc32").alias("__crc")
-    ).agg(F.min(F.struct("shard", "slot")).alias("__place"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.crc32(text) == F.col("__crc"))
-    rows = docs.join(one, same).drop("__id", "__crc")
-    rows = rows.withColumn("shard", F.col("__place.shard")).withColumn("__slot", F.col("__place.slot"))
+    turn = F.row_number().over(Window.partitionBy("doc_id", "text_crc32").orderBy("shard", "slot"))
+    placed = placed.withColumn("turn", turn).alias("place")
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    rows = docs.drop("shard")
+    rows = rows.select(F.struct(*rows.columns).alias("row"), F.col("doc_id").alias("id"), F.crc32(text).alias("crc"))
+    turn = F.row_number().over(Window.partitionBy("id", "crc").orderBy(F.xxhash64("row")))
+    same = F.col("id").eqNullSafe(F.col("place.doc_id")) & (F.col("crc") == F.col("place.text_crc32"))
+    rows = rows.withColumn("turn", turn).alias("rows").join(placed, same & (F.col("rows.turn") == F.col("place.turn")))
     (
-        rows.drop("__place")
-        .repartitionByRange("shard", "__slot")
-        .sortWithinPartitions("shard", "__slot")
-        .drop("__slot")
+        rows.select("row", "place.shard", "place.slot")
+        .repartitionByRange("shard", "slot")
+        .sortWithinPartitions("shard", "slot")
+        .select("row.*", "shard")
         .write.partitionBy("shard")
         .parquet(path)
     )

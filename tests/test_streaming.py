@@ -67,3 +67,17 @@ def test_messages_behind_the_watermark_are_dropped(spark, tmp_path):
     source = stream(spark, tmp_path, [first, more, late, last, end])
     done = ops.run_to_table(ops.session_stream(source), "test-late")
     assert [(r.conv_id, r.messages) for r in done.collect()] == [(1, 2)]
+
+
+def test_a_table_in_part_files_streams_like_one_file(spark, tmp_path):
+    rows = [(i, i % 3, f"m{i}") for i in range(40)]
+    table = spark.createDataFrame(rows, "id int, conv_id int, text string")
+    table.repartition(4).write.parquet(str(tmp_path / "parts" / "messages.parquet"))
+    table.repartition(2).write.parquet(str(tmp_path / "parts" / "others.parquet"))
+    table.coalesce(1).write.parquet(str(tmp_path / "written"))
+    (tmp_path / "single").mkdir()
+    (part,) = (tmp_path / "written").glob("*.parquet")
+    part.rename(tmp_path / "single" / "messages.parquet")
+    for folder in ("parts", "single"):
+        stream = ops.message_stream(spark, str(tmp_path / folder), "messages", files_per_trigger=3)
+        assert sorted(map(tuple, ops.run_to_table(stream, "test-parts").collect())) == rows

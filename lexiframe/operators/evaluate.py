@@ -50,19 +50,20 @@ def with_related_terms(df: DataFrame, article: str) -> DataFrame:
 def judged_hits(hits: DataFrame, judgements: DataFrame) -> DataFrame:
     """Flag hits that a judgement(query_id, lo, hi, paragraph) covers; null means any paragraph.
 
-    Ranges become one row per article, so the match is an equi-join.
+    A hit meets the judgements of its question and is compared with their ranges, so no range is
+    spread out.  The planner takes generated judgements for smaller than they are, so they are
+    joined by key and never sent whole.
     """
-    wanted = (
-        explode_range(judgements, "lo", "hi", "article_number")
-        .select("query_id", "article_number", "paragraph")
-        .distinct()
-    )
+    bounds = [F.col(c).cast("bigint").alias(c) for c in ("lo", "hi")]
+    wanted = judgements.select("query_id", *bounds, "paragraph").distinct()
+    covers = F.col("article_number").between(F.col("lo"), F.col("hi"))
     fits = F.col("paragraph").isNull() | (
         F.col("paragraph") == F.coalesce("paragraph_number", F.lit(0))
     )
     matched = (
-        hits.join(wanted, ["query_id", "article_number"])
-        .where(fits)
+        hits.select("query_id", "rank", "article_number", "paragraph_number")
+        .join(wanted.hint("merge"), "query_id")
+        .where(covers & fits)
         .select("query_id", "rank")
         .distinct()
         .withColumn("relevant", F.lit(1))

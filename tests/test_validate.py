@@ -86,6 +86,20 @@ def test_judgements(spark):
     assert got == {5: (0.5, 0.4), 6: (0.0, 0.0)}
 
 
+def test_judgement_ranges_are_compared_not_spread(spark):
+    hits = spark.createDataFrame(
+        [(1, 1, 7, 2), (1, 2, None, None), (2, 1, 8, None), (2, 1, 8, None), (3, 1, 5, None), (4, 1, 5, None)],
+        "query_id bigint, rank int, article_number bigint, paragraph_number bigint",
+    )
+    wanted = spark.createDataFrame(
+        [(1, 0, 9 * 10**15, 2), (1, 0, 9 * 10**15, 2), (2, 8, 8, 0), (2, 1, 9, None), (3, 6, 4, None), (4, None, 9, None)],
+        "query_id bigint, lo bigint, hi bigint, paragraph bigint",
+    )
+    judged = judged_hits(hits, wanted)
+    got = sorted((r.query_id, r["rank"], r.relevant) for r in judged.collect())
+    assert got == [(1, 1, 1), (1, 2, 0), (2, 1, 1), (2, 1, 1), (3, 1, 0), (4, 1, 0)]
+
+
 def test_only_checked_and_valid_documents_are_published(spark):
     from lexiframe.operators.validate import only_valid
 

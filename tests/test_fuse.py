@@ -134,3 +134,32 @@ def test_failed_additional_search_is_skipped_but_failed_legal_fails(spark):
         (2, fixed.ORIGINAL),
     }
     assert [r.query_id for r in failed_questions(searches).collect()] == [2]
+
+
+def test_searches_of_equal_vectors_are_one_query(spark):
+    kinds = [(fixed.LEGAL, 0, 0, 2), (fixed.ORIGINAL, 1, 0, 2), (fixed.ADDITIONAL, 2, 0, 1)]
+    rows = [(q, *kind, [1.0, 0.0] if q < 8 else [0.0, 1.0]) for q in range(10) for kind in kinds]
+    rows.append((9, *kinds[0], [0.0, 1.0]))  # a search that comes twice: its hits are one list of two
+    searches = spark.createDataFrame(
+        rows, "query_id bigint, list_type string, list_prio int, sub_query int, k int, embedding array<float>"
+    )
+    chunks = spark.createDataFrame(
+        [("a", [1.0, 0.0]), ("b", [0.6, 0.8]), ("c", [0.0, 1.0])], "chunk_id string, embedding array<float>"
+    )
+    asked = []
+
+    def search(keyed, k, where):
+        asked.append(keyed.count())
+        q = keyed.select("search", F.col("embedding").alias("v"))
+        near = F.round(F.aggregate(F.zip_with("v", "embedding", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x), 9)
+        return q.crossJoin(chunks).select("search", "chunk_id", near.alias("similarity"), F.lit(1).alias("rank"))
+
+    for found in (search_lists(searches, chunks), search_lists(searches, None, search=search)):
+        lists = {}
+        for r in found.orderBy("rank").collect():
+            lists.setdefault((r.query_id, r.list_prio), []).append(r.chunk_id)
+        for q in range(10):
+            best = ["a", "b"] if q < 8 else ["c", "b"]
+            assert lists[q, 0] == (["c", "c"] if q == 9 else best)
+            assert lists[q, 1] == best and lists[q, 2] == best[:1]
+    assert asked == [2]

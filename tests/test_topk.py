@@ -1,12 +1,15 @@
 """Top-k joins against brute force, on both execution paths."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lexiframe.functions import topk
 from lexiframe.operators.ivf import knn_ivf, recall_against, train_cells, with_cell
 from lexiframe.operators.keyword import bm25, containing
 from lexiframe.operators.knn import knn
+from lexiframe.operators.topk_join import SCORED_BYTES, grid_shape
 
 
 @pytest.fixture(scope="module")
@@ -138,3 +141,54 @@ def test_uneven_or_missing_vectors_raise(vectors):
 
     with pytest.raises(ValueError, match="differ in length"):
         array_matrix(pa.array(vectors, pa.list_(pa.float32())))
+
+
+class Counting(topk.CosineScorer):
+    """Counts the scores that are computed in full."""
+
+    exact = 0
+
+    def score(self, state, rows, lo, hi):
+        self.exact += (hi - lo) * len(rows)
+        return super().score(state, rows, lo, hi)
+
+    def pairs(self, state, rows, r, c):
+        self.exact += len(r)
+        return super().pairs(state, rows, r, c)
+
+
+@pytest.mark.parametrize("names", [lambda i: i, lambda i: f"c{i:05}"])
+def test_few_pairs_are_scored_in_full_and_none_is_lost(names):
+    rng = np.random.default_rng(17)
+    rows = np.abs(rng.normal(size=(20_000, 24))).astype(np.float32)
+    rows[3_000:5_000] = rows[2_999]  # copies: every one ties with the best of its queries
+    rows[9_000:9_010] = rows[9_000] * (1 + 1e-7)  # closer to each other than single precision shows
+    rows[100:110], rows[200] = 0, np.nan
+    asked = np.concatenate([rows[2_999:3_000], rows[9_000:9_001], rows[100:102], rows[200:201], rows[6_000:6_300]])
+
+    def lists(matrix):
+        return pa.array(list(matrix), pa.list_(pa.float32()))
+
+    order = rng.permutation(len(rows))
+    table = pa.table({"id": [names(int(i)) for i in order], "c": lists(rows[order])})
+    scorer = Counting("q", "c")
+    state = scorer.prepare(pa.table({"q": lists(asked)}))
+    r, s, ids = topk.best_rows(scorer, state, len(asked), table.to_batches(4_096), "id", 10)
+    with np.errstate(invalid="ignore"):
+        sims = np.round(topk.unit_rows(asked.astype(float)) @ topk.unit_rows(rows.astype(float)).T, 9)
+    for q in range(len(asked)):
+        found = np.flatnonzero(~np.isnan(sims[q]))
+        best = found[np.lexsort((found, -sims[q][found]))][:10]
+        assert list(ids[r == q]) == [names(int(i)) for i in best]
+        assert np.array_equal(s[r == q], sims[q][best])
+    assert scorer.exact < len(asked) * len(rows) / 4
+
+
+def test_the_grid_has_cells_for_all_cores_and_they_do_not_grow():
+    bound = SCORED_BYTES // 264
+    for rows in (100_000, 600_000):
+        stripes, columns = grid_shape(rows, rows, bound, bound, 12)
+        assert stripes * columns >= 40
+        assert rows / stripes <= bound and rows / columns <= bound
+    assert grid_shape(1_000, 1_000, bound, bound, 12) == (1, 1)
+    assert grid_shape(0, 0, bound, bound, 12) == (1, 1)

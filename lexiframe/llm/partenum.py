@@ -189,28 +189,24 @@ def _signed_sets(docs: DataFrame, words: int, percent: int, salt: int = 0, only=
 
 
 def _signatures(signed: DataFrame, salt: int) -> DataFrame:
-    """``uid, run, keep, sig``: every signature of sets, with how many of the rarest their run keeps.
-
-    ``keep`` is what a run may keep beyond the signatures that it has in common with no other set.
-    """
+    """``uid, run, spare, sig``: every signature of sets, with how many more than it has their run may keep."""
     runs = signed.select("uid", F.posexplode("runs").alias("run", "of"))
-    return runs.select(
-        "uid", (F.col("run") + 2 * salt).alias("run"), "of.need", F.size("of.sigs").alias("all"), F.explode("of.sigs").alias("sig")
-    )
+    spare = (F.col("of.need") - F.size("of.sigs")).alias("spare")
+    return runs.select("uid", (F.col("run") + 2 * salt).alias("run"), spare, F.explode("of.sigs").alias("sig"))
 
 
 def _rarest(sigs: DataFrame) -> DataFrame:
     """``uid, sig`` of the signatures that runs keep, without those of a single set.
 
-    The order is that of the number of sets, then the signature.  A window holds one run.
+    The order is that of the number of sets, then the signature.  A run keeps ``need`` signatures, those
+    of a single set first, so of the others as many as there are of them plus ``spare``.  All signatures
+    are shuffled once, at any size of the table; one window holds a signature's rows, one those of a run.
     """
-    met = checkpointed(sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"), "met")
-    met = met.withColumnRenamed("sig", "of")
-    common = sigs.join(checked_broadcast(met), F.col("sig") == F.col("of"))
+    common = sigs.withColumn("sets", F.count(F.lit(1)).over(Window.partitionBy("sig"))).where("sets > 1")
     run = Window.partitionBy("uid", "run")
     rank = F.row_number().over(run.orderBy("sets", "sig"))
-    kept = common.withColumn("rank", rank).withColumn("alone", F.col("all") - F.count(F.lit(1)).over(run))
-    return kept.where(F.col("rank") + F.col("alone") <= F.col("need")).select("uid", "sig").distinct()
+    kept = common.withColumn("rank", rank).withColumn("several", F.count(F.lit(1)).over(run))
+    return kept.where(F.col("rank") <= F.col("several") + F.col("spare")).select("uid", "sig").distinct()
 
 
 def linked_sets(sets: list[np.ndarray], side: np.ndarray, percent: int) -> np.ndarray:

@@ -109,3 +109,20 @@ def test_shapes_are_of_whole_words():
     same = "ab" * 200
     assert quality.word_shape((same + "1").encode()) != quality.word_shape((same + "!").encode())
     assert quality.word_shape(("aB" * 30).encode()) == "aA" * 30
+
+
+def test_signatures_are_shuffled_once_at_any_size(spark):
+    """Their count sends no second copy of them, and the plan does not depend on how many there are."""
+    rows = [(uid, run, spare, sig) for uid in range(40) for run, spare in ((0, -3), (1, 0)) for sig in range(run, 50, 1 + uid % 7)]
+    sigs = spark.createDataFrame(rows, "uid long, run int, spare int, sig long")
+    kept = partenum._rarest(sigs)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("hashpartitioning(sig#") == 1
+    sets = collections.Counter(sig for *_, sig in rows)
+    want = set()
+    for uid in range(40):
+        for run, spare in ((0, -3), (1, 0)):
+            own = sorted((sets[s], s) for u, r, _, s in rows if (u, r) == (uid, run))
+            alone = sum(n == 1 for n, _ in own)
+            want |= {(uid, s) for _, s in [x for x in own if x[0] > 1][: max(0, len(own) + spare - alone)]}
+    assert {tuple(r) for r in kept.collect()} == want

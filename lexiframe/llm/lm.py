@@ -178,6 +178,15 @@ def encoded_words(counts: DataFrame, ranks) -> DataFrame:
     return counts.select("word", "n").mapInArrow(run, "ids array<int>, n bigint")
 
 
+def fill(into: np.ndarray, cells: DataFrame) -> None:
+    """Put the values of ``cells`` (place, value) into an array of bounded size.
+
+    The driver gets them as Arrow columns; a table of a million cells as Python rows takes it hundreds of MB.
+    """
+    got = cells.toArrow()
+    into[got.column(0).to_numpy()] = got.column(1).to_numpy()
+
+
 def symbol_table(counts: np.ndarray, begins: np.ndarray, ends: int, symbols: int = SYMBOLS) -> dict:
     """Masses and symbols of all subword ids; the last id is the end.
 
@@ -213,8 +222,7 @@ def symbol_groups(pieces: DataFrame, shared, symbols: int = SYMBOLS, groups: int
 
     pairs = np.zeros(symbols * symbols)
     counted = pieces.select("first", "ids").mapInArrow(run, "cell bigint, n bigint")
-    for cell, n in counted.groupBy("cell").agg(F.sum("n")).collect():  # symbols squared at most
-        pairs[cell] = n
+    fill(pairs, counted.groupBy("cell").agg(F.sum("n")))  # symbols squared at most
     pairs = pairs.reshape(symbols, symbols)
     single = np.diag(pairs).copy()
     np.fill_diagonal(pairs, 0)
@@ -282,8 +290,7 @@ def pair_table(encoded: DataFrame, shared, tables: dict) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(found[some])], ["cell", "n"])
 
     counts = np.zeros((symbols + 3) * units)
-    for cell, n in encoded.mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n")).collect():
-        counts[cell] = n
+    fill(counts, encoded.mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n")))
     counts = counts.reshape(-1, units)
     kinds, prior = tables["unit_kind"], tables["prior"]
     totals = np.zeros((len(counts), tables["classes"]))
@@ -505,10 +512,9 @@ def train(pieces: DataFrame, shared, steps: int, rounds: int = ROUNDS) -> dict[s
                     [pa.array(np.arange(len(new) + 1)), pa.array(np.append(new, 1.0) * seen)], ["at", "x"]
                 )
 
-        got = pieces.select("first", "ids").mapInArrow(run, "at bigint, x double").groupBy("at").agg(F.sum("x")).collect()
         total = np.zeros(len(values) + 1)
-        for at, x in got:  # one row per parameter
-            total[at] = x
+        got = pieces.select("first", "ids").mapInArrow(run, "at bigint, x double")
+        fill(total, got.groupBy("at").agg(F.sum("x")))  # one row per parameter
         if not total[-1]:
             break
         values = (total[:-1] / total[-1]).astype(np.float32)
@@ -629,8 +635,7 @@ def lm_scores(docs: DataFrame, train_on, tokenizer: str = TOKENIZER, known_words
     encoded = checkpointed(encoded_words(counts, ranks), "encoded")
     found = np.zeros(len(ranks.value), np.int64)
     by_id = encoded.select("n", F.explode("ids").alias("id")).groupBy("id").agg(F.sum("n"))
-    for i, n in by_id.collect():  # at most one row per subword id
-        found[i] = n
+    fill(found, by_id)  # at most one row per subword id
     begins = np.array([t.startswith(b" ") for t, _ in sorted(ranks.value.items(), key=lambda x: x[1])])
     base = symbol_table(found, begins, ends)
     shared = spark.sparkContext.broadcast(base)

@@ -2,6 +2,7 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -247,3 +248,19 @@ def test_training_holds_a_bounded_number_of_windows(monkeypatch):
     monkeypatch.setattr(lm, "gradients", lambda p, s, k: (seen.append(len(s)), (0.0, p))[1])
     chunks = ((np.zeros((300, 2 * lm.BLOCK), np.int16), np.zeros((300, lm.BLOCK), np.int64)) for _ in range(20))
     assert lm.train_locally(lm.new_parameters(1), chunks, 20)[1] == sum(seen) == 6000 and max(seen) == lm.BATCH
+
+
+def test_cells_reach_the_driver_as_columns(spark, monkeypatch):
+    """Half a million cells as Python rows took the driver more than 100 MB."""
+    cells = spark.range(1 << 19).selectExpr("id as cell", "id * 3 as n")
+    monkeypatch.setattr(type(cells), "collect", None)
+    into = np.zeros((1 << 19) + 5)
+    tracemalloc.start()
+    lm.fill(into, cells.where("cell <> 7"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = np.append(np.arange(1 << 19) * 3.0, np.zeros(5))
+    want[7] = 0
+    assert (into == want).all() and peak < 60 << 20
+    lm.fill(into, cells.limit(0))
+    assert (into == want).all()

@@ -33,6 +33,7 @@ from lexiframe.session import checkpointed
 
 BUCKETS = 1 << 14
 RANK = 256
+QR_ROWS = 1 << 11  # factored at once
 PIECE = 64  # words of an item piece
 STEP = 32  # words from window to window
 WINDOW = 96  # PIECE + STEP: every run of PIECE words is whole in some window
@@ -142,6 +143,23 @@ def _rows_matrix(texts, idf: np.ndarray):
         yield bucket, (count * idf[bucket]).astype(np.float32)
 
 
+def orthonormal(columns: np.ndarray, most: int = QR_ROWS) -> np.ndarray:
+    """Orthonormal basis of the columns' span.
+
+    Blocks of ``most`` rows are factored one after the other and so are their triangles, as numpy
+    holds four copies in double precision of what it factors at once.
+    """
+    if len(columns) <= most:
+        return np.linalg.qr(columns)[0]
+    parts = [np.linalg.qr(columns[at : at + most]) for at in range(0, len(columns), most)]
+    top = orthonormal(np.concatenate([r for _, r in parts]), max(most, 2 * columns.shape[1]))
+    out, row, at = np.empty((len(columns), top.shape[1]), columns.dtype), 0, 0
+    for q, r in parts:
+        out[row : row + len(q)] = q @ top[at : at + len(r)]
+        row, at = row + len(q), at + len(r)
+    return out
+
+
 def latent_space(rows: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 7) -> np.ndarray:
     """Right singular vectors (buckets x rank) of the TF-IDF matrix of ``rows(row, words, weight)``.
 
@@ -194,8 +212,8 @@ def latent_space(rows: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int =
         shared.destroy()
         return np.array([np.frombuffer(r[1], "<f4") for r in got]).T
 
-    left = np.linalg.qr(times(np.random.default_rng(seed).standard_normal((buckets, rank), np.float32)))[0]
-    left = np.linalg.qr(times(np.linalg.qr(transposed_times(left))[0]))[0]
+    left = orthonormal(times(np.random.default_rng(seed).standard_normal((buckets, rank), np.float32)))
+    left = orthonormal(times(orthonormal(transposed_times(left))))
     product = transposed_times(left)
     values, vectors = np.linalg.eigh((product.T @ product).astype(np.float64))
     keep = values > max(values.max(initial=0), 1e-12) * 1e-6

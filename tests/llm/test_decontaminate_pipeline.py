@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -225,3 +226,19 @@ def test_mixing_and_sharding_stages(stages):
     assert have == want and after.columns == before.columns
     before, after = stages[4]
     assert after.count() == before.count() and {r["law"] for r in after.select("law").distinct().collect()} == {"rows"}
+
+
+def test_a_basis_is_found_with_little_memory():
+    """Numpy factors a whole matrix with several copies in double precision on the driver."""
+    rng = np.random.default_rng(1)
+    columns = rng.standard_normal((1 << 14, 256)).astype(np.float32)
+    columns[:, 200:] = columns[:, :56]  # not all independent
+    tracemalloc.start()
+    basis = dc.orthonormal(columns)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * columns.nbytes  # 6 copies and more before
+    assert np.abs(basis.T @ basis - np.eye(256)).max() < 1e-4
+    assert np.abs(basis @ (basis.T @ columns) - columns).max() < 1e-3
+    few = rng.standard_normal((100, 256)).astype(np.float32)
+    assert (dc.orthonormal(few) == np.linalg.qr(few)[0]).all()

@@ -140,3 +140,24 @@ def test_ids_name_their_document(spark):
     df = spark.createDataFrame(rows, f"doc_id bigint, {SEGMENTS}")
     got = {r.chunk_id: r.doc_id for r in to_chunks(df).collect()}
     assert got == {"doc7_art1_p1_body": 7, "doc8_art1_p1_body": 8, "art1_p1_body": None}
+
+
+def test_an_append_meets_the_index_once(spark, tmp_path, monkeypatch):
+    """The join that finds clashes gives the new rows as well; it shuffles all texts."""
+    path, plans, write = str(tmp_path / "index"), [], ix.VersionedTable.write_data
+
+    def seen(self, df, *how):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(self, df, *how)
+
+    monkeypatch.setattr(ix.VersionedTable, "write_data", seen)
+    rows = [(None if i == 3 else f"c{i}", f"text {i}", [float(i)]) for i in range(9)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, text string, embedding array<float>")
+    ix.bootstrap_index(chunks.where("text < 'text 5'"), path)
+    ix.append_chunks(chunks, path)
+    ix.append_chunks(chunks, path)
+    assert len(plans) == 3 and not any("Join" in plan for plan in plans)
+    assert sorted(map(str, ix.read_index(spark, path).collect())) == sorted(map(str, chunks.collect()))
+    with pytest.raises(ValueError, match="c7"):
+        ix.append_chunks(spark.createDataFrame([("c7", "other", [1.0]), ("c99", "new", [1.0])], chunks.schema), path)
+    assert ix.read_index(spark, path).count() == 9

@@ -1,6 +1,7 @@
 """Decontamination against brute force, and the pipeline stage by stage."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest

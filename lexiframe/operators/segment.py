@@ -355,7 +355,8 @@ def segment(
     Output: doc_id, section, occurrence (order of the article in its document),
     article_number, paragraph_number (null when the article has none), text.
     """
-    lines = statute_lines(pages, rules, pages_per_block)
+    lines = statute_lines(pages, rules, pages_per_block).select(*BLOCK, "pos", "line_class", "number", "text")
+    lines = checkpointed(lines, "lines")  # markers and text are read apart; pages are split and classified once
     markers = _with_numbered(checkpointed(block_markers(lines), "markers"))
     assigned = _assign(lines, markers, rules)
 

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexiframe.functions import fixed
 from lexiframe.operators.lines import default_rules
@@ -132,3 +133,21 @@ def test_unicode_space_and_breaks(spark):
         (1, 1, "dua"),
         (2, None, "tiga"),
     ]
+
+
+def test_pages_are_split_and_classified_once(spark):
+    """Markers and text come from lines that are written once."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        read.add(1)
+        return text
+
+    rows = [(doc, "body", i + 1, f"Pasal {i + 1}\n(1)\nisi {doc} {i}") for doc in range(3) for i in range(4)]
+    pages = spark.createDataFrame(rows, "doc_id bigint, section string, page_no int, text string")
+    pages = pages.withColumn("text", counted.asNondeterministic()("text"))
+    got = segment(pages, default_rules(), 2).collect()
+    want = [(doc, i + 1, 1, f"isi {doc} {i}") for doc in range(3) for i in range(4)]
+    assert sorted((r.doc_id, r.article_number, r.paragraph_number, r.text) for r in got) == want
+    assert read.value == len(rows)

@@ -146,6 +146,44 @@ def test_state_is_empty_when_everything_has_expired():
     assert list(work.handleExpiredTimer((7,), None, Expiry(3))) == []  # once
 
 
+def test_a_key_with_late_messages_alone_reads_and_writes_no_state():
+    """Every use of state is a message to the JVM; a new session takes four, late ones none."""
+    from pyspark.sql import Row
+
+    class Handle:
+        def __init__(self):
+            self.calls, self.held = [], None
+
+        def getValueState(self, *a):
+            return self
+
+        getListState = getValueState
+
+        def get(self):
+            self.calls.append("get")
+            return self.held
+
+        def put(self, lines):
+            self.calls.append("put")
+
+        def update(self, value):
+            self.calls.append("update")
+            self.held = value
+
+        def registerTimer(self, at):
+            self.calls.append("register")
+
+    row, handle = Row("key", "message_id", "at", "marker", "line", "event_time"), Handle()
+    work = timers.ConversationRows(1000, 10, 6, None, "\n")
+    work.init(handle)
+    both = [row(7, 1, 500, False, "a", None), row(7, 1, 500, True, None, None)]
+    assert [(r.kind, r.message_id, r.context) for r in work.handleInputRows((7,), iter(both), None)] == [("message", 1, "")]
+    assert handle.calls == ["get", "register", "update", "put"]
+    handle.calls.clear()
+    assert [(r.kind, r.message_id) for r in work.handleInputRows((7,), iter(both[1:]), None)] == [("late", 1)]
+    assert handle.calls == []
+
+
 def test_scopes_leave_no_folder(spark, tmp_path):
     with scratch_scope(spark) as path:
         checkpointed(spark.range(3), "a").count()

@@ -14,6 +14,9 @@ after each round.  Scoring cuts a document into blocks; a block and the block
 before it are one context window, in which all queries of many blocks are answered by batched masked
 attention, so windows overlap by half and every token is scored once.
 
+Texts are cut into words twice: to count the words, and into the pieces that hold the subword ids of all
+documents, from which the model is trained and every document scored.
+
 Word counts stay distributed.  Only words above a count are broadcast (at most ``KNOWN_WORDS``); all
 others are counted per document and joined, which is free of hot keys as those words are rare.
 
@@ -25,20 +28,26 @@ ignored.
 from __future__ import annotations
 
 import base64
-from collections import Counter
+import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from lexiframe.llm.words import texts_of, words_of
+from lexiframe.llm.words import coded_words, text_slices, words_of  # noqa: F401
 from lexiframe.session import checkpointed
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"  # a space goes before every word
 KNOWN_WORDS = 1 << 19
-FLUSH = 1 << 18  # distinct words counted before a task passes them on
+COUNTED_BYTES = 1 << 23  # of text whose words a task counts at once
+CUT_BYTES, CUT_ROWS = 1 << 21, 1024  # of text cut at once
+CUT_WORDS = 1 << 18  # that a task holds beside the known ones
+ENCODED_AT_ONCE = 1024  # words
 CLASSES = 48  # half for subwords that begin a word, half for those within words
 SYMBOLS = 1024
 GROUPS = 6  # of symbols that stand in the same windows
@@ -52,7 +61,9 @@ HELD = 1 << 14  # windows that a task shuffles at once
 BATCH = 256
 RATE = 0.01
 SCORED_AT_ONCE = 128  # blocks
-SLICE = 256  # documents tokenised before they are scored
+TASKS_PER_CORE = 2  # of those that return a table of pairs each
+KEPT_BYTES = 1 << 23
+SCORE_UNIT = 1e-8  # scores of pieces are summed as integers of it, in any order alike
 
 
 # --- subwords ---------------------------------------------------------------------------------
@@ -63,12 +74,47 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def subword_encoder(ranks: dict[bytes, int]):
-    """Function from a word (UTF-8) to its subword ids."""
-    import tiktoken
+class SubwordEncoder:
+    """Subword ids of words (UTF-8)."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        import tiktoken
+
+        self.encoding = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.begins = np.zeros(max(ranks.values(), default=0) + 1, bool)
+        self.begins[[rank for token, rank in ranks.items() if token.startswith(b" ")]] = True
+
+    def __call__(self, word: bytes) -> list[int]:
+        return self.encoding.encode_ordinary(" " + word.decode("utf-8", "replace"))
+
+    def many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all the words in order, and their number per word."""
+        ids, sizes = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+        for at in range(0, len(words), ENCODED_AT_ONCE):
+            own = words[at : at + ENCODED_AT_ONCE]
+            joined = b" ".join(own).decode("utf-8", "replace")
+            if re.search(r"[^\S ]", joined):  # white space within words may take in the space after it
+                lists = list(map(self, own))
+                ids.append(np.array([i for one in lists for i in one], np.int32))
+                sizes.append(np.array(list(map(len, lists)), np.int64))
+                continue
+            ids.append(np.array(self.encoding.encode_ordinary(" " + joined), np.int32))
+            starts = np.flatnonzero(self.begins[ids[-1]])  # only the first subword of a word holds a space
+            sizes.append(np.diff(np.append(starts, len(ids[-1]))))
+        return np.concatenate(ids), np.concatenate(sizes)
+
 
-    encoding = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda word: encoding.encode_ordinary(" " + word.decode("utf-8", "replace"))
+def subword_encoder(ranks: dict[bytes, int]) -> SubwordEncoder:
+    return SubwordEncoder(ranks)
+
+
+def keep_freed_memory() -> None:
+    """Let this process keep some MB that it frees.
+
+    glibc gives freed memory back beyond twice the largest block freed so far.  Kernels that free and take the
+    same arrays for every batch otherwise spend up to half of their time in page faults.
+    """
+    np.empty(KEPT_BYTES, np.uint8)  # freed untouched
 
 
 class _Rows(dict):
@@ -115,12 +161,13 @@ class Lexicon:
         """Subword ids of the words in order."""
         if not len(rows):
             return np.empty(0, np.int32)
-        for row in set(rows[self.start[rows] < 0].tolist()):
-            ids = self.encode(self.names[row])
+        new = np.unique(rows[self.start[rows] < 0])
+        if len(new):
+            ids, sizes = self.encode.many([self.names[row] for row in new.tolist()])
             if self.used + len(ids) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.int32)])
             self.flat[self.used : self.used + len(ids)] = ids
-            self.start[row], self.length[row] = self.used, len(ids)
+            self.start[new], self.length[new] = self.used + np.cumsum(sizes) - sizes, sizes
             self.used += len(ids)
         size = self.length[rows]
         ends = np.cumsum(size)
@@ -134,19 +181,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """``word, n`` over all texts of ``docs``."""
 
     def run(batches):
-        def batch_of(counts):
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"]
-            )
-
-        counts: Counter = Counter()
         for batch in batches:
-            for text in texts_of(batch.column(0)):
-                counts.update(words_of(text))
-                if len(counts) > FLUSH:
-                    yield batch_of(counts)
-                    counts = Counter()
-        yield batch_of(counts)
+            for part in text_slices(batch, "text", COUNTED_BYTES):
+                words, codes, _ = coded_words(part.column("text"))
+                n = np.bincount(codes, minlength=len(words))
+                yield pa.RecordBatch.from_arrays([words, pa.array(n, pa.int64())], ["word", "n"])
 
     found = docs.select("text").mapInArrow(run, "word binary, n bigint")
     return found.groupBy("word").agg(F.sum("n").alias("n"))
@@ -172,8 +211,9 @@ def encoded_words(counts: DataFrame, ranks) -> DataFrame:
     def run(batches):
         encode = subword_encoder(ranks.value)
         for batch in batches:
-            ids = [encode(word) for word in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), batch.column(1)], ["ids", "n"])
+            ids, sizes = encode.many(batch.column(0).to_pylist())
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([lists, batch.column(1)], ["ids", "n"])
 
     return counts.select("word", "n").mapInArrow(run, "ids array<int>, n bigint")
 
@@ -208,22 +248,30 @@ def symbol_groups(pieces: DataFrame, shared, symbols: int = SYMBOLS, groups: int
     """
 
     def run(batches):
+        keep_freed_memory()
         table, side = shared.value["symbol"], symbols + 1
         found = np.zeros(side * side, np.int64)
-        one, other = np.triu_indices(2 * BLOCK)
         for rows, _ in window_chunks(batches, table, 4096):
-            rows = np.sort(np.minimum(rows, symbols).astype(np.int32), axis=1)
+            rows = np.sort(np.minimum(rows, symbols), axis=1)
             rows[:, 1:][rows[:, 1:] == rows[:, :-1]] = symbols  # a symbol counts once in a window
-            found += np.bincount((rows[:, one] * side + rows[:, other]).ravel(), minlength=len(found))
-        found = found.reshape(side, side)[:symbols, :symbols]
-        found = (found + np.triu(found, 1).T).ravel()
+            rows.sort(axis=1)
+            many = (rows < symbols).sum(1)
+            rows = rows[np.argsort(-many, kind="stable")].T.astype(np.int64)  # windows of many symbols first
+            first, cells = rows * side, []
+            for place in range(2 * BLOCK):
+                own = int((many > place).sum())  # windows with a symbol at this place
+                cells.append((first[: place + 1, :own] + rows[place, :own]).ravel())
+            found += np.bincount(np.concatenate(cells), minlength=len(found))
+        found = found.reshape(side, side)[:symbols, :symbols].ravel()  # the smaller symbol first
         some = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(found[some])], ["cell", "n"])
 
     pairs = np.zeros(symbols * symbols)
-    counted = pieces.select("first", "ids").mapInArrow(run, "cell bigint, n bigint")
+    tasks = TASKS_PER_CORE * pieces.sparkSession.sparkContext.defaultParallelism  # each returns a table of cells
+    counted = pieces.select("first", "ids").coalesce(tasks).mapInArrow(run, "cell bigint, n bigint")
     fill(pairs, counted.groupBy("cell").agg(F.sum("n")))  # symbols squared at most
     pairs = pairs.reshape(symbols, symbols)
+    pairs = pairs + np.triu(pairs, 1).T
     single = np.diag(pairs).copy()
     np.fill_diagonal(pairs, 0)
     expected = np.outer(single, single) / max(single.sum(), 1)
@@ -341,60 +389,88 @@ def unflat(values: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def _attend(q, k, bias):
-    weights = q @ k.swapaxes(1, 2) + bias
-    weights -= weights.max(2, keepdims=True)
-    np.exp(weights, out=weights)
-    weights /= weights.sum(2, keepdims=True)
-    return weights
+def _bounded(x, bound: float):
+    """Exponents in place; those not known to stay below 60 are shifted by their maximum."""
+    if not bound < 60:
+        x -= x.max(-1, keepdims=True)
+    return np.exp(x, out=x)
+
 
+def _lengths(x) -> float:
+    return float(np.sqrt(np.einsum("ij,ij->i", x, x).max()))
 
-def _bias(p, symbols):
-    """Distance terms and masks of all windows: no look ahead, no padding."""
-    base = p["near"][_BACK] + _FUTURE
-    return base + np.where(symbols == PAD, np.float32(-1e9), np.float32(0))[:, None, :]
+
+def _by_symbol(rows, symbols, many: int):
+    """Sums of the rows of every symbol."""
+    order = np.argsort(symbols, axis=None, kind="stable")
+    at = symbols.ravel()[order]
+    starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    pairs = rows.reshape(len(at), -1).take(order, 0).view(np.result_type(rows, np.complex64))  # two columns at once
+    out = np.zeros((many, rows.shape[-1]), rows.dtype)
+    out[at[starts]] = np.add.reduceat(pairs, starts, axis=0).view(rows.dtype)
+    return out
 
 
 def gradients(p: dict, symbols: np.ndarray, kinds: np.ndarray) -> tuple[float, dict]:
-    """Mean loss of the second half of every window and its gradient; kind -1 is not scored."""
-    scale = np.float32(1 / np.sqrt(WIDTH))
-    e = p["embed"][symbols]
-    mine = e[:, BLOCK:]
-    q, k, v = mine @ p["query"] * scale, e @ p["key"], e @ p["value"]
-    a = _attend(q, k, _bias(p, symbols))
+    """Mean loss of the second half of every window and its gradient; kind -1 is not scored.
+
+    Products with parameters are taken once per symbol instead of once per place, forwards and backwards.
+    """
+    embed, number = p["embed"], p["embed"].dtype.type
+    scale = number(1 / np.sqrt(WIDTH))
+    own = symbols[:, BLOCK:]
+    value = embed @ p["value"]
+    meets = np.concatenate([embed @ p["key"], value @ p["mix"]], 1)
+    looks = np.concatenate([embed @ p["query"] * scale, embed @ p["own"] + p["shift"]], 1)
+    kv = meets.take(symbols.ravel(), 0).reshape(*symbols.shape, 2 * WIDTH)
+    qr = looks.take(own.ravel(), 0).reshape(*own.shape, 2 * WIDTH)
+    q, k, v = qr[:, :, :WIDTH], kv[:, :, :WIDTH], kv[:, :, WIDTH:]
+    a = q @ k.swapaxes(1, 2)
+    a += p["near"][_BACK] + _FUTURE
+    padded = np.flatnonzero((symbols == PAD).any(1))
+    if len(padded):
+        a[padded] += np.where(symbols[padded] == PAD, np.float32(-1e9), np.float32(0))[:, None, :]
+    _bounded(a, _lengths(looks[:, :WIDTH]) * _lengths(meets[:, :WIDTH]) + float(np.abs(p["near"]).max()))
+    a *= (1 / (a.reshape(-1, 2 * BLOCK) @ np.ones(2 * BLOCK, number))).reshape(*own.shape, 1)
     c = a @ v
-    h = np.tanh(mine @ p["own"] + c @ p["mix"] + p["shift"])
-    z = h @ p["out"] + p["bias"]
-    z -= z.max(2, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(2, keepdims=True)
-    valid = kinds >= 0
+    h = c + qr[:, :, WIDTH:]
+    h = np.tanh(h, out=h).reshape(-1, WIDTH)
+    z = h @ p["out"]
+    z += p["bias"]
+    _bounded(z, float(np.abs(p["out"]).sum(0).max() + np.abs(p["bias"]).max()))
+    total = z @ np.ones(CLASSES, number)
+    wanted = kinds.ravel()
+    valid = wanted >= 0
     count = max(1, int(valid.sum()))
-    at = np.where(valid, kinds, 0)[:, :, None]
-    loss = -np.log(np.maximum(np.take_along_axis(z, at, 2)[:, :, 0], 1e-30))[valid].sum() / count
-    np.put_along_axis(z, at, np.take_along_axis(z, at, 2) - 1, 2)
-    dz = z * (valid[:, :, None] / np.float32(count))
-    g = {"out": np.tensordot(h, dz, ((0, 1), (0, 1))), "bias": dz.sum((0, 1))}
-    dh = (dz @ p["out"].T) * (1 - h * h)
-    g["shift"] = dh.sum((0, 1))
-    g["own"] = np.tensordot(mine, dh, ((0, 1), (0, 1)))
-    g["mix"] = np.tensordot(c, dh, ((0, 1), (0, 1)))
-    dc = dh @ p["mix"].T
-    da = dc @ v.swapaxes(1, 2)
-    dv = a.swapaxes(1, 2) @ dc
-    ds = a * (da - (da * a).sum(2, keepdims=True))
+    at = np.arange(0, z.size, CLASSES) + np.where(valid, wanted, 0)
+    cells = z.ravel()
+    loss = -np.log(np.maximum(cells[at] / total, 1e-30))[valid].sum() / count
+    each = valid * number(1 / count)
+    z *= (each / total)[:, None]
+    cells[at] -= each
+    ones = np.ones(len(z), number)
+    g = {"out": h.T @ z, "bias": ones @ z}
+    dh = z @ p["out"].T
+    dh *= 1 - h * h
+    g["shift"] = ones @ dh
+    dc = dh.reshape(c.shape)
+    ds = dc @ v.swapaxes(1, 2)
+    ds -= np.einsum("ijk,ijk->ij", dc, c)[:, :, None]
+    ds *= a
     g["near"] = np.bincount(_BACK.ravel(), weights=ds.sum(0).ravel(), minlength=2 * BLOCK)
-    dq = ds @ k * scale
-    dk = ds.swapaxes(1, 2) @ q
-    g["query"] = np.tensordot(mine, dq, ((0, 1), (0, 1)))
-    g["key"] = np.tensordot(e, dk, ((0, 1), (0, 1)))
-    g["value"] = np.tensordot(e, dv, ((0, 1), (0, 1)))
-    de = dk @ p["key"].T + dv @ p["value"].T
-    de[:, BLOCK:] += dq @ p["query"].T + dh @ p["own"].T
-    g["embed"] = np.zeros_like(p["embed"])
-    order = np.argsort(symbols, axis=None, kind="stable")
-    met, starts = np.unique(symbols.ravel()[order], return_index=True)
-    g["embed"][met] = np.add.reduceat(de.reshape(-1, WIDTH)[order], starts, axis=0)
+    dkv, dqr = np.empty_like(kv), np.empty_like(qr)
+    np.matmul(ds.swapaxes(1, 2), q, out=dkv[:, :, :WIDTH])
+    np.matmul(a.swapaxes(1, 2), dc, out=dkv[:, :, WIDTH:])
+    np.matmul(ds, k, out=dqr[:, :, :WIDTH])
+    dqr[:, :, WIDTH:] = dc
+    met, looked = _by_symbol(dkv, symbols, len(embed)), _by_symbol(dqr, own, len(embed))
+    g["mix"] = value.T @ met[:, WIDTH:]
+    met[:, WIDTH:] = met[:, WIDTH:] @ p["mix"].T
+    looked[:, :WIDTH] *= scale
+    for names, sums in ((("key", "value"), met), (("query", "own"), looked)):
+        g |= zip(names, np.split(embed.T @ sums, 2, axis=1), strict=True)
+    both = np.concatenate([p["key"], p["value"]], 1), np.concatenate([p["query"], p["own"]], 1)
+    g["embed"] = met @ both[0].T + looked @ both[1].T
     return float(loss), g
 
 
@@ -434,19 +510,18 @@ def window_chunks(batches, symbol: np.ndarray, most: int = HELD):
 
 def train_locally(p: dict, chunks, steps: int, rate: float = RATE) -> tuple[dict, int]:
     """Adam over chunks of windows and kinds, with speed that falls over ``steps``; also their number."""
-    p = {n: v.copy() for n, v in p.items()}
-    first, second = ({n: np.zeros_like(v) for n, v in p.items()} for _ in range(2))
+    values = flat(p).astype(np.float32)
+    first, second = np.zeros_like(values), np.zeros_like(values)
     step = seen = 0
     for symbols, kinds in _batches(chunks):
-        _, g = gradients(p, symbols, kinds)
+        g = flat(gradients(unflat(values), symbols, kinds)[1]).astype(np.float32)
         speed = rate * (1 - min(1, step / steps) * 0.9)
-        for n in p:
-            first[n] += 0.1 * (g[n] - first[n])
-            second[n] += 0.01 * (g[n] ** 2 - second[n])
-            m, s = first[n] / (1 - 0.9 ** (step + 1)), second[n] / (1 - 0.99 ** (step + 1))
-            p[n] -= (speed * m / (np.sqrt(s) + 1e-8)).astype(np.float32)
+        first += 0.1 * (g - first)
+        second += 0.01 * (g * g - second)
+        m, s = first / (1 - 0.9 ** (step + 1)), second / (1 - 0.99 ** (step + 1))
+        values -= speed * m / (np.sqrt(s) + 1e-8)
         step, seen = step + 1, seen + len(symbols)
-    return p, seen
+    return unflat(values), seen
 
 
 def _batches(chunks):
@@ -465,32 +540,74 @@ def _batches(chunks):
         yield left
 
 
-def training_pieces(docs: DataFrame, end: int, ranks, most: int = PIECE_BLOCKS) -> DataFrame:
+#: What is known of a document beside its subwords, on its first piece: ``rare`` holds its words outside the known ones.
+PIECE_FACTS = [
+    T.StructField("n_tokens", T.LongType()),
+    T.StructField("n_known", T.LongType()),
+    T.StructField("logs", T.DoubleType()),
+    T.StructField("n_subwords", T.LongType()),
+    T.StructField("rare", T.ArrayType(T.BinaryType())),
+    T.StructField("times", T.ArrayType(T.IntegerType())),
+]
+
+
+def training_pieces(docs: DataFrame, end: int, ranks, most: int = PIECE_BLOCKS, known=None) -> DataFrame:
     """``first, ids``: subwords and end of every document, in rows of at most ``most`` blocks.
 
-    All rows of a document but the first begin with the ``BLOCK + 1`` ids before them.
+    All rows of a document but the first begin with the ``BLOCK + 1`` ids before them.  ``PIECE_FACTS`` and the other
+    columns of ``docs`` follow.  ``known`` is a broadcast of the words counted one by one, with their logarithms and those of the ends.
     """
+    others = [f for f in docs.schema.fields if f.name != "text"]
+    out = T.StructType([T.StructField("first", T.BooleanType()), T.StructField("ids", T.BinaryType()), *PIECE_FACTS, *others])
+    schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in out])
 
     def run(batches):
-        lexicon, kind = Lexicon(subword_encoder(ranks.value)), id_type(end + 1)
+        keep_freed_memory()
+        held = known.value if known else {"words": [], "logs": np.zeros(0), "end": 0.0, "ends": 0}
+        lexicon, kind = Lexicon(subword_encoder(ranks.value), held["words"], CUT_WORDS), id_type(end + 1)
+        many, logs = len(held["words"]), np.append(held["logs"], 0.0)
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                firsts, rows = [], []
-                for text in texts_of(batch.column(0).slice(at, SLICE)):
-                    ids = np.append(lexicon.subwords(lexicon.of(words_of(text))), end).astype(kind)
-                    for start in range(0, len(ids), most * BLOCK):
-                        firsts.append(start == 0)
-                        rows.append(ids[max(0, start - BLOCK - 1) : start + most * BLOCK].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(firsts, pa.bool_()), pa.array(rows, pa.binary())], ["first", "ids"])
-
-    return docs.select("text").mapInArrow(run, "first boolean, ids binary")
+            for part in text_slices(batch, "text", CUT_BYTES, CUT_ROWS):
+                words, codes, sizes = coded_words(part.column("text"))
+                of = lexicon.of(words.to_pylist())
+                rows, owner = of[codes], np.repeat(np.arange(len(sizes)), sizes)
+                ids = lexicon.subwords(rows)
+                stops = np.append(0, np.cumsum(lexicon.length[rows]))[np.cumsum(sizes)]
+                data = np.insert(ids, stops, end).astype(kind).tobytes()
+                common = rows < many
+                other, times = np.unique(owner[~common] * len(words) + codes[~common], return_counts=True)
+                lists = pa.array(np.append(0, np.cumsum(np.bincount(other // max(len(words), 1), minlength=len(sizes)))), pa.int32())
+                lengths = np.diff(stops, prepend=0)
+                facts = [
+                    sizes + 1,
+                    np.bincount(owner, common, len(sizes)).astype(np.int64) + (held["ends"] > 0),
+                    np.bincount(owner, logs[np.where(common, rows, many)], len(sizes)) + held["end"],
+                    lengths,
+                    pa.ListArray.from_arrays(lists, words.take(pa.array(other % max(len(words), 1)))),
+                    pa.ListArray.from_arrays(lists, pa.array(times, pa.int32())),
+                ]
+                doc, pieces, at = [], [], 0
+                for number, length in enumerate((lengths + 1).tolist()):
+                    for start in range(0, length, most * BLOCK):
+                        cut = at + max(0, start - BLOCK - 1), at + min(length, start + most * BLOCK)
+                        doc.append(number)
+                        pieces.append(data[cut[0] * kind.itemsize : cut[1] * kind.itemsize])
+                    at += length
+                first = np.diff(doc, prepend=-1) > 0
+                once = pa.array(doc, pa.int32(), mask=~first)
+                columns = [pa.array(first), pa.array(pieces, pa.binary())]
+                columns += [pa.array(x).take(once) if isinstance(x, np.ndarray) else x.take(once) for x in facts]
+                columns += [part.column(f.name).take(pa.array(doc, pa.int32())) for f in others]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return docs.mapInArrow(run, out)
 
 
 def dealt_pieces(pieces: DataFrame, tasks: int) -> DataFrame:
     """The rows written in ``tasks`` parts, dealt by their number: equal rows go to many parts."""
     numbered = pieces.withColumn("row", F.monotonically_increasing_id())
     dealt = numbered.repartition(tasks, F.xxhash64("row")).sortWithinPartitions("row")
-    return checkpointed(dealt.select("first", "ids"), "pieces")
+    return checkpointed(dealt.drop("row"), "pieces")
 
 
 def train(pieces: DataFrame, shared, steps: int, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
@@ -502,6 +619,7 @@ def train(pieces: DataFrame, shared, steps: int, rounds: int = ROUNDS) -> dict[s
         rate = RATE / (1 + turn)
 
         def run(batches, started=started, rate=rate):
+            keep_freed_memory()
             t = shared.value
             kind_of = np.append(t["kind"], -1).astype(np.int64)  # id -1 is not scored
             chunks = ((symbols, kind_of[ahead]) for symbols, ahead in window_chunks(batches, t["symbol"]))
@@ -530,9 +648,9 @@ class Scorer:
         scale = np.float32(1 / np.sqrt(WIDTH))
         self.q = p["embed"] @ p["query"] * scale
         self.k = p["embed"] @ p["key"]
-        # keys, values and a last column of ones, which sums the weights along with the values
+        # keys, mixed values and a last column of ones, which sums the weights along with the values
         ones = np.ones((len(p["embed"]), 1), np.float32)
-        self.kv = np.concatenate([self.k, p["embed"] @ p["value"], ones], 1)
+        self.kv = np.concatenate([self.k, p["embed"] @ p["value"] @ p["mix"], ones], 1)
         self.out = np.concatenate([p["out"], p["bias"][None]]).astype(np.float32)
         self.sum = np.ones(CLASSES, np.float32)
         self.r = p["embed"] @ p["own"] + p["shift"]
@@ -571,8 +689,7 @@ class Scorer:
         np.exp(a, out=a)
         # one product per block, all of one shape: a block's score does not depend on those beside it
         c = a @ kv[:, :, WIDTH:]
-        h = c[:, :, :WIDTH] @ self.p["mix"]
-        h /= c[:, :, WIDTH:]
+        h = c[:, :, :WIDTH] / c[:, :, WIDTH:]
         h += self.r[own]
         whole = np.ones((*own.shape, WIDTH + 1), np.float32)
         np.tanh(h, out=whole[:, :, :WIDTH])
@@ -590,16 +707,19 @@ class Scorer:
         return np.where(valid, logs, 0.0).reshape(-1, BLOCK).sum(1)
 
     def scores(self, documents: list[np.ndarray]) -> np.ndarray:
-        """Documents of any length, ``SCORED_AT_ONCE`` blocks at a time."""
-        out = np.zeros(len(documents))
+        """Documents of any length."""
+        return self.totals([self.blocks(ids) for ids in documents])
+
+    def totals(self, windows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Sums over the blocks of each entry, ``SCORED_AT_ONCE`` blocks at a time."""
+        out = np.zeros(len(windows))
         held, owners, size = [], [], 0
 
         def flush():
             symbols, ahead = (np.concatenate(x) for x in zip(*held, strict=True))
             np.add.at(out, np.repeat(*np.array(owners).T), self.block_scores(symbols, ahead))
 
-        for number, ids in enumerate(documents):
-            symbols, ahead = self.blocks(ids)
+        for number, (symbols, ahead) in enumerate(windows):
             for at in range(0, len(symbols), SCORED_AT_ONCE):
                 part = (symbols[at : at + SCORED_AT_ONCE], ahead[at : at + SCORED_AT_ONCE])
                 held.append(part)
@@ -615,23 +735,33 @@ class Scorer:
 
 # --- scoring ----------------------------------------------------------------------------------
 
-SCORED_TYPE = (
-    "doc_id bigint, n_tokens bigint, n_known bigint, logs double, score double, n_subwords bigint,"
-    " rare array<binary>, times array<int>"
-)
+SCORED_TYPE = "uid bigint, doc_id bigint, part bigint, n_tokens bigint, n_known bigint, logs double, n_subwords bigint"
+PIECES_AT_ONCE = 256
 
 
 def lm_scores(docs: DataFrame, train_on, tokenizer: str = TOKENIZER, known_words: int = KNOWN_WORDS) -> DataFrame:
     """Scores of every row of ``docs(doc_id, text)``; ``train_on`` is a condition on its columns."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text"))
-    training = docs.where(train_on)
+    trained = F.coalesce(train_on, F.lit(False)).alias("trained")
+    docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text")).select("doc_id", "text", trained)
+    training = docs.where("trained")
     ranks = spark.sparkContext.broadcast(read_ranks(tokenizer))
     counts = checkpointed(word_counts(training), "words")
     row = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     ends = training.count()
     tokens, distinct = (row[0] or 0) + ends, row[1] + (ends > 0)
     known = frequent_words(counts, known_words).select("word", "n").toArrow()  # at most known_words rows
+    known_n = known.column(1).to_numpy()
+    least = int(known_n.min()) if len(known_n) else None
+    lexical = spark.sparkContext.broadcast(
+        {
+            "words": known.column(0).to_pylist(),
+            "logs": np.log10(known_n + 0.1),
+            "end": float(np.log10(ends + 0.1)),
+            "ends": ends,
+        }
+    )
+    del known, known_n
     encoded = checkpointed(encoded_words(counts, ranks), "encoded")
     found = np.zeros(len(ranks.value), np.int64)
     by_id = encoded.select("n", F.explode("ids").alias("id")).groupBy("id").agg(F.sum("n"))
@@ -641,83 +771,53 @@ def lm_scores(docs: DataFrame, train_on, tokenizer: str = TOKENIZER, known_words
     shared = spark.sparkContext.broadcast(base)
     count = int(found.sum()) // BLOCK + ends  # windows, at most
     tasks = max(1, -(-count // WINDOWS_PER_TASK))
-    pieces = dealt_pieces(training_pieces(training, len(base["symbol"]) - 1, ranks), tasks)
-    tables = subword_tables(base, symbol_groups(pieces, shared))
+    numbered = docs.withColumn("uid", F.monotonically_increasing_id())
+    pieces = dealt_pieces(training_pieces(numbered, len(base["symbol"]) - 1, ranks, known=lexical), tasks)
+    learnt = pieces.where("trained")
+    tables = subword_tables(base, symbol_groups(learnt, shared))
     shared = spark.sparkContext.broadcast(tables)
     tables = tables | {"pairs": pair_table(encoded, shared, tables)}
-    parameters = train(pieces, shared, max(1, count // tasks // BATCH))
-    known_n = known.column(1).to_numpy()
-    least = int(known_n.min()) if len(known_n) else None
-    model = spark.sparkContext.broadcast(
-        {
-            "tables": tables,
-            "parameters": parameters,
-            "words": known.column(0).to_pylist(),
-            "logs": np.log10(known_n + 0.1),
-            "end": float(np.log10(ends + 0.1)),
-        }
-    )
-    del known, known_n
+    parameters = train(learnt, shared, max(1, count // tasks // BATCH))
+    model = spark.sparkContext.broadcast({"tables": tables, "parameters": parameters})
 
     def run(batches):
-        m = model.value
-        many, logs = len(m["words"]), m["logs"]
-        lexicon = Lexicon(subword_encoder(ranks.value), m["words"])
-        scorer = Scorer(m["parameters"], m["tables"])
+        keep_freed_memory()
+        scorer = Scorer(model.value["parameters"], model.value["tables"])
+        symbol = scorer.t["symbol"]
+        kind = id_type(len(symbol))
         for whole in batches:
-            for at in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(at, SLICE)
-                out, documents = [], []
-                for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-                    words = words_of(text)
-                    rows = lexicon.of(words)
-                    documents.append(lexicon.subwords(rows))
-                    common = rows[rows < many]
-                    other, times = np.unique(rows[rows >= many], return_counts=True)
-                    out.append(
-                        (
-                            doc, len(words) + 1, len(common) + (ends > 0), float(logs[common].sum()) + m["end"],
-                            len(documents[-1]), [lexicon.names[i] for i in other.tolist()], times.tolist(),
-                        )
-                    )
-                scores = scorer.scores(documents).round(4)
-                columns = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(columns[0], pa.int64()),
-                        pa.array(columns[1], pa.int64()),
-                        pa.array(columns[2], pa.int64()),
-                        pa.array(columns[3], pa.float64()),
-                        pa.array(scores),
-                        pa.array(columns[4], pa.int64()),
-                        pa.array(columns[5], pa.list_(pa.binary())),
-                        pa.array(columns[6], pa.list_(pa.int32())),
-                    ],
-                    ["doc_id", "n_tokens", "n_known", "logs", "score", "n_subwords", "rare", "times"],
-                )
-
-    scored = checkpointed(docs.mapInArrow(run, SCORED_TYPE).withColumn("uid", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("uid", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
+            for at in range(0, whole.num_rows, PIECES_AT_ONCE):
+                batch = whole.slice(at, PIECES_AT_ONCE)
+                rows = zip(batch.column("first").to_pylist(), batch.column("ids").to_pylist(), strict=True)
+                scores = scorer.totals([piece_windows(np.frombuffer(ids, kind), first, symbol) for first, ids in rows])
+                parts = pa.array(np.rint(scores / SCORE_UNIT).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([*batch.columns[2:4], parts, *batch.columns[4:]], [*names[2:4], "part", *names[4:]])
+
+    names = ["first", "ids", "uid", "doc_id", "n_tokens", "n_known", "logs", "n_subwords"]
+    scored = checkpointed(pieces.select(*names).mapInArrow(run, SCORED_TYPE), "scored")
+    listed = pieces.where("first").select("uid", F.explode(F.arrays_zip("rare", "times")).alias("r"))
     rest = counts.where(F.col("n") < least) if least is not None else counts
-    sums = (
-        rare.join(rest, "word", "left")
-        .groupBy("uid")
-        .agg(
-            F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1))).alias("more_logs"),
-            F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"),
+    more = (
+        listed.select("uid", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
+        .join(rest, "word", "left")
+        .select(
+            "uid",
+            (F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1))).alias("logs"),
+            F.when(F.col("n") > 0, F.col("times")).otherwise(0).cast("bigint").alias("n_known"),
         )
     )
     smooth = float(np.log10(tokens + 0.1 * (distinct + 1)))
     return (
-        scored.drop("rare", "times")
-        .join(sums, "uid", "left")
+        scored.unionByName(more, allowMissingColumns=True)
+        .groupBy("uid")
+        .agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("part", *names[4:])))
         .select(
             "doc_id",
             "n_tokens",
-            (F.col("n_known") + F.coalesce("more_known", F.lit(0))).cast("bigint").alias("n_known"),
+            "n_known",
             F.lit(tokens).cast("bigint").alias("train_tokens"),
-            (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(smooth)).alias("base_score"),
-            "score",
+            (F.col("logs") - F.col("n_tokens") * F.lit(smooth)).alias("base_score"),
+            F.round(F.col("part") * SCORE_UNIT, 4).alias("score"),
             "n_subwords",
         )
     )

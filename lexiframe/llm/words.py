@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # splitmix64
@@ -20,6 +21,29 @@ def texts_of(column) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def coded_words(column) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words of an Arrow string column, the place among them of every word, and the words per text."""
+    texts = pc.ascii_trim_whitespace(pc.ascii_lower(column.fill_null("")))
+    lists = pc.ascii_split_whitespace(texts)
+    sizes = np.where(pc.equal(pc.binary_length(texts), 0), 0, pc.list_value_length(lists)).astype(np.int64)
+    flat = lists.flatten()
+    if len(flat) > sizes.sum():  # a text without words gives one empty string
+        flat = flat.filter(pc.greater(pc.binary_length(flat), 0))
+    coded = flat.dictionary_encode()
+    return coded.dictionary.cast(pa.binary()), coded.indices.to_numpy(), sizes
+
+
+def text_slices(batch, name: str, most_bytes: int, most_rows: int = 1 << 30):
+    """Slices of a batch with about so many bytes in a text column, a row at least."""
+    ends = np.cumsum(pc.binary_length(batch.column(name)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        stop = min(max(at + 1, int(np.searchsorted(ends, before + most_bytes, side="right"))), at + most_rows)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def mixed(values: np.ndarray, salt: int = 0) -> np.ndarray:
     """64-bit mixing of uint64 values."""
     x = values + np.uint64(_STEP * (salt + 1) % (1 << 64))

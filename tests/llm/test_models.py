@@ -264,3 +264,27 @@ def test_cells_reach_the_driver_as_columns(spark, monkeypatch):
     assert (into == want).all() and peak < 60 << 20
     lm.fill(into, cells.limit(0))
     assert (into == want).all()
+
+
+def test_words_are_cut_alike_one_by_one_and_together():
+    encoder = lm.subword_encoder(lm.read_ranks(lm.TOKENIZER))
+    words = [b"the", "été".encode(), b"a1!b", b"\xff", b"x" * 300, *(f"w{i * i}".encode() for i in range(3000))]
+    for some in (words, [*words, "a ".encode(), "\u0085b".encode(), b"end"], []):
+        ids, sizes = encoder.many(some)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes))[:-1]] == [encoder(word) for word in some]
+
+
+def test_pieces_hold_all_that_scoring_needs(spark):
+    """Texts are cut once for training and scoring."""
+    ranks = spark.sparkContext.broadcast(lm.read_ranks(lm.TOKENIZER))
+    known = spark.sparkContext.broadcast({"words": [b"the"], "logs": np.array([2.0]), "end": 0.5, "ends": 3})
+    texts = [None, " ", "The the rest", " ".join(f"w{i % 300}" for i in range(900))]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS).selectExpr("doc_id", "text", "doc_id = 2 as trained")
+    got = lm.training_pieces(docs, len(ranks.value), ranks, most=4, known=known).collect()
+    assert {r["doc_id"]: r["trained"] for r in got} == {0: False, 1: False, 2: True, 3: False}
+    facts = {r["doc_id"]: r for r in got if r["first"]}
+    assert len(facts) == 4 and all(r["n_tokens"] is None and r["rare"] is None for r in got if not r["first"])
+    assert [facts[i]["n_tokens"] for i in range(4)] == [1, 1, 4, 901] and [facts[i]["n_known"] for i in range(4)] == [1, 1, 3, 1]
+    assert [facts[i]["logs"] for i in range(4)] == [0.5, 0.5, 4.5, 0.5] and facts[2]["rare"] == [b"rest"]
+    assert dict(zip(facts[3]["rare"], facts[3]["times"], strict=True)) == {f"w{i}".encode(): 3 for i in range(300)}
+    assert all(sum(r["n_subwords"] for r in got if r["doc_id"] == i and r["first"]) > 0 for i in (2, 3))

@@ -51,14 +51,25 @@ MARGIN = 1e-6  # of a score, far above what rounding can change
 
 
 def segment_blocks(ids: pa.Array, tokens: pa.ListArray, segment: int, schema: pa.Schema) -> pa.Table:
-    """Blocks of one segment; the row without a term lists its documents, by id, with their lengths."""
+    """Blocks of one segment; the row without a term lists its documents, by id, with their lengths.
+
+    ``tokens`` are lists of strings or of dictionary codes.
+    """
     order = pc.sort_indices(pa.table({"id": ids}), [("id", "ascending")], null_placement="at_start")
-    ids, tokens = ids.take(order), tokens.take(order)
     lengths = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int32)
     many = len(ids)
-    coded = tokens.flatten().dictionary_encode()
-    owner = np.repeat(np.arange(many, dtype=np.int64), lengths)
-    cells, counts = np.unique(coded.indices.to_numpy().astype(np.int64) * many + owner, return_counts=True)
+    place = np.empty(many, np.int32)
+    place[order.to_numpy()] = np.arange(many, dtype=np.int32)
+    flat = tokens.flatten()
+    coded = flat if pa.types.is_dictionary(flat.type) else flat.dictionary_encode()
+    cells = coded.indices.to_numpy().astype(np.int64)  # of a term and a document; the one array of a segment's tokens
+    cells *= many
+    cells += np.repeat(place, lengths)
+    cells.sort()
+    new = np.flatnonzero(np.diff(cells, prepend=-1))
+    counts = np.diff(np.append(new, len(cells))).astype(np.int32)
+    cells = cells[new]
+    ids, lengths = ids.take(order), lengths[order.to_numpy()]
     term, at = cells // max(many, 1), (cells % max(many, 1)).astype(np.int32)
     starts = np.concatenate(([0], np.flatnonzero(np.diff(term)) + 1)) if len(term) else np.empty(0, np.int64)
     ends = np.append(starts, len(term)).astype(np.int32)
@@ -67,7 +78,7 @@ def segment_blocks(ids: pa.Array, tokens: pa.ListArray, segment: int, schema: pa
         "segment": pa.array(np.full(len(starts), segment, np.int64)),
         "term": coded.dictionary.take(pa.array(term[starts])),
         "at": lists(at),
-        "tf": lists(counts.astype(np.int32)),
+        "tf": lists(counts),
         "len": lists(lengths[at]),
         "ids": pa.nulls(len(starts), schema.field("ids").type),
     }
@@ -104,16 +115,20 @@ def _raw_blocks(docs: DataFrame, key: str, text: str, segment_docs: int) -> Data
         number = TaskContext.get().partitionId() << 32
 
         def flush():
-            table = pa.Table.from_batches(held).combine_chunks()
-            ids, lists = (table.column(c).combine_chunks() for c in (0, 1))
-            return segment_blocks(ids, lists, number, schema).to_batches(max_chunksize=8_192)
+            ids, sizes, coded = zip(*held, strict=True)
+            flat = pa.chunked_array(coded).unify_dictionaries().combine_chunks()
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.concatenate(sizes))), pa.int32()), flat)
+            return segment_blocks(pa.concat_arrays(ids), lists, number, schema).to_batches(max_chunksize=8_192)
 
         for batch in batches:
             for first in range(0, batch.num_rows, step):
                 piece = batch.slice(first, step)
-                held.append(piece)
+                # copies: a slice would keep its whole batch, with the text of every token
+                lists = piece.column(1)
+                ids = piece.column(0).take(pa.array(np.arange(piece.num_rows)))
+                held.append((ids, pc.list_value_length(lists).to_numpy(zero_copy_only=False), lists.flatten().dictionary_encode()))
                 rows += piece.num_rows
-                tokens += len(piece.column(1).flatten())
+                tokens += len(held[-1][2])
                 if rows >= segment_docs or tokens >= SEGMENT_TOKENS:
                     yield from flush()
                     held, rows, tokens, number = [], 0, 0, number + 1

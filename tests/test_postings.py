@@ -149,3 +149,25 @@ def test_segment_blocks_hold_places_by_id(spark):
     assert rows[0] == {"segment": 7, "term": None, "at": None, "tf": None, "len": [1, 0, 3], "ids": [None, "m", "z"]}
     by_term = {r["term"]: (r["at"], r["tf"], r["len"]) for r in rows[1:]}
     assert by_term == {"a": ([0, 2], [1, 1], [1, 3]), "b": ([2], [2], [3])}
+
+
+def test_a_segment_is_counted_in_little_memory():
+    """It took more than five arrays of a number per token; dictionary codes give the same blocks as strings."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    number = pa.list_(pa.int32())
+    schema = pa.schema([("segment", pa.int64()), ("term", pa.string()), ("at", number), ("tf", number), ("len", number), ("ids", pa.list_(pa.int64()))])
+    many, width = 1_024, 1_024
+    words = pa.array([f"t{i}" for i in range(500)]).take(pa.array(np.random.default_rng(0).integers(0, 500, many * width)))
+    offsets = pa.array(np.arange(many + 1) * width, pa.int32())
+    ids = pa.array(np.arange(many)[::-1].copy())
+    strings, codes = (pa.ListArray.from_arrays(offsets, x) for x in (words, words.dictionary_encode()))
+    want = postings.segment_blocks(ids, strings, 3, schema)
+    tracemalloc.start()
+    have = postings.segment_blocks(ids, codes, 3, schema)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert have.to_pylist() == want.to_pylist() and peak < 3.5 * 8 * many * width

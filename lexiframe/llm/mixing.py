@@ -56,9 +56,12 @@ def source_targets(
     )
     total = weighed.agg(F.sum("source_size")).first()[0] or 0
     left, open_weight = total, None
+    # a literal is as narrow as its value, so products of sizes and weights are taken as decimals
+    exact = "decimal(19,0)"
     while True:
         full = F.lit(False) if open_weight is None else (
-            F.col("cap") * F.lit(open_weight) <= F.lit(left) * F.col("weight")
+            F.col("cap").cast(exact) * F.lit(open_weight).cast(exact)
+            <= F.lit(left).cast(exact) * F.col("weight").cast(exact)
         )
         row = weighed.agg(
             F.sum(F.when(full, F.col("cap"))).alias("capped"),

@@ -178,3 +178,13 @@ def test_written_shards_can_be_pruned(spark, tmp_path):
     hit = [r["shard"] for r in sharding.shards_to_read(manifest, source="s2", n_chars=10).collect()]
     back = spark.read.parquet(str(tmp_path / "shards")).where("source = 's2' and n_chars = 10")
     assert {r["shard"] for r in back.collect()} <= set(hit) and len(hit) < 20
+
+
+def test_targets_of_sizes_beyond_32_and_64_bits(spark):
+    for unit in (10**9, 10**15, 10**18):  # an int overflows as weight times words, a long as cap times weight
+        sizes = {"a": unit // 100, "b": unit // 3, "c": unit // 2, None: unit // 7}
+        frame = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+        found = {r.source: (r.weight, r.target) for r in mixing.source_targets(frame).collect()}
+        targets = plain_targets(sizes)
+        assert {s: w for s, (w, _) in found.items()} == {"a": 1, "b": 2, "c": 3, None: 1}
+        assert all(t == pytest.approx(targets[s], rel=1e-12) for s, (_, t) in found.items())

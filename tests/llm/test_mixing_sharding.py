@@ -188,3 +188,12 @@ def test_targets_of_sizes_beyond_32_and_64_bits(spark):
         targets = plain_targets(sizes)
         assert {s: w for s, (w, _) in found.items()} == {"a": 1, "b": 2, "c": 3, None: 1}
         assert all(t == pytest.approx(targets[s], rel=1e-12) for s, (_, t) in found.items())
+
+
+def test_documents_of_a_mix_beyond_32_bits(spark, monkeypatch):
+    rows = [r for r in ROWS if r[0] is not None and r[0] != 6]
+    frame = spark.createDataFrame(rows, DOCS)
+    small = sorted(r.doc_id for r in mixing.mixed_documents(frame).collect())
+    count = mixing.word_count
+    monkeypatch.setattr(mixing, "word_count", lambda text: count(text) * 3_000_000)  # 927 million words, shared alike
+    assert sorted(r.doc_id for r in mixing.mixed_documents(frame).collect()) == small

@@ -1,5 +1,7 @@
 """Vector index by cells: exactness, pruning, versions; versioned tables under failures."""
 
+from hashlib import md5
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -96,6 +98,47 @@ def test_trained_centres_add_and_old_versions(spark, tmp_path, rows, queries):
         VectorIndex(spark, path, version=1)
 
 
+def plain_kmeans(unit, centres, rounds=10):
+    """Centres moved to the mean direction of the vectors nearest to them."""
+    for _ in range(rounds):
+        own = np.argmax(np.round(unit @ centres.T, 9), axis=1)
+        sums = np.array([unit[own == c].sum(axis=0) for c in range(len(centres))])
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(norm > 1e-12, sums / np.where(norm > 1e-12, norm, 1), centres)
+    return centres
+
+
+def test_both_levels_are_trained_on_all_vectors(spark, rows):
+    chunks = spark.createDataFrame(rows, CHUNKS).select("chunk_id", "embedding")
+    found = train_quantiser(chunks.repartition(7), 5, 4)
+    again = train_quantiser(chunks.coalesce(1), 5, 4)  # neither the order of rows nor their partitions matter
+    assert all(np.array_equal(a, b) for a, b in zip(found.arrays, again.arrays, strict=True))
+    usable = [(md5(i.encode()).hexdigest(), i, v) for i, v, _ in rows if v is not None and any(v)]
+    vectors = np.array([v for _, _, v in sorted(usable)], np.float64)
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    coarse = plain_kmeans(unit, unit[:5])
+    assert np.abs(found.coarse - coarse).max() < 1e-6 < np.abs(found.coarse - unit[:5]).max()
+    own = np.argmax(np.round(unit @ coarse.T, 9), axis=1)
+    for c in range(5):
+        fine = found.fine[found.starts[c] : found.starts[c + 1]]
+        assert np.abs(fine - plain_kmeans(unit[own == c], unit[own == c][:4])).max() < 1e-6
+    first = train_quantiser(chunks, 5, 4, rounds=0)
+    assert np.array_equal(first.coarse, unit[:5])
+    spread = lambda q: np.sum(unit * q.fine[q.nearest(unit)])
+    assert spread(found) > spread(first)
+
+
+def test_centres_without_a_mean_stay(spark):
+    halves = [("a", [1.0, 0.0]), ("b", [-1.0, 0.0]), ("c", [2.0, 0.0]), ("d", [float("nan"), 1.0]), ("z", [0.0, 0.0])]
+    chunks = spark.createDataFrame(halves, "chunk_id string, embedding array<float>")
+    up = np.array([[0.0, 1.0], [0.0, -1.0]])  # all are as near to the first one
+    found = train_quantiser(chunks.where("chunk_id in ('a', 'b', 'z')"), 2, 1, coarse_centres=up)
+    assert np.array_equal(found.coarse, up) and found.starts.tolist() == [0, 1, 2]
+    assert found.fine.tolist() == [[1.0, 0.0], [0.0, -1.0]] or found.fine.tolist() == [[-1.0, 0.0], [0.0, -1.0]]
+    moved = train_quantiser(chunks.where("chunk_id <> 'b'"), 1, 1, coarse_centres=up[:1])
+    assert moved.fine.tolist() == [[1.0, 0.0]]  # a vector that is no number moves none
+
+
 def test_empty_index_and_too_many_centres(spark, tmp_path, queries):
     index = VectorIndex.build(spark, str(tmp_path / "v"), spark.createDataFrame([("z", [0.0, 0.0], 1)], CHUNKS).limit(0))
     two = queries.withColumn("embedding", F.slice("embedding", 1, 1))
